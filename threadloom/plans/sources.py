@@ -257,8 +257,7 @@ def _(t):
     "write_table_markdown",
     CELLS_SQL
     + """, s AS (SELECT table_id, bool_or(span_hint > 1) AS spanned, max(r) AS mr FROM cells GROUP BY 1),
- g AS (SELECT s.table_id, spanned, i AS r, c, x.text, coalesce(x.span_hint, 1) AS hint, x.table_id IS NULL AS hole,
-   lag(coalesce(x.span_hint, 1)) OVER (PARTITION BY s.table_id, i ORDER BY c) AS prev
+ g AS (SELECT s.table_id, spanned, i AS r, v.c AS c, x.text AS text, x.table_id IS NULL AS hole
    FROM s, unnest(range(s.mr + 1)) u(i), unnest([0, 1, 2, 3]) v(c) LEFT JOIN cells x ON x.table_id = s.table_id AND x.r = i AND x.c = v.c)
 SELECT table_id, r, CASE WHEN NOT spanned THEN concat('| ', string_agg(coalesce(text, ''), ' | ' ORDER BY c), ' |')
  ELSE concat('<tr>', string_agg(CASE WHEN c = 1 AND text IS NULL AND NOT hole THEN '' ELSE

@@ -30,6 +30,13 @@ def _line_class(line: Column, following: Column) -> Column:
     )
 
 
+def _stage(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns as finished values. A plain projection could be folded into the
+    lambdas that read it and computed once per element; a generator is not folded."""
+    rest = [c for c in df.columns if c not in cols]
+    return df.select(*rest, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def _parity(marks: Column, at: Column) -> Column:
     """Whether an odd number of ``marks`` lie before position ``at``."""
     return F.size(F.filter(marks, lambda k: k < at)) % 2 == 1
@@ -38,20 +45,22 @@ def _parity(marks: Column, at: Column) -> Column:
 def line_arrays(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``lines`` and ``cls`` (one class per line, code and formula bodies resolved)."""
     lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    df = df.withColumn("lines", lines)
+    df = _stage(df, lines=lines)
     raw = F.transform("lines", lambda x, i: _line_class(x, F.coalesce(F.get("lines", i + 1), F.lit(""))))
-    df = df.withColumn("__raw", raw)
+    df = _stage(df, __raw=raw)
     spots = lambda arr, cls: F.filter(F.sequence(F.lit(0), F.size(arr) - 1), lambda i: F.get(arr, i) == cls)
     df = df.withColumn("__fences", spots("__raw", "fence"))
+    df = _stage(df, __fences=spots("__raw", "fence"))
     coded = F.transform("__raw", lambda c, i: F.when(_parity(F.col("__fences"), i) & (c != "fence"), "code").otherwise(c))
-    df = df.withColumn("__coded", coded).withColumn("__dollars", spots("__coded", "dollars"))
+    df = _stage(df, __coded=coded)
+    df = _stage(df, __dollars=spots("__coded", "dollars"))
     body = F.transform(
         "__coded", lambda c, i: F.when(_parity(F.col("__dollars"), i) & (c != "dollars") & (c != "code"), "formula").otherwise(c)
     )
-    return df.withColumn("cls", body).drop("__raw", "__fences", "__coded", "__dollars")
+    return _stage(df, cls=body).drop("__raw", "__fences", "__coded", "__dollars")
 
 
-def _joins(cls: Column, before: Column, two_before: Column) -> Column:
+def _joins(cls: Column, before: Column) -> Column:
     """Whether a line of class ``cls`` continues the block of the line before it."""
     same = (cls == before) & cls.isin("para", "quote", "list", "code", "formula", "pipe", "table")
     pipes = cls.isin("pipe", "para", "table") & before.isin("para") & (cls == "pipe")
@@ -67,10 +76,10 @@ def text_to_blocks(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     rows = line_arrays(df.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
     # a table is its head, the rule line and every following line that holds a pipe
     heads = F.filter(F.sequence(F.lit(0), F.size("cls") - 1), lambda i: F.get("cls", i) == "thead")
-    rows = rows.withColumn("__heads", heads)
-    rows = rows.withColumn(
-        "cls",
-        F.when(F.size("__heads") == 0, F.col("cls")).otherwise(
+    rows = _stage(rows, __heads=heads)
+    rows = _stage(
+        rows,
+        cls=F.when(F.size("__heads") == 0, F.col("cls")).otherwise(
             F.transform(
                 "cls",
                 lambda c, i: F.when(
@@ -88,18 +97,19 @@ def text_to_blocks(df: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     starts = F.filter(
         F.sequence(F.lit(0), F.size("cls") - 1),
         lambda i: ~F.get("cls", i).isin("blank", "fence", "dollars")
-        & ((i == 0) | ~F.coalesce(_joins(F.get("cls", i), F.get("cls", i - 1), F.lit("")), F.lit(False)) | (F.get("cls", i) == "heading")),
+        & ((i == 0) | ~F.coalesce(_joins(F.get("cls", i), F.get("cls", i - 1)), F.lit(False)) | (F.get("cls", i) == "heading")),
     )
     stops = F.filter(
         F.sequence(F.lit(0), F.size("cls") - 1),
         lambda i: ~F.get("cls", i).isin("blank", "fence", "dollars")
         & (
             (i == F.size("cls") - 1)
-            | ~F.coalesce(_joins(F.get("cls", i + 1), F.get("cls", i), F.lit("")), F.lit(False))
+            | ~F.coalesce(_joins(F.get("cls", i + 1), F.get("cls", i)), F.lit(False))
             | (F.get("cls", i + 1) == "heading")
         ),
     )
-    rows = rows.withColumn("__runs", F.arrays_zip(starts.alias("s"), stops.alias("e")))
+    rows = _stage(rows, s=starts, e=stops)
+    rows = _stage(rows, __runs=F.arrays_zip("s", "e"))
     out = rows.select("doc", "lines", "cls", F.posexplode("__runs").alias("pos", "run"))
     kind = F.get("cls", F.col("run.s"))
     body = F.slice("lines", F.col("run.s") + 1, F.col("run.e") - F.col("run.s") + 1)
