@@ -79,7 +79,7 @@ def main(argv: list[str]) -> int:
     if modules:
         for m in modules:
             importlib.import_module(f"threadloom.plans.{m}")
-        table = base.QUERIES
+        table = {n: q for n, q in base.QUERIES.items() if q.build.__module__.rsplit('.', 1)[-1] in modules}
     else:
         from threadloom.plans import catalogue
 
