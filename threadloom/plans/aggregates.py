@@ -78,8 +78,8 @@ def _(t):
 @query(
     "time_histogram",
     """
-WITH e AS (SELECT user_id AS owner, epoch_us(ts) AS at FROM events), s AS (SELECT owner, min(at) AS lo, max(at) AS hi FROM e GROUP BY 1),
- c AS (SELECT owner, CASE WHEN hi = lo THEN 0 ELSE least(11, floor(((at - lo) * 12)::DOUBLE / (hi - lo)))::INTEGER END AS bucket, count(*) AS n FROM e JOIN s USING (owner) GROUP BY 1, 2)
+WITH e AS (SELECT user_id AS owner, epoch_us(ts) AS tm FROM events), s AS (SELECT owner, min(tm) AS lo, max(tm) AS hi FROM e GROUP BY 1),
+ c AS (SELECT owner, CASE WHEN hi = lo THEN 0 ELSE least(11, floor(((tm - lo) * 12)::DOUBLE / (hi - lo)))::INTEGER END AS bucket, count(*) AS n FROM e JOIN s USING (owner) GROUP BY 1, 2)
 SELECT s.owner, b AS bucket, coalesce(n, 0) AS n FROM s CROSS JOIN unnest(range(12)) u(b) LEFT JOIN c ON c.owner = s.owner AND c.bucket = b""",
 )
 def _(t):
@@ -126,7 +126,7 @@ def _(t):
 
 @query(
     "changed_since",
-    f"""SELECT item, at, "user", seen FROM ({LATEST_SQL}) JOIN (SELECT json_extract_string(props, '$.k')::BIGINT AS k, max(epoch_us(ts)) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) ON k = item WHERE at > seen""",
+    f"""SELECT item, "at", "user", seen FROM ({LATEST_SQL}) JOIN (SELECT json_extract_string(props, '$.k')::BIGINT AS k, max(epoch_us(ts)) AS seen FROM events WHERE event_type = 'view' GROUP BY 1) ON k = item WHERE "at" > seen""",
 )
 def _(t):
     visits = event_edits(t).where("event_type = 'view'").groupBy("item").agg(F.max("at").alias("seen"))

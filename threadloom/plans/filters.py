@@ -79,14 +79,14 @@ def doc_rows(t):
         F.array("lang").alias("tags"),
         F.lower("text").alias("lower"),
         (F.lit(1_700_000_000_000) - F.col("n_chars") * 600_000).alias("edited"),
-        (F.length("text") % 2 == 0).alias("on_board"),
+        F.col("text").contains("whe").alias("on_board"),
     )
 
 
 @query(
     "library_filter",
     """SELECT doc_id AS uid, source AS type FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') AND lang = 'en'
-  AND contains(lower(text), 'the') AND contains(lower(text), 'of the') AND n_chars * 600000 < 30 * 86400000::BIGINT AND length(text) % 2 = 1""",
+  AND contains(lower(text), 'the') AND contains(lower(text), 'of the') AND n_chars * 600000 < 30 * 86400000::BIGINT AND NOT contains(text, 'whe')""",
 )
 def _(t):
     kinds = ["src1", "src2", "src3", "src4", "src5", "src6"]
