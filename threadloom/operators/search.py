@@ -173,7 +173,7 @@ def related_query_text(rows: DataFrame, children: DataFrame, width: int = QUERY_
     """Query text of an item: title, own text and its first ten children, cut at ``width``."""
     first = top_per_key(children, ["uid"], ["ord"], 10).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("k"))
     kids = F.array_join(F.transform("k", lambda x: x["text"]), "\n")
-    blank = lambda c: F.when(F.trim(c) != "", c)
+    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
     return rows.join(first, "uid", "left").select(
         "uid", F.substr(F.concat_ws("\n", blank("title"), blank("text"), kids), F.lit(1), F.lit(width)).alias("query_text")
     )
