@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.matching import BOX, match_best_first, overlap_pairs
-from threadloom.functions.windows import split_running_sum
+from threadloom.functions.windows import split_running_sum, top_per_key
 from threadloom.operators.search import near_words
+from threadloom.session import cut_lineage
 
 # Thresholds and patterns of the page rules.
 FURNITURE_BAND = 0.08
-FURNITURE_SHIFT = 3.0
+FURNITURE_SHIFT = 3
 PAGE_NUMBER = r"(?i)^(\d+|page\s+\d+(\s+of\s+\d+)?|[-–]\s*\d+\s*[-–]|\d+\s*/\s*\d+)$"
 REPO_STAMP = r"(?i)hdl\.handle\.net|hathitrust\.org|books\.google\.|^original\s+from$|^digitized\s+(?:by\s+)?google\b"
 NUMBERED = r"^((\d+)(\.\d+)*)\.?\s+\S"
@@ -269,13 +270,13 @@ def ocr_page_quality(words: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.count_if(long_core).alias("cores"),
         F.count_if(long_core & F.col("known")).alias("known"),
     )
-    share = F.when(F.col("n") < MIN_WORDS, 0.0).otherwise(F.col("low") / F.col("n"))
-    known_share = F.col("known") / F.col("cores")
+    share = F.when(F.col("n") < MIN_WORDS, 0.0).otherwise(F.try_divide("low", "n"))
+    known_share = F.try_divide("known", "cores")
     weak = (
         (share >= WEAK_LOW)
         | ((F.col("n") > 0) & (F.col("n") < MIN_WORDS) & (F.col("mean_conf") < WEAK_SHORT_MEAN))
         | ((F.col("cores") >= UNKNOWN_MIN) & (known_share < UNKNOWN_SHARE) & (F.col("mean_conf") < UNKNOWN_MEAN))
-        | ((F.col("cores") >= 20) & (F.col("low") / F.col("n") >= 0.04) & (known_share < 0.12))
+        | ((F.col("cores") >= 20) & (F.try_divide("low", "n") >= 0.04) & (known_share < 0.12))
     )
     return page.select("doc", "page", "n", "low", F.round("mean_conf", 6).alias("mean_conf"), "cores", "known", F.coalesce(weak, F.lit(False)).alias("weak"))
 
@@ -317,8 +318,6 @@ def ocr_vote(first: DataFrame, second: DataFrame, lexicon: DataFrame, cell_w: fl
     kept = v.join(match, ["page", "a"], "left").join(o, ["page", "b"], "left")
     text = F.when(F.col("b").isNull(), F.col("v")).otherwise(choose_reading(*[F.col(c) for c in ("v", "o", "vk", "ok", "vc", "oc")]))
     voted = kept.select("page", F.col("a").alias("uid"), text.alias("text"), F.when(F.col("b").isNull(), "alone").otherwise("matched").alias("how"))
-    from threadloom.functions.windows import top_per_key
-
     spare = o.join(match, ["page", "b"], "left_anti").where("ok")
     added = top_per_key(spare, ["page"], ["b"], insert_cap)
     return voted.unionByName(added.select("page", F.col("b").alias("uid"), F.col("o").alias("text"), F.lit("added").alias("how")))
@@ -436,8 +435,6 @@ def box_dedupe(words: DataFrame, cell_w: float, cell_h: float, min_iou: float =
     A word with no better open rival is kept and its rivals go; repeating on the
     open ones gives the longest-first walk.
     """
-    from threadloom.session import cut_lineage
-
     rank = F.struct((-F.length("text")).alias("l"), "uid")
     pairs = overlap_pairs(words, words, cell_w, cell_h).where((F.col("iou") >= min_iou) & (F.col("a") != F.col("b")))
     keyed = words.select("page", "uid", rank.alias("k"))

@@ -80,8 +80,8 @@ def _(t):
 WITH b AS ({BODY_SQL}), l AS (SELECT x.*, body_size FROM ({LINES_SQL}) x JOIN b USING (doc)),
  c AS (SELECT * FROM (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY size DESC) AS cls FROM (SELECT DISTINCT doc, size FROM l WHERE size >= body_size * 1.15)) WHERE cls <= 3),
  m AS (SELECT doc, max(cls) AS n_cls FROM c GROUP BY 1),
- r AS (SELECT l.*, cls, coalesce(n_cls, 0) AS n_cls, len(string_split_regex(trim(text), '\\s+')) AS words,
-   size >= body_size - 0.5 AND size < body_size * 1.15 AS sized FROM l LEFT JOIN c ON c.doc = l.doc AND c.size = l.size LEFT JOIN m ON m.doc = l.doc),
+ r AS (SELECT l.*, c.cls, coalesce(n_cls, 0) AS n_cls, len(string_split_regex(trim(text), '\\s+')) AS words,
+   l.size >= body_size - 0.5 AND l.size < body_size * 1.15 AS sized FROM l LEFT JOIN c ON c.doc = l.doc AND c.size = l.size LEFT JOIN m ON m.doc = l.doc),
  n AS (SELECT *, coalesce(lead(sized AND NOT bold) OVER (PARTITION BY doc ORDER BY page, pos), true) AS nb,
    regexp_extract(trim(text), '^((\\d+)(\\.\\d+)*)\\.?\\s+\\S', 1) AS num FROM r),
  h AS (SELECT *, CASE WHEN trim(text) = '' OR NOT regexp_matches(trim(text), '[\\p{{L}}\\p{{N}}]') OR regexp_matches(trim(text), '(?i)^(?:table|tab\\.?|fig(?:ure)?s?\\.?|plates?)\\s*\\d+[A-Za-z]?[.:]?(\\s|$)') THEN 0
@@ -278,8 +278,11 @@ def _(t):
     f"""
 WITH w AS (SELECT lang AS page, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS word FROM documents), c AS MATERIALIZED (SELECT page, word, count(*) AS n FROM w WHERE length(word) >= 4 GROUP BY 1, 2),
  x AS MATERIALIZED ({LEX_SQL.replace('>= 8', '>= 60')}),
- p AS (SELECT a.page, a.word, a.n, b.word AS better, b.n AS better_n, b.word IN (SELECT word FROM x) AS known FROM c a JOIN c b ON a.page = b.page AND abs(length(a.word) - length(b.word)) <= 1 AND b.n >= 2 * a.n AND b.n >= 2
-   WHERE levenshtein(a.word, b.word) = 1 AND a.word <> b.word || 's' AND a.word NOT IN (SELECT word FROM x)),
+ d AS MATERIALIZED (SELECT page, word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS form FROM c, unnest(range(1, length(word) + 1)) u(i)),
+ e AS (SELECT a.page, a.word, a.n, b.word AS better, b.n AS better_n FROM d a JOIN d b ON a.page = b.page AND a.i = b.i AND a.form = b.form AND a.word <> b.word
+  UNION SELECT a.page, a.word, a.n, b.word, b.n FROM d a JOIN c b ON a.page = b.page AND b.word = a.form
+  UNION SELECT a.page, a.word, a.n, b.word, b.n FROM c a JOIN d b ON a.page = b.page AND b.form = a.word),
+ p AS (SELECT *, better IN (SELECT word FROM x) AS known FROM e WHERE word <> better || 's' AND word NOT IN (SELECT word FROM x)),
  o AS (SELECT * FROM p WHERE (known AND better_n >= 2 AND better_n >= 2 * n) OR (NOT known AND better_n >= 3 AND better_n >= 3 * n))
 SELECT page, word, n, arg_min(better, (-better_n, NOT known, better)) AS better, arg_min(better_n, (-better_n, NOT known, better)) AS better_n FROM o GROUP BY 1, 2, 3""",
 )

@@ -71,7 +71,7 @@ WITH q AS MATERIALIZED (SELECT item_id AS query, lower(text) AS phrase, list_sor
  p AS MATERIALIZED (SELECT doc_id AS doc, unnest(list_distinct({WORDS.format('text')})) AS word FROM documents),
  v AS MATERIALIZED (SELECT DISTINCT word FROM p),
  m AS (SELECT query, term, term AS word, false AS fuzzy FROM t UNION ALL
-  SELECT DISTINCT query, term, v.word, true FROM t JOIN v ON abs(length(term) - length(v.word)) <= 1 AND levenshtein(term, v.word) = 1 WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM v)),
+  SELECT DISTINCT query, term, v.word, true FROM t JOIN v ON abs(length(term) - length(v.word)) <= 1 AND levenshtein(translate(term, 'àâäçéèêëîïôöùûüßñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(v.word, 'àâäçéèêëîïôöùûüßñíóáú', 'ABCDEFGHIJKLMNOPQRSTU')) = 1 WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM v)),
  g AS (SELECT query, doc, count(DISTINCT term) AS found, bool_or(fuzzy) AS fuzzy, count(*) AS hits FROM m JOIN p USING (word) GROUP BY 1, 2),
  r AS (SELECT g.query, g.doc, contains(lower(text), phrase) AS exact, fuzzy, hits FROM g JOIN t0 USING (query) JOIN documents ON doc_id = doc
   WHERE found = (SELECT count(*) FROM t WHERE t.query = g.query))
