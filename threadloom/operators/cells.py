@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.windows import split_previous, split_row_number, split_running_sum  # noqa: F401
+from threadloom.functions.windows import split_previous, split_row_number, top_per_key
 
 
 def cells_from_lines(lines: DataFrame) -> DataFrame:
@@ -136,3 +136,154 @@ def column_alignment(cells: DataFrame, header_rows: int = 1, share: float = 0.8)
     return body.groupBy("table_id", "c").agg(
         F.count("*").alias("filled"), (F.avg(is_number(F.col("text")).cast("int")) >= share).alias("align_right")
     )
+
+
+def validate_parse(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """Audit rows (table_id, r, c, error): cells out of range, bad confidence, overlapping spans, missing tables.
+
+    ``tables`` is (table_id, rows, cols). The audit is a table of findings, not an exception.
+    """
+    sized = cells.join(tables, "table_id", "left")
+    outside = (F.col("r") + F.col("row_span") > F.col("rows")) | (F.col("c") + F.col("col_span") > F.col("cols")) | (F.col("r") < 0) | (F.col("c") < 0)
+    errors = F.array_compact(
+        F.array(
+            F.when(F.col("rows").isNull(), "unknown table"),
+            F.when(outside, "out of range"),
+            F.when((F.col("conf") < 0) | (F.col("conf") > 1), "confidence"),
+            F.when((F.col("row_span") < 1) | (F.col("col_span") < 1), "span"),
+        )
+    )
+    single = sized.select("table_id", "r", "c", F.explode(errors).alias("error"))
+    good = cells.where("row_span >= 1 AND col_span >= 1")
+    spread = good.withColumn("rr", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("row_span") - 1))).withColumn(
+        "cc", F.explode(F.sequence(F.col("c"), F.col("c") + F.col("col_span") - 1))
+    )
+    crowded = spread.groupBy("table_id", F.col("rr").alias("r"), F.col("cc").alias("c")).agg(F.count("*").alias("n")).where("n > 1")
+    return single.unionByName(crowded.select("table_id", "r", "c", F.lit("overlap").alias("error")))
+
+
+def validate_order(order: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Order ids that repeat or name no block, and blocks missing from the order (doc, block_id, error)."""
+    seen = order.groupBy("doc", "block_id").agg(F.count("*").alias("n"))
+    twice = seen.where("n > 1").select("doc", "block_id", F.lit("duplicate in order").alias("error"))
+    lost = seen.join(blocks, ["doc", "block_id"], "left_anti").select("doc", "block_id", F.lit("order without block").alias("error"))
+    unlisted = blocks.join(seen, ["doc", "block_id"], "left_anti").select("doc", "block_id", F.lit("block without order").alias("error"))
+    return twice.unionByName(lost).unionByName(unlisted)
+
+
+# Characters read for digits, and the repair threshold.
+CONFUSED = {"O": "0", "o": "0", "D": "0", "Q": "0", "B": "8", "S": "5", "s": "5", "l": "1", "I": "1", "|": "1", "Z": "2", "G": "6"}
+NUMERIC_SHARE = 0.8
+LOW_CONF = 0.5
+PLACEHOLDER = r"^[-–—.·…]{1,3}$|^n/?a$"
+
+
+def repair_number(text: Column) -> Column:
+    """Number text with stray bars and spaces closed and confusable letters read as digits; null when still no number."""
+    s = F.trim(text)
+    s = F.regexp_replace(s, r"^\|+(\d[\d.,]*)\|+$", "$1")
+    s = F.regexp_replace(s, r"(\d)\|+$", "$1")
+    s = F.regexp_replace(s, r"(\d)\s*([.,])\s*(\d)", "$1$2$3")
+    s = F.regexp_replace(s, r"(\d)\s+(\d)", "$1$2")
+    mapped = F.translate(s, "".join(CONFUSED), "".join(CONFUSED.values()))
+    mapped = F.regexp_replace(mapped, r"^([.,])(\d)", "0$1$2")
+    return F.when(is_number(s), s).when(s.rlike(r"\d") & is_number(mapped), mapped)
+
+
+def numeric_column_repair(cells: DataFrame, header_rows: int = 0, share: float = NUMERIC_SHARE) -> DataFrame:
+    """Cells of mostly numeric columns with confused characters fixed, dashes unified and the rest marked low confidence.
+
+    The column verdict is one aggregate per (table, column) joined back.
+    """
+    body = cells.where((F.col("r") >= header_rows) & (F.col("col_span") == 1) & (F.trim("text") != ""))
+    good = is_number(F.col("text")) | F.trim("text").rlike(PLACEHOLDER)
+    judged = body.withColumn("good", good).withColumn("fix", repair_number(F.col("text")))
+    columns = judged.groupBy("table_id", "c").agg(
+        F.count("*").alias("n"), F.count_if("good").alias("n_good"), F.count_if(~F.col("good") & F.col("fix").isNotNull()).alias("n_fix")
+    )
+    numeric = columns.where((F.col("n") >= 2) & (F.col("n_good") > 0) & (F.col("n_good") + F.col("n_fix") >= share * F.col("n"))).select("table_id", "c")
+    rows = judged.join(numeric, ["table_id", "c"])
+    dash = F.trim("text").rlike(r"^[-–—]{1,3}$")
+    to = F.when(dash, "—").when(F.col("good"), F.col("text")).otherwise(F.coalesce("fix", "text"))
+    state = F.when(F.col("good") | dash, "kept").when(F.col("fix").isNotNull(), "fixed").otherwise("unsure")
+    return rows.select("table_id", "r", "c", "text", to.alias("repaired"), state.alias("state"))
+
+
+def table_tidy(cells: DataFrame) -> DataFrame:
+    """Tables without empty rows, trailing empty columns and third or later copies of a row; rows renumbered.
+
+    A row is compared with the two before it through a hash of its cells. Row
+    numbers and neighbours are taken in bands of 10,000 rows, so a long table is
+    not handled by one task.
+    """
+    filled = cells.withColumn("text", F.coalesce("text", F.lit(""))).where(F.trim("text") != "")
+    width = filled.groupBy("table_id").agg((F.max("c") + 1).alias("width"))
+    rows = filled.groupBy("table_id", "r").agg(F.sort_array(F.collect_list(F.struct("c", "text"))).alias("cells"))
+    rows = rows.withColumn("sig", F.sha2(F.to_json("cells"), 256))
+    band = lambda c: F.floor(F.col(c) / 10_000)
+    one = split_previous(rows, ["table_id"], ["r"], band("r"), F.struct("sig"), "before")
+    two = split_previous(one, ["table_id"], ["r"], band("r"), F.col("before"), "two_before")
+    kept = two.where(~F.coalesce((F.col("sig") == F.col("before.sig")) & (F.col("sig") == F.col("two_before.sig")), F.lit(False)))
+    numbered = split_row_number(kept.select("table_id", "r", "cells"), ["table_id"], ["r"], band("r"), "row")
+    out = numbered.join(width, "table_id").select("table_id", (F.col("row") - 1).alias("r"), "width", F.explode("cells").alias("x"))
+    return out.select("table_id", "r", "x.c", "x.text", "width")
+
+
+def chart_series_table(points: DataFrame, series: list[str], max_points: int = 40) -> DataFrame:
+    """Series points (chart, series, x, y, seq) as a wide table: the first of a repeated x wins, ``max_points`` x per chart.
+
+    Numeric x ascend, other x keep first-seen order. The twelve-series limit is the caller's list.
+    """
+    if len(series) > 12:
+        raise ValueError("a chart holds at most 12 series")
+    first = points.where(F.col("series").isin(series)).groupBy("chart", "x").pivot("series", series).agg(F.min_by("y", "seq"))
+    seen = points.where(F.col("series").isin(series)).groupBy("chart", "x").agg(F.min("seq").alias("first_seq"))
+    rows = first.join(seen, ["chart", "x"])
+    numeric = F.expr("try_cast(x AS double)")
+    return top_per_key(rows, ["chart"], [numeric.asc_nulls_last(), "first_seq"], max_points)
+
+
+def section_totals(components: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows whose parts (owner, value) add up to the labelled total within 0.55 or half a percent."""
+    sums = components.groupBy("owner").agg(F.sum(F.col("value").cast("decimal(20,4)")).cast("double").alias("parts"))
+    slack = F.greatest(F.lit(0.55), F.abs("total") * 0.005)
+    return totals.join(sums, "owner").select("owner", "total", "parts", (F.abs(F.col("parts") - F.col("total")) <= slack).alias("ok"))
+
+
+# Weights of the table reading score.
+READING_WEIGHTS = {"row_coverage": 0.28, "row_fit": 0.16, "col_fit": 0.08, "numeric": 0.12, "header": 0.08, "single": 0.14, "tidy": 0.14}
+CLEAR_WIN = 0.02
+
+
+def arbitrate_tables(metrics: DataFrame, default: str = "rule", margin: float = CLEAR_WIN) -> DataFrame:
+    """Best reading per table (page, reading, one column per metric); the default keeps ties and unclear wins."""
+    score = sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in READING_WEIGHTS.items()), F.lit(0.0))
+    scored = metrics.withColumn("score", F.round(score, 6))
+    best = scored.groupBy("page").agg(
+        F.max(F.struct("score", "reading")).alias("m"), F.max(F.when(F.col("reading") == default, F.col("score"))).alias("base")
+    )
+    clear = F.coalesce(F.col("m.score") > F.col("base") + margin, F.lit(True))
+    return best.select("page", F.when(clear, F.col("m.reading")).otherwise(default).alias("reading"), F.when(clear, F.col("m.score")).otherwise(F.col("base")).alias("score"))
+
+
+def reading_metrics(cells: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Metrics of each table reading (page, reading, r, c, text) against the page's words (page, word, row)."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    key = ["page", "reading"]
+    cut = cells.select(*key, "r", "c", F.explode(words).alias("word"))
+    seen = evidence.select("page", "word").distinct().withColumn("seen", F.lit(1))
+    hit = cut.join(seen, ["page", "word"], "left")
+    rows = hit.groupBy(*key, "r").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("fit"))
+    row_fit = rows.groupBy(*key).agg(F.avg("fit").alias("row_fit"))
+    cols = hit.groupBy(*key, "c").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("fit")).groupBy(*key).agg(F.avg("fit").alias("col_fit"))
+    covered = evidence.select("page", "row", "word").distinct().join(cut.select(*key, "word").distinct(), ["page", "word"])
+    total = evidence.select("page", "row", "word").distinct().groupBy("page").agg(F.count("*").alias("n"))
+    coverage = covered.groupBy(*key).agg(F.count("*").alias("found")).join(total, "page").select(*key, (F.col("found") / F.col("n")).alias("row_coverage"))
+    text = F.trim(F.coalesce("text", F.lit("")))
+    shape = cells.groupBy(*key).agg(
+        F.avg(F.when(text != "", is_number(F.col("text")).cast("int"))).alias("numeric"),
+        F.max(F.when((F.col("r") == 0) & (text != "") & ~is_number(F.col("text")), 1.0).otherwise(0.0)).alias("header"),
+        F.avg(F.when(text != "", (~text.rlike(r"\d\s+\d")).cast("int"))).alias("single"),
+        F.avg((text != "").cast("int")).alias("tidy"),
+    )
+    return shape.join(row_fit, key, "left").join(cols, key, "left").join(coverage, key, "left")
