@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
+from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -266,24 +270,39 @@ def paired_compare(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _poisson_sums(batches: Iterator[pd.DataFrame], resamples: int, seed: int) -> Iterator[pd.DataFrame]:
+    """Weighted sums per category and resample of the rows of one task, 512 rows at a time."""
+    steps = np.cumsum([0.36787944117144233 / factorial(k) for k in range(12)])
+    draws = np.arange(resamples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    sums: dict = {}
+    for batch in batches:
+        for category, rows in batch.groupby("category", sort=False):
+            total, weight = sums.setdefault(category, (np.zeros(resamples), np.zeros(resamples)))
+            ids, d = rows["h"].to_numpy().astype(np.uint64), rows["d"].to_numpy(dtype=float)
+            for at in range(0, len(d), 512):
+                x = ids[at : at + 512, None] ^ draws[None, :]
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = (x ^ (x >> np.uint64(31))) >> np.uint64(11)
+                w = np.searchsorted(steps, u * (1.0 / (1 << 53)), side="right")
+                total += d[at : at + 512] @ w
+                weight += w.sum(axis=0)
+    for category, (total, weight) in sums.items():
+        yield pd.DataFrame({"category": category, "s": np.arange(resamples), "wd": total, "w": weight})
+
+
 def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, seed: int = 20261009, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean difference per category by resampling with Poisson weights.
+    """Percentile interval of the mean difference per category over seeded resamples of the pairs.
 
-    Each row draws its weight in each resample from a hash of (seed, resample,
-    id), the one-pass form of the bootstrap for data that is spread over tasks:
-    nothing is indexed or joined, a re-run task draws the same weights, and only
-    one partial sum per resample and category is shuffled.
+    Each row draws a Poisson weight per resample from a hash of (seed,
+    resample, id), the one-pass form of the bootstrap for spread-out data. A
+    task adds up its own rows and sends one partial sum per category and
+    resample; a re-run task draws the same weights.
     """
-    bins = F.sequence(F.lit(0), F.lit(resamples - 1))
-    u = (F.xxhash64(F.lit(seed), F.col("s"), F.col("id")) % 1_000_000_007 + 1_000_000_007) % 1_000_000_007 / 1_000_000_007.0
-    cumulative, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(12):
-        cumulative += term
-        weight = F.when(F.col("u") >= cumulative, k + 1).otherwise(weight)
-        term /= k + 1
-    drawn = pairs.select("category", "id", "d", F.explode(bins).alias("s")).withColumn("u", u).withColumn("w", weight).where("w > 0")
-    means = drawn.groupBy("category", "s").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean"))
+    rows = pairs.select("category", F.xxhash64("id").alias("h"), F.col("d").cast("double").alias("d"))
+    part = rows.mapInPandas(partial(_poisson_sums, resamples=resamples, seed=seed), "category string, s long, wd double, w double")
+    means = part.groupBy("category", "s").agg(F.sum("wd").alias("wd"), F.sum("w").alias("w"))
+    means = means.select("category", F.try_divide("wd", "w").alias("mean"))
     tail = (1 - level) / 2
     last = F.col("n") - 1
     return pick_ranks(means, ["category"], "mean", {"lo": F.floor(tail * last), "hi": F.ceil((1 - tail) * last)})
-
