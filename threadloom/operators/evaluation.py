@@ -248,7 +248,7 @@ def paired_compare(pairs: DataFrame) -> DataFrame:
     """
     by = ["category"]
     all_ = pairs.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if("d > 0").alias("wins"), F.count_if("d < 0").alias("losses"), F.count_if("d = 0").alias("ties"),
+        F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("wins"), F.count_if(F.col("d") < 0).alias("losses"), F.count_if(F.col("d") == 0).alias("ties"),
         F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"),
     )
     nonzero = pairs.where("d <> 0").select(*by, F.abs("d").alias("m"), (F.col("d") > 0).cast("int").alias("up"))

@@ -105,17 +105,21 @@ def _(t):
     return op.kendall_tau(lines(t).select("doc", F.col("pos").alias("a"), b.alias("b")))
 
 
+STRIP = "regexp_replace({0}, '[¹²³⁰⁴-⁹†‡*]+$', '')"
+
+
 @query(
     "cer_wer",
     f"""
-WITH l AS (SELECT doc, pos, text AS truth, replace(text, 'e', '') AS pred FROM ({LINES_SQL})),
- n AS (SELECT doc, pos, {NORM.format('truth')} AS t, {NORM.format('pred')} AS p, regexp_extract_all(lower(truth), '[\\p{{L}}\\p{{N}}]+') AS tw, regexp_extract_all(lower(pred), '[\\p{{L}}\\p{{N}}]+') AS pw FROM l),
- b AS (SELECT doc, pos, w, count(*) FILTER (side = 1) AS nt, count(*) FILTER (side = 2) AS np FROM (SELECT doc, pos, unnest(tw) AS w, 1 AS side FROM n UNION ALL SELECT doc, pos, unnest(pw), 2 FROM n) GROUP BY 1, 2, 3),
+WITH l AS (SELECT doc, pos, j, string_split(text, '. ')[j + 1] AS truth FROM ({LINES_SQL}), unnest(range(len(string_split(text, '. ')))) u(j)),
+ n AS (SELECT doc, pos, j, {STRIP.format(NORM.format('truth'))} AS t, {STRIP.format(NORM.format("replace(truth, 'e', '')"))} AS p, regexp_extract_all(lower(truth), '[\\p{{L}}\\p{{N}}]+') AS tw, regexp_extract_all(lower(replace(truth, 'e', '')), '[\\p{{L}}\\p{{N}}]+') AS pw FROM l),
+ b AS (SELECT doc, pos, j, w, count(*) FILTER (side = 1) AS nt, count(*) FILTER (side = 2) AS np FROM (SELECT doc, pos, j, unnest(tw) AS w, 1 AS side FROM n UNION ALL SELECT doc, pos, j, unnest(pw), 2 FROM n) GROUP BY 1, 2, 3, 4),
  g AS (SELECT doc, sum(least(nt, np))::BIGINT AS found, sum(nt)::BIGINT AS word_n FROM b GROUP BY 1)
 SELECT n.doc, sum(length(replace(t, ' ', '')) - length(replace(p, ' ', '')))::BIGINT AS char_dist, sum(length(replace(t, ' ', '')))::BIGINT AS char_n, max(coalesce(found, 0)) AS found, max(coalesce(word_n, 0)) AS word_n FROM n LEFT JOIN g ON g.doc = n.doc GROUP BY 1""",
 )
 def _(t):
-    pairs = lines(t).select(F.struct("doc", "pos").alias("doc"), F.col("text").alias("truth"), F.replace("text", F.lit("e"), F.lit("")).alias("pred"))
+    units = lines(t).select("doc", "pos", F.posexplode(F.split("text", r"\. ")).alias("j", "truth"))
+    pairs = units.select(F.struct("doc", "pos", "j").alias("doc"), "truth", F.replace("truth", F.lit("e"), F.lit("")).alias("pred"))
     return op.cer_counts(pairs).groupBy(F.col("doc.doc").alias("doc")).agg(*[F.sum(c).alias(c) for c in ("char_dist", "char_n", "found", "word_n")])
 
 
@@ -175,8 +179,8 @@ def _(t):
 @query(
     "pool_components",
     """
-SELECT lang, avg(quality::DOUBLE) AS quality, avg(1.0::DOUBLE - toxic) AS clean, (avg(quality::DOUBLE) * 0.7 + avg(1.0::DOUBLE - toxic) * 0.3) / (0.7::DOUBLE + 0.3::DOUBLE) AS composite
-FROM labels JOIN documents USING (doc_id) GROUP BY 1""".replace("avg(quality::DOUBLE)", "(sum(quality)::DOUBLE / count(*))").replace("avg(1.0::DOUBLE - toxic)", "(sum(1 - toxic)::DOUBLE / count(*))").replace("SELECT lang, (sum", "SELECT lang, round((sum").replace("count(*)) AS quality", "count(*)), 6) AS quality").replace(", (sum(1 - toxic)::DOUBLE / count(*)) AS clean", ", round((sum(1 - toxic)::DOUBLE / count(*)), 6) AS clean").replace("((sum(quality)", "round(((sum(quality)").replace("(0.7::DOUBLE + 0.3::DOUBLE) AS composite", "(0.7::DOUBLE + 0.3::DOUBLE), 6) AS composite"),
+WITH r AS (SELECT lang, sum(quality)::DOUBLE / count(*) AS q, sum(1 - toxic)::DOUBLE / count(*) AS c FROM labels JOIN documents USING (doc_id) GROUP BY 1)
+SELECT lang, round(q, 6) AS quality, round(c, 6) AS clean, round((q * 0.7::DOUBLE + c * 0.3::DOUBLE) / (0.7::DOUBLE + 0.3::DOUBLE), 6) AS composite FROM r""",
 )
 def _(t):
     rows = t.labels.join(t.documents, "doc_id").select("lang", F.explode(F.array(
