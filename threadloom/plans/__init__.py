@@ -7,7 +7,7 @@ import importlib
 from threadloom.plans.base import QUERIES, Query
 
 MODULES = (
-    "sources extraction filters relations aggregates ranking search documents cells evaluation telemetry streams"
+    "sources extraction filters relations aggregates ranking search documents cells evaluation telemetry streams surface"
 ).split()
 
 
