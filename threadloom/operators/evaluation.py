@@ -157,20 +157,16 @@ def kendall_tau(ranks: DataFrame) -> DataFrame:
     return out.select("doc", "n", "discordant", F.round(F.when(pairs == 0, 1.0).otherwise(1 - F.try_divide(2 * F.col("discordant"), pairs)), 6).alias("tau"))
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance. The banded form costs length times band, so narrow bands are tried first."""
-    out = F.when(a == b, 0)
-    for band in (16, 256, 4096):
-        out = out.when(F.levenshtein(a, b, band) >= 0, F.levenshtein(a, b, band))
-    return out.otherwise(F.levenshtein(a, b))
-
-
 def cer_counts(pairs: DataFrame) -> DataFrame:
-    """Character distance of (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap)."""
+    """Character distance of (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap).
+
+    Edit distance costs the square of a text, so callers give it texts of page
+    or paragraph size and pool the counts.
+    """
     t, p = F.replace(norm_text(F.col("truth")), F.lit(" "), F.lit("")), F.replace(norm_text(F.col("pred")), F.lit(" "), F.lit(""))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     texts = pairs.select("doc", F.inline(F.array(F.struct(t.alias("t"), p.alias("p")))), words("truth").alias("tw"), words("pred").alias("pw"))
-    sized = texts.select("doc", edit_distance(F.col("t"), F.col("p")).cast("long").alias("char_dist"), F.length("t").cast("long").alias("char_n"), "tw", "pw")
+    sized = texts.select("doc", F.levenshtein("t", "p").cast("long").alias("char_dist"), F.length("t").cast("long").alias("char_n"), "tw", "pw")
     count = lambda col, name: texts.select("doc", F.explode(col).alias("w")).groupBy("doc", "w").agg(F.count("*").alias(name))
     # the words are counted from the texts, so the distances are computed once
     both = count("tw", "nt").join(count("pw", "np"), ["doc", "w"], "full_outer").na.fill(0, ["nt", "np"])

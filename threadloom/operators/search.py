@@ -45,44 +45,54 @@ def parts_index(blocks: DataFrame, captions: DataFrame) -> DataFrame:
     return blocks.join(named, ["doc", "pos"], "left").select("doc", "pos", F.col("type").alias("kind"), full.alias("text"), F.lower(full).alias("lower"))
 
 
-def grams_of(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
-    """Distinct grams of each size over the words of a text."""
-    cut = lambda w, n: F.transform(
-        F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n))
-    )
-    per_size = [F.flatten(F.transform(F.filter(words(text), lambda w: F.length(w) >= n), lambda w: cut(w, n))) for n in sizes]
-    return F.array_distinct(F.concat(*per_size))
+def _grams_of_size(word_list: Column, n: int) -> Column:
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substr(w, i, F.lit(n)))
+    return F.flatten(F.transform(F.filter(word_list, lambda w: F.length(w) >= n), cut))
+
+
+def grams_of(word_list: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
+    """Distinct grams of each size over a list of words."""
+    return F.array_distinct(F.concat(*[_grams_of_size(word_list, n) for n in sizes]))
 
 
 def gram_postings(docs: DataFrame, sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """(gram, doc) once per document; write partitioned by a hash of the gram to serve lookups."""
-    return docs.select("doc", F.explode(grams_of(F.col("text"), sizes)).alias("gram"))
+    cut = docs.select("doc", F.inline(F.array(F.struct(words(F.col("text")).alias("w")))))
+    return cut.select("doc", F.explode(grams_of(F.col("w"), sizes)).alias("gram"))
+
+
+def words_containing(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(probe, word) for words that contain the probe, through one gram of the probe."""
+    size = F.least(F.lit(3), F.length("probe"))
+    keyed = probes.select("probe", F.substr("probe", F.lit(1), size).alias("gram"))
+    grams = vocabulary.select("word", F.explode(grams_of(F.array("word"))).alias("gram"))
+    return keyed.join(grams, "gram").where(F.contains("word", "probe")).select("probe", "word")
 
 
 def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = 40) -> DataFrame:
     """Documents that contain every term of a query, anywhere in their words.
 
-    The rarest trigram of a query picks the candidates; they are checked on the
-    whole text. Order: whole phrase, then number of hits, then document.
-    ``queries`` is (query, phrase, terms).
+    The longest term picks the candidates: it is looked up in the vocabulary,
+    and the words that hold it in the word postings. Candidates are checked on
+    the whole text. Order: whole phrase, then number of hits, then document.
+    ``queries`` is (query, phrase, terms); a quoted term is probed by its words.
     """
-    postings = docs.select("doc", F.explode(grams_of(F.col("text"), (3,))).alias("gram"))
-    wanted = queries.select("query", F.explode(grams_of(F.array_join("terms", " "), (3,))).alias("gram"))
-    used = postings.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    frequency = used.groupBy("gram").agg(F.count("*").alias("df"))
-    rarest = wanted.join(frequency, "gram", "left").groupBy("query").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    near = used.join(rarest, "gram").select("query", "doc").join(queries, "query").join(docs.select("doc", "text"), "doc")
-    low = near.withColumn("lower", F.lower("text"))
+    postings = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
+    pieces = F.regexp_extract_all(F.array_join("terms", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
+    probed = queries.withColumn("probe", longest)
+    meant = words_containing(probed.select("probe").distinct(), postings.select("word").distinct())
+    wanted = probed.select("query", "probe").join(meant, "probe").select("query", "word")
+    near = postings.join(wanted, "word").select("query", "doc").distinct().join(queries, "query").join(docs.select("doc", "text"), "doc")
+    low = near.select("query", "doc", "phrase", "terms", "text", F.inline(F.array(F.struct(F.lower("text").alias("lower")))))
     found = low.where(F.forall("terms", lambda x: F.col("lower").contains(x)))
-    count = F.aggregate(
-        F.transform("terms", lambda x: F.regexp_count(F.col("lower"), F.concat(F.lit(r"\Q"), x, F.lit(r"\E")))), F.lit(0), lambda a, x: a + x
-    )
+    one = lambda x: ((F.length("lower") - F.length(F.replace(F.col("lower"), x, F.lit("")))) / F.length(x)).cast("int")
+    count = F.aggregate(F.transform("terms", one), F.lit(0), lambda a, x: a + x)
     where = F.position(F.col("phrase"), F.col("lower"))
-    at = F.when(where > 0, where)
-    hits = found.select("query", "doc", F.col("lower").contains(F.col("phrase")).alias("exact"), count.alias("hits"), "text", at.alias("at"), F.position(F.get("terms", F.lit(0)), F.col("lower")).alias("first"))
-    start = F.greatest(F.lit(1), F.coalesce("at", "first") - 40)
+    first = F.position(F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0), F.col("lower"))
+    hits = found.select("query", "doc", F.col("lower").contains(F.col("phrase")).alias("exact"), count.cast("long").alias("hits"), "text", F.when(where > 0, where).otherwise(first).alias("at"))
     ranked = hits if limit is None else top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
-    return ranked.withColumn("snippet", F.substr("text", start, F.lit(SNIPPET))).drop("text", "at", "first")
+    return ranked.withColumn("snippet", F.substr("text", F.greatest(F.lit(1), F.col("at") - 40), F.lit(SNIPPET))).drop("text", "at")
 
 
 def _deletions(word: Column) -> Column:
