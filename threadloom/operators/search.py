@@ -72,27 +72,32 @@ def words_containing(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = 40) -> DataFrame:
     """Documents that contain every term of a query, anywhere in their words.
 
-    The longest term picks the candidates: it is looked up in the vocabulary,
-    and the words that hold it in the word postings. Candidates are checked on
-    the whole text. Order: whole phrase, then number of hits, then document.
+    The rarest term of a query picks the candidates: terms are looked up in the
+    vocabulary, whose counts say how many documents each could reach. The
+    candidates of a document are gathered, so its text moves once, and checked
+    on the whole text. Order: whole phrase, then number of hits, then document.
     ``queries`` is (query, phrase, terms); a quoted term is probed by its words.
     """
     postings = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
-    pieces = F.regexp_extract_all(F.array_join("terms", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    longest = F.element_at(F.array_sort(F.transform(pieces, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    probed = queries.withColumn("probe", longest)
-    meant = words_containing(probed.select("probe").distinct(), postings.select("word").distinct())
-    wanted = probed.select("query", "probe").join(meant, "probe").select("query", "word")
-    near = postings.join(wanted, "word").select("query", "doc").distinct().join(queries, "query").join(docs.select("doc", "text"), "doc")
-    low = near.select("query", "doc", "phrase", "terms", "text", F.inline(F.array(F.struct(F.lower("text").alias("lower")))))
-    found = low.where(F.forall("terms", lambda x: F.col("lower").contains(x)))
+    vocabulary = postings.groupBy("word").agg(F.count("*").alias("df"))
+    pieces = F.array_distinct(F.regexp_extract_all(F.array_join("terms", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    probes = queries.select("query", F.explode(pieces).alias("probe"))
+    meant = words_containing(probes.select("probe").distinct(), vocabulary)
+    reach = meant.join(vocabulary, "word").groupBy("probe").agg(F.sum("df").alias("reach"))
+    rarest = probes.join(reach, "probe", "left").groupBy("query").agg(F.min_by("probe", F.struct(F.coalesce("reach", F.lit(0)), "probe")).alias("probe"))
+    wanted = rarest.join(meant, "probe").select("query", "word")
+    near = postings.join(wanted, "word").select("query", "doc").distinct().join(queries, "query")
+    gathered = near.groupBy("doc").agg(F.collect_list(F.struct("query", "phrase", "terms")).alias("asked"))
+    texts = gathered.join(docs.select("doc", "text"), "doc").select("doc", "asked", "text", F.inline(F.array(F.struct(F.lower("text").alias("lower")))))
+    held = F.filter("asked", lambda q: F.forall(q["terms"], lambda x: F.col("lower").contains(x)))
+    found = texts.select("doc", "text", "lower", F.explode(held).alias("q")).select("doc", "text", "lower", "q.*")
     one = lambda x: ((F.length("lower") - F.length(F.replace(F.col("lower"), x, F.lit("")))) / F.length(x)).cast("int")
     count = F.aggregate(F.transform("terms", one), F.lit(0), lambda a, x: a + x)
     where = F.position(F.col("phrase"), F.col("lower"))
     first = F.position(F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0), F.col("lower"))
-    hits = found.select("query", "doc", F.col("lower").contains(F.col("phrase")).alias("exact"), count.cast("long").alias("hits"), "text", F.when(where > 0, where).otherwise(first).alias("at"))
-    ranked = hits if limit is None else top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
-    return ranked.withColumn("snippet", F.substr("text", F.greatest(F.lit(1), F.col("at") - 40), F.lit(SNIPPET))).drop("text", "at")
+    start = F.greatest(F.lit(1), F.when(where > 0, where).otherwise(first) - 40)
+    hits = found.select("query", "doc", (where > 0).alias("exact"), count.cast("long").alias("hits"), F.substr("text", start, F.lit(SNIPPET)).alias("snippet"))
+    return hits if limit is None else top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
 
 
 def _deletions(word: Column) -> Column:
@@ -152,7 +157,7 @@ def find_on_board(items: DataFrame, edges: DataFrame, nested: DataFrame, needle:
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
     """BM25 of documents (doc, text) for queries (query, text), scores rounded to six places."""
-    cut = docs.select("doc", tokens(F.col("text")).alias("t"))
+    cut = docs.select("doc", F.inline(F.array(F.struct(tokens(F.col("text")).alias("t")))))
     stats = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
     asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     tf = (

@@ -13,6 +13,19 @@ TABLES = (
 ).split()
 
 
+WIDE_ROWS = {"documents", "pages"}
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer splits than there are cores, as one small file of long texts has.
+
+    A large input has more splits than cores and passes through unchanged.
+    Filters and column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """Lazy readers for one data folder: ``t.lineitem`` is the Parquet table."""
 
@@ -24,7 +37,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return widen(df) if name in WIDE_ROWS else df
 
 
 @dataclass(frozen=True)
