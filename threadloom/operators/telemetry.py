@@ -114,11 +114,12 @@ def latency_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     floor_rank = lambda p: F.least(n - 1, F.floor(n * p / 100))
     picks = pick_ranks(
         rows, keys, value,
-        {"p50": ceil_rank(50), "p75": ceil_rank(75), "p90": ceil_rank(90), "p95": ceil_rank(95), "q50": floor_rank(50), "q90": floor_rank(90), "max": n - 1},
-    )
-    middle = _median(rows, keys, value, "median")
+        {"p50": ceil_rank(50), "p75": ceil_rank(75), "p90": ceil_rank(90), "p95": ceil_rank(95), "q50": floor_rank(50), "q90": floor_rank(90), "max": n - 1,
+         "__lo": F.floor((n - 1) / 2), "__hi": F.floor(n / 2)},
+    ).withColumn("median", (F.col("__lo") + F.col("__hi")) / 2).drop("__lo", "__hi")
+    middle = picks.select(*keys, "median")
     spread = rows.join(middle, list(keys)).withColumn("__off", F.round(F.abs(F.col(value) - F.col("median")), 6))
-    return picks.join(middle, list(keys)).join(_median(spread, keys, "__off", "mad"), list(keys))
+    return picks.join(_median(spread, keys, "__off", "mad"), list(keys))
 
 
 def trace_category_time(events: DataFrame, start: int, end: int, bucket_us: int = HOUR_US) -> DataFrame:
