@@ -73,3 +73,11 @@ def near_vectors(spark, sf_dir):
     from threadloom.llm.vector_dedup import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_mix_sources")
+def mix_sources(spark, sf_dir):
+    from threadloom.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
