@@ -81,3 +81,24 @@ def mix_sources(spark, sf_dir):
 
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op1_warc_archives",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+    t AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT d.page_id, d.payload_bytes, d.payload_digest,
+      CASE WHEN t.top > d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN t.top > d.page_id THEN t.top END AS refers_to
+    FROM d LEFT JOIN t ON t.payload_digest = d.payload_digest AND d.payload_bytes >= 1000
+    """,
+)
+def warc_archives(spark, sf_dir):
+    from threadloom.llm.shared import Scratch
+    from threadloom.llm.warc import read_warc, write_warc
+
+    root = Scratch(spark, "warc").path("archive")
+    write_warc(table(spark, sf_dir, "pages"), root)
+    return read_warc(spark, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
