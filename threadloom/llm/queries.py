@@ -102,3 +102,17 @@ def warc_archives(spark, sf_dir):
     root = Scratch(spark, "warc").path("archive")
     write_warc(table(spark, sf_dir, "pages"), root)
     return read_warc(spark, root, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_pack_documents")
+def pack_documents(spark, sf_dir):
+    from threadloom.llm.packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
