@@ -116,3 +116,13 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+@query("op6_language_id")
+def language_id(spark, sf_dir):
+    from threadloom.llm.langid import fit_languages, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, ~held_out("doc_id") & F.col("doc_id").isNotNull())
+    found = identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model)
+    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__confidence").alias("score"))
