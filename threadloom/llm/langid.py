@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 ORDER = 4
@@ -260,7 +261,7 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
     language, whether rejected or not. Texts are read whole.
     """
     known = F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
-    schema = df.schema.add("__lang", "string").add("__confidence", "double").add("__rejected", "boolean")
+    schema = StructType(list(df.schema.fields)).add("__lang", "string").add("__confidence", "double").add("__rejected", "boolean")
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -126,3 +126,15 @@ def language_id(spark, sf_dir):
     model = fit_languages(docs, ~held_out("doc_id") & F.col("doc_id").isNotNull())
     found = identify(docs.select("doc_id", "text", held_out("doc_id").alias("held_out")), model)
     return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__confidence").alias("score"))
+
+
+@query("op9_quality")
+def quality(spark, sf_dir):
+    from threadloom.llm.langid import held_out
+    from threadloom.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id") & F.col("doc_id").isNotNull())
+    scored = score_quality(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
+    score = F.col("__score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
