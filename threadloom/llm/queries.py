@@ -138,3 +138,12 @@ def quality(spark, sf_dir):
     scored = score_quality(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model)
     score = F.col("__score")
     return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_url_filter")
+def url_filter(spark, sf_dir):
+    from threadloom.llm.urlfilter import fit_urls, judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge_urls(pages, fit_urls(pages))
+    return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.col("__score").alias("score"))
