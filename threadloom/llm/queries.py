@@ -147,3 +147,10 @@ def url_filter(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge_urls(pages, fit_urls(pages))
     return judged.select("page_id", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.col("__verdict").alias("verdict"), F.col("__score").alias("score"))
+
+
+@query("op2_ngram_join", None)
+def ngram_join(spark, sf_dir):
+    from threadloom.llm.ngram_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
