@@ -29,11 +29,12 @@ from threadloom.llm.shared import Scratch
 LENGTH = 2048
 OPEN = 64
 FAN_IN = 16
-CACHE_WORDS = 1_500_000
-SLICE_BYTES = 32 << 20
+CACHE_WORDS = 250_000
+SLICE_BYTES = 4 << 20
 #: Fixed values of the tokenizer file: its split pattern, and the opening of its special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = "<|"
+WORD_END = "</w>"
 
 PIECE_FIELDS = [
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("ids", pa.binary()),
@@ -51,17 +52,25 @@ class WordTokenizer:
         self.lib = Tokenizer.from_file(path)
         self.pieces = regex.compile(PIECES)
         self.plain = regex.compile(r"[\x21-\x7e\p{L}]+")
+        size = self.lib.get_vocab_size()
+        self.ends = np.array([(self.lib.id_to_token(i) or "").endswith(WORD_END) for i in range(size)], bool)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.parts.clear()
-            raise KeyError  # the caller learns its whole slice again
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces through one long text: every piece ends in its one token that ends a word."""
+        ids = np.array(self.lib.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces) or cuts[-1] != len(ids):
+            return self._library(pieces)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the cache; the first ones met, which are mostly the frequent ones, stay in it."""
         cut: dict[str, list[str]] = {}
         whole = []
         for w in new:
@@ -71,15 +80,16 @@ class WordTokenizer:
                 cut[w] = self.pieces.findall(n)
             else:
                 whole.append(w)
-        unknown = list({p for ps in cut.values() for p in ps if p not in self.parts})
-        for s in range(0, len(unknown), 20_000):
-            some = unknown[s : s + 20_000]
-            self.parts.update(zip(some, self._library(some), strict=True))
-        for w, ps in cut.items():
-            self.words[w] = self.parts[ps[0]] if len(ps) == 1 else b"".join([self.parts[p] for p in ps])
-        for s in range(0, len(whole), 20_000):
-            some = whole[s : s + 20_000]
-            self.words.update(zip(some, self._library(some), strict=True))
+        parts = {p: self.parts.get(p) for ps in cut.values() for p in ps}
+        found: dict[str, bytes] = {}
+        for texts, into, code in (([p for p, b in parts.items() if b is None], parts, self._pieces), (whole, found, self._library)):
+            for s in range(0, len(texts), 10_000):
+                into.update(zip(texts[s : s + 10_000], code(texts[s : s + 10_000]), strict=True))
+        found.update((w, b"".join([parts[p] for p in ps])) for w, ps in cut.items())
+        for cache, more in ((self.parts, parts), (self.words, found)):
+            for k in more if len(cache) < CACHE_WORDS else ():
+                cache[k] = more[k]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, bounds of each text) for a string array without nulls."""
@@ -90,14 +100,9 @@ class WordTokenizer:
         flat = lists.flatten()
         codes = flat.dictionary_encode()
         words = codes.dictionary.to_pylist()
-        self.words.setdefault("", b"")
-        try:
-            new = [w for w in words if w not in self.words]
-            self._learn(new)
-        except KeyError:
-            self.words[""] = b""
-            self._learn([w for w in words if w])
-        table = [self.words[w] for w in words]
+        known = self.words
+        more = self._learn([w for w in words if w not in known])
+        table = [known[w] if w in known else more[w] for w in words]
         lens = np.fromiter((len(b) >> 2 for b in table), np.int64, len(table))
         store = np.frombuffer(b"".join(table), np.uint32)
         first = np.concatenate([[0], np.cumsum(lens)])[:-1]
@@ -212,7 +217,7 @@ def pack_documents(
                 if start < total:
                     rows += windows.place(total - start, [(doc, start, data[4 * start :], total)])
                 held += len(data)
-                if held > 8 << 20 and rows:
+                if held > 4 << 20 and rows:
                     yield _batch(rows)
                     rows, held = [], 0
         for left in windows.rest(True):
