@@ -29,6 +29,7 @@ DIM = 64
 NONZERO = 4
 WINDOW = 2
 LEAST_COUNT = 3
+VOCABULARY = 30_000
 HIDDEN = 32
 EPOCHS = 60
 SLICE_BYTES = 8 << 20
@@ -181,8 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str =
     """A model from at most ``sample`` labelled documents, picked by a hash of the id; None without both labels.
 
     Word vectors and features are made on Spark; the driver gets the vectors of
-    words that the sample holds at least ``LEAST_COUNT`` times and one feature
-    row a sampled document. A fifth of them fits the temperature.
+    the ``VOCABULARY`` most frequent words of the sample, of those it holds at
+    least ``LEAST_COUNT`` times, and one feature row a sampled document. A fifth of them fits the temperature.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
@@ -190,7 +191,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str =
     picked = marked.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
     rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(picked, "id").dropDuplicates(["id"]).repartition(spark.sparkContext.defaultParallelism, "id"), "sample")
     near = rows.select("text").mapInArrow(_neighbours, "h bigint, n bigint, v array<double>")
-    sums = near.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)]).where(F.col("n") >= LEAST_COUNT).toPandas()
+    sums = near.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
+    sums = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
     sums = sums.assign(u=sums["h"].to_numpy().view(np.uint64)).sort_values("u")
     vectors = sums[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32)
     vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
