@@ -154,3 +154,13 @@ def ngram_join(spark, sf_dir):
     from threadloom.llm.ngram_join import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    from threadloom.llm.suffix_dedup import drop_repeats
+
+    cut = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256")
+    )
