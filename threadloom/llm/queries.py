@@ -164,3 +164,11 @@ def suffix_dedup(spark, sf_dir):
     return cut.select(
         "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256")
     )
+
+
+def register_pipeline() -> None:
+    """The module at the top of the repository registers itself as query ``pipeline``."""
+    import corpus_pipeline
+
+    if corpus_pipeline.ORACLE_SQL:
+        SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -259,9 +259,12 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], reach[np.append(first[1:], len(s)) - 1]
 
 
-def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
+def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """``df`` with __kept (binary: the bytes that stay), __n_bytes, __n_removed and __n_spans.
 
+    With ``as_text`` __kept is a string, without the bytes of characters that a
+    cut went through.
+
     A byte goes if a ``length``-byte string covering it starts earlier: in a
     document of smaller id, or earlier in the same one. Strings are judged on
     the input, overlaps count, and nothing crosses documents. A null text is
@@ -321,7 +324,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     cuts = gone.join(found, "doc_id", "full").withColumnRenamed("doc_id", "__id")
     cut_rows = df.join(cuts, df[id_col].cast("bigint") == F.col("__id"), "left").drop("__id")
     names = df.columns
-    schema = cut_rows.select(*[cut_rows[c] for c in names], F.lit(b"").alias("__kept"), F.lit(0).cast("bigint").alias("__n_bytes"), F.lit(0).cast("bigint").alias("__n_removed"), F.lit(0).cast("bigint").alias("__n_spans")).schema
+    schema = cut_rows.select(*[cut_rows[c] for c in names], (F.lit("") if as_text else F.lit(b"")).alias("__kept"), F.lit(0).cast("bigint").alias("__n_bytes"), F.lit(0).cast("bigint").alias("__n_removed"), F.lit(0).cast("bigint").alias("__n_spans")).schema
     at = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +341,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
                 total.append(len(data))
                 removed.append(int((e - s).sum()))
                 spans.append(len(s))
-            out = [*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+            out = [*batch.columns[: len(names)], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
     return cut_rows.select(*[cut_rows[c] for c in names], "gone", "windows").mapInArrow(cut, schema)
