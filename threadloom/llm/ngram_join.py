@@ -323,7 +323,9 @@ def link_documents(
     star = pairs.withColumn("probe", F.lit(False)).unionByName(pairs.select("g", F.col("g").alias("rep")).distinct().withColumn("probe", F.lit(True)))
     links = scratch.keep(_meet(star, sets, percent, chunk), "links")
     joined = components(scratch, links).withColumnsRenamed({"node": "rep", "root": "comp"})
-    placed = scratch.keep(kept.join(joined, "rep", "left").select("token", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    # The smallest class of a shingle has met all others already.
+    rest_of = kept.where("rep <> low")
+    placed = scratch.keep(rest_of.join(joined, "rep", "left").select("token", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
     spread = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("comps > 1")
     members = attach(placed, spread.select("token", "main"), "token", F.col("rep"), 16).where("main is not null")
     rest = members.select(F.col("token").alias("g"), "rep", (F.col("comp") != F.col("main")).alias("probe"))

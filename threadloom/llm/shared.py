@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from threadloom.session import ensure_checkpoint_dir
 
 SALTS = 64
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +40,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
+        # Rows may be very long texts or sets: batches to Python are bounded in bytes, not in rows.
+        if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
         atexit.register(self._end)
 
     def _end(self) -> None:
