@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from threadloom.llm.shared import Scratch, attach
 
-GROUP = 2048
+GROUP = 256
 MOST = 3.0
 TRIES = 16
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -82,34 +82,34 @@ def _fold(entries: Column, seed: int, uid: str) -> Column:
     return F.aggregate(entries, begin, step)
 
 
-def pivotal_rounding(scratch: Scratch, df: DataFrame, rows: int, seed: int = 11, group: int = GROUP) -> DataFrame:
+def pivotal_rounding(scratch: Scratch, df: DataFrame, seed: int = 11, group: int = GROUP) -> DataFrame:
     """(uid, taken 0/1) for rows (key, size, uid, p) with 0 < p < 1, summing to within one of the sum of p per ``key``.
 
     ``uid`` is a struct that tells the rows apart; its fields seed the draws.
-
-    ``rows`` is the number of rows; the tree has log_group(rows) levels.
+    The first level folds within bands of like size, the others within keys. At
+    each level a band or key is cut into as many cells as its own count asks
+    for, so a hot one has many cells and a small one a single cell; the tree ends
+    when every key has few enough open rows for one.
     """
     uid = df.schema["uid"].dataType.simpleString()
-    level, decided, made = 0, [], df.withColumn("band", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
-    parts = max(1, -(-rows // group))
+    decided: list[DataFrame] = []
+    made, level = df.withColumn("band", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")), 0
     while True:
-        last = parts == 1
-        cell = F.pmod(F.xxhash64(F.lit(seed + level), "uid"), F.lit(parts))
-        keys = ["key", "band", cell.alias("cell")] if not last else ["key"]
-        folded = (
-            made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("size", "uid", "p"))).alias("e"))
-            .withColumn("f", _fold(F.transform("e", lambda x: F.struct(x["uid"].alias("uid"), x["size"].alias("size"), x["p"].alias("p"))), seed + level, uid))
-        )
-        folded = scratch.keep(folded.select("key", F.col("band") if not last else F.lit(0).alias("band"), "f"), f"level{level}")
+        made = made.withColumn("at", F.xxhash64("key", F.col("band") if level == 0 else F.lit(0)))
+        counts = made.groupBy("at").agg(F.count("*").alias("c"))
+        last = level > 0 and (counts.agg(F.max("c")).first()[0] or 0) <= group
+        many = counts.where(F.col("c") > group).select("at", F.ceil(F.col("c") / group).alias("cells"))
+        cut = attach(made, many, "at", F.col("uid"), 16)
+        keys = ["key", *(["band"] if level == 0 else []), F.pmod(F.xxhash64(F.lit(seed + level), "uid"), F.coalesce("cells", F.lit(1))).alias("cell")]
+        entries = F.array_sort(F.collect_list(F.struct("size", "uid", "p")))
+        folded = cut.groupBy(*keys).agg(entries.alias("e")).select("key", _fold("e", seed + level, uid).alias("f"))
+        folded = scratch.keep(folded, f"level{level}")
         decided.append(folded.select(F.explode("f.done").alias("d")).select("d.uid", "d.taken"))
-        made = folded.select("key", "band", "f.open.uid", "f.open.size", "f.open.p")
+        made, level = folded.select("key", "f.open.uid", "f.open.size", "f.open.p"), level + 1
         if last:
             break
-        level, parts = level + 1, parts // group or 1
-    closing = made.select("uid", (draw(F.lit(seed), F.lit("close"), "uid") < F.col("p")).cast("int").alias("taken"))
-    decided.append(closing)
-    out = decided[0]
-    for d in decided[1:]:
+    out = made.select("uid", (draw(F.lit(seed), F.lit("close"), "uid") < F.col("p")).cast("int").alias("taken"))
+    for d in decided:
         out = out.unionByName(d)
     return out
 
@@ -148,7 +148,7 @@ def mix_sources(
     tried = open_rows.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).select(
         F.struct("key", "try").alias("key"), "size", F.struct("uid", "try", "key", "size").alias("uid"), "p"
     )
-    drawn = pivotal_rounding(scratch, tried, open_rows.count(), seed).select("uid.uid", "uid.try", "uid.key", "uid.size", "taken")
+    drawn = pivotal_rounding(scratch, scratch.keep(tried, "tried"), seed).select("uid.uid", "uid.try", "uid.key", "uid.size", "taken")
     drawn = scratch.keep(drawn, "drawn")
     wanted = open_rows.groupBy("key").agg(F.sum(F.col("p") * F.col("size")).alias("wanted"))
     got = drawn.groupBy("key", "try").agg(F.sum(F.col("size") * F.col("taken")).alias("got"))
