@@ -26,7 +26,7 @@ PER_LANGUAGE = 400
 CALIBRATE = 4
 CHUNK = 1 << 20
 SYMBOLS = float(1 << 16)
-MARGIN = 1.0
+MARGIN = 1.5
 UNKNOWN = "und"
 COEFFICIENTS = np.random.default_rng(20).integers(0, 1 << 63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
