@@ -9,15 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions.windows import split_previous, split_row_number, top_per_key
 
 
 def cells_from_lines(lines: DataFrame) -> DataFrame:
-    """Order lines as cells. A line with flag A has its first cell span two columns."""
-    first = lines.groupBy(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("r")).agg(
-        F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus")).alias("m")
-    )
+    """Order lines as cells, one row a line; a line with flag A has its first cell span two columns.
+
+    A line's row is its rank within the order. Line numbers repeat, so they are
+    only the first sort key. The window holds one order, the size of a table.
+    """
+    fields = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *fields))
+    first = lines.select(F.col("l_orderkey").alias("table_id"), (rank - 1).alias("r"), F.struct(*fields).alias("m"))
     wide = F.col("m.l_returnflag") == "A"
     cell = lambda c, text, span: F.struct(F.lit(c).alias("c"), text.alias("text"), span.alias("col_span"))
     one = F.lit(1)
@@ -119,15 +124,17 @@ def flat_rows(cells: DataFrame, repeat: bool = True) -> DataFrame:
     return table_grid(cells).select("table_id", "r", "c", F.when(keep, F.coalesce("text", F.lit(""))).otherwise("").alias("text"))
 
 
+# Pieces of a numeric cell: signs that carry no value, a digit run with group commas, a note mark behind it.
+_BLANKS = r"[%±]*"
+_DIGITS = r"\d(?:,?[%±]*\d)*"
+_VALUE = rf"{_BLANKS}[-+]?{_BLANKS}(?:{_DIGITS}{_BLANKS}(?:\.{_BLANKS}(?:{_DIGITS})?)?|\.{_BLANKS}{_DIGITS}){_BLANKS}(?:[eE][-+]?\d+)?{_BLANKS}"
+_NOTE = r"(?:(?<=[\d%])\(\d+\))?\s*(?:\[[A-Za-z0-9]+\])?"
+NUMBER_CELL = rf"^\s*(?:{_VALUE}|\(\s*{_VALUE}\s*\)){_NOTE}\s*$"
+
+
 def is_number(text: Column) -> Column:
-    """Numeric cell text: sign, separators, percent, trailing note mark and bracketed negatives allowed."""
-    s = F.trim(text)
-    s = F.regexp_replace(s, r"\s*\[[A-Za-z0-9]+\]\s*$", "")
-    s = F.regexp_replace(s, r"(?<=[\d%])\(\d+\)$", "")
-    s = F.regexp_replace(s, r"[%±]", "")
-    s = F.trim(F.regexp_replace(s, r"(\d),(?=\d)", "$1"))
-    s = F.regexp_replace(s, r"^\(([^)]+)\)$", "-$1")
-    return s.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$")
+    """Whether a cell reads as one number, with group commas, percent, a note mark behind it or brackets for a negative."""
+    return text.rlike(NUMBER_CELL)
 
 
 def column_alignment(cells: DataFrame, header_rows: int = 1, share: float = 0.8) -> DataFrame:
@@ -171,38 +178,57 @@ def validate_order(order: DataFrame, blocks: DataFrame) -> DataFrame:
     return twice.unionByName(lost).unionByName(unlisted)
 
 
-# Characters read for digits, and the repair threshold.
-CONFUSED = {"O": "0", "o": "0", "D": "0", "Q": "0", "B": "8", "S": "5", "s": "5", "l": "1", "I": "1", "|": "1", "Z": "2", "G": "6"}
+# Characters read for digits, the repair threshold, texts that stand for an empty number.
+CONFUSED = {"O": "0", "o": "0", "D": "0", "Q": "0", "B": "8", "S": "5", "s": "5", "l": "1", "I": "1", "|": "1", "Z": "2", "G": "6", "Б": "6", "б": "6", "А": "4"}
 NUMERIC_SHARE = 0.8
-LOW_CONF = 0.5
-PLACEHOLDER = r"^[-–—.·…]{1,3}$|^n/?a$"
+LOW_CONF = 0.3
+PLACEHOLDER = r"(?i)^(?:[-–—]{1,3}|\*{1,3}|n/?a|nn)$"
+
+_LOOKALIKES = "".join(c for c in CONFUSED if c not in "А|")
+_DIGITISH = r"[\d" + "".join(CONFUSED) + r".,()%+\-–—\s]+"
+
+
+def repair_number(text: Column, decimal: Column | None = None, pad: Column | None = None) -> Column:
+    """The number a cell stands for: rule bars and inner spaces gone, look-alikes read as digits, the column's decimal mark; null when it is none.
+
+    ``decimal`` is the column's mark (default a period) and ``pad`` whether a
+    bare leading mark gets a zero. A placeholder stays as it is.
+    """
+    decimal, pad = F.lit(".") if decimal is None else decimal, F.lit(True) if pad is None else pad
+    # What glues to digits without meaning: cell rules on both sides or behind, blanks between digits and marks.
+    bare = F.regexp_replace(F.trim(text), r"^\|+(?=\d[\d.,]*\|+$)|(?<=\d)\|+$|(?<=[\d.,])\s+(?=[\d.,])", "")
+    read = F.translate(bare, "".join(CONFUSED), "".join(CONFUSED.values()))
+    digitish = bare.rlike(f"^{_DIGITISH}$") & (bare.rlike(r"\d") | bare.rlike(rf"[{_LOOKALIKES}]\s*[.,]\s*[{_LOOKALIKES}]"))
 
+    def styled(v: Column) -> Column:
+        halves = F.split(v, "[.,]")
+        swap = v.rlike(r"^\d+[.,]\d{1,2}$") & (F.substring(v, F.length(halves[0]) + 1, 1) != decimal)
+        out = F.when(swap, F.concat_ws("", halves[0], decimal, halves[1])).otherwise(v)
+        return F.when(pad & out.rlike(r"^[.,]\d"), F.concat(F.lit("0"), out)).otherwise(out)
 
-def repair_number(text: Column) -> Column:
-    """Number text with stray bars and spaces closed and confusable letters read as digits; null when still no number."""
-    s = F.trim(text)
-    s = F.regexp_replace(s, r"^\|+(\d[\d.,]*)\|+$", "$1")
-    s = F.regexp_replace(s, r"(\d)\|+$", "$1")
-    s = F.regexp_replace(s, r"(\d)\s*([.,])\s*(\d)", "$1$2$3")
-    s = F.regexp_replace(s, r"(\d)\s+(\d)", "$1$2")
-    mapped = F.translate(s, "".join(CONFUSED), "".join(CONFUSED.values()))
-    mapped = F.regexp_replace(mapped, r"^([.,])(\d)", "0$1$2")
-    return F.when(is_number(s), s).when(s.rlike(r"\d") & is_number(mapped), mapped)
+    options = F.array(F.struct(styled(bare).alias("v"), F.lit(True).alias("may")), F.struct(styled(read).alias("v"), digitish.alias("may")))
+    fits = F.filter(options, lambda o: o["may"] & (is_number(o["v"]) | (o["v"].rlike(PLACEHOLDER) & (o["v"] == styled(bare)))))
+    return F.get(fits, F.lit(0))["v"]
 
 
 def numeric_column_repair(cells: DataFrame, header_rows: int = 0, share: float = NUMERIC_SHARE) -> DataFrame:
     """Cells of mostly numeric columns with confused characters fixed, dashes unified and the rest marked low confidence.
 
-    The column verdict is one aggregate per (table, column) joined back.
+    The column verdict, its decimal mark and whether it writes leading zeros are
+    one aggregate per (table, column) joined back.
     """
     body = cells.where((F.col("r") >= header_rows) & (F.col("col_span") == 1) & (F.trim("text") != ""))
-    good = is_number(F.col("text")) | F.trim("text").rlike(PLACEHOLDER)
-    judged = body.withColumn("good", good).withColumn("fix", repair_number(F.col("text")))
+    number, blank = is_number(F.col("text")), F.trim("text").rlike(PLACEHOLDER)
+    judged = body.withColumn("good", number | blank).withColumn("number", number).withColumn("fix", repair_number(F.col("text")))
     columns = judged.groupBy("table_id", "c").agg(
-        F.count("*").alias("n"), F.count_if("good").alias("n_good"), F.count_if(~F.col("good") & F.col("fix").isNotNull()).alias("n_fix")
+        F.count("*").alias("n"), F.count_if("good").alias("n_good"), F.count_if(~F.col("good") & F.col("fix").isNotNull()).alias("n_fix"),
+        F.count_if(F.col("number") & F.col("text").rlike(r"\d\.\d")).alias("points"), F.count_if(F.col("number") & F.col("text").rlike(r"\d,\d{1,2}(?!\d)")).alias("commas"),
+        F.count_if(F.col("number") & F.col("text").rlike(r"^[.,]\d")).alias("bare"),
+    )
+    numeric = columns.where((F.col("n") >= 2) & (F.col("n_good") > 0) & (F.col("n_good") + F.col("n_fix") >= share * F.col("n"))).select(
+        "table_id", "c", F.when(F.col("commas") > F.col("points"), ",").otherwise(".").alias("mark"), (F.col("bare") == 0).alias("pad")
     )
-    numeric = columns.where((F.col("n") >= 2) & (F.col("n_good") > 0) & (F.col("n_good") + F.col("n_fix") >= share * F.col("n"))).select("table_id", "c")
-    rows = judged.join(numeric, ["table_id", "c"])
+    rows = judged.join(numeric, ["table_id", "c"]).withColumn("fix", repair_number(F.col("text"), F.col("mark"), F.col("pad")))
     dash = F.trim("text").rlike(r"^[-–—]{1,3}$")
     to = F.when(dash, "—").when(F.col("good"), F.col("text")).otherwise(F.coalesce("fix", "text"))
     state = F.when(F.col("good") | dash, "kept").when(F.col("fix").isNotNull(), "fixed").otherwise("unsure")
@@ -229,18 +255,19 @@ def table_tidy(cells: DataFrame) -> DataFrame:
     return out.select("table_id", "r", "x.c", "x.text", "width")
 
 
-def chart_series_table(points: DataFrame, series: list[str], max_points: int = 40) -> DataFrame:
-    """Series points (chart, series, x, y, seq) as a wide table: the first of a repeated x wins, ``max_points`` x per chart.
+def chart_series_table(points: DataFrame, series: list[str], max_points: int | None = None) -> DataFrame:
+    """Series points (chart, series, x, y, seq) as a wide table: the first of a repeated x wins; with ``max_points`` only so many x a chart.
 
-    Numeric x ascend, other x keep first-seen order. The twelve-series limit is the caller's list.
+    Numeric x ascend, other x keep first-seen order.
     """
-    if len(series) > 12:
-        raise ValueError("a chart holds at most 12 series")
     first = points.where(F.col("series").isin(series)).groupBy("chart", "x").pivot("series", series).agg(F.min_by("y", "seq"))
     seen = points.where(F.col("series").isin(series)).groupBy("chart", "x").agg(F.min("seq").alias("first_seq"))
     rows = first.join(seen, ["chart", "x"])
     numeric = F.expr("try_cast(x AS double)")
-    return top_per_key(rows, ["chart"], [numeric.asc_nulls_last(), "first_seq"], max_points)
+    order = [numeric.asc_nulls_last(), F.col("first_seq")]
+    if max_points is not None:
+        return top_per_key(rows, ["chart"], order, max_points)
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("chart").orderBy(*order)))
 
 
 def section_totals(components: DataFrame, totals: DataFrame) -> DataFrame:

@@ -282,29 +282,43 @@ def ocr_page_quality(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def choose_reading(v: Column, o: Column, v_known: Column, o_known: Column, v_conf: Column, o_conf: Column) -> Column:
-    """Text of a word read by two engines: first engine ``v`` unless the other reads better."""
-    letters = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}]", ""))
+    """Text of a word read by two engines, by points that each trait gives to one reading.
+
+    Each trait outweighs all that follow: being there at all, being a number
+    (the first engine's goes before the second's), having letters, keeping a
+    plural or a compound that the other cuts off, being a known word, keeping a
+    closing hyphen, and for close spellings the engine that spells better: the
+    second, unless both are unknown and the first was surer. Points for the
+    second reading are positive; without any the first stays.
+    """
+    core = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}]", ""))
+    a, b = core(v), core(o)
     numeric = lambda t: F.length(F.regexp_replace(t, r"\D", "")) * 2 > F.length(F.trim(t))
     squeezed = lambda t: F.lower(F.regexp_replace(t, r"\s+", ""))
-    plural = (letters(v) == F.concat(letters(o), F.lit("s")))
-    return (
-        F.when((F.trim(o) == "") | (squeezed(v) == squeezed(o)) | numeric(v), v)
-        .when(numeric(o), o)
-        .when(letters(o) == "", v)
-        .when(letters(v) == "", o)
-        .when(plural, v)
-        .when(o_known & ~v_known, o)
-        .when(v_known & ~o_known, v)
-        .when(~v_known & ~o_known & (F.levenshtein(letters(v), letters(o)) <= 4) & (v_conf > o_conf), v)
-        .when(~v_known & ~o_known & (o_conf > v_conf), o)
-        .otherwise(v)
-    )
-
-
-def ocr_vote(first: DataFrame, second: DataFrame, lexicon: DataFrame, cell_w: float, cell_h: float, min_iou: float = 0.25, insert_cap: int = 16) -> DataFrame:
+    apart, unknown = F.levenshtein(a, b), ~v_known & ~o_known
+    hyphen = lambda t: F.trim(t).rlike("[A-Za-z]-$")
+    surer = unknown & (apart <= 4) & F.coalesce(v_conf > o_conf, F.lit(False))
+    cut_off = (a == F.concat(b, F.lit("s"))) | (~v_known & o_known & a.contains(b) & (F.length(a) >= F.length(b) + 2) & v.rlike(r"\p{L}-\p{L}"))
+    spelling = F.when(apart == 0, (hyphen(o) & ~hyphen(v)).cast("int")).when(surer, 0).otherwise(((apart <= 2) | (unknown & (apart <= 4))).cast("int"))
+    traits = [
+        -((F.trim(o) == "") | (squeezed(v) == squeezed(o))).cast("int"),
+        -numeric(v).cast("int"),
+        numeric(o).cast("int"),
+        -(b == "").cast("int"),
+        (a == "").cast("int"),
+        -cut_off.cast("int"),
+        o_known.cast("int") - v_known.cast("int"),
+        spelling,
+    ]
+    points = sum((F.coalesce(t, F.lit(0)) * (1 << (2 * k)) for k, t in enumerate(reversed(traits))), F.lit(0))
+    return F.when(points > 0, o).otherwise(v)
+
+
+def ocr_vote(first: DataFrame, second: DataFrame, lexicon: DataFrame, cell_w: float, cell_h: float, min_iou: float = 0.25, insert_cap: int | None = None) -> DataFrame:
     """Words of two engines merged per page: matched words take the better reading, known words only one engine saw are added.
 
-    At most ``insert_cap`` words are added per page, as in the voting rule.
+    An added word has four letters or more and is not digit-heavy; with
+    ``insert_cap`` at most so many are added per page.
     Word rows are (page, uid, text, conf, x0..y1).
     """
     pairs = overlap_pairs(first, second, cell_w, cell_h).where(F.col("iou") >= min_iou)
@@ -319,7 +333,9 @@ def ocr_vote(first: DataFrame, second: DataFrame, lexicon: DataFrame, cell_w: fl
     text = F.when(F.col("b").isNull(), F.col("v")).otherwise(choose_reading(*[F.col(c) for c in ("v", "o", "vk", "ok", "vc", "oc")]))
     voted = kept.select("page", F.col("a").alias("uid"), text.alias("text"), F.when(F.col("b").isNull(), "alone").otherwise("matched").alias("how"))
     spare = o.join(match, ["page", "b"], "left_anti").where("ok")
-    added = top_per_key(spare, ["page"], ["b"], insert_cap)
+    letters, digits = (F.length(F.regexp_replace("o", x, "")) for x in (r"[^\p{L}]", r"\D"))
+    spare = spare.where((letters >= 4) & (digits * 2 <= F.length(F.trim("o"))))
+    added = spare if insert_cap is None else top_per_key(spare, ["page"], ["b"], insert_cap)
     return voted.unionByName(added.select("page", F.col("b").alias("uid"), F.col("o").alias("text"), F.lit("added").alias("how")))
 
 

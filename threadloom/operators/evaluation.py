@@ -20,15 +20,26 @@ TABLE_MATCH = 0.2
 HIT_IOU = 0.5
 
 
+# Compatibility forms that tables hold: pairs of form and plain text, each a fixed value.
+_WIDE = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
+_SMALL = {"\u00a0": " ", "\u2007": " ", "\u202f": " ", "º": "o", "ª": "a", "µ": "μ", "²": "2", "³": "3", "¹": "1"} | {chr(0x2080 + k): str(k) for k in range(10)} | {chr(0x2070 + k): str(k) for k in (0, *range(4, 10))}
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "™": "tm", "℃": "°c", "№": "no"}
+
+
 def norm_text(text: Column) -> Column:
-    """Comparable cell text: dashes and spaces unified, spaces before marks and inside numbers closed, case folded."""
-    s = F.coalesce(text, F.lit(""))
-    s = F.regexp_replace(s, "[‐-―−]", "-")
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = F.regexp_replace(s, r"\s*([,.;:)])", "$1")
-    s = F.regexp_replace(s, r"(\d)([.,])\s+(\d)", "$1$2$3")
-    s = F.regexp_replace(s, r"[¹²³⁰⁴-⁹†‡*]+$", "")
-    return F.lower(F.trim(s))
+    """Comparable text of a cell or line: plain forms, one kind of dash and space, marks closed up, note marks gone, case folded.
+
+    Superscript digits are their plain digits, as compatibility folding has
+    them, so only daggers and stars are left as note marks at the end. All
+    spaces that have to go are named in one pattern by what stands beside them.
+    """
+    flat = F.translate(F.coalesce(text, F.lit("")), "".join([*_WIDE, *_SMALL]), "".join([*_WIDE.values(), *_SMALL.values()]))
+    for form, plain in _LIGATURES.items():
+        flat = F.replace(flat, F.lit(form), F.lit(plain))
+    dashed = F.regexp_replace(flat, "[\u2010-\u2015\u2212]", "-")
+    closed = F.regexp_replace(F.regexp_replace(dashed, r"\s+(?=[,.;:)])|(?<=\d[.,])\s+(?=\d)", ""), r"\s+", " ")
+    folded = F.lower(F.trim(F.regexp_replace(closed, r"[†‡*]+$", "")))
+    return F.regexp_replace(folded, r"(?<=\b[a-z])\s+(?=\d)", "")
 
 
 def rates(tp: Column, pred: Column, truth: Column) -> list[Column]:

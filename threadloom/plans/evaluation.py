@@ -24,7 +24,7 @@ def pred_cells(t):
     return line_cells(t).where("NOT (c = 3 AND text = 'O')").withColumn("col_span", span).withColumn("text", text)
 
 
-NORM = "lower(trim(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '\\s*([,.;:)])', '\\1', 'g')))"
+NORM = "regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace({0}, '\\s+', ' ', 'g'), '\\s*([,.;:)])', '\\1', 'g'))), '([0-9][.,])\\s+([0-9])', '\\1\\2', 'g'), '\\b([a-z])\\s+([0-9])', '\\1\\2', 'g')"
 MATCH_SQL = TRUTH_SQL + f""", mm AS (SELECT coalesce(p.table_id, t.table_id) AS table_id, coalesce(p.c, t.c) AS c, p.table_id IS NOT NULL AS in_p, t.table_id IS NOT NULL AS in_t, coalesce(t.unsure, false) AS unsure,
   {NORM.format('p.text')} AS a, {NORM.format('t.text')} AS b FROM pc p FULL JOIN tc t ON p.table_id = t.table_id AND p.r = t.r AND p.c = t.c AND p.cs = t.cs),
  m2 AS (SELECT *, CASE WHEN in_p AND in_t THEN CASE WHEN a = b THEN 1.0::DOUBLE ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END END AS sim FROM mm WHERE NOT unsure),

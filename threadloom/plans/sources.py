@@ -228,13 +228,13 @@ def _(t):
 
 
 def line_cells(t):
-    """Orders as tables: row = line number, columns = four fields of the line; the first line wins a shared cell."""
+    """Orders as tables: row = rank of the line, columns = four of its fields."""
     return cell_ops.cells_from_lines(t.lineitem)
 
 
 CELLS_SQL = """
-WITH f AS (SELECT l_orderkey AS table_id, l_linenumber - 1 AS r,
-  min(struct_pack(a := l_partkey, b := l_suppkey, q := l_quantity, p := l_extendedprice, f := l_returnflag, s := l_linestatus)) AS m FROM lineitem GROUP BY ALL),
+WITH f AS (SELECT l_orderkey AS table_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) - 1 AS r,
+  struct_pack(a := l_partkey, b := l_suppkey, q := l_quantity, p := l_extendedprice, f := l_returnflag, s := l_linestatus) AS m FROM lineitem),
 cells AS (SELECT table_id, r, unnest([0, 1, 2, 3]) AS c,
   unnest([concat('part, ', m.a), CASE WHEN m.f = 'A' THEN NULL ELSE concat(m.q::BIGINT, '') END, concat('"', m.f, '"'), m.s]) AS text,
   unnest([1, CASE WHEN m.f = 'A' THEN 2 ELSE 1 END, 1, 1]) AS span_hint FROM f)"""
