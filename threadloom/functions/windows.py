@@ -90,10 +90,11 @@ def split_last_known(
     )
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int, name: str = "pos") -> DataFrame:
-    """First ``k`` rows per key. The rank filter lets Spark cut each map task to ``k`` rows before the shuffle."""
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int | None, name: str = "pos") -> DataFrame:
+    """First ``k`` rows per key, or all of them numbered. The rank filter lets Spark cut each map task to ``k`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*_order(order))
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(name) <= k)
 
 
 def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:

@@ -17,8 +17,6 @@ STRENGTH_OPENS = {"refs": 0.50, "shared": 0.20, "recency": 0.15, "opens": 0.15}
 REFS_FULL, SHARED_FULL, OPENS_FULL = 12, 3, 10
 HALF_LIFE_DAYS = 180
 BUCKETS = 12
-TIMELINE_DAYS = 365
-LANE_CAP = 16
 NO_LANE = "none"
 
 
@@ -56,7 +54,7 @@ def reference_span(refs: DataFrame) -> DataFrame:
     return refs.groupBy("target").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def newest_references(refs: DataFrame, cap: int = 200) -> DataFrame:
+def newest_references(refs: DataFrame, cap: int | None = None) -> DataFrame:
     return top_per_key(refs, ["target"], [F.col("at").desc(), "uid"], cap)
 
 
@@ -98,8 +96,8 @@ def changed_since(edits: DataFrame, visits: DataFrame) -> DataFrame:
     return latest_edit(edits).join(visits, "item").where(F.col("at") > F.col("seen"))
 
 
-def timeline_days(mentions: DataFrame, cap: int | None = TIMELINE_DAYS) -> DataFrame:
-    """Dated mentions (day, card, page, edited) per day: count, distinct cards, newest page; newest ``cap`` days."""
+def timeline_days(mentions: DataFrame, cap: int | None = None) -> DataFrame:
+    """Dated mentions (day, card, page, edited) per day: count, distinct cards, newest page; with ``cap`` the newest days only."""
     days = mentions.groupBy("day").agg(
         F.count("*").alias("mentions"), F.count_distinct("card").alias("cards"), F.max(F.struct("edited", "page"))["page"].alias("page")
     )
@@ -153,12 +151,12 @@ def kanban_columns(rows: DataFrame, fixed: Sequence[str] = ("To do", "Done"), re
     return frame.join(counts, "column", "full_outer").withColumn("n", F.coalesce("n", F.lit(0))).select("column", group.alias("grp"), "fixed", "first_seq", "n")
 
 
-def lane_bands(rows: DataFrame, stored: Sequence[str], cap: int = LANE_CAP) -> DataFrame:
-    """Rows (uid, value, seq) in attribute lanes: stored values first, then by first sight, ``cap`` lanes, others in none."""
+def lane_bands(rows: DataFrame, stored: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Rows (uid, value, seq) in attribute lanes: stored values first, then by first sight; with ``cap`` values past so many lanes are in none."""
     order = F.array_position(F.array(*[F.lit(s) for s in stored]), F.col("value"))
     seen = rows.where(F.col("value").isNotNull()).groupBy("value").agg(F.min("seq").alias("first_seq"))
     keyed = seen.withColumn("stored", order == 0).withColumn("rank", F.when(order > 0, order).otherwise(F.col("first_seq")))
-    lanes = keyed.orderBy("stored", "rank", "value").limit(cap).select("value", F.col("stored").alias("is_new"), F.lit(True).alias("kept"))
+    lanes = (keyed if cap is None else keyed.orderBy("stored", "rank", "value").limit(cap)).select("value", F.col("stored").alias("is_new"), F.lit(True).alias("kept"))
     out = rows.join(lanes, "value", "left")
     return out.select("uid", F.when(F.col("kept"), F.col("value")).otherwise(NO_LANE).alias("lane"), F.coalesce("is_new", F.lit(False)).alias("is_new"))
 

@@ -283,7 +283,7 @@ def paired_compare(pairs: DataFrame) -> DataFrame:
     return out.select(
         *by, "n", "wins", "losses", "ties", F.round("mean", 4).alias("mean"), F.round(F.try_divide("mean", "sd"), 6).alias("cohen_dz"),
         F.col("w_plus"), F.round(F.try_divide(2 * F.col("w_plus") - total, total), 6).alias("rank_biserial"),
-        F.round(0.5 * erfc(z / F.sqrt(F.lit(2.0))), 6).alias("p"),
+        F.coalesce(F.round(0.5 * erfc(z / F.sqrt(F.lit(2.0))), 6), F.when(F.col("m_n").isNull(), 1.0)).alias("p"),
     )
 
 
@@ -321,5 +321,4 @@ def bootstrap_ci(pairs: DataFrame, resamples: int = 10_000, seed: int = 20261009
     means = part.groupBy("category", "s").agg(F.sum("wd").alias("wd"), F.sum("w").alias("w"))
     means = means.select("category", F.try_divide("wd", "w").alias("mean"))
     tail = (1 - level) / 2
-    last = F.col("n") - 1
-    return pick_ranks(means, ["category"], "mean", {"lo": F.floor(tail * last), "hi": F.ceil((1 - tail) * last)})
+    return pick_ranks(means, ["category"], "mean", {"lo": F.floor(tail * F.col("n")), "hi": F.ceil((1 - tail) * F.col("n")) - 1})

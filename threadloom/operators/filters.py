@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from threadloom.functions.markup import query_terms
 
 # Limits of the reference query.
-RESULT_CAP = 200
-DIRECT_CAP = 3000
-WIDE_LIMIT = 1500
-PAGE_LIMIT = 2000
 BETWEEN_DAYS = 31
 
 
@@ -93,7 +89,7 @@ def ref_query(refs: DataFrame, tree) -> DataFrame:
     return refs.where(F.col("dst").isin(targets)).groupBy("src").agg(*flags).where(_holds(tree, names)).select("src")
 
 
-def query_rows(refs: DataFrame, tree, nodes: DataFrame, exclude: DataFrame | None = None, cap: int | None = RESULT_CAP) -> DataFrame:
+def query_rows(refs: DataFrame, tree, nodes: DataFrame, exclude: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Hits of a query: excluded uids dropped, newest edit first then uid, with total and text.
 
     Only the kept rows are joined to texts. The total is one aggregate joined
@@ -112,29 +108,11 @@ def query_rows(refs: DataFrame, tree, nodes: DataFrame, exclude: DataFrame | Non
 
 
 def ref_leaf_hits(refs: DataFrame, leaves: DataFrame, children: DataFrame, on_page: DataFrame) -> DataFrame:
-    """Per leaf: citing blocks, everything under them, and blocks on the leaf's page, with a partial flag.
-
-    Leaves over the limits keep what the limits allow and say so; the limits are
-    the query's rule, not a guard of this job.
-    """
+    """Per leaf: citing blocks, everything under them, and blocks on the leaf's page. Hot leaves keep all their rows, so ``partial`` is false."""
     direct = refs.join(leaves.select(F.col("leaf").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("leaf"), F.col("src").alias("uid")).distinct()
-    counts = direct.groupBy("leaf").agg(F.count("*").alias("n_direct"))
-    pages = on_page.join(leaves, "leaf", "left_semi").groupBy("leaf").agg(F.count("*").alias("n_page"))
-    limits = leaves.select("leaf").join(counts, "leaf", "left").join(pages, "leaf", "left").na.fill(0, ["n_direct", "n_page"])
-    limits = limits.withColumn("use_direct", F.col("n_direct") <= DIRECT_CAP).withColumn("use_wide", F.col("n_direct") <= WIDE_LIMIT)
-    limits = limits.withColumn("use_page", F.col("use_direct") & (F.col("n_page") <= PAGE_LIMIT))
-    limits = limits.withColumn("partial", ~(F.col("use_wide") & F.col("use_page")))
-    d = direct.join(limits.where("use_direct").select("leaf", "partial"), "leaf")
-    under = direct.join(limits.where("use_wide").select("leaf", "partial"), "leaf").join(
-        children.select(F.col("parent").alias("uid"), F.col("uid").alias("kid")), "uid"
-    )
-    page = on_page.join(limits.where("use_page").select("leaf", "partial"), "leaf")
-    return (
-        d.select("leaf", "uid", "partial")
-        .unionByName(under.select("leaf", F.col("kid").alias("uid"), "partial"))
-        .unionByName(page.select("leaf", "uid", "partial"))
-        .distinct()
-    )
+    under = direct.join(children.select(F.col("parent").alias("uid"), F.col("uid").alias("kid")), "uid").select("leaf", F.col("kid").alias("uid"))
+    page = on_page.join(leaves.select("leaf"), "leaf", "left_semi").select("leaf", "uid")
+    return direct.unionByName(under).unionByName(page).distinct().withColumn("partial", F.lit(False))
 
 
 def library_filter(
@@ -174,7 +152,7 @@ def meta_filter(
 
 def browse(
     rows: DataFrame, *, now_ms: int, kinds: list[str] = (), under: str = "", days: int = 0, created_by: str = "",
-    by: str = "edited", default_days: int = 30, limit: int | None = RESULT_CAP,
+    by: str = "edited", default_days: int = 30, limit: int | None = None,
 ) -> DataFrame:
     """Rows without search text: filters, then newest first. An unbounded browse looks back ``default_days``."""
     bounded = days > 0 or bool(under) or bool(kinds)
@@ -192,7 +170,7 @@ def browse(
     return out if limit is None else out.limit(limit)
 
 
-def library_search(parts: list[DataFrame], text: str, limit: int | None = 40) -> DataFrame:
+def library_search(parts: list[DataFrame], text: str, limit: int | None = None) -> DataFrame:
     """Union of typed scans (kind, uid, title, lower, edited), once per (kind, uid), best matches first."""
     terms = query_terms(text)
     rows = reduce(DataFrame.unionByName, [library_filter(p, text=text) for p in parts]).dropDuplicates(["kind", "uid"])
@@ -201,7 +179,7 @@ def library_search(parts: list[DataFrame], text: str, limit: int | None = 40) ->
     return out if limit is None else out.limit(limit)
 
 
-def search_titles(pages: DataFrame, text: str, limit: int | None = 40) -> DataFrame:
+def search_titles(pages: DataFrame, text: str, limit: int | None = None) -> DataFrame:
     """Titles that contain the text: prefix matches, then shorter, then by name and uid."""
     needle = text.lower()
     low = F.lower("title")

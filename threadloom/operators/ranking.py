@@ -11,9 +11,6 @@ from threadloom.functions.windows import split_last_known, split_row_number, top
 
 # Caps of the lists.
 PER_PAGE = 2
-DAY_CAP = 20
-INBOX_CAP = 100
-FOOTNOTE_CAP = 40
 
 
 def natural_key(text: Column) -> Column:
@@ -48,7 +45,7 @@ def positions(rows: DataFrame, sort: str, bucket: Column) -> DataFrame:
     return split_row_number(rows, [], sort_keys(sort), bucket, "pos")
 
 
-def semantic_candidates(hits: DataFrame, per_page: int = PER_PAGE, limit: int | None = 40) -> DataFrame:
+def semantic_candidates(hits: DataFrame, per_page: int = PER_PAGE, limit: int | None = None) -> DataFrame:
     """Ranked hits (uid, page, rank) once per uid, at most ``per_page`` per page, best first."""
     once = hits.groupBy("uid", "page").agg(F.min("rank").alias("rank"))
     kept = top_per_key(once, ["page"], ["rank", "uid"], per_page)
@@ -63,15 +60,15 @@ def heading_assign(blocks: DataFrame) -> DataFrame:
     )
 
 
-def journal_window(blocks: DataFrame, last_day: str, days: int, cap: int = DAY_CAP) -> DataFrame:
-    """Blocks (day, uid, ord) of the last ``days`` days, ``cap`` per day, with the rest counted."""
+def journal_window(blocks: DataFrame, last_day: str, days: int, cap: int | None = None) -> DataFrame:
+    """Blocks (day, uid, ord) of the last ``days`` days, numbered; with ``cap`` so many a day, and the rest counted."""
     end = F.lit(last_day).cast("date")
     rows = blocks.where(F.col("day").between(F.date_sub(end, days - 1), end))
-    size = rows.groupBy("day").agg(F.greatest(F.lit(0), F.count("*") - cap).alias("more"))
+    size = rows.groupBy("day").agg((F.lit(0).cast("bigint") if cap is None else F.greatest(F.lit(0), F.count("*") - cap)).alias("more"))
     return top_per_key(rows, ["day"], ["ord", "uid"], cap).join(size, "day")
 
 
-def inbox(entries: DataFrame, on_board: DataFrame, cap: int | None = INBOX_CAP) -> DataFrame:
+def inbox(entries: DataFrame, on_board: DataFrame, cap: int | None = None) -> DataFrame:
     """Blocks (uid, day, time) that cite the board from daily pages and are not on it, newest first."""
     fresh = entries.where(F.col("day").isNotNull()).groupBy("uid").agg(F.max("day").alias("day"), F.max("time").alias("time"))
     out = fresh.join(on_board.select("uid"), "uid", "left_anti").orderBy(F.col("time").desc(), F.col("day").desc(), "uid")
@@ -111,19 +108,18 @@ def walk_stops(landmarks: DataFrame, items: DataFrame, half_w: float, half_h: fl
     return ranked.join(counts, ["board", "uid"], "left").na.fill(0, ["members"])
 
 
-def footnote_numbers(refs: DataFrame, defs: DataFrame, cap: int = FOOTNOTE_CAP) -> DataFrame:
-    """Known notes numbered by first reference (doc, note, pos), ``cap`` per document; later ones are overflow without number."""
+def footnote_numbers(refs: DataFrame, defs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Known notes numbered by first reference (doc, note, pos), in each document; with ``cap`` later ones are overflow without number."""
     first = refs.join(defs.select("note"), "note", "left_semi").groupBy("doc", "note").agg(F.min("pos").alias("first_pos"))
     kept = top_per_key(first, ["doc"], ["first_pos", "note"], cap, "number").select("doc", "note", "number")
     return first.join(kept, ["doc", "note"], "left").withColumn("overflow", F.col("number").isNull())
 
 
-def merge_semantic(keyword: DataFrame, semantic: DataFrame, limit: int | None = 40) -> DataFrame:
-    """Keyword rows, then semantic rows (uid, rank) not already shown, at most ``limit`` of those."""
+def merge_semantic(keyword: DataFrame, semantic: DataFrame, limit: int | None = None) -> DataFrame:
+    """Keyword rows, then semantic rows (uid, rank) not already shown (the best ``limit``, if given)."""
     extra = semantic.join(keyword.select("uid"), "uid", "left_anti").groupBy("uid").agg(F.min("rank").alias("rank"))
-    extra = extra.orderBy("rank", "uid")
     if limit is not None:
-        extra = extra.limit(limit)
+        extra = extra.orderBy("rank", "uid").limit(limit)
     return keyword.select("uid", "rank", F.lit(False).alias("semantic")).unionByName(extra.select("uid", "rank", F.lit(True).alias("semantic")))
 
 

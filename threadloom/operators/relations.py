@@ -13,16 +13,8 @@ from threadloom.operators.extraction import extract_refs
 from threadloom.session import cut_lineage
 
 # Caps and ranks of the note graph.
-MAX_SOURCES = 20
-NEIGHBOR_CAP = 24
-RELATED_CAP = 60
-CONTEXT_CAP = 200
-SUGGEST_LIMIT = 300
-SUGGEST_CAP = 60
 MIRROR_HOPS = 8
-READ_CAP = 300
 SNAPSHOT_KEEP = 10
-EXPAND_KEEP = 12
 KIND_RANK = {"tree": 1, "ref": 2, "attr": 3}
 DAY_US = 86_400_000_000
 
@@ -53,7 +45,7 @@ def graph_links(refs: DataFrame, holders: DataFrame, from_cards: DataFrame, to_c
     kind = F.when(F.col("rank") == KIND_RANK["attr"], "attr").otherwise("ref")
     return grouped.select(
         "from_card", "to_card", kind.alias("kind"), _label_list(F.col("labels")).alias("labels"),
-        F.least(F.col("n"), F.lit(MAX_SOURCES)).alias("n_sources"), "first_source",
+        F.col("n").alias("n_sources"), "first_source",
     )
 
 
@@ -101,8 +93,8 @@ def merge_links(sets: Sequence[DataFrame]) -> DataFrame:
     return merged.withColumn("labels", _label_list(F.col("labels")))
 
 
-def neighbors(refs: DataFrame, cap: int | None = NEIGHBOR_CAP) -> DataFrame:
-    """Per item: outgoing titles, attribute-valued titles, and citing pages by count, ``cap`` each.
+def neighbors(refs: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per item: outgoing titles, attribute-valued titles, and citing pages by count, numbered; with ``cap`` so many each.
 
     ``refs`` is (item, item_title, relation in|out, title, attr, seq). The item's
     own title and the attribute's name page are left out.
@@ -112,13 +104,11 @@ def neighbors(refs: DataFrame, cap: int | None = NEIGHBOR_CAP) -> DataFrame:
     rows = rows.where((F.col("relation") == "out") | F.col("attr").isNull()).withColumn("relation", relation)
     counted = rows.groupBy("item", "relation", "title").agg(F.count("*").alias("n"), F.min("seq").alias("seq"))
     weight = F.when(F.col("relation") == "in", -F.col("n")).otherwise(F.col("seq"))
-    ranked = counted.withColumn("weight", weight)
-    if cap is not None:
-        ranked = top_per_key(ranked, ["item", "relation"], ["weight", "title"], cap, "pos")
+    ranked = top_per_key(counted.withColumn("weight", weight), ["item", "relation"], ["weight", "title"], cap)
     return ranked.drop("weight", "seq")
 
 
-def related(neighbor_rows: DataFrame, limit: int = RELATED_CAP) -> DataFrame:
+def related(neighbor_rows: DataFrame, limit: int | None = None) -> DataFrame:
     """One ordered list per item: attributes, then links to, then linked from by count."""
     order = F.when(F.col("relation") == "attr", 0).when(F.col("relation") == "out", 1).otherwise(2)
     rows = neighbor_rows.withColumnRenamed("pos", "within").withColumn("section", order)
@@ -135,12 +125,12 @@ def group_linked_refs(refs: DataFrame) -> DataFrame:
     return linked_refs(refs).groupBy("target", "page").agg(F.count("*").alias("n"), F.min("uid").alias("first_uid"))
 
 
-def group_refs_by_year(refs: DataFrame, cap: int = CONTEXT_CAP) -> DataFrame:
-    """Newest ``cap`` references per target by year, with the total and the number left out."""
+def group_refs_by_year(refs: DataFrame, cap: int | None = None) -> DataFrame:
+    """References per target by year (the newest ``cap`` of them, if given), with the total and the number left out."""
     totals = refs.groupBy("target").agg(F.count("*").alias("total"))
-    shown = top_per_key(refs, ["target"], [F.col("time").desc(), "uid"], cap)
+    shown = refs if cap is None else top_per_key(refs, ["target"], [F.col("time").desc(), "uid"], cap)
     years = shown.groupBy("target", F.year("time").alias("year")).agg(F.count("*").alias("n"))
-    return years.join(totals, "target").withColumn("hidden", F.greatest(F.lit(0), F.col("total") - cap))
+    return years.join(totals, "target").withColumn("hidden", F.lit(0) if cap is None else F.greatest(F.lit(0), F.col("total") - cap))
 
 
 def boards_with(direct: DataFrame, via: DataFrame, boards: DataFrame) -> DataFrame:
@@ -214,27 +204,28 @@ def unlinked_mentions(texts: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def suggest_pairs(
-    cards: DataFrame, names: DataFrame, existing: DataFrame, dismissed: DataFrame, limit: int = SUGGEST_LIMIT, cap: int | None = SUGGEST_CAP
+    cards: DataFrame, names: DataFrame, existing: DataFrame, dismissed: DataFrame, limit: int | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Unlinked card pairs of a board that share a name, best first; boards over ``limit`` cards are refused whole.
+    """Unlinked card pairs of a board that share a name, numbered best first.
 
-    The limit is part of the feature: it bounds a board at ``limit`` choose 2
-    pairs, so the join below cannot grow with a hot name. Refused boards are in
-    ``too_many``.
+    No board is refused. With ``limit`` boards of more cards are left out (they
+    are in ``too_many``), and with ``cap`` a board keeps its first pairs. The
+    pairs are the result, so their number sets the cost.
     """
-    size = cards.groupBy("board").agg(F.count_distinct("uid").alias("n"))
-    small = size.where(F.col("n") <= limit).select("board")
-    rows = names.join(small, "board", "left_semi").select("board", "uid", "name").distinct()
+    rows = names.select("board", "uid", "name").distinct()
+    if limit is not None:
+        size = cards.groupBy("board").agg(F.count_distinct("uid").alias("n"))
+        rows = rows.join(size.where(F.col("n") <= limit).select("board"), "board", "left_semi")
     a, b = rows.withColumnRenamed("uid", "a"), rows.withColumnRenamed("uid", "b")
     found = a.join(b, ["board", "name"]).where("a < b").groupBy("board", "a", "b").agg(F.min("name").alias("reason"))
     for known in (existing, dismissed):
         pair = known.select("board", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = found.join(pair, ["board", "a", "b"], "left_anti")
     found = found.withColumn("score", F.lit(2))
-    return found if cap is None else top_per_key(found, ["board"], ["a", "b"], cap)
+    return top_per_key(found, ["board"], ["a", "b"], cap)
 
 
-def too_many(cards: DataFrame, limit: int = SUGGEST_LIMIT) -> DataFrame:
+def too_many(cards: DataFrame, limit: int) -> DataFrame:
     return cards.groupBy("board").agg(F.count_distinct("uid").alias("n")).where(F.col("n") > limit)
 
 
@@ -295,11 +286,11 @@ def resurface(days: DataFrame, rows: DataFrame, intervals: Sequence[int] = (7, 3
     return top_per_key(hits, ["page_day", "days_ago"], ["delta", "uid"], cap).select("page_day", "days_ago", "uid", "delta", "pos")
 
 
-def follow_children(blocks: DataFrame, cap: int | None = READ_CAP) -> DataFrame:
-    """Direct children of each source (owner, uid, ord, text), ``cap`` per owner, with a completeness flag."""
+def follow_children(blocks: DataFrame, cap: int | None = None) -> DataFrame:
+    """Direct children of each source (owner, uid, ord, text), numbered, with a completeness flag; with ``cap`` the first of each owner."""
     rows = blocks.withColumn("blank", F.trim(F.coalesce("text", F.lit(""))) == "")
     if cap is None:
-        return rows.withColumn("complete", F.lit(True))
+        return top_per_key(rows, ["owner"], ["ord", "uid"], None).withColumn("complete", F.lit(True))
     size = blocks.groupBy("owner").agg((F.count("*") <= cap).alias("complete"))
     return top_per_key(rows, ["owner"], ["ord", "uid"], cap, "pos").join(size, "owner")
 
@@ -389,7 +380,7 @@ def named_by_precedence(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows.withColumn("name", F.coalesce(*filled)).withColumn("name_from", origin)
 
 
-def expand_candidates(nodes: DataFrame, placed: DataFrame, zones: Sequence[str], keep: int = EXPAND_KEEP) -> DataFrame:
+def expand_candidates(nodes: DataFrame, placed: DataFrame, zones: Sequence[str], keep: int | None = None) -> DataFrame:
     """Ranked nodes (card, uid, zone, idx) in zone order, those already placed left out."""
     rank = F.array_position(F.array(*[F.lit(z) for z in zones]), F.col("zone"))
     ranked = nodes.where(F.col("zone").isin(list(zones))).join(placed.select("card", "uid"), ["card", "uid"], "left_anti").withColumn("zone_rank", rank)

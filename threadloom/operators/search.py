@@ -7,11 +7,14 @@ are then checked on the whole text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import cut_lineage
 from threadloom.functions.windows import split_row_number, split_running_sum, top_per_key
 
 # Ranking constants and the words left out of ranking.
@@ -175,13 +178,25 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, limit: int | None = 10) -> Da
 
 
 def context_pack(ranked: DataFrame, budget: int) -> DataFrame:
-    """Ranked parts (query, doc, pos, size, forced) taken while the running size fits, forced parts first.
+    """Ranked parts (query, doc, pos, size, forced) that fit into the budget, forced parts first; ``used`` is the size so far.
 
-    Takes the longest fitting prefix: a part that does not fit ends the list.
+    A part that does not fit is skipped and the next one tried. Each round takes
+    the parts of the fitting prefix and then leaves out all that are larger than
+    what remains of their query's budget, so the first part left always fits and
+    every round takes one or more; the rounds end when nothing is left.
     """
     order = F.when(F.col("forced"), F.col("pos") - 1_000_000_000).otherwise(F.col("pos"))
-    rows = split_running_sum(ranked.withColumn("turn", order), ["query"], ["turn"], F.floor(F.col("turn") / 1000), F.col("size"), "used")
-    return rows.where(F.col("used") <= budget).drop("turn")
+    left = cut_lineage(ranked.where(F.col("size") <= budget).withColumn("turn", order).withColumn("spent", F.lit(0).cast("bigint")))
+    taken: list[DataFrame] = []
+    while not taken or not left.isEmpty():
+        summed = split_running_sum(left, ["query"], ["turn"], F.floor(F.col("turn") / 1000), F.col("size"), "run")
+        summed = cut_lineage(summed.withColumn("used", F.col("run") + F.col("spent")))
+        fits = summed.where(F.col("used") <= budget)
+        taken.append(fits.drop("turn", "spent", "run"))
+        full = fits.groupBy("query").agg(F.max("used").alias("spent"))
+        rest = summed.where(F.col("used") > budget).drop("spent", "run", "used").join(full, "query")
+        left = cut_lineage(rest.where(F.col("spent") + F.col("size") <= budget))
+    return reduce(DataFrame.unionByName, taken)
 
 
 def related_query_text(rows: DataFrame, children: DataFrame, width: int = QUERY_TEXT) -> DataFrame:

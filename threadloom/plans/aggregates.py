@@ -70,9 +70,9 @@ def _(t):
     return op.reference_span(event_refs(t))
 
 
-@query("newest_references", "SELECT * FROM (SELECT json_extract_string(props, '$.k')::BIGINT AS target, event_id AS uid, epoch_us(ts) AS at, row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY ts DESC, event_id) AS pos FROM events) WHERE pos <= 50")
+@query("newest_references", "SELECT * FROM (SELECT json_extract_string(props, '$.k')::BIGINT AS target, event_id AS uid, epoch_us(ts) AS at, row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY ts DESC, event_id) AS pos FROM events)")
 def _(t):
-    return op.newest_references(event_refs(t), 50)
+    return op.newest_references(event_refs(t))
 
 
 @query(
@@ -141,7 +141,7 @@ def dated_mentions(t):
     "timeline_days",
     """
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, year(o_orderdate) AS year, count(*) AS mentions, count(DISTINCT l_partkey) AS cards, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS page
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderdate ORDER BY o_orderdate DESC LIMIT 365""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderdate""",
 )
 def _(t):
     return op.timeline_days(dated_mentions(t)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
@@ -206,7 +206,7 @@ def _(t):
     "lane_bands",
     """
 WITH s AS (SELECT p_brand AS v, min(p_partkey) AS f FROM part GROUP BY 1),
- l AS (SELECT v, v NOT IN ('Brand#9', 'Brand#4') AS is_new FROM s ORDER BY 2, CASE v WHEN 'Brand#9' THEN 1 WHEN 'Brand#4' THEN 2 ELSE f END, v LIMIT 16)
+ l AS (SELECT v, v NOT IN ('Brand#9', 'Brand#4') AS is_new FROM s)
 SELECT p_partkey AS uid, coalesce(v, 'none') AS lane, coalesce(is_new, false) AS is_new FROM part LEFT JOIN l ON v = p_brand""",
 )
 def _(t):

@@ -21,17 +21,17 @@ def _(t):
 @query(
     "sort_rows_title",
     """WITH r AS (SELECT c_custkey AS seq, replace(lower(concat(c_mktsegment, ' ', c_custkey)), c_custkey::VARCHAR, lpad(c_custkey::VARCHAR, 20, '0')) AS k, concat(c_mktsegment, ' ', c_custkey) AS title FROM customer)
-SELECT seq, title FROM r ORDER BY k, seq LIMIT 300""",
+SELECT seq, title FROM r""",
 )
 def _(t):
     rows = t.customer.select(F.col("c_custkey").alias("seq"), F.concat_ws(" ", "c_mktsegment", "c_custkey").alias("title"))
-    return op.sort_rows(rows, "title", 300)
+    return op.sort_rows(rows, "title")
 
 
-@query("sort_rows_linked", "SELECT p_partkey AS seq, refs FROM part LEFT JOIN (SELECT l_partkey, count(*) AS refs FROM lineitem GROUP BY 1) ON l_partkey = p_partkey ORDER BY refs DESC NULLS LAST, seq LIMIT 100")
+@query("sort_rows_linked", "SELECT p_partkey AS seq, refs FROM part LEFT JOIN (SELECT l_partkey, count(*) AS refs FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def _(t):
     refs = t.lineitem.groupBy(F.col("l_partkey").alias("seq")).agg(F.count("*").alias("refs"))
-    return op.sort_rows(t.part.select(F.col("p_partkey").alias("seq")).join(refs, "seq", "left"), "linked", 100)
+    return op.sort_rows(t.part.select(F.col("p_partkey").alias("seq")).join(refs, "seq", "left"), "linked")
 
 
 DOT_SQL = """SELECT e.vec_id, e.label, row_number() OVER (ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS r
@@ -44,7 +44,7 @@ def vector_hits(t):
     return search.nearest_vectors(items, first, k=None, skip_source=False)
 
 
-@query("semantic_candidates", f"SELECT uid, page, rank, pos FROM (SELECT vec_id AS uid, label AS page, r AS rank, row_number() OVER (PARTITION BY label ORDER BY r) AS pos FROM ({DOT_SQL})) WHERE pos <= 2 ORDER BY rank LIMIT 40")
+@query("semantic_candidates", f"SELECT uid, page, rank, pos FROM (SELECT vec_id AS uid, label AS page, r AS rank, row_number() OVER (PARTITION BY label ORDER BY r) AS pos FROM ({DOT_SQL})) WHERE pos <= 2")
 def _(t):
     hits = vector_hits(t).select("uid", F.col("label").alias("page"), F.col("pos").alias("rank"))
     return op.semantic_candidates(hits)
@@ -63,7 +63,7 @@ def _(t):
     "journal_window",
     """
 WITH e AS (SELECT ts::DATE AS d, event_id AS uid, epoch_us(ts) AS ord FROM events WHERE ts >= TIMESTAMP '2024-01-11' AND ts < TIMESTAMP '2024-01-25')
-SELECT strftime(d, '%Y-%m-%d') AS day, uid, ord, pos, greatest(0, n - 20) AS more FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ord, uid) AS pos, count(*) OVER (PARTITION BY d) AS n FROM e) WHERE pos <= 20""",
+SELECT strftime(d, '%Y-%m-%d') AS day, uid, ord, pos, 0 AS more FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ord, uid) AS pos, count(*) OVER (PARTITION BY d) AS n FROM e)""",
 )
 def _(t):
     rows = t.events.select(F.to_date("ts").alias("day"), F.col("event_id").alias("uid"), micros("ts").alias("ord"))
@@ -74,7 +74,7 @@ def _(t):
     "inbox",
     """
 SELECT l_orderkey AS uid, strftime(o_orderdate, '%Y-%m-%d') AS day, max(epoch_ms(l_shipdate)) AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-WHERE p_brand = 'Brand#2' AND o_orderstatus <> 'P' GROUP BY l_orderkey, o_orderdate ORDER BY time DESC, o_orderdate DESC, uid LIMIT 100""",
+WHERE p_brand = 'Brand#2' AND o_orderstatus <> 'P' GROUP BY l_orderkey, o_orderdate""",
 )
 def _(t):
     cites = t.lineitem.join(t.part.where("p_brand = 'Brand#2'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
@@ -111,7 +111,7 @@ def _(t):
     """
 WITH f AS (SELECT l_suppkey AS doc, concat('n', l_partkey) AS note, min(l_orderkey * 10 + l_linenumber) AS first_pos FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY 1, 2),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY first_pos, note) AS n FROM f)
-SELECT doc, note, first_pos, CASE WHEN n <= 40 THEN n END AS number, n > 40 AS overflow FROM r""",
+SELECT doc, note, first_pos, n AS number, false AS overflow FROM r""",
 )
 def _(t):
     marked = t.lineitem.select(
@@ -125,7 +125,7 @@ def _(t):
     "merge_semantic",
     f"""
 WITH k AS (SELECT doc_id AS uid, n_chars AS rank FROM documents WHERE contains(lower(text), 'thand') ),
- s AS (SELECT vec_id AS uid, r AS rank FROM ({DOT_SQL}) WHERE vec_id NOT IN (SELECT uid FROM k) ORDER BY r LIMIT 40)
+ s AS (SELECT vec_id AS uid, r AS rank FROM ({DOT_SQL}) WHERE vec_id NOT IN (SELECT uid FROM k))
 SELECT uid, rank, false AS semantic FROM k UNION ALL SELECT uid, rank, true FROM s""",
 )
 def _(t):

@@ -32,7 +32,7 @@ LINKS_SQL = f"""SELECT concat('c', o_custkey) AS from_card, concat('p', l_partke
  CASE WHEN bool_or(l_returnflag <> 'N') THEN 'attr' ELSE 'ref' END AS kind,
  concat_ws(', ', CASE WHEN bool_or(l_returnflag = 'A') THEN 'Accepted' END, CASE WHEN bool_or(l_returnflag = 'R') THEN 'Returned' END,
    CASE WHEN bool_or(l_returnflag = 'N') THEN 'mentions' END) AS labels,
- least(20, count(DISTINCT {UID})) AS n_sources, min({UID}) AS first_source
+ count(DISTINCT {UID}) AS n_sources, min({UID}) AS first_source
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2"""
 
 
@@ -127,7 +127,7 @@ WITH r AS (SELECT concat('c', o_custkey) AS item, CASE WHEN l_returnflag = 'R' T
  n AS (SELECT item, relation, title, n, row_number() OVER (PARTITION BY item, relation ORDER BY CASE WHEN relation = 'in' THEN -n ELSE seq END, title) AS pos FROM g)"""
 
 
-@query("neighbors", NEIGHBOR_SQL + " SELECT * FROM n WHERE pos <= 24")
+@query("neighbors", NEIGHBOR_SQL + " SELECT * FROM n")
 def _(t):
     return op.neighbors(neighbor_refs(t))
 
@@ -135,10 +135,10 @@ def _(t):
 @query(
     "related",
     NEIGHBOR_SQL
-    + """ SELECT * FROM (SELECT item, relation, title, n, row_number() OVER (PARTITION BY item ORDER BY CASE relation WHEN 'attr' THEN 0 WHEN 'out' THEN 1 ELSE 2 END, pos, title) AS pos FROM n WHERE pos <= 24) WHERE pos <= 40""",
+    + """ SELECT * FROM (SELECT item, relation, title, n, row_number() OVER (PARTITION BY item ORDER BY CASE relation WHEN 'attr' THEN 0 WHEN 'out' THEN 1 ELSE 2 END, pos, title) AS pos FROM n)""",
 )
 def _(t):
-    return op.related(op.neighbors(neighbor_refs(t)), 40).drop("within", "section")
+    return op.related(op.neighbors(neighbor_refs(t))).drop("within", "section")
 
 
 def part_refs(t):
@@ -159,7 +159,7 @@ def _(t):
     "group_refs_by_year",
     f"""
 WITH r AS (SELECT l_suppkey AS target, l_shipdate AS time, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, {UID}) AS rn, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem)
-SELECT target, year(time) AS year, count(*) AS n, total, greatest(0, total - 200) AS hidden FROM r WHERE rn <= 200 GROUP BY target, year(time), total""",
+SELECT target, year(time) AS year, count(*) AS n, total, 0 AS hidden FROM r GROUP BY target, year(time), total""",
 )
 def _(t):
     refs = t.lineitem.select(F.col("l_suppkey").alias("target"), F.col("l_shipdate").alias("time"), F.expr(UID).alias("uid"))
@@ -233,10 +233,9 @@ def _(t):
     "suggest_pairs",
     """
 WITH n AS (SELECT DISTINCT s_nationkey AS board, s_suppkey AS uid, l_partkey AS name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey),
- ok AS (SELECT s_nationkey AS board FROM supplier GROUP BY 1 HAVING count(*) <= 300),
- p AS (SELECT board, x.uid AS a, y.uid AS b, min(name) AS reason FROM n x JOIN n y USING (board, name) JOIN ok USING (board) WHERE x.uid < y.uid GROUP BY 1, 2, 3),
+ p AS (SELECT board, x.uid AS a, y.uid AS b, min(name) AS reason FROM n x JOIN n y USING (board, name) WHERE x.uid < y.uid GROUP BY 1, 2, 3),
  o AS (SELECT s_nationkey AS board, min(s_suppkey) AS a, max(s_suppkey) AS b FROM supplier GROUP BY 1)
-SELECT * FROM (SELECT *, 2 AS score, row_number() OVER (PARTITION BY board ORDER BY a, b) AS pos FROM p WHERE (board, a, b) NOT IN (SELECT (board, a, b) FROM o)) WHERE pos <= 60""",
+SELECT * FROM (SELECT *, 2 AS score, row_number() OVER (PARTITION BY board ORDER BY a, b) AS pos FROM p WHERE (board, a, b) NOT IN (SELECT (board, a, b) FROM o))""",
 )
 def _(t):
     cards = t.supplier.select(F.col("s_nationkey").alias("board"), F.col("s_suppkey").alias("uid"))
@@ -288,7 +287,7 @@ def _(t):
     "follow_sources",
     """
 WITH o AS (SELECT c_nationkey AS owner, o_orderkey AS uid, o_orderkey AS ord, CASE WHEN o_orderstatus = 'P' THEN ' ' ELSE o_orderpriority END AS text FROM orders JOIN customer ON o_custkey = c_custkey)
-SELECT * FROM (SELECT *, trim(text) = '' AS blank, row_number() OVER (PARTITION BY owner ORDER BY ord, uid) AS pos, count(*) OVER (PARTITION BY owner) <= 300 AS complete FROM o) WHERE pos <= 300""",
+SELECT * FROM (SELECT *, trim(text) = '' AS blank, row_number() OVER (PARTITION BY owner ORDER BY ord, uid) AS pos, true AS complete FROM o)""",
 )
 def _(t):
     text = F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderpriority"))
@@ -396,7 +395,7 @@ def _(t):
     """
 WITH n AS (SELECT o_custkey AS card, l_partkey AS uid, min(l_returnflag) AS zone, max(l_extendedprice) AS idx, max(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
 SELECT * FROM (SELECT card, uid, zone, idx, CASE zone WHEN 'R' THEN 1 ELSE 2 END AS zone_rank, row_number() OVER (PARTITION BY card ORDER BY CASE zone WHEN 'R' THEN 1 ELSE 2 END, idx, uid) AS pos
- FROM n WHERE zone IN ('R', 'A') AND q <= 45) WHERE pos <= 12""",
+ FROM n WHERE zone IN ('R', 'A') AND q <= 45)""",
 )
 def _(t):
     nodes = cited(t).groupBy(F.col("o_custkey").alias("card"), F.col("l_partkey").alias("uid")).agg(F.min("l_returnflag").alias("zone"), F.max("l_extendedprice").alias("idx"))

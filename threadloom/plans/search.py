@@ -131,9 +131,12 @@ def _(t):
 
 @query(
     "context_pack",
-    BM25_SQL
-    + """, z AS (SELECT query, doc, pos, (n_chars + 3) // 4 AS size, lang = 'en' AND n_chars < 800 AS forced FROM r JOIN documents ON doc_id = doc WHERE pos <= 10)
-SELECT * FROM (SELECT *, sum(size) OVER (PARTITION BY query ORDER BY forced DESC, pos)::BIGINT AS used FROM z) WHERE used <= 2000""",
+    BM25_SQL.replace("WITH c", "WITH RECURSIVE c", 1)
+    + """, z AS (SELECT query, doc, pos, (n_chars + 3) // 4 AS size, lang = 'en' AND n_chars < 800 AS forced FROM r JOIN documents ON doc_id = doc WHERE pos <= 10),
+ i AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY forced DESC, pos) AS turn FROM z),
+ w(query, turn, used, took) AS (SELECT DISTINCT query, 0::BIGINT, 0::BIGINT, false FROM i
+  UNION ALL SELECT i.query, i.turn, CASE WHEN used + size <= 2000 THEN used + size ELSE used END, used + size <= 2000 FROM w JOIN i ON i.query = w.query AND i.turn = w.turn + 1)
+SELECT i.query, doc, pos, size, forced, used FROM w JOIN i ON i.query = w.query AND i.turn = w.turn WHERE took""",
 )
 def _(t):
     ranked = op.bm25_rank(docs(t), t.benchmark.select(F.col("item_id").alias("query"), "text"))

@@ -11,7 +11,7 @@ from threadloom.streaming import feeds
 
 
 def events(t):
-    return feeds.file_stream(t.spark, t.root, t.events.schema, "events.parquet")
+    return feeds.file_stream(t.spark, f"{t.root}/events.parquet", t.events.schema)
 
 
 def stamped(df):

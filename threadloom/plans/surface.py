@@ -39,7 +39,7 @@ WITH o AS (SELECT concat('o', o_orderkey) AS uid, * FROM orders),
   UNION ALL SELECT 'board', 'F', uid FROM o WHERE o_orderstatus = 'F'
   UNION ALL SELECT 'urgent', 'mine', uid FROM o WHERE o_orderpriority = '1-URGENT'),
  g AS (SELECT kind, owner, count(*) AS total FROM x GROUP BY 1, 2)
-SELECT kind, owner, least(total, 300) AS shown, total <= 300 AS complete FROM g""",
+SELECT kind, owner, total AS shown, true AS complete FROM g""",
 )
 def _(t):
     g = graph(t)

@@ -46,7 +46,7 @@ def source_kinds() -> list[str]:
     return sorted(_KINDS)
 
 
-def read_source(name: str, graph: Graph, cap: int | None = relations.READ_CAP, **params) -> DataFrame:
+def read_source(name: str, graph: Graph, cap: int | None = None, **params) -> DataFrame:
     """Items of a source, ``cap`` per owner, with blank and completeness flags."""
     if name not in _KINDS:
         raise KeyError(f"no source kind {name}; known: {', '.join(source_kinds())}")
@@ -58,7 +58,7 @@ def read_source(name: str, graph: Graph, cap: int | None = relations.READ_CAP, *
 
 
 def _listed(df: DataFrame, owner) -> DataFrame:
-    return df.select(owner.alias("owner"), "uid", F.lpad(F.col("ord").cast("string"), 12, "0").alias("ord"), "text")
+    return df.select(owner.alias("owner"), "uid", F.lpad(F.col("ord").cast("string"), 20, "0").alias("ord"), "text")
 
 
 def _children(graph: Graph) -> DataFrame:

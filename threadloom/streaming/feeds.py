@@ -1,7 +1,7 @@
 """Streaming twins of the change, membership and activity operators (Structured Streaming).
 
-The notes format has no rule for late rows; these jobs accept rows up to ten
-minutes late and drop later ones from windowed state. Sinks are Parquet folders
+The notes format has no rule for late rows, so nothing is dropped unless the
+caller names a ``late`` limit, which bounds the state of an endless stream. Sinks are Parquet folders
 below the shared checkpoint folder; a restarted query continues from there.
 """
 
@@ -17,13 +17,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.session import ensure_checkpoint_dir
 
-LATE = "10 minutes"
 CONFIRM = 2
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
-    """New Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, schema, per_batch: int | None = None) -> DataFrame:
+    """New Parquet files of a table, one file or a folder of them, as a stream; with ``per_batch`` so many files a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    # As a pattern the path may be a file or a folder; a plain path has to be a folder.
+    return reader.parquet(f"{folder[:-1]}[{folder[-1]}]")
+
+
+def accepted(rows: DataFrame, column: str, late: str | None) -> DataFrame:
+    return rows.withWatermark(column, late) if late and rows.isStreaming else rows
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -71,23 +78,26 @@ def follow_stream_diff(source: DataFrame, placed: DataFrame) -> DataFrame:
 
 
 def _misses(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Consecutive complete reads that missed one item."""
-    missed = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches)).sort_values("read")
-    for present, complete in zip(rows["present"], rows["complete"], strict=True):
-        missed = 0 if present else missed + int(complete)
-    state.update((missed,))
-    yield pd.DataFrame({"owner": [key[0]], "item": [key[1]], "missed": [missed], "gone": [missed >= CONFIRM]})
+    """Complete reads after the last one that showed the item, in whatever order reads arrive."""
+    last, later = state.get if state.exists else (None, [])
+    rows = pd.concat(list(batches))
+    shown = rows.loc[rows["present"], "read"].max()
+    last = last if pd.isna(shown) else int(shown) if last is None else max(last, int(shown))
+    reads = pd.concat([pd.Series(later, dtype="int64"), rows.loc[rows["complete"] & ~rows["present"], "read"].astype("int64")])
+    reads = reads if last is None else reads[reads > last]
+    state.update((last, reads.tolist()))
+    yield pd.DataFrame({"owner": [key[0]], "item": [key[1]], "missed": [len(reads)], "gone": [len(reads) >= CONFIRM]})
 
 
 def left_after_two_misses(reads: DataFrame) -> DataFrame:
     """Items (owner, item, read, present, complete) that two complete reads in a row missed.
 
     A partial read clears an item it shows and never counts one it does not.
-    State is one counter per item.
+    State is the last read that showed the item and the complete reads after
+    it, so an older read that comes late counts as it would have in time.
     """
     return reads.groupBy("owner", "item").applyInPandasWithState(
-        _misses, "owner long, item string, missed long, gone boolean", "missed long", "update", GroupStateTimeout.NoTimeout
+        _misses, "owner long, item string, missed long, gone boolean", "last long, later array<long>", "update", GroupStateTimeout.NoTimeout
     )
 
 
@@ -99,29 +109,29 @@ def left_after_two_misses_batch(reads: DataFrame) -> DataFrame:
     return later.groupBy("owner", "item").agg(missed.alias("missed")).withColumn("gone", F.col("missed") >= CONFIRM)
 
 
-def quiet_time_batches(events: DataFrame, gap: str) -> DataFrame:
-    """Runs of events (owner, ts) separated by a quiet gap; on a stream a run is out once the watermark passes it."""
-    rows = events.withWatermark("ts", LATE) if events.isStreaming else events
+def quiet_time_batches(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
+    """Runs of events (owner, ts) separated by a quiet gap."""
+    rows = accepted(events, "ts", late)
     return rows.groupBy("owner", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select(
         "owner", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"
     )
 
 
-def windowed_activity(events: DataFrame, width: str = "7 days", slide: str = "1 day") -> DataFrame:
+def windowed_activity(events: DataFrame, width: str = "7 days", slide: str = "1 day", late: str | None = None) -> DataFrame:
     """Event counts (kind, ts) in sliding windows."""
-    rows = events.withWatermark("ts", LATE) if events.isStreaming else events
+    rows = accepted(events, "ts", late)
     return rows.groupBy(F.window("ts", width, slide).alias("w"), "kind").agg(F.count("*").alias("n")).select(
         F.col("w.start").alias("start"), "kind", "n"
     )
 
 
-def stream_interval_join(stalls: DataFrame, gestures: DataFrame, tail: str) -> DataFrame:
+def stream_interval_join(stalls: DataFrame, gestures: DataFrame, tail: str, late: str | None = None) -> DataFrame:
     """Stalls (session, uid, st) with every gesture (session, gid, g_st, g_en) whose span plus tail holds them.
 
-    Both sides carry a watermark and the range condition bounds how long rows are kept.
+    With ``late`` both sides carry a watermark, and the range condition bounds how long rows are kept.
     """
-    a = stalls.withWatermark("st", LATE) if stalls.isStreaming else stalls
-    b = gestures.withWatermark("g_st", LATE).withColumnRenamed("session", "g_session") if gestures.isStreaming else gestures.withColumnRenamed("session", "g_session")
+    a = accepted(stalls, "st", late)
+    b = accepted(gestures, "g_st", late).withColumnRenamed("session", "g_session")
     inside = F.expr(f"session = g_session AND st >= g_st AND st <= g_st + interval {tail}")
     return a.join(b, inside).drop("g_session")
 
