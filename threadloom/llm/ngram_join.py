@@ -9,8 +9,9 @@
    Two classes that link share a shingle of both their prefixes.
 4. Candidates meet in groups: first each class with the smallest class that
    shares a prefix shingle, then, where a prefix shingle still joins several
-   components, the classes outside its largest component with all of its
-   classes. Groups are split into chunks; shingles with the same classes count once.
+   components, the classes outside its largest component with those of its
+   classes whose sizes and positions leave room for a link. Groups are split into
+   chunks; shingles with the same classes count once.
 5. In a chunk the stored sets form a trie along the global order. It is walked
    once for all probes, whose partial overlaps are shared by everything below a
    node, and a subtree is left when the remaining lengths cannot reach the
@@ -19,13 +20,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.shared import Scratch, attach, components, forest
@@ -248,20 +250,30 @@ def _trie_join(percent: int):
 
 
 def _meet(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links found in groups ``members`` (g, rep, probe): every probe against every member of its group.
+    """Links found in groups ``members`` (g, rep, probe): every probe row against every other row of its group.
 
-    A group of more than ``chunk`` members is split; each member is stored in
+    A group with more than ``chunk`` stored rows is split; each stored row is in
     one chunk and each probe goes to all of them.
     """
-    sized = members.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("g", F.ceil(F.col("c") / chunk).cast("int").alias("k"))
+    sized = members.where("not probe").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("g", F.ceil(F.col("c") / chunk).cast("int").alias("k"))
     cut = attach(members, sized, "g", F.col("rep"), 16).withColumn("k", F.coalesce("k", F.lit(1)))
-    stored = cut.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("probe", F.lit(False))
-    asks = cut.where("probe").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    both = stored.select("g", "chunk", "rep", "probe").unionByName(asks.select("g", "chunk", "rep", "probe"))
-    filled = both.join(sets.select("rep", "n", "keys"), "rep")
+    one = F.array(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+    dealt = cut.select("g", "rep", "probe", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(one)).alias("chunk"))
+    filled = dealt.join(sets.select("rep", "n", "keys"), "rep")
     return filled.repartition("g", "chunk").sortWithinPartitions("g", "chunk").mapInPandas(_trie_join(percent), "a bigint, b bigint")
 
 
+def _may_link(percent: int, a: tuple[str, str], b: tuple[str, str]) -> Column:
+    """Whether sets of sizes and positions (n, pos) can reach the threshold if the shingle at these positions is their first common one."""
+    (n, pos), (m, at) = ([F.col(c) for c in x] for x in (a, b))
+    return (100 + percent) * F.least(n - pos, m - at) >= percent * (n + m)
+
+
+def _size_class(n: Column, percent: int) -> Column:
+    """Classes of sizes, so wide that a set reaches few neighbouring ones. It rises with ``n``."""
+    return F.floor(F.ln(n.cast("double")) / math.log(100 / percent)).cast("int")
+
+
 def link_documents(
     df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
@@ -311,25 +323,32 @@ def link_documents(
     sets = scratch.keep(sets.withColumn("prefix", prefix.cast("int")).where("prefix > 0"), "sets")
     scratch.drop(raw)
 
-    tokens = sets.select("rep", F.explode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("token"))
-    # Shingles that the same classes hold stand for one another.
+    tokens = sets.select("rep", "n", (F.col("n") - F.size("keys")).alias("before"), F.posexplode(F.slice("keys", F.lit(1), F.col("prefix"))).alias("at", "token"))
+    tokens = tokens.select("rep", "n", (F.col("before") + F.col("at")).alias("pos"), "token")
+    # Shingles that the same classes hold stand for one another: the first of them is the only one that can be a pair's first common one.
     lists = tokens.groupBy("token").agg(
-        F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("y"), F.min("rep").alias("low")
+        F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("y"), F.min(F.struct("rep", "n", "pos")).alias("low")
     ).where("c > 1")
-    lists = scratch.keep(lists.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.min("low").alias("low")), "lists")
-    kept = scratch.keep(attach(tokens, lists.select("token", "low"), "token", F.col("rep"), 16).where("low is not null"), "kept")
+    lists = lists.groupBy("c", "x", "y").agg(F.min(F.struct("token", "low")).alias("m"))
+    lists = scratch.keep(lists.select("m.token", F.col("m.low.rep").alias("low"), F.col("m.low.n").alias("low_n"), F.col("m.low.pos").alias("low_pos")), "lists")
+    kept = scratch.keep(attach(tokens, lists, "token", F.col("rep"), 16).where("low is not null and rep <> low"), "kept")
 
-    pairs = kept.where("rep <> low").select(F.col("low").alias("g"), "rep").distinct()
+    pairs = kept.where(_may_link(percent, ("n", "pos"), ("low_n", "low_pos"))).select(F.col("low").alias("g"), "rep").distinct()
     star = pairs.withColumn("probe", F.lit(False)).unionByName(pairs.select("g", F.col("g").alias("rep")).distinct().withColumn("probe", F.lit(True)))
     links = scratch.keep(_meet(star, sets, percent, chunk), "links")
     joined = components(scratch, links).withColumnsRenamed({"node": "rep", "root": "comp"})
-    # The smallest class of a shingle has met all others already.
-    rest_of = kept.where("rep <> low")
-    placed = scratch.keep(rest_of.join(joined, "rep", "left").select("token", "rep", F.coalesce("comp", "rep").alias("comp")), "placed")
+    # The smallest class of a shingle has met all others already; the others meet where they are of several components.
+    placed = scratch.keep(kept.join(joined, "rep", "left").select("token", "rep", "n", "pos", F.coalesce("comp", "rep").alias("comp")), "placed")
     spread = placed.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("comps > 1")
     members = attach(placed, spread.select("token", "main"), "token", F.col("rep"), 16).where("main is not null")
-    rest = members.select(F.col("token").alias("g"), "rep", (F.col("comp") != F.col("main")).alias("probe"))
-    more = _meet(rest, sets, percent, chunk)
+    # A probe goes to the classes of the sizes that it can link with from this position on.
+    least, most = F.expr(f"(n * {percent} + 99) div 100"), F.expr(f"({100 + percent} * (n - pos) - {percent} * n) div {percent}")
+    asks = members.where((F.col("comp") != F.col("main")) & (most >= least)).withColumn("cls", F.explode(F.sequence(_size_class(least, percent), _size_class(most, percent))))
+    both = members.withColumn("cls", _size_class(F.col("n"), percent)).withColumn("probe", F.lit(False)).unionByName(asks.withColumn("probe", F.lit(True)))
+    both = scratch.keep(both.select(F.xxhash64("token", "cls").alias("g"), "rep", "comp", "probe"), "both")
+    useful = both.groupBy("g").agg(F.count_if("probe").alias("asks"), F.count_if(~F.col("probe")).alias("held"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    useful = useful.where("asks > 0 and held > 0 and low <> high").select("g", F.lit(True).alias("useful"))
+    more = _meet(attach(both, useful, "g", F.col("rep"), 16).where("useful").select("g", "rep", "probe"), sets, percent, chunk)
     roots = components(scratch, links.unionByName(more)).withColumnsRenamed({"node": "rep", "root": "comp"})
 
     of_class = classes.join(roots, "rep", "left").where("times > 1 or comp is not null").select("sig", F.coalesce("comp", "rep").alias("comp"))
