@@ -138,6 +138,18 @@ def test_repeats_of_large_anchor_groups():
     assert spread(whole) == spread(cut) and set(spread(cut)) >= {(i, 40 + k) for i in range(1, 60) for k in range(5)}
 
 
+def test_long_texts_are_cut_into_stretches():
+    from threadloom.llm import suffix_dedup as S
+
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcd", k=5000)).encode()
+    windows = [(at + k, part[k : k + 100]) for at, part in S.stretches(text, 100, 700) for k in range(len(part) - 99)]
+    assert windows == [(k, text[k : k + 100]) for k in range(4901)]
+    assert list(S.stretches(b"short", 100, 700)) == [(0, b"short")] and list(S.stretches(b"", 100, 700)) == [(0, b"")]
+    runs = S.runs_of([p for _, p in S.stretches(text, 100, 700)], np.full(8, 3), np.arange(0, 4901, 700))
+    assert sorted(s + k for s, n in zip(runs["s"].tolist(), runs["n"].tolist(), strict=True) for k in range(n)) == list(range(4901))
+
+
 def test_merged_intervals():
     s, e = merged(np.array([5, 0, 10, 30]), np.array([10, 3, 12, 31]))
     assert s.tolist() == [0, 5, 30] and e.tolist() == [3, 12, 31]

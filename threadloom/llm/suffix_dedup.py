@@ -31,8 +31,8 @@ from threadloom.llm.shared import Scratch
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 4 << 20
-SUFFIXES = 1 << 20
+BLOCK_BYTES = 1 << 20
+SUFFIXES = 1 << 19
 TABLE = np.random.default_rng(9).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -66,8 +66,17 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs_of(docs: list[bytes], ids: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """An ``ENTRY`` for each run of windows of a block: anchor hash, hash of all bytes of the run, document, first start, windows, anchor offset."""
+def stretches(text: bytes, length: int, most: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of stretches of a text that together hold each of its windows once. A long text is not one block."""
+    for at in range(0, max(1, len(text) - length + 1), most):
+        yield at, text[at : at + most + length - 1] if len(text) > most else text
+
+
+def runs_of(docs: list[bytes], ids: np.ndarray, base: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
+    """An ``ENTRY`` for each run of windows of a block: anchor hash, hash of all bytes of the run, document, first start, windows, anchor offset.
+
+    ``docs`` are stretches of the documents ``ids`` that start at ``base``.
+    """
     sizes = np.array([len(d) for d in docs], np.int64)
     data = np.frombuffer(b"".join(docs), np.uint8)
     if not len(data) or sizes.max() < length:
@@ -89,7 +98,7 @@ def runs_of(docs: list[bytes], ids: np.ndarray, length: int = LENGTH, gram: int
     out = np.zeros(len(first), ENTRY)
     out["h"], out["n"], out["off"] = grams[a], n, a - s
     out["c"] = _mix((prefix[s + n + length - 1] - prefix[s]) * down[s] + (a - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64))
-    out["doc"], out["s"] = ids[owner[s]], s - (ends - sizes)[owner[s]]
+    out["doc"], out["s"] = ids[owner[s]], s - (ends - sizes)[owner[s]] + base[owner[s]]
     return out
 
 
@@ -128,10 +137,11 @@ def _candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         ids: list[int] = []
         held: list[bytes] = []
+        base: list[int] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
-            e = runs_of(held, np.array(ids, np.int64), length, gram)
+            e = runs_of(held, np.array(ids, np.int64), np.array(base, np.int64), length, gram)
             order, new = _first_of_each(e)
             late = _later(e, order, new)
             gone, e = e[order[late]], e[order[new]]  # sorted by hash
@@ -144,12 +154,14 @@ def _candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), _text_bytes(batch, 1), strict=True):
-                ids.append(i)
-                held.append(text)
-                size += len(text)
-                if size >= BLOCK_BYTES:
-                    yield emit()
-                    block, ids, held, size = block + 1, [], [], 0
+                for at, part in stretches(text, length):
+                    ids.append(i)
+                    held.append(part)
+                    base.append(at)
+                    size += len(part)
+                    if size >= BLOCK_BYTES:
+                        yield emit()
+                        block, ids, held, base, size = block + 1, [], [], [], 0
         if ids:
             yield emit()
 
@@ -291,11 +303,17 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
 
     def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
+            rows: list[tuple] = []
             for doc, body, asks in zip(part["doc_id"], part["text"], part["asks"], strict=True):
                 data, x = body.encode(), np.frombuffer(b"".join(asks), SPAN)
-                runs = [data[s : s + n + length - 1] for s, n in zip(x["s"].tolist(), x["n"].tolist(), strict=True)]
-                whole = np.array([len(r) == n + length - 1 for r, n in zip(runs, x["n"].tolist(), strict=True)], bool)
-                yield pd.DataFrame({"h": x["h"].view(np.int64) if len(x) else np.zeros(0, np.int64), "doc_id": doc, "s": x["s"], "data": runs})[whole]
+                for h, s, n in zip(x["h"].view(np.int64).tolist() if len(x) else [], x["s"].tolist(), x["n"].tolist(), strict=True):
+                    run = data[s : s + n + length - 1]
+                    if len(run) == n + length - 1:
+                        rows.append((h, doc, s, run))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["h", "doc_id", "s", "data"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["h", "doc_id", "s", "data"])
 
     near = docs.where("text is not null").join(asked, "doc_id").mapInPandas(bytes_of, "h bigint, doc_id bigint, s int, data binary").dropDuplicates(["h", "doc_id", "s"])
 
