@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = os.environ.get("BENCH_QUERIES", "")
     spark = get_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g")}
+        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "threadloom.scan.partitions": cpus, "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g")}
     )
     spark.sparkContext.setLogLevel("ERROR")
     table = catalogue()

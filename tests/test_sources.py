@@ -83,9 +83,11 @@ def test_canvas_rules(spark):
     assert [e["id"] for e in row["kept_edges"]] == ["1"] and row["skipped"] == 6 and row["error"] is None
 
 
-def test_canvas_over_limit_is_an_error(spark):
-    file = {"nodes": [{"id": str(i)} for i in range(canvas.MAX_NODES + 1)]}
-    assert canvas.parse_canvas(spark.createDataFrame([(json.dumps(file),)], "json string")).first()["error"] == "too many nodes"
+def test_large_canvas_is_read_whole(spark):
+    nodes = [{"id": str(i), "type": "text", "x": 0, "y": i, "width": 9, "height": 9, "text": "t"} for i in range(2500)]
+    edges = [{"id": f"e{i}", "fromNode": str(i % 2500), "toNode": str((i + 1) % 2500)} for i in range(5000)]
+    row = canvas.parse_canvas(spark.createDataFrame([(json.dumps({"nodes": nodes, "edges": edges}),)], "json string")).first()
+    assert len(row["kept_nodes"]) == 2500 and len(row["kept_edges"]) == 5000 and row["skipped"] == 0 and row["error"] is None
 
 
 def test_ledger_skips_torn_lines(spark):

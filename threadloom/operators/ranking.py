@@ -13,10 +13,16 @@ from threadloom.functions.windows import split_last_known, split_row_number, top
 PER_PAGE = 2
 
 
+def _number_key(digits: Column) -> Column:
+    """Digit runs of any length in number order: how many digits, then the digits."""
+    bare = F.regexp_replace(digits, r"^0+(?=\d)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)
+
+
 def natural_key(text: Column) -> Column:
     """Lower-case key in which runs of digits compare as numbers."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), _number_key(x)).otherwise(x)), "")
 
 
 def sort_keys(sort: str) -> list[Column]:

@@ -16,14 +16,17 @@ TABLES = (
 WIDE_ROWS = {"documents", "pages"}
 
 
+SPREAD = "threadloom.scan.partitions"
+
+
 def widen(df: DataFrame) -> DataFrame:
-    """Spreads a scan that has fewer splits than there are cores, as one small file of long texts has.
+    """Deals the rows of tables with long texts over the partitions that the session asks for.
 
-    A large input has more splits than cores and passes through unchanged.
-    Filters and column pruning still reach the scan.
+    A session that reads one small file sets ``threadloom.scan.partitions``; without
+    it a scan keeps its splits. Filters and column pruning still reach the scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted)) if wanted else df
 
 
 class Tables:

@@ -90,7 +90,7 @@ WITH l AS (SELECT doc_id, i, length(string_split(text, chr(10))[i + 1]) AS n, co
  k AS (SELECT doc_id, n, min(i) AS i FROM v GROUP BY doc_id, n),
  e AS (SELECT a.doc_id, a.n AS f, b.n AS g FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
  g AS (SELECT e.* FROM e JOIN k x ON x.doc_id = e.doc_id AND x.n = e.f JOIN k y ON y.doc_id = e.doc_id AND y.n = e.g WHERE e.f <> e.g)
-SELECT d.doc_id, CASE WHEN d.total > 2000 THEN 'too many nodes' END AS error, coalesce(kn, 0) AS n_nodes, coalesce(gn, 0) AS n_edges,
+SELECT d.doc_id, NULL::VARCHAR AS error, coalesce(kn, 0) AS n_nodes, coalesce(gn, 0) AS n_edges,
   d.total + (d.total - 1) - coalesce(kn, 0) - coalesce(gn, 0) AS skipped
 FROM (SELECT DISTINCT doc_id, total FROM l) d LEFT JOIN (SELECT doc_id, count(*) AS kn FROM k GROUP BY 1) USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS gn FROM g GROUP BY 1) USING (doc_id)"""
@@ -164,10 +164,10 @@ def order_board(t):
     "write_canvas",
     """
 WITH l AS (SELECT o_custkey AS board, o_orderstatus AS st, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uid, * FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT o_custkey AS board, 'node' AS part, concat('0:0000:', lpad(o_orderkey::VARCHAR, 10, '0')) AS rank,
+SELECT o_custkey AS board, 'node' AS part, concat('0:0000:', lpad(o_orderkey::VARCHAR, 20, '0')) AS rank,
  concat('{"id":"o', o_orderkey, '","x":0,"y":', floor(o_totalprice + 0.5)::BIGINT, ',"width":480,"height":320,"type":"group","label":"', o_orderpriority, '"}') AS json
 FROM orders WHERE o_orderstatus <> 'P'
-UNION ALL SELECT board, 'node', concat('1:0000:', lpad(l_orderkey::VARCHAR, 10, '0')),
+UNION ALL SELECT board, 'node', concat('1:0000:', lpad(l_orderkey::VARCHAR, 20, '0')),
  concat('{"id":"', uid, '","x":', floor(l_quantity + 0.5)::BIGINT, ',"y":', floor(l_extendedprice + 0.5)::BIGINT, ',"width":280,"height":160,"type":"text","text":"', l_returnflag, '"}') FROM l
 UNION ALL SELECT board, 'edge', concat('e-', uid), concat('{"id":"e-', uid, '","fromNode":"o', l_orderkey, '","toNode":"', uid, '","label":"', l_linestatus, '"}') FROM l WHERE st <> 'P'""",
 )
