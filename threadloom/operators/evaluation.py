@@ -30,14 +30,14 @@ def norm_text(text: Column) -> Column:
     """Comparable text of a cell or line: plain forms, one kind of dash and space, marks closed up, note marks gone, case folded.
 
     Superscript digits are their plain digits, as compatibility folding has
-    them, so only daggers and stars are left as note marks at the end. All
-    spaces that have to go are named in one pattern by what stands beside them.
+    them, so only daggers and stars are left as note marks at the end.
     """
     flat = F.translate(F.coalesce(text, F.lit("")), "".join([*_WIDE, *_SMALL]), "".join([*_WIDE.values(), *_SMALL.values()]))
     for form, plain in _LIGATURES.items():
         flat = F.replace(flat, F.lit(form), F.lit(plain))
     dashed = F.regexp_replace(flat, "[\u2010-\u2015\u2212]", "-")
-    closed = F.regexp_replace(F.regexp_replace(dashed, r"\s+(?=[,.;:)])|(?<=\d[.,])\s+(?=\d)", ""), r"\s+", " ")
+    marks = F.regexp_replace(dashed, r"\s+(?=[,.;:)])", "")
+    closed = F.regexp_replace(F.regexp_replace(marks, r"(?<=\d[.,])\s+(?=\d)", ""), r"\s+", " ")
     folded = F.lower(F.trim(F.regexp_replace(closed, r"[†‡*]+$", "")))
     return F.regexp_replace(folded, r"(?<=\b[a-z])\s+(?=\d)", "")
 
