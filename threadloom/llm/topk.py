@@ -128,13 +128,20 @@ def top_inner(
             yield state.rows()
 
     best = "query_id bigint, vec_id bigint, score bigint, qblk bigint"
-    lay = stored.withColumn("slot", F.pmod("blk", F.lit(SLOTS))).select("dim", "pivot", "slot", F.col("lo"), F.col("hi"), F.col("vid").alias("b_vid"), F.col("v").alias("b_v"), F.col("blk"))
-    q = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).withColumnsRenamed({"vid": "q_vid", "v": "q_v", "blk": "qblk", "lo": "q_lo", "hi": "q_hi", "pivot": "home"})
-    bound = F.greatest(F.col("q_lo") - F.col("hi"), F.col("lo") - F.col("q_hi"), F.lit(0.0))
-    own = q.withColumn("pivot", F.col("home")).join(lay, ["dim", "pivot", "slot"]).withColumn("bound", bound).withColumn("known", F.lit(None).cast("binary"))
-    first = own.where("bound = 0").withColumn("part", F.col("qblk"))
+    annuli = stored.select("dim", "pivot", F.pmod("blk", F.lit(SLOTS)).alias("slot"), "lo", "hi", "blk")
+    vectors = stored.select("blk", "pivot", "lo", "hi", F.col("vid").alias("b_vid"), F.col("v").alias("b_v"))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("slot")
+
+    def search(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """Query and annulus blocks are paired by their bounds alone; only then do the vectors of a pair come together."""
+        met = pairs.select("qblk", "blk", "bound").join(queries, "qblk").join(vectors, "blk")
+        return met.select(*fields).sortWithinPartitions("qblk", "bound").mapInPandas(expand, best)
+
     fields = ["qblk", "bound", "dim", "pivot", "q_vid", "q_v", "gaps", "lo", "hi", "b_vid", "b_v", "known"]
-    started = scratch.keep(first.select(*fields).sortWithinPartitions("qblk", "bound").mapInPandas(expand, best), "first")
+    queries = asked.select("dim", F.col("blk").alias("qblk"), F.col("vid").alias("q_vid"), F.col("v").alias("q_v"), "gaps")
+    homes = asked.select("dim", "pivot", F.col("blk").alias("qblk"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), slots)
+    near = homes.join(annuli, ["dim", "pivot", "slot"]).where("lo <= q_hi and hi >= q_lo").withColumn("bound", F.lit(0.0))
+    started = scratch.keep(search(near, queries.withColumn("known", F.lit(None).cast("binary"))), "first")
 
     # Each query's k-th best score so far, kept with its block.
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -147,29 +154,24 @@ def top_inner(
             for ids, got in zip(part["q_vid"], part["best"], strict=True):
                 got = dict(got) if got is not None else {}
                 out.append(np.array([got.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(ids, np.int64).tolist()], np.int64).tobytes())
-            yield part.drop(columns=["best"]).assign(known=out)
+            yield part[["dim", "qblk", "q_vid", "q_v", "gaps"]].assign(known=out)
 
-    pivot_n = max([1, *(len(m[0]) for m in model.values())])
-    limited = asked.withColumnsRenamed({"vid": "q_vid", "v": "q_v", "blk": "qblk", "pivot": "home"}).drop("n", "lo", "hi")
-    limited = limited.join(known, "qblk", "left").select("dim", "home", "qblk", "q_vid", "q_v", "gaps", "best").mapInPandas(
-        limit, "dim int, home int, qblk bigint, q_vid binary, q_v binary, gaps binary, known binary"
-    )
+    limited = queries.join(known, "qblk", "left").mapInPandas(limit, "dim int, qblk bigint, q_vid binary, q_v binary, gaps binary, known binary")
+    limited = scratch.keep(limited.select("dim", "qblk", "q_vid", "q_v", "gaps", "known"), "limited")
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For a query block and each pivot: the largest and smallest distance that any of its queries still needs."""
+        """For a query block and each pivot: the smallest and largest distance that any of its queries still needs."""
         for part in batches:
             for r in part.itertuples(index=False):
-                s = _Best(r, k, model[int(r.dim)])
-                low, high = s.reach()
-                for p in range(len(low)):
-                    yield pd.DataFrame([{**r._asdict(), "pivot": p, "need_lo": low[p], "need_hi": high[p]}])
-
-    wide = limited.mapInPandas(reach, "dim int, home int, qblk bigint, q_vid binary, q_v binary, gaps binary, known binary, pivot int, need_lo double, need_hi double")
-    rest = (
-        wide.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).join(lay, ["dim", "pivot", "slot"])
-        .where("hi >= need_lo and lo <= need_hi").withColumn("bound", F.greatest(F.col("need_lo") - F.col("lo"), F.lit(0.0)))
-    ) if pivot_n else own
-    more = rest.select(*fields).sortWithinPartitions("qblk", "bound").mapInPandas(expand, best)
+                low, high = _Best(r, k, model[int(r.dim)]).reach()
+                yield pd.DataFrame({"dim": r.dim, "qblk": r.qblk, "pivot": np.arange(len(low), dtype=np.int32), "need_lo": low, "need_hi": high})
+
+    wide = limited.mapInPandas(reach, "dim int, qblk bigint, pivot int, need_lo double, need_hi double")
+    rest = wide.select("*", slots).join(annuli, ["dim", "pivot", "slot"]).where("hi >= need_lo and lo <= need_hi")
+    # Nearest first: how far the annulus lies from the middle of what the block needs.
+    middle = (F.col("need_lo") + F.col("need_hi")) / 2
+    rest = rest.withColumn("bound", F.greatest(F.col("lo") - middle, middle - F.col("hi"), F.lit(0.0)))
+    more = search(rest, limited)
     rank = F.row_number().over(w)
     everything = started.unionByName(more).select("query_id", "vec_id", "score").distinct()
     ranked = everything.withColumn("rank", rank).where(F.col("rank") <= k)
