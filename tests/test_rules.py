@@ -61,6 +61,17 @@ def test_library_kind(spark):
     assert got == ["pdf", "pdf", "image", "web", "web", "block", "block", "block"]
 
 
+def test_fulltext_tests_each_page(spark):
+    pages = spark.createDataFrame([(1, 0, "one category here"), (1, 1, "a caterory there"), (2, 0, "Nothing  of\nit"), (3, 0, "sub-categorys, here")], "doc int, page int, text string")
+    asked = spark.createDataFrame([("a", "categ", ["categ"]), ("b", "category", ["category"]), ("c", "of it", ["of", "it"]), ("d", "category here", ["here", "category"])], "query string, phrase string, terms array<string>")
+    got = {(r.query, r.doc, r.page): (r.exact, r.fuzzy) for r in search.search_fulltext(pages, asked).collect()}
+    assert got == {
+        ("a", 1, 0): (False, False), ("a", 3, 0): (False, False), ("b", 1, 0): (False, False), ("b", 1, 1): (False, True), ("b", 3, 0): (False, False),
+        ("c", 2, 0): (True, False), ("d", 1, 0): (True, False), ("d", 3, 0): (False, False), ("d", 1, 1): (False, True),
+    }
+    assert {r.page for r in search.search_fulltext(pages, asked, (1, 1)).collect()} == {1}
+
+
 def test_context_pack_goes_on_after_a_part_that_does_not_fit(spark):
     rows = [(1, 10, 1, 50, False), (1, 11, 2, 90, False), (1, 12, 3, 30, False), (1, 13, 4, 30, False), (1, 14, 5, 20, False), (2, 20, 1, 101, False), (3, 30, 2, 60, True), (3, 31, 1, 60, False)]
     got = search.context_pack(spark.createDataFrame(rows, "query int, doc int, pos int, size int, forced boolean"), 100)

@@ -72,7 +72,7 @@ def words_containing(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(grams, "gram").where(F.contains("word", "probe")).select("probe", "word")
 
 
-def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = 40) -> DataFrame:
+def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """Documents that contain every term of a query, anywhere in their words.
 
     The rarest term of a query picks the candidates: terms are looked up in the
@@ -100,7 +100,7 @@ def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = 40) ->
     first = F.position(F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0), F.col("lower"))
     start = F.greatest(F.lit(1), F.when(where > 0, where).otherwise(first) - 40)
     hits = found.select("query", "doc", (where > 0).alias("exact"), count.cast("long").alias("hits"), F.substr("text", start, F.lit(SNIPPET)).alias("snippet"))
-    return hits if limit is None else top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
+    return top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
 
 
 def _deletions(word: Column) -> Column:
@@ -118,28 +118,40 @@ def near_words(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return a.join(b, "form").where(F.levenshtein("term", "word", 1) == 1).select("term", "word").distinct()
 
 
-def search_fulltext(docs: DataFrame, queries: DataFrame, limit: int | None = 40) -> DataFrame:
-    """All-terms search on words; a term of four or more letters that occurs nowhere also matches a word one edit away.
+def search_fulltext(pages: DataFrame, queries: DataFrame, page_range: tuple[int, int] | None = None, limit: int | None = None) -> DataFrame:
+    """Pages (doc, page) that hold every term of a query, as a part of a word or one edit away from a word of that page.
 
-    Order: exact phrase, exact words, fuzzy, then document.
+    A term of four or more characters counts as misspelt only on pages that
+    lack it. Terms are made of word characters. The term that reaches fewest
+    pages, through the words that contain it or are near it, picks the
+    candidates; all terms are then tested on the page itself. ``exact`` asks for
+    the phrase and more than one word. Order: exact, spelt right, document, page.
     """
-    terms = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    size = queries.select("query", "phrase", F.size(F.array_distinct("terms")).alias("n"))
-    postings = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
-    distinct_terms = terms.select("term").distinct()
-    vocabulary = postings.select("word").distinct()
-    unknown = distinct_terms.where(F.length("term") >= 4).join(vocabulary, F.col("term") == F.col("word"), "left_anti")
-    fuzzy = near_words(unknown, vocabulary).withColumn("fuzzy", F.lit(True))
-    exact = distinct_terms.select("term", F.col("term").alias("word"), F.lit(False).alias("fuzzy"))
-    meant = terms.join(exact.unionByName(fuzzy), "term")
-    per_doc = postings.join(meant, "word").groupBy("query", "doc").agg(
-        F.count_distinct("term").alias("found"), F.bool_or("fuzzy").alias("fuzzy"), F.count("*").alias("hits")
+    squeezed = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    view = pages.select("doc", "page", squeezed.alias("low"))
+    if page_range is not None:
+        view = view.where(F.col("page").between(*page_range))
+    plain = F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))
+    postings = view.select("doc", "page", F.explode(F.array_union(words(F.col("low")), plain)).alias("word"))
+    vocabulary = postings.groupBy("word").agg(F.count("*").alias("df"))
+    terms = queries.select("query", F.explode(F.array_distinct("terms")).alias("probe"))
+    probes = terms.select("probe").distinct()
+    plain_words = vocabulary.where(F.col("word").rlike("^[a-z0-9]+$"))
+    near = near_words(probes.where(F.length("probe") >= 4).select(F.col("probe").alias("term")), plain_words).withColumnRenamed("term", "probe")
+    meant = words_containing(probes, vocabulary).unionByName(near).distinct()
+    reach = meant.join(vocabulary, "word").groupBy("probe").agg(F.sum("df").alias("reach"))
+    rarest = terms.join(reach, "probe", "left").groupBy("query").agg(F.min_by("probe", F.struct(F.coalesce("reach", F.lit(0)), "probe")).alias("probe"))
+    wanted = rarest.join(meant, "probe").select("query", "word")
+    found = postings.join(wanted, "word").select("query", "doc", "page").distinct()
+    tested = found.join(view.withColumn("plain", plain), ["doc", "page"]).join(queries.select("query", "phrase", F.array_distinct("terms").alias("terms")), "query")
+    there = lambda x: F.contains(F.col("low"), x)
+    close = lambda x: (F.length(x) >= 4) & F.exists("plain", lambda w: (F.abs(F.length(w) - F.length(x)) <= 1) & (F.levenshtein(w, x, 1) >= 0))
+    held = tested.where(F.forall("terms", lambda x: there(x) | close(x)))
+    several = (F.size("terms") > 1) | F.contains("phrase", F.lit(" "))
+    hits = held.select(
+        "query", "doc", "page", (F.contains("low", "phrase") & several).alias("exact"), F.exists("terms", lambda x: ~there(x)).alias("fuzzy"), F.size("terms").alias("terms")
     )
-    full = per_doc.join(size, "query").where(F.col("found") == F.col("n")).join(docs, "doc")
-    hits = full.select("query", "doc", F.contains(F.lower("text"), F.col("phrase")).alias("exact"), "fuzzy", "hits")
-    if limit is None:
-        return hits
-    return top_per_key(hits, ["query"], [F.col("exact").desc(), "fuzzy", F.col("hits").desc(), "doc"], limit)
+    return top_per_key(hits, ["query"], [F.col("exact").desc(), "fuzzy", "doc", "page"], limit)
 
 
 def fold_part_rows(parts: DataFrame) -> DataFrame:

@@ -56,33 +56,45 @@ WITH q AS MATERIALIZED ({SENTENCES_SQL}), d AS (SELECT doc_id AS doc, text, lowe
  h AS (SELECT query, phrase, terms, doc, text, low FROM q JOIN d ON len(list_filter(terms, lambda x: NOT contains(low, x))) = 0),
  r AS (SELECT query, doc, contains(low, phrase) AS exact, CAST(list_sum(list_transform(terms, lambda x: (length(low) - length(replace(low, x, ''))) / length(x))) AS BIGINT) AS hits,
   substr(text, greatest(1, CASE WHEN contains(low, phrase) THEN strpos(low, phrase) ELSE strpos(low, regexp_extract(phrase, '[\\p{{L}}\\p{{N}}]+')) END - 40), 120) AS snippet FROM h)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc) AS pos FROM r) WHERE pos <= 40""",
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc) AS pos FROM r)""",
 )
 def _(t):
     return op.search_parts(docs(t), sentences(t))
 
 
+MISTYPED_SQL = f"""SELECT query, phrase, list_distinct(list_transform(terms, lambda w: CASE WHEN w = longest AND length(w) >= 6 THEN concat(substr(w, 1, 1), substr(w, 3)) ELSE w END)) AS terms
+ FROM (SELECT *, list_sort(list_transform(terms, lambda w: {{'l': -length(w), 'w': w}}))[1].w AS longest FROM ({SENTENCES_SQL}))"""
+
+
+def mistyped(t):
+    """Sentences whose longest word lacks its second letter."""
+    longest = F.array_min(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))["w"]
+    drop = lambda w: F.when((w == longest) & (F.length(w) >= 6), F.concat(F.substr(w, F.lit(1), F.lit(1)), F.substr(w, F.lit(3), F.length(w)))).otherwise(w)
+    return sentences(t).select("query", "phrase", F.array_distinct(F.transform("terms", drop)).alias("terms"))
+
+
+def text_pages(t):
+    lines = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    rows = lines.select(F.col("doc").alias("file"), F.floor(F.col("pos") / 20).cast("int").alias("page"), "pos", F.lit("para").alias("kind"), "text")
+    return op.fold_part_rows(rows).select(F.col("file").alias("doc"), "page", "text")
+
+
 @query(
     "search_fulltext",
     f"""
-WITH q AS MATERIALIZED (SELECT item_id AS query, lower(text) AS phrase, list_sort(list_transform(list_distinct({WORDS.format('text')}), lambda w: {{'l': -length(w), 'w': w}})) AS s FROM benchmark),
- t0 AS (SELECT query, phrase, concat(substr(s[1].w, 1, 1), substr(s[1].w, 3)) AS a, s[2].w AS b FROM q),
- t AS MATERIALIZED (SELECT query, a AS term FROM t0 UNION SELECT query, b FROM t0),
- p AS MATERIALIZED (SELECT doc_id AS doc, unnest(list_distinct({WORDS.format('text')})) AS word FROM documents),
- v AS MATERIALIZED (SELECT DISTINCT word FROM p),
- m AS (SELECT query, term, term AS word, false AS fuzzy FROM t UNION ALL
-  SELECT DISTINCT query, term, v.word, true FROM t JOIN v ON abs(length(term) - length(v.word)) <= 1 AND levenshtein(translate(term, 'àâäçéèêëîïôöùûüßñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'), translate(v.word, 'àâäçéèêëîïôöùûüßñíóáú', 'ABCDEFGHIJKLMNOPQRSTU')) = 1 WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM v)),
- g AS (SELECT query, doc, count(DISTINCT term) AS found, bool_or(fuzzy) AS fuzzy, count(*) AS hits FROM m JOIN p USING (word) GROUP BY 1, 2),
- r AS (SELECT g.query, g.doc, contains(lower(text), phrase) AS exact, fuzzy, hits FROM g JOIN t0 USING (query) JOIN documents ON doc_id = doc
-  WHERE found = (SELECT count(*) FROM t WHERE t.query = g.query))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, fuzzy, hits DESC, doc) AS pos FROM r) WHERE pos <= 40""",
+WITH q AS MATERIALIZED ({MISTYPED_SQL}), t AS MATERIALIZED (SELECT query, unnest(terms) AS term, len(terms) AS n FROM q), x AS MATERIALIZED (SELECT DISTINCT term FROM t),
+ l AS (SELECT doc_id AS doc, i // 20 AS page, i, string_split(text, chr(10))[i + 1] AS s FROM documents, unnest(range(len(string_split(text, chr(10))))) u(i)),
+ p AS MATERIALIZED (SELECT doc, page, lower(trim(regexp_replace(string_agg(s, chr(10) ORDER BY i), '\\s+', ' ', 'g'))) AS low FROM l GROUP BY 1, 2),
+ w AS MATERIALIZED (SELECT doc, page, unnest(list_distinct(regexp_extract_all(low, '[a-z0-9]+'))) AS word FROM p),
+ m AS MATERIALIZED (SELECT term, word FROM x JOIN (SELECT DISTINCT word FROM w) ON abs(length(term) - length(word)) <= 1 AND levenshtein(translate(term, 'àâäçéèêëîïôöùûüßñíóáú', 'ABCDEFGHIJKLMNOPQRSTU'), word) <= 1 WHERE length(term) >= 4),
+ h AS (SELECT doc, page, term, false AS fuzzy FROM p JOIN x ON contains(low, term) UNION ALL SELECT DISTINCT doc, page, term, true FROM w JOIN m USING (word)),
+ g AS (SELECT doc, page, term, bool_and(fuzzy) AS fuzzy FROM h GROUP BY 1, 2, 3),
+ r AS (SELECT query, doc, page, bool_or(fuzzy) AS fuzzy, any_value(n) AS terms FROM g JOIN t USING (term) GROUP BY 1, 2, 3 HAVING count(*) = any_value(n))
+SELECT query, doc, page, contains(low, phrase) AND (r.terms > 1 OR contains(phrase, ' ')) AS exact, fuzzy, r.terms,
+ row_number() OVER (PARTITION BY query ORDER BY contains(low, phrase) AND (r.terms > 1 OR contains(phrase, ' ')) DESC, fuzzy, doc, page) AS pos FROM r JOIN q USING (query) JOIN p USING (doc, page)""",
 )
 def _(t):
-    by_length = F.array_sort(F.transform(op.words(F.col("text")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
-    asked = t.benchmark.select(F.col("item_id").alias("query"), F.lower("text").alias("phrase"), by_length.alias("s"))
-    first, second = F.get("s", F.lit(0))["w"], F.get("s", F.lit(1))["w"]
-    mistyped = F.concat(F.substr(first, F.lit(1), F.lit(1)), F.substr(first, F.lit(3), F.length(first)))
-    return op.search_fulltext(docs(t), asked.select("query", "phrase", F.array(mistyped, second).alias("terms")))
+    return op.search_fulltext(text_pages(t), mistyped(t))
 
 
 @query(
