@@ -96,7 +96,8 @@ def runs_of(docs: list[bytes], ids: np.ndarray, base: np.ndarray, length: int =
     s, a = p[first], a[first]
     # A run is at most length - gram + 1 windows: all of them hold the anchor.
     out = np.zeros(len(first), ENTRY)
-    out["h"], out["n"], out["off"] = grams[a], n, a - s
+    # Smallest hashes crowd at the low end; mixed again they spread over the hash ranges.
+    out["h"], out["n"], out["off"] = _mix(grams[a]), n, a - s
     out["c"] = _mix((prefix[s + n + length - 1] - prefix[s]) * down[s] + (a - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64))
     out["doc"], out["s"] = ids[owner[s]], s - (ends - sizes)[owner[s]] + base[owner[s]]
     return out
