@@ -36,9 +36,9 @@ WORDS = 5
 PERCENT = 75
 CHUNK = 512
 BLOCK_DOCS = 60_000
-BLOCK_SHINGLES = 1 << 21
-SLICE_BYTES = 8 << 20
-CELLS = 1 << 25
+BLOCK_SHINGLES = 1 << 20
+SLICE_BYTES = 4 << 20
+CELLS = 1 << 24
 FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -309,9 +309,10 @@ def link_documents(
                 keys = [x.view(np.int64) for x in sets[s : s + 500]]
                 yield pa.record_batch([pa.array(ids[s : s + 500], pa.int64()), pa.array([len(k) for k in keys], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n", "h"])
 
-    chosen = some.join(reps.withColumnRenamed("rep", "__rep"), F.col("doc_id") == F.col("__rep"), "left_semi")
-    raw = chosen.mapInArrow(sets_of, "rep bigint, n bigint, h array<bigint>").groupBy("rep").agg(F.min(F.struct("n", "h")).alias("x")).select("rep", "x.n", "x.h")
-    raw = scratch.keep(raw, "raw")
+    # The chosen ids grow with the corpus, so texts and ids meet by a sorted merge at every size; repeated rows fold where they lie.
+    chosen = some.hint("merge").join(reps.withColumnRenamed("rep", "__rep").hint("merge"), F.col("doc_id") == F.col("__rep"), "left_semi")
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
+    raw = scratch.keep(chosen.mapInArrow(sets_of, "rep bigint, n bigint, h array<bigint>"), "raw")
     each = raw.select("rep", F.explode("h").alias("h"))
     held = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # The global order: frequency class, then hash.
