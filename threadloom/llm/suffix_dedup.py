@@ -388,14 +388,19 @@ def _in_chunks(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
 
 
 def _by_window(part: pd.DataFrame, length: int, pieces: int) -> Iterator[pd.DataFrame]:
-    import xxhash
-
+    """The windows of one large group in ``pieces`` by a hash of each, made once."""
+    runs = list(part["data"])
+    text = b"".join(runs)
+    data, sizes = np.frombuffer(text, np.uint8), np.array([len(r) for r in runs], np.int64)
+    n = sizes - length + 1
+    of = np.repeat(np.arange(len(runs)), n)
+    t = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
+    starts = (np.cumsum(sizes) - sizes)[of] + t
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(TABLE[data] * _powers(BASE, len(data)), out=prefix[1:])
+    piece = _mix((prefix[starts + length] - prefix[starts]) * _powers(INVERSE, len(data) + 1)[starts]) % np.uint64(pieces)
+    doc, s = part["doc_id"].to_numpy(), part["s"].to_numpy().astype(np.int64)
     for k in range(pieces):
-        rows = [
-            (doc, s + t, data[t : t + length])
-            for doc, s, data in zip(part["doc_id"], part["s"], part["data"], strict=True)
-            for t in range(len(data) - length + 1)
-            if xxhash.xxh64_intdigest(data[t : t + length]) % pieces == k
-        ]
-        if rows:
-            yield _compare([pd.DataFrame(rows, columns=["doc_id", "s", "data"])], length)
+        at = np.flatnonzero(piece == k)
+        if len(at):
+            yield _compare([pd.DataFrame({"doc_id": doc[of[at]], "s": s[of[at]] + t[at], "data": [text[p : p + length] for p in starts[at].tolist()]})], length)
