@@ -82,8 +82,19 @@ def _fold(entries: Column, seed: int, uid: str) -> Column:
     return F.aggregate(entries, begin, step)
 
 
+def size_band(size: Column) -> Column:
+    return F.floor(F.log2(size + 1.0) * 8).cast("int")
+
+
+def with_cells(df: DataFrame, by: list[Column], spread: Column, group: int = GROUP) -> DataFrame:
+    """``df`` with ``cells``: into how many cells of about ``group`` rows its group of ``by`` is cut; null for one."""
+    marked = df.withColumn("at", F.xxhash64(*by))
+    many = marked.groupBy("at").agg(F.count("*").alias("c")).where(F.col("c") > group).select("at", F.ceil(F.col("c") / group).alias("cells"))
+    return attach(marked, many, "at", spread, 16).drop("at")
+
+
 def pivotal_rounding(scratch: Scratch, df: DataFrame, seed: int = 11, group: int = GROUP) -> DataFrame:
-    """(uid, taken 0/1) for rows (key, size, uid, p) with 0 < p < 1, summing to within one of the sum of p per ``key``.
+    """(uid, taken 0/1) for rows (key, size, uid, p, band, cells) with 0 < p < 1, summing to within one of the sum of p per ``key``.
 
     ``uid`` is a struct that tells the rows apart; its fields seed the draws.
     The first level folds within bands of like size, the others within keys. At
@@ -93,13 +104,13 @@ def pivotal_rounding(scratch: Scratch, df: DataFrame, seed: int = 11, group: int
     """
     uid = df.schema["uid"].dataType.simpleString()
     decided: list[DataFrame] = []
-    made, level = df.withColumn("band", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")), 0
+    made, level = df, 0
     while True:
-        made = made.withColumn("at", F.xxhash64("key", F.col("band") if level == 0 else F.lit(0)))
-        counts = made.groupBy("at").agg(F.count("*").alias("c"))
-        last = level > 0 and (counts.agg(F.max("c")).first()[0] or 0) <= group
-        many = counts.where(F.col("c") > group).select("at", F.ceil(F.col("c") / group).alias("cells"))
-        cut = attach(made, many, "at", F.col("uid"), 16)
+        last, cut = False, made
+        if level:
+            counts = made.groupBy("key").agg(F.count("*").alias("c"))
+            last = (counts.agg(F.max("c")).first()[0] or 0) <= group
+            cut = with_cells(made, [F.col("key")], F.col("uid"), group)
         keys = ["key", *(["band"] if level == 0 else []), F.pmod(F.xxhash64(F.lit(seed + level), "uid"), F.coalesce("cells", F.lit(1))).alias("cell")]
         entries = F.array_sort(F.collect_list(F.struct("size", "uid", "p")))
         folded = cut.groupBy(*keys).agg(entries.alias("e")).select("key", _fold("e", seed + level, uid).alias("f"))
@@ -144,11 +155,13 @@ def mix_sources(
     each = met.withColumn("whole", F.floor(near).cast("int")).withColumn("p", near - F.floor(near)).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     each = each.withColumn("uid", F.struct("id", "key", "size", "nth")).drop("times")
     each = scratch.keep(each, "each")
-    open_rows = each.where((F.col("p") > 0) & (F.col("size") > 0))
-    tried = open_rows.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).select(
-        F.struct("key", "try").alias("key"), "size", F.struct("uid", "try", "key", "size").alias("uid"), "p"
+    open_rows = each.where((F.col("p") > 0) & (F.col("size") > 0)).withColumn("band", size_band(F.col("size")))
+    # The tries of a source have the same groups, so these are counted and attached once, before the rows are repeated.
+    celled = with_cells(open_rows, [F.col("key"), F.col("band")], F.col("uid"))
+    tried = celled.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).select(
+        F.struct("key", "try").alias("key"), "size", F.struct("uid", "try").alias("uid"), "p", "band", "cells"
     )
-    drawn = pivotal_rounding(scratch, scratch.keep(tried, "tried"), seed).select("uid.uid", "uid.try", "uid.key", "uid.size", "taken")
+    drawn = pivotal_rounding(scratch, scratch.keep(tried, "tried"), seed).select("uid.uid", "uid.try", "taken").withColumns({"key": F.col("uid.key"), "size": F.col("uid.size")})
     drawn = scratch.keep(drawn, "drawn")
     wanted = open_rows.groupBy("key").agg(F.sum(F.col("p") * F.col("size")).alias("wanted"))
     got = drawn.groupBy("key", "try").agg(F.sum(F.col("size") * F.col("taken")).alias("got"))
