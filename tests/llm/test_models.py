@@ -120,3 +120,27 @@ def test_url_model_segments_and_judges(spark):
 def test_every_operator_has_its_query():
     assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
     assert np.all([callable(q) for q in QUERIES.values()])
+
+
+def test_one_odd_calibrating_text_does_not_lift_the_limit():
+    import pandas as pd
+
+    from threadloom.llm.langid import Model, _calibrate
+
+    rng = np.random.default_rng(5)
+    own = [*(1.5 + 0.05 * rng.standard_normal(60)), 4.5]  # the last text is long and not of the language
+    seen = pd.DataFrame({"lang": "x", "n": [1500.0] * 60 + [20000.0], "ce": [[c] for c in own]})
+    model = _calibrate(Model(["x"], [], [], [], [], np.zeros(1)), seen)
+    limit = model.centre[0] + model.margin[0] + model.spread[0] / math.sqrt(1500)
+    assert 1.5 + 4 * 0.05 < limit < 2.75
+    wide = seen.assign(ce=[[1.5 + 20 * (c - 1.5)] if c < 4 else [c] for c in own])
+    assert _calibrate(Model(["x"], [], [], [], [], np.zeros(1)), wide).margin[0] > 2 * model.margin[0]
+
+
+@pytest.mark.parametrize("out", ["es", "fr"])
+def test_texts_of_a_language_left_out_are_rejected(spark, out):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = fit_languages(docs.where(F.col("lang") != out), ~held_out("doc_id"))
+    got = identify(docs.where(held_out("doc_id") & F.col("text").rlike(r"\p{L}")), model).select("lang", "__rejected").toPandas()
+    mine = got["lang"] == out
+    assert got["__rejected"][mine].mean() > 0.9 and got["__rejected"][~mine].mean() < 0.02

@@ -6,7 +6,8 @@ of interpolated log probabilities; unseen n-grams back off through sorted
 arrays of contexts. The language with the lowest length-normalised
 cross-entropy wins. On a part of the labelled sample that the counts never saw,
 a scale for the confidence and a limit of cross-entropy per language are
-calibrated; a text above the limit is rejected.
+calibrated; a text above the limit is rejected. The limit follows a high
+quantile of each language's own texts, not the worst one.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ PER_LANGUAGE = 400
 CALIBRATE = 4
 CHUNK = 1 << 20
 SYMBOLS = float(1 << 16)
-MARGIN = 1.5
+HIGH = 0.95
+FACTOR = 3.0
+LEAST_MARGIN, LEAST_SPREAD = 0.5, 8.0
+SCARCE = 20.0
 UNKNOWN = "und"
 COEFFICIENTS = np.random.default_rng(20).integers(0, 1 << 63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -100,6 +104,7 @@ class Model:
     scale: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None
+    margin: np.ndarray | None = None
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:
         """(positions, languages) of an array with ``ORDER`` symbols of context in front."""
@@ -153,7 +158,7 @@ class Model:
         best = ce.argmin(axis=1)
         z = -self.scale * (ce - ce.min(axis=1, keepdims=True)) * np.sqrt(np.maximum(n, 1))[:, None]
         p = 1 / np.exp(z).sum(axis=1)
-        limit = self.centre[best] + MARGIN + self.spread[best] / np.sqrt(np.maximum(n, 1))
+        limit = self.centre[best] + self.margin[best] + self.spread[best] / np.sqrt(np.maximum(n, 1))
         return [self.languages[i] for i in best], p, ce[np.arange(len(best)), best] > limit
 
 
@@ -229,9 +234,14 @@ def fit_languages(df: DataFrame, train: Column, id_col: str = "doc_id", text: st
     return _calibrate(model, seen)
 
 
+def _high(values: np.ndarray) -> float:
+    """A high quantile; from two values on the largest never counts, so one odd or mislabelled text moves nothing."""
+    return float(np.quantile(values, HIGH, method="lower"))
+
+
 def _calibrate(model: Model, seen: pd.DataFrame) -> Model:
     size = len(model.languages)
-    model.centre, model.spread = np.full(size, 4.0), np.full(size, 8.0)
+    model.centre, model.spread, model.margin = np.full(size, 4.0), np.full(size, LEAST_SPREAD), np.full(size, LEAST_MARGIN)
     seen = seen[seen["lang"].isin(model.languages)]
     if not len(seen):
         return model
@@ -249,7 +259,10 @@ def _calibrate(model: Model, seen: pd.DataFrame) -> Model:
         mine = true == i
         if mine.any():
             model.centre[i] = np.median(own[mine])
-            model.spread[i] = max(8.0, 2 * float(((own[mine] - model.centre[i]) * np.sqrt(n[mine])).max()))
+            over = own[mine] - model.centre[i]
+            # Few texts say little about the tail: the part of it above m texts falls as 1 / m.
+            model.margin[i] = max(LEAST_MARGIN, FACTOR * _high(over)) + SCARCE / len(over)
+            model.spread[i] = max(LEAST_SPREAD, _high(over * np.sqrt(n[mine])))
     return model
 
 
