@@ -144,3 +144,9 @@ def test_texts_of_a_language_left_out_are_rejected(spark, out):
     got = identify(docs.where(held_out("doc_id") & F.col("text").rlike(r"\p{L}")), model).select("lang", "__rejected").toPandas()
     mine = got["lang"] == out
     assert got["__rejected"][mine].mean() > 0.9 and got["__rejected"][~mine].mean() < 0.02
+
+
+def test_shapes_read_words_whole():
+    from threadloom.llm.quality import _shape
+
+    assert _shape("é" * 40 + "A1!") == "aA0!" and _shape("x" * 64 + "!" + "9" * 100_000 + "B") == "a!0A" and _shape("") == ""

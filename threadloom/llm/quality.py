@@ -58,8 +58,8 @@ def _hash(words: list[str]) -> np.ndarray:
 
 
 def _shape(word: str) -> str:
-    """Runs of character classes: upper, lower, digit, and ASCII marks as they are."""
-    s = SHAPE_TABLE[np.frombuffer(word.encode()[:64], np.uint8)]
+    """Runs of character classes over the whole word: upper, lower, digit, and ASCII marks as they are."""
+    s = SHAPE_TABLE[np.frombuffer(word.encode(), np.uint8)]
     return s[np.concatenate([[True], s[1:] != s[:-1]])].tobytes().decode() if len(s) else ""
 
 
