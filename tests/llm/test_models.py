@@ -150,3 +150,15 @@ def test_shapes_read_words_whole():
     from threadloom.llm.quality import _shape
 
     assert _shape("é" * 40 + "A1!") == "aA0!" and _shape("x" * 64 + "!" + "9" * 100_000 + "B") == "a!0A" and _shape("") == ""
+
+
+def test_url_counts_are_whole_whatever_the_vocabulary(spark):
+    pages = table(spark, ROOT, "pages").select("url").limit(400)
+    odd = spark.createDataFrame([("http://zyxwvqueue.net/zyxwv/queue",), ("http://zyxwv-casino.net/q/q",), (None,), ("http://zyxwvqueue.net/zyxwv/queue",)], "url string")
+    rows = pages.unionByName(odd)
+    whole, small = fit_urls(rows), fit_urls(rows, vocabulary=5)
+    assert whole.rare_words is None and len(small.words) == len(small.tokens) == 5
+    want, got = (sorted(((r["url"] or "", r["__verdict"], round(r["__score"], 9)) for r in judge_urls(rows, m).collect())) for m in (whole, small))
+    assert got == want
+    again = fit_urls(spark.range(210_000).select(F.format_string("http://a.net/%s", F.translate(F.conv("id", 10, 8), "01234567", "abcdefgh")).alias("url")))
+    assert round(math.exp(again.words["net"]) * again.total) == 210_000 + 50
