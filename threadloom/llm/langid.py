@@ -30,7 +30,7 @@ SYMBOLS = float(1 << 16)
 HIGH = 0.95
 FACTOR = 3.0
 LEAST_MARGIN, LEAST_SPREAD = 0.5, 8.0
-SCARCE = 20.0
+SCARCE = 40.0
 UNKNOWN = "und"
 COEFFICIENTS = np.random.default_rng(20).integers(0, 1 << 63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -260,8 +260,8 @@ def _calibrate(model: Model, seen: pd.DataFrame) -> Model:
         if mine.any():
             model.centre[i] = np.median(own[mine])
             over = own[mine] - model.centre[i]
-            # Few texts say little about the tail: the part of it above m texts falls as 1 / m.
-            model.margin[i] = max(LEAST_MARGIN, FACTOR * _high(over)) + SCARCE / len(over)
+            # Few texts say little about the tail, so the margin widens fast below SCARCE texts.
+            model.margin[i] = max(LEAST_MARGIN, FACTOR * _high(over)) + (SCARCE / len(over)) ** 2
             model.spread[i] = max(LEAST_SPREAD, _high(over * np.sqrt(n[mine])))
     return model
 
