@@ -10,19 +10,55 @@ Key columns must not be null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.session import cut_lineage
+
 BUCKET = "__bucket"
+RANGE_ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
+def range_sorted(df: DataFrame, order: Sequence[str | Column], keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """``df`` range-sorted by ``order`` and written once by ``keep``, with ``__part``, which never decreases along the order, and ``__at``, the row in it.
+
+    Spark draws the bounds of the ranges from the data, so a part has about the
+    same number of rows at every size and under any skew of a leading column, as
+    long as ``order`` tells rows apart. Bounds may differ when a plan runs twice;
+    therefore the rows are kept before anything counts them.
+    """
+    by = _order(order)
+    rows = keep(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    return rows.withColumn("__part", F.shiftright("__at", RANGE_ROW_BITS)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << RANGE_ROW_BITS) - 1)))
+
+
+def range_position(df: DataFrame, order: Sequence[str | Column], name: str = "pos", keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
+    """``df`` with the position of each row in the order of the whole table, from 1.
+
+    One shuffle; the driver gets one count per partition, never rows. Rows that
+    are equal in ``order`` take their positions in any order.
+    """
+    rows = range_sorted(df, order, keep)
+    counts = {r[0]: r[1] for r in rows.groupBy("__part").agg(F.count("*")).collect()}
+    sizes = np.array([counts.get(i, 0) for i in range(max(counts, default=0) + 1)], np.int64)
+    before = F.get(F.lit(np.cumsum(sizes) - sizes), F.col("__part").cast("int"))
+    return rows.withColumn(name, before + F.col("__at") + 1).drop("__part", "__at")
+
+
+def range_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos") -> DataFrame:
+    """Row number per key along ``order``, from 1; a key of any size is spread over as many ranges as it needs."""
+    rows = range_sorted(df, [*keys, *order]).drop("__at")
+    return split_row_number(rows, keys, order, F.col("__part"), name).drop("__part")
+
+
 def split_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "pos"
 ) -> DataFrame:
