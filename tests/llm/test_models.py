@@ -118,7 +118,7 @@ def test_url_model_segments_and_judges(spark):
 
 
 def test_every_operator_has_its_query():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 14))
     assert np.all([callable(q) for q in QUERIES.values()])
 
 

@@ -172,3 +172,93 @@ def register_pipeline() -> None:
 
     if corpus_pipeline.ORACLE_SQL:
         SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query("op11_toxicity")
+def toxicity(spark, sf_dir):
+    from threadloom.llm.toxicity import fit_toxicity, score_toxicity
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held.alias("held_out"), "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held))
+    score = F.col("__score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query(
+    "op12_importance_resampling",
+    r"""
+    WITH w AS (
+      SELECT doc_id, 0 AS side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws,
+        row_number() OVER () AS r
+      FROM documents
+      UNION ALL
+      SELECT NULL, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL
+      FROM benchmark
+    ), t AS (
+      SELECT list_transform(range(256), lambda b: list_reduce([b, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc_table
+    ), f AS (SELECT side, r, unnest(ws) AS word FROM w),
+    v AS (SELECT DISTINCT word FROM f),
+    h AS (
+      SELECT word, xor(list_reduce(
+          list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode(word))), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+          lambda c, b: xor(c // 256, crc_table[CAST(xor(c % 256, b) AS INTEGER) + 1])), 4294967295) % 10000 AS bucket
+      FROM v, t
+    ), c AS (
+      SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM f JOIN h USING (word) GROUP BY bucket
+    ), total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM c),
+    g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM c, total),
+    d AS (SELECT r, count(*) AS n, sum(gain) AS gains FROM f JOIN h USING (word) JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+    x AS (
+      SELECT w.doc_id, coalesce(d.n, 0) AS n_features, CAST(coalesce(floor(d.gains / d.n), 0) AS BIGINT) AS weight,
+        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS hash
+      FROM w LEFT JOIN d USING (r) WHERE w.side = 0
+    ), y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((hash + 0.5) / 4294967296))) AS BIGINT) AS score FROM x),
+    z AS (
+      SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS pos, count(*) FILTER (n_features >= 20) OVER () AS fit FROM y
+    )
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND pos <= 10 * fit // 100 THEN pos END AS rank FROM z
+    """,
+)
+def importance_resampling(spark, sf_dir):
+    from threadloom.llm.resampling import importance_ranks
+
+    ranks = importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+    ), l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+    m AS (
+      SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic, {
+        'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)} AS f
+      FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+    ), k AS (
+      SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails, count(*) AS n
+      FROM m GROUP BY ALL
+    ), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    o AS (
+      SELECT a.c || b.c || e.c || g.c || h.c AS filter_order FROM x a, x b, x e, x g, x h
+      WHERE len(list_distinct([a.c, b.c, e.c, g.c, h.c])) = 5
+    ), s AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM o, (SELECT unnest(range(1, 6))::INTEGER AS step)),
+    r AS (
+      SELECT part, filter_order, step, own, n, good, toxic, list_contains(fails, own) AS failing, len(fails) = 1 AS one, len(list_intersect(fails, before)) > 0 AS gone FROM k, s
+    ), z AS (
+      SELECT part, filter_order, step, own,
+        sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN failing AND one THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN failing AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN failing AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+      FROM r GROUP BY ALL
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM z
+    """,
+)
+def filter_audit(spark, sf_dir):
+    from threadloom.llm.filter_audit import audit_documents
+
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
