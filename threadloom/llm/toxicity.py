@@ -11,11 +11,11 @@ of its shares in both classes, which keeps chance n-grams of a small sample out.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -213,9 +213,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: Column, id_col:
                 names=["id", "y", "r", "w"],
             )
 
-    made: pd.DataFrame = rows.select("id", "text", "y").mapInArrow(featured, "id string, y int, r array<int>, w array<float>").toPandas().sort_values("id")
-    y, part = made["y"].to_numpy().astype(np.float64), np.arange(len(made)) % 5 == 0
-    r, w = list(made["r"]), list(made["w"])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, y, r, w = [], [], [], []
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            y += batch.column(1).to_pylist()
+            for column, out in ((batch.column(2), r), (batch.column(3), w)):
+                out += [column[i].values.to_numpy().copy() for i in range(len(batch))]
+        if ids:
+            order = sorted(range(len(ids)), key=ids.__getitem__)
+            model = _fit_sample([r[i] for i in order], [w[i] for i in order], np.array([y[i] for i in order], np.float64), sizes)
+            yield pa.record_batch([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # The sample is bounded in rows and bytes: one task trains, and the driver gets the model alone.
+    bagged = rows.select("id", "text", "y").mapInArrow(featured, "id string, y int, r array<int>, w array<float>")
+    found = bagged.repartition(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else None
+
+
+def _fit_sample(r: list[np.ndarray], w: list[np.ndarray], y: np.ndarray, sizes: dict[int, int]) -> Model | None:
+    """Trains on four fifths of the sample and calibrates on the rest."""
+    if len(np.unique(y)) < 2:
+        return None
+    part = np.arange(len(y)) % 5 == 0
     if len(np.unique(y[~part])) < 2 or len(np.unique(y[part])) < 2:
         part = np.zeros(len(y), bool)
     fit = np.flatnonzero(~part)
