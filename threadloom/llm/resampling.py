@@ -128,7 +128,8 @@ def importance_ranks(
             yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["id", "n_words", "n_features", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    weighed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(weigh, f"id {kind}, n_words bigint, n_features bigint, weight bigint")
+    # Written before it is ranked: drawing the bounds of the ranges reads the rows once more, and texts should be read once.
+    weighed = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInArrow(weigh, f"id {kind}, n_words bigint, n_features bigint, weight bigint"), "weights")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
