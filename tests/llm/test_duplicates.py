@@ -197,3 +197,16 @@ def test_top_inner_matches_brute_force(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_inner(df, 5, (F.col("vec_id") % 9 == 0) | (F.col("vec_id") == 207), pivots=5).collect()}
     assert got == want and sum(q == 207 for q, _ in got) == 1
     assert top_inner(df.limit(0), 5, F.col("vec_id") % 9 == 0).count() == 0
+
+
+def test_repeats_with_clashing_columns_and_a_batch_size_with_unit(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+        line = "one passage that is well over one hundred bytes long and that is found in both of the documents of this test, word for word. "
+        names = "gone windows __id id x0 x1 c0 s n".split()
+        df = spark.createDataFrame([(1, line, *range(9)), (2, "x" + line, *range(9))], ["doc_id", "text", *names])
+        got = {r["doc_id"]: r for r in drop_repeats(df).collect()}
+        assert got[1]["__n_removed"] == 0 and got[2]["__n_removed"] == len(line) and [got[2][c] for c in names] == list(range(9))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)

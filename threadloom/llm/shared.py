@@ -41,7 +41,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
         # Rows may be very long texts or sets: batches to Python are bounded in bytes, not in rows.
-        if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH)) > BATCH_BYTES:
             spark.conf.set(BATCH, str(BATCH_BYTES))
         atexit.register(self._end)
 

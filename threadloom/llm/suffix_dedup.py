@@ -284,7 +284,8 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     empty; a text below ``length`` bytes stays whole, and so does a row with a
     null id, which takes no part. Rows that repeat an id are one document, so
     they do not remove one another; where their texts differ, what goes from
-    one goes from each. An empty table gives no rows.
+    one goes from each. An empty table gives no rows. Other columns may have any
+    name but those four.
     """
     scratch = Scratch(df.sparkSession, "repeats")
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -341,9 +342,11 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
     found = windows.select("doc_id", F.struct("s", "n").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
     gone = known.where("length(gone) > 0").groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
     cuts = gone.join(found, "doc_id", "full").withColumnRenamed("doc_id", "__id")
-    cut_rows = df.join(cuts, df[id_col].cast("bigint") == F.col("__id"), "left").drop("__id")
     names = df.columns
-    schema = cut_rows.select(*[cut_rows[c] for c in names], (F.lit("") if as_text else F.lit(b"")).alias("__kept"), F.lit(0).cast("bigint").alias("__n_bytes"), F.lit(0).cast("bigint").alias("__n_removed"), F.lit(0).cast("bigint").alias("__n_spans")).schema
+    # The caller's columns go under numbers while they meet the cuts, so no name of theirs can clash.
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    met = plain.join(cuts.toDF("id", "x0", "x1"), F.col(f"c{names.index(id_col)}").cast("bigint") == F.col("id"), "left").drop("id")
+    schema = df.select(*[F.col(f"`{c}`") for c in names], (F.lit("") if as_text else F.lit(b"")).alias("__kept"), F.lit(0).cast("bigint").alias("__n_bytes"), F.lit(0).cast("bigint").alias("__n_removed"), F.lit(0).cast("bigint").alias("__n_spans")).schema
     at = names.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +366,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
             out = [*batch.columns[: len(names)], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
-    return cut_rows.select(*[cut_rows[c] for c in names], "gone", "windows").mapInArrow(cut, schema)
+    return met.select(*plain.columns, "x0", "x1").mapInArrow(cut, schema)
 
 
 def _in_chunks(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
