@@ -22,7 +22,6 @@ GESTURE_TAIL_US = 250_000
 INPUT_BACK_US = 400_000
 HOVER_GAP_US = 4_000
 DRAG_TAIL_US = 6_000_000
-LONG_TASK_US = 50_000
 
 
 def zoom_band(zoom: Column) -> Column:
@@ -122,25 +121,6 @@ def latency_summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFra
     return picks.join(_median(spread, keys, "__off", "mad"), list(keys))
 
 
-def trace_category_time(events: DataFrame, start: int, end: int, bucket_us: int = HOUR_US) -> DataFrame:
-    """Self time per (thread, category) of nested trace events (thread, uid, category, at, dur) clipped to a window.
-
-    The direct parent of an event is the enclosing event that starts last. It
-    is found through time buckets; self time is own time less direct children.
-    """
-    lo, hi = F.greatest("at", F.lit(start)), F.least(F.col("at") + F.col("dur"), F.lit(end))
-    clipped = events.withColumn("c0", lo).withColumn("c1", hi).where("c1 > c0").select("thread", "uid", "category", "c0", "c1")
-    cell = lambda c: F.floor(c / bucket_us)
-    outer = clipped.select("thread", F.col("uid").alias("p_uid"), F.col("c0").alias("p0"), F.col("c1").alias("p1"), F.explode(F.sequence(cell(F.col("c0")), cell(F.col("c1")))).alias("cell"))
-    around = clipped.withColumn("cell", cell(F.col("c0"))).join(outer, ["thread", "cell"])
-    longer = F.col("p1") - F.col("p0") > F.col("c1") - F.col("c0")
-    around = around.where((F.col("p0") <= F.col("c0")) & (F.col("p1") >= F.col("c1")) & longer)
-    parent = around.groupBy("thread", "uid", "c0", "c1").agg(F.max(F.struct("p0", (-F.col("p1")).alias("e"), "p_uid"))["p_uid"].alias("p_uid"))
-    inner = parent.groupBy("thread", F.col("p_uid").alias("uid")).agg(F.sum(F.col("c1") - F.col("c0")).alias("inner"))
-    own = clipped.join(inner, ["thread", "uid"], "left").withColumn("self", F.col("c1") - F.col("c0") - F.coalesce("inner", F.lit(0)))
-    return own.groupBy("thread", "category").agg(F.sum("self").alias("self_us"), F.count_if(F.col("c1") - F.col("c0") >= LONG_TASK_US).alias("long_tasks"), F.count("*").alias("n"))
-
-
 def newest_per_scenario(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Latest line (at, uid, metrics map) per scenario."""
     return lines.groupBy(*keys).agg(F.max(F.struct("at", "uid", F.map_entries("metrics").alias("m"))).alias("x")).select(

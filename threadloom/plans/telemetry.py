@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions.windows import range_row_number
 from threadloom.operators import telemetry as op
+from threadloom.operators import traces
 from threadloom.plans.aggregates import micros
 from threadloom.plans.base import query
 
@@ -97,24 +99,67 @@ def _(t):
     return op.latency_summary(t.events.select("event_type", "value"), ["event_type"], "value")
 
 
+# A task per event, touching or ending before the next event of its thread, holds a script span, that a layout span, and that a span without category;
+# a paint span of the middle begins inside the script span and outlasts it.
+SHAPE = {"click": "FunctionCall", "view": "UpdateLayoutTree", "purchase": "Paint", "signup": "MinorGC.1", "error": "FunctionCall"}
+TRACE_SQL = """
+WITH x AS (SELECT user_id AS thread, event_id AS uid, event_type AS k, epoch_us(ts) AS s, least(1000 + round(coalesce(value, 0) * 1000)::BIGINT, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts), 1000)) AS d,
+  epoch_us(TIMESTAMP '2024-01-05') AS lo, epoch_us(TIMESTAMP '2024-01-20') AS hi FROM events),
+ r AS (SELECT thread, uid, 0 AS lvl, 'other' AS category, s, s + d AS f, lo, hi FROM x
+  UNION ALL SELECT thread, uid, 1, CASE k WHEN 'click' THEN 'script' WHEN 'error' THEN 'script' WHEN 'view' THEN 'style' WHEN 'purchase' THEN 'paint' ELSE 'gc' END, s + d // 4, s + d // 4 + d // 2, lo, hi FROM x
+  UNION ALL SELECT thread, uid, 2, 'layout', s + d // 4, s + d // 4 + d // 4, lo, hi FROM x
+  UNION ALL SELECT thread, uid, 3, 'other', s + d // 4 + d // 2 - d // 8, s + d // 4 + d // 2, lo, hi FROM x),
+ c AS (SELECT thread, uid, lvl, category, greatest(s, lo) AS c0, least(f, hi) AS c1 FROM r WHERE least(f, hi) > greatest(s, lo)),
+ w AS (SELECT c.*, c1 - c0 - coalesce((SELECT sum(i.c1 - i.c0) FROM c i WHERE i.thread = c.thread AND i.uid = c.uid AND ((c.lvl = 0 AND i.lvl = 1) OR (c.lvl = 1 AND i.lvl IN (2, 3)))), 0) AS self,
+  EXISTS (SELECT 1 FROM c i WHERE i.thread = c.thread AND i.uid = c.uid AND c.lvl > 1 AND i.lvl = 1 AND i.category = 'script') AS forced FROM c)
+"""
+
+
+def trace(t):
+    at = micros("ts")
+    rows = range_row_number(t.events.select(F.col("user_id").alias("thread"), F.col("event_id").alias("uid"), F.col("event_type").alias("k"), "value", at.alias("at")), ["thread"], ["at", "uid"], "i")
+    following = rows.select("thread", (F.col("i") - 1).alias("i"), F.col("at").alias("next"))
+    met = rows.join(following, ["thread", "i"], "left")
+    d = F.least(F.lit(1000) + F.round(F.coalesce("value", F.lit(0.0)) * 1000).cast("long"), F.coalesce(F.col("next") - F.col("at"), F.lit(1000)))
+    base = met.withColumn("d", d)
+    part = lambda k: F.floor(F.col("d") / k)
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in SHAPE.items() for x in kv]), F.col("k"))
+    span = lambda lvl, n, s, dur: F.struct((F.col("uid") * 4 + lvl).alias("uid"), n.alias("name"), s.alias("at"), dur.alias("dur"))
+    spans = F.array(
+        span(0, F.lit("RunTask"), F.col("at"), F.col("d")), span(1, name, F.col("at") + part(4), part(2)), span(2, F.lit("Layout"), F.col("at") + part(4), part(4)),
+        # the last one is longer than what it lies in, so it is cut to it
+        span(3, F.lit("Unknown"), F.col("at") + part(4) + part(2) - part(8), part(8) + F.floor(part(4) / 2)),
+    )
+    return base.select("thread", F.inline(spans))
+
+
+WINDOW = (1_704_412_800_000_000, 1_705_708_800_000_000)
+
+
 @query(
     "trace_category_time",
-    """
-WITH x AS (SELECT user_id AS thread, event_type AS category, epoch_us(ts) AS s, least(round(value * 1000)::BIGINT, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) - epoch_us(ts), 1000)) AS dur, epoch_us(TIMESTAMP '2024-01-05') AS lo, epoch_us(TIMESTAMP '2024-01-20') AS hi FROM events),
- a AS (SELECT thread, category, greatest(s, lo) AS c0, least(s + dur, hi) AS c1, greatest(s + dur // 4, lo) AS i0, least(s + dur // 4 + dur // 2, hi) AS i1 FROM x),
- o AS (SELECT thread, category, CASE WHEN i1 > i0 AND i1 - i0 < c1 - c0 THEN c1 - c0 - (i1 - i0) ELSE c1 - c0 END AS self, c1 - c0 AS w FROM a WHERE c1 > c0 UNION ALL SELECT thread, concat('in ', category), i1 - i0, i1 - i0 FROM a WHERE i1 > i0)
-SELECT thread, category, sum(self)::BIGINT AS self_us, count(*) FILTER (w >= 50000) AS long_tasks, count(*) AS n FROM o GROUP BY 1, 2""",
+    TRACE_SQL
+    + """SELECT thread, category, sum(self)::BIGINT AS self_us, sum(CASE WHEN category IN ('style', 'layout') AND forced THEN self ELSE 0 END)::BIGINT AS forced_us, count(*) AS n FROM w GROUP BY 1, 2
+UNION ALL SELECT thread, 'idle', 1296000000000 - sum(CASE WHEN lvl = 0 THEN c1 - c0 ELSE 0 END)::BIGINT, 0, count(*) FILTER (lvl = 0) FROM w GROUP BY 1""",
 )
 def _(t):
-    from pyspark.sql.window import Window
+    return traces.trace_category_time(trace(t), *WINDOW)
 
-    at = micros("ts")
-    nxt = F.lead(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    dur = F.least(F.round(F.col("value") * 1000).cast("long"), F.coalesce(nxt - at, F.lit(1000)))
-    base = t.events.select(F.col("user_id").alias("thread"), F.col("event_id").alias("uid"), F.col("event_type").alias("category"), at.alias("at"), dur.alias("dur"))
-    part = lambda k: F.floor(F.col("dur") / k)
-    inner = base.select("thread", (-F.col("uid") - 1).alias("uid"), F.concat(F.lit("in "), "category").alias("category"), (F.col("at") + part(4)).alias("at"), part(2).alias("dur"))
-    return op.trace_category_time(base.unionByName(inner), 1_704_412_800_000_000, 1_705_708_800_000_000)
+
+@query("long_tasks", TRACE_SQL + """SELECT thread, uid * 4 AS uid, c0 - 1704412800000000 AS st, c1 - c0 AS d FROM w WHERE lvl = 0 AND c1 - c0 >= 50000""")
+def _(t):
+    return traces.long_tasks(trace(t), *WINDOW)
+
+
+@query(
+    "selector_totals",
+    """SELECT concat('.', event_type, ' > #', user_id % 7) AS selector, sum(round(value * 1000)::BIGINT)::BIGINT AS us, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS attempts, sum(json_extract_string(props, '$.k')::BIGINT // 3)::BIGINT AS matches FROM events GROUP BY 1""",
+)
+def _(t):
+    k = F.expr(K).cast("long")
+    return traces.selector_totals(
+        t.events.select(F.concat(F.lit("."), "event_type", F.lit(" > #"), (F.col("user_id") % 7).cast("string")).alias("selector"), F.round(F.col("value") * 1000).cast("long").alias("us"), k.alias("attempts"), F.floor(k / 3).alias("matches"))
+    )
 
 
 def scenario_lines(t):
