@@ -54,9 +54,16 @@ def range_position(df: DataFrame, order: Sequence[str | Column], name: str = "po
 
 
 def range_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos") -> DataFrame:
-    """Row number per key along ``order``, from 1; a key of any size is spread over as many ranges as it needs."""
-    rows = range_sorted(df, [*keys, *order]).drop("__at")
-    return split_row_number(rows, keys, order, F.col("__part"), name).drop("__part")
+    """Row number per key along ``order``, from 1; a key of any size is spread over as many ranges as it needs. Null is a key."""
+    rows = range_sorted(df, [*keys, *order])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at")))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(offsets, same).select(*df.columns, (F.col("__rn") + F.col("__off")).alias(name))
 
 
 def split_row_number(
@@ -127,10 +134,15 @@ def split_last_known(
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], k: int | None, name: str = "pos") -> DataFrame:
-    """First ``k`` rows per key, or all of them numbered. The rank filter lets Spark cut each map task to ``k`` rows before the shuffle."""
+    """First ``k`` rows per key, or all of them numbered.
+
+    The rank filter lets Spark cut each map task to ``k`` rows before the
+    shuffle; without ``k`` the key is split into ranges.
+    """
+    if k is None:
+        return range_row_number(df, keys, order, name)
     w = Window.partitionBy(*keys).orderBy(*_order(order))
-    ranked = df.withColumn(name, F.row_number().over(w))
-    return ranked if k is None else ranked.where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)
 
 
 def pick_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:

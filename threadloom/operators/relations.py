@@ -182,47 +182,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _tokens(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^A-Za-z0-9]+"), lambda x: x != ""))
-
-
-def unlinked_mentions(texts: DataFrame, titles: DataFrame) -> DataFrame:
-    """(uid, title_uid): the text holds the title as whole words outside a link.
-
-    Title and text meet on the title's longest word (short words would join
-    with every text); only those candidates get the exact check on the whole
-    text. Titles that are days or under four characters do not count.
-    """
-    usable = titles.where((F.length(F.trim("title")) >= 4) & ~F.trim("title").rlike(r"^[A-Z][a-z]+ \d{1,2}(?:st|nd|rd|th), \d{4}$"))
-    longest = F.element_at(F.array_sort(F.transform(_tokens(F.col("title")), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)["w"]
-    keyed = usable.select(F.col("uid").alias("title_uid"), "title", longest.alias("word")).where(F.col("word").isNotNull())
-    words = texts.select("uid", F.explode(_tokens(F.col("text"))).alias("word"))
-    near = words.join(keyed, "word").join(texts, "uid").where(F.col("uid") != F.col("title_uid"))
-    bare = F.regexp_replace("text", r"\[\[[^\]]*\]\]", "[[]]")
-    pattern = F.concat(F.lit(r"(?iu)(^|[^A-Za-z0-9])\Q"), F.col("title"), F.lit(r"\E($|[^A-Za-z0-9])"))
-    return near.where(F.regexp_like(bare, pattern)).select("uid", "title_uid", "title")
-
-
 def suggest_pairs(
-    cards: DataFrame, names: DataFrame, existing: DataFrame, dismissed: DataFrame, limit: int | None = None, cap: int | None = None
+    cards: DataFrame, names: DataFrame, existing: DataFrame, dismissed: DataFrame, limit: int | None = None, cap: int | None = None, mentions: DataFrame | None = None
 ) -> DataFrame:
-    """Unlinked card pairs of a board that share a name, numbered best first.
-
-    No board is refused. With ``limit`` boards of more cards are left out (they
-    are in ``too_many``), and with ``cap`` a board keeps its first pairs. The
-    pairs are the result, so their number sets the cost.
+    """Unlinked card pairs of a board that share a name (score 2) or of which one names the other without a link (1), best first.
+
+    ``mentions`` (uid, title_uid, title) come from ``unlinked_mentions``. The
+    strongest reason of a pair stays: the least shared name, else the title that
+    the smaller uid mentions, else the other's. No board is refused. With
+    ``limit`` boards of more cards are left out (they are in ``too_many``), and
+    with ``cap`` a board keeps its first pairs. The pairs are the result, so
+    their number sets the cost.
     """
     rows = names.select("board", "uid", "name").distinct()
+    members = cards.select("board", "uid").distinct()
     if limit is not None:
-        size = cards.groupBy("board").agg(F.count_distinct("uid").alias("n"))
-        rows = rows.join(size.where(F.col("n") <= limit).select("board"), "board", "left_semi")
+        small = members.groupBy("board").agg(F.count("*").alias("n")).where(F.col("n") <= limit).select("board")
+        rows, members = rows.join(small, "board", "left_semi"), members.join(small, "board", "left_semi")
     a, b = rows.withColumnRenamed("uid", "a"), rows.withColumnRenamed("uid", "b")
-    found = a.join(b, ["board", "name"]).where("a < b").groupBy("board", "a", "b").agg(F.min("name").alias("reason"))
+    found = a.join(b, ["board", "name"]).where("a < b").groupBy("board", "a", "b").agg(F.min("name").cast("string").alias("reason"), F.lit(2).alias("score"))
+    if mentions is not None:
+        named = mentions.join(members, "uid").join(members.withColumnRenamed("uid", "title_uid"), ["board", "title_uid"]).where("uid <> title_uid")
+        first = F.min_by("title", F.struct("uid", (-F.length("title")).alias("l"), "title"))
+        weak = named.groupBy("board", F.least("uid", "title_uid").alias("a"), F.greatest("uid", "title_uid").alias("b")).agg(first.alias("reason"), F.lit(1).alias("score"))
+        found = found.unionByName(weak.join(found, ["board", "a", "b"], "left_anti"))
     for known in (existing, dismissed):
         pair = known.select("board", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = found.join(pair, ["board", "a", "b"], "left_anti")
-    found = found.withColumn("score", F.lit(2))
-    return top_per_key(found, ["board"], ["a", "b"], cap)
+    return top_per_key(found, ["board"], [F.col("score").desc(), "a", "b"], cap)
 
 
 def too_many(cards: DataFrame, limit: int) -> DataFrame:

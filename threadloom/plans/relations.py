@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.operators import mentions
 from threadloom.operators import relations as op
 from threadloom.operators.extraction import closure_of_levels
 from threadloom.plans.base import query
@@ -225,23 +226,34 @@ def _(t):
     sentences = F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(". ")), r"\. "))
     titles = t.benchmark.select(sentences.alias("s")).select(F.expr("trim(BOTH ' .' FROM s)").alias("title")).distinct()
     texts = t.documents.select(F.col("doc_id").cast("string").alias("uid"), "text")
-    out = op.unlinked_mentions(texts, titles.select(F.col("title").alias("uid"), "title"))
-    return out.withColumn("uid", F.col("uid").cast("long"))
+    out = mentions.unlinked_mentions(texts, titles.select(F.col("title").alias("uid"), "title"))
+    return out.select(F.col("uid").cast("long").alias("uid"), "title_uid", F.col("title_uid").alias("title"))
 
 
 @query(
     "suggest_pairs",
-    """
+    r"""
 WITH n AS (SELECT DISTINCT s_nationkey AS board, s_suppkey AS uid, l_partkey AS name FROM supplier JOIN lineitem ON l_suppkey = s_suppkey),
- p AS (SELECT board, x.uid AS a, y.uid AS b, min(name) AS reason FROM n x JOIN n y USING (board, name) WHERE x.uid < y.uid GROUP BY 1, 2, 3),
- o AS (SELECT s_nationkey AS board, min(s_suppkey) AS a, max(s_suppkey) AS b FROM supplier GROUP BY 1)
-SELECT * FROM (SELECT *, 2 AS score, row_number() OVER (PARTITION BY board ORDER BY a, b) AS pos FROM p WHERE (board, a, b) NOT IN (SELECT (board, a, b) FROM o))""",
+ p AS (SELECT board, x.uid AS a, y.uid AS b, min(name)::VARCHAR AS reason, 2 AS score FROM n x JOIN n y USING (board, name) WHERE x.uid < y.uid GROUP BY 1, 2, 3),
+ o AS (SELECT s_nationkey AS board, min(s_suppkey) AS a, max(s_suppkey) AS b FROM supplier GROUP BY 1),
+ t AS (SELECT s_nationkey AS board, s_suppkey AS uid, s_name AS title, regexp_replace(concat('Like ', lower(lag(s_name, 1) OVER w), ', not [[', lag(s_name, 2) OVER w, ']]; x', lag(s_name, 3) OVER w, ' or ', lag(s_name, 4) OVER w, '.'), '\[\[[^\]]*\]\]', '[[]]', 'g') AS text
+  FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+ m AS (SELECT x.board, least(x.uid, y.uid) AS a, greatest(x.uid, y.uid) AS b, arg_min(y.title, (x.uid, y.title)) AS reason, 1 AS score FROM t x JOIN t y ON x.board = y.board AND x.uid <> y.uid
+   AND regexp_matches(x.text, '(?i)(^|[^A-Za-z0-9])\Q' || y.title || '\E($|[^A-Za-z0-9])') GROUP BY 1, 2, 3),
+ u AS (SELECT * FROM p UNION ALL SELECT * FROM m WHERE (board, a, b) NOT IN (SELECT (board, a, b) FROM p))
+SELECT *, row_number() OVER (PARTITION BY board ORDER BY score DESC, a, b) AS pos FROM u WHERE (board, a, b) NOT IN (SELECT (board, a, b) FROM o)""",
 )
 def _(t):
+    from pyspark.sql.window import Window
+
     cards = t.supplier.select(F.col("s_nationkey").alias("board"), F.col("s_suppkey").alias("uid"))
     names = cards.join(t.lineitem, F.col("uid") == F.col("l_suppkey")).select("board", "uid", F.col("l_partkey").alias("name"))
     ends = cards.groupBy("board").agg(F.max("uid").alias("a"), F.min("uid").alias("b"))
-    return op.suggest_pairs(cards, names, ends, ends.limit(0))
+    near = lambda k: F.coalesce(F.lag("s_name", k).over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")), F.lit(""))
+    text = F.concat(F.lit("Like "), F.lower(near(1)), F.lit(", not [["), near(2), F.lit("]]; x"), near(3), F.lit(" or "), near(4), F.lit("."))
+    named = mentions.unlinked_mentions(t.supplier.select(F.col("s_suppkey").alias("uid"), text.alias("text")), t.supplier.select(F.col("s_suppkey").alias("uid"), F.col("s_name").alias("title")))
+    titled = named.join(t.supplier.select(F.col("s_suppkey").alias("title_uid"), F.col("s_name").alias("title")), "title_uid")
+    return op.suggest_pairs(cards, names, ends, ends.limit(0), mentions=titled)
 
 
 FOLLOWS_SQL = "SELECT o_custkey AS board, max(struct_pack(p := l_extendedprice, k := l_partkey)).k AS follows FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"
