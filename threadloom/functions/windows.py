@@ -53,6 +53,14 @@ def range_position(df: DataFrame, order: Sequence[str | Column], name: str = "po
     return rows.withColumn(name, before + F.col("__at") + 1).drop("__part", "__at")
 
 
+def positioned(df: DataFrame, order: Sequence[str | Column], limit: int | None = None, name: str = "pos") -> DataFrame:
+    """``df`` with its position along ``order``; with ``limit`` each task keeps only its own first rows."""
+    if limit is None:
+        return range_position(df, order, name)
+    by = _order(order)
+    return df.orderBy(*by).limit(limit).withColumn(name, F.row_number().over(Window.orderBy(*by)))
+
+
 def range_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "pos") -> DataFrame:
     """Row number per key along ``order``, from 1; a key of any size is spread over as many ranges as it needs. Null is a key."""
     rows = range_sorted(df, [*keys, *order])

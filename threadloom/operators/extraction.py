@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import markup as m
-from threadloom.functions.windows import split_row_number
+from threadloom.functions.windows import range_position, split_row_number
 from threadloom.session import cut_lineage
 
 
@@ -136,13 +136,9 @@ def closure_of_edges(parents: DataFrame, max_depth: int = 100) -> DataFrame:
     return out
 
 
-def outline_order(nodes: DataFrame, prefix: int) -> DataFrame:
-    """Depth-first position of nodes that carry ``path``, the padded sibling orders from the root down.
-
-    ``prefix`` characters of the path form the split bucket: paths sort as text,
-    so a prefix never decreases and no task holds more than one prefix.
-    """
-    return split_row_number(nodes, [], ["path"], F.substring("path", 1, prefix), "pos")
+def outline_order(nodes: DataFrame) -> DataFrame:
+    """Depth-first position of nodes that carry ``path``, the padded sibling orders from the root down; paths sort as text."""
+    return range_position(nodes, ["path"])
 
 
 def reading_order(items: DataFrame, band: int = 200) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.markup import query_terms
+from threadloom.functions.windows import positioned, range_position
 
 # Limits of the reference query.
 BETWEEN_DAYS = 31
@@ -92,19 +93,19 @@ def ref_query(refs: DataFrame, tree) -> DataFrame:
 def query_rows(refs: DataFrame, tree, nodes: DataFrame, exclude: DataFrame | None = None, cap: int | None = None) -> DataFrame:
     """Hits of a query: excluded uids dropped, newest edit first then uid, with total and text.
 
-    Only the kept rows are joined to texts. The total is one aggregate joined
-    back, not a window over all rows.
+    Hits meet the texts once; the total is the last position of all hits, or with
+    ``cap`` a count of the timed hits, and never a window over all rows.
     """
     hits = ref_query(refs, tree)
     if exclude is not None:
         hits = hits.join(exclude.select("src"), "src", "left_anti")
     timed = hits.join(nodes, hits["src"] == nodes["uid"]).drop("src")
-    total = timed.agg(F.count("*").alias("total"))
-    top = timed.orderBy(F.col("edited").desc(), "uid")
-    if cap is not None:
-        top = top.limit(cap)
-    shown = top.join(total, F.lit(True))
-    return shown.withColumn("partial", F.col("total") > cap if cap is not None else F.lit(False))
+    order = [F.col("edited").desc(), "uid"]
+    if cap is None:
+        shown = range_position(timed, order)
+        return shown.join(shown.agg(F.max("pos").alias("total")), F.lit(True)).withColumn("partial", F.lit(False))
+    shown = positioned(timed, order, cap)
+    return shown.join(timed.agg(F.count("*").alias("total")), F.lit(True)).withColumn("partial", F.col("total") > cap)
 
 
 def ref_leaf_hits(refs: DataFrame, leaves: DataFrame, children: DataFrame, on_page: DataFrame) -> DataFrame:
@@ -166,8 +167,7 @@ def browse(
         out = out.where(F.col(by) > now_ms - window * 86_400_000)
     if created_by:
         out = out.where(F.lower("created_by") == created_by.lower())
-    out = out.orderBy(F.col(by).desc_nulls_last(), "uid")
-    return out if limit is None else out.limit(limit)
+    return positioned(out, [F.col(by).desc_nulls_last(), "uid"], limit)
 
 
 def library_search(parts: list[DataFrame], text: str, limit: int | None = None) -> DataFrame:
@@ -175,8 +175,8 @@ def library_search(parts: list[DataFrame], text: str, limit: int | None = None)
     terms = query_terms(text)
     rows = reduce(DataFrame.unionByName, [library_filter(p, text=text) for p in parts]).dropDuplicates(["kind", "uid"])
     starts = F.col("lower").startswith(terms[0]) if terms else F.lit(False)
-    out = rows.orderBy(starts.desc(), F.length("title"), "kind", "uid").select("kind", "uid", "title")
-    return out if limit is None else out.limit(limit)
+    ranked = rows.select("kind", "uid", "title", starts.alias("__starts"))
+    return positioned(ranked, [F.desc("__starts"), F.length("title"), "kind", "uid"], limit).drop("__starts")
 
 
 def search_titles(pages: DataFrame, text: str, limit: int | None = None) -> DataFrame:
@@ -184,8 +184,7 @@ def search_titles(pages: DataFrame, text: str, limit: int | None = None) -> Data
     needle = text.lower()
     low = F.lower("title")
     hits = pages.where(low.contains(needle)).withColumn("prefix", low.startswith(needle))
-    out = hits.orderBy(F.col("prefix").desc(), F.length("title"), low, "uid")
-    return out if limit is None else out.limit(limit)
+    return positioned(hits, [F.col("prefix").desc(), F.length("title"), low, "uid"], limit)
 
 
 def orphans(items: DataFrame, under_board: DataFrame, cited_on_board: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.windows import split_last_known, split_row_number, top_per_key
+from threadloom.functions.windows import positioned, split_last_known, split_row_number, top_per_key
 
 # Caps of the lists.
 PER_PAGE = 2
@@ -41,22 +41,14 @@ def sort_keys(sort: str) -> list[Column]:
 
 
 def sort_rows(rows: DataFrame, sort: str, limit: int | None = None) -> DataFrame:
-    """Range-partitioned sort; with a limit each task keeps only its own top rows."""
-    out = rows.orderBy(*sort_keys(sort))
-    return out if limit is None else out.limit(limit)
-
-
-def positions(rows: DataFrame, sort: str, bucket: Column) -> DataFrame:
-    """Sorted position of every row. ``bucket`` must rise along the sort, nulls in the last bucket."""
-    return split_row_number(rows, [], sort_keys(sort), bucket, "pos")
+    """Rows with their position ``pos`` in one of the eight sorts."""
+    return positioned(rows, sort_keys(sort), limit)
 
 
 def semantic_candidates(hits: DataFrame, per_page: int = PER_PAGE, limit: int | None = None) -> DataFrame:
-    """Ranked hits (uid, page, rank) once per uid, at most ``per_page`` per page, best first."""
+    """Ranked hits (uid, page, rank) once per uid, at most ``per_page`` per page: ``pos`` on the page, ``place`` over all."""
     once = hits.groupBy("uid", "page").agg(F.min("rank").alias("rank"))
-    kept = top_per_key(once, ["page"], ["rank", "uid"], per_page)
-    out = kept.orderBy("rank", "uid")
-    return out if limit is None else out.limit(limit)
+    return positioned(top_per_key(once, ["page"], ["rank", "uid"], per_page), ["rank", "uid"], limit, "place")
 
 
 def heading_assign(blocks: DataFrame) -> DataFrame:
@@ -77,21 +69,15 @@ def journal_window(blocks: DataFrame, last_day: str, days: int, cap: int | None
 def inbox(entries: DataFrame, on_board: DataFrame, cap: int | None = None) -> DataFrame:
     """Blocks (uid, day, time) that cite the board from daily pages and are not on it, newest first."""
     fresh = entries.where(F.col("day").isNotNull()).groupBy("uid").agg(F.max("day").alias("day"), F.max("time").alias("time"))
-    out = fresh.join(on_board.select("uid"), "uid", "left_anti").orderBy(F.col("time").desc(), F.col("day").desc(), "uid")
-    return out if cap is None else out.limit(cap)
+    out = fresh.join(on_board.select("uid"), "uid", "left_anti")
+    return positioned(out, [F.col("time").desc(), F.col("day").desc(), "uid"], cap)
 
 
 def arrivals(pending: DataFrame, placed: DataFrame, allowance: int) -> DataFrame:
-    """Pending items (owner, uid, ord) shown now: the allowance less what the visit already placed; the rest waits."""
+    """Pending items (owner, uid, ord) numbered; ``shown`` are those within the allowance less what the visit already placed, the rest waits."""
     used = placed.groupBy("owner").agg(F.count("*").alias("used"))
-    total = pending.groupBy("owner").agg(F.count("*").alias("total"))
-    room = total.join(used, "owner", "left").select(
-        "owner", F.greatest(F.lit(0), F.lit(allowance) - F.coalesce("used", F.lit(0))).alias("room"), "total"
-    )
-    first = top_per_key(pending, ["owner"], ["ord", "uid"], allowance)
-    return first.join(room, "owner").where(F.col("pos") <= F.col("room")).select(
-        "owner", "uid", "pos", (F.col("total") - F.least("total", "room")).alias("waiting")
-    )
+    numbered = top_per_key(pending, ["owner"], ["ord", "uid"], None)
+    return numbered.join(used, "owner", "left").select("owner", "uid", "pos", (F.col("pos") <= F.greatest(F.lit(0), F.lit(allowance) - F.coalesce("used", F.lit(0)))).alias("shown"))
 
 
 def walk_stops(landmarks: DataFrame, items: DataFrame, half_w: float, half_h: float, band: int = 200) -> DataFrame:
@@ -122,11 +108,12 @@ def footnote_numbers(refs: DataFrame, defs: DataFrame, cap: int | None = None) -
 
 
 def merge_semantic(keyword: DataFrame, semantic: DataFrame, limit: int | None = None) -> DataFrame:
-    """Keyword rows, then semantic rows (uid, rank) not already shown (the best ``limit``, if given)."""
+    """Keyword rows, then semantic rows (uid, rank) not already shown (the best ``limit``, if given), in one order ``pos``."""
     extra = semantic.join(keyword.select("uid"), "uid", "left_anti").groupBy("uid").agg(F.min("rank").alias("rank"))
     if limit is not None:
         extra = extra.orderBy("rank", "uid").limit(limit)
-    return keyword.select("uid", "rank", F.lit(False).alias("semantic")).unionByName(extra.select("uid", "rank", F.lit(True).alias("semantic")))
+    both = keyword.select("uid", "rank", F.lit(False).alias("semantic")).unionByName(extra.select("uid", "rank", F.lit(True).alias("semantic")))
+    return positioned(both, ["semantic", "rank", "uid"])
 
 
 def fill_free_pages(paid: DataFrame, free: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.session import cut_lineage
-from threadloom.functions.windows import split_row_number, split_running_sum, top_per_key
+from threadloom.functions.windows import positioned, range_position, split_running_sum, top_per_key
 
 # Ranking constants and the words left out of ranking.
 K1, B = 1.2, 0.75
@@ -170,7 +170,7 @@ def find_on_board(items: DataFrame, edges: DataFrame, nested: DataFrame, needle:
     return rows.unionByName(lines).unionByName(inner)
 
 
-def bm25_rank(docs: DataFrame, queries: DataFrame, limit: int | None = 10) -> DataFrame:
+def bm25_rank(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
     """BM25 of documents (doc, text) for queries (query, text), scores rounded to six places."""
     cut = docs.select("doc", F.inline(F.array(F.struct(tokens(F.col("text")).alias("t")))))
     stats = cut.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
@@ -186,7 +186,7 @@ def bm25_rank(docs: DataFrame, queries: DataFrame, limit: int | None = 10) -> Da
     weight = idf * (F.col("f") * (K1 + 1)) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weighted = tf.join(df, "token").join(stats, F.lit(True)).select("doc", "token", weight.alias("w"))
     scores = weighted.join(asked, "token").groupBy("query", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
-    return scores if limit is None else top_per_key(scores, ["query"], [F.col("score").desc(), "doc"], limit)
+    return top_per_key(scores, ["query"], [F.col("score").desc(), "doc"], limit)
 
 
 def context_pack(ranked: DataFrame, budget: int) -> DataFrame:
@@ -237,10 +237,10 @@ def nearest_vectors(items: DataFrame, source: DataFrame, k: int | None = 10, ski
     if k is not None:
         top = scored.orderBy(F.col("score").desc(), "uid").limit(k)
         return top_per_key(top.withColumn("__q", F.lit(0)), ["__q"], [F.col("score").desc(), "uid"], k).drop("__q")
-    return split_row_number(scored, [], [F.col("score").desc(), "uid"], -F.floor(F.col("score") * 1000), "pos")
+    return range_position(scored, [F.col("score").desc(), "uid"])
 
 
-def search_images(images: DataFrame, palette: DataFrame, terms: Sequence[str], colors: dict[str, tuple[float, float, float]], limit: int | None = 40) -> DataFrame:
+def search_images(images: DataFrame, palette: DataFrame, terms: Sequence[str], colors: dict[str, tuple[float, float, float]], limit: int | None = None) -> DataFrame:
     """Images (key, hay, seq) whose palette comes close to every colour and whose text holds every word.
 
     A palette entry scores its weight times its closeness to the colour in
@@ -264,8 +264,7 @@ def search_images(images: DataFrame, palette: DataFrame, terms: Sequence[str], c
         hits = hits.join(best.select("key", F.round(total, 6).alias("score")), "key")
     else:
         hits = hits.withColumn("score", F.lit(0.0))
-    out = hits.orderBy(F.col("score").desc(), "seq").select("key", "score")
-    return out if limit is None else out.limit(limit)
+    return positioned(hits, [F.col("score").desc(), "seq"], limit).select("key", "score", "pos")
 
 
 def identity_match(idents: DataFrame, terms: Sequence[str]) -> DataFrame:

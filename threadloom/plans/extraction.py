@@ -302,7 +302,7 @@ def tree_paths(t):
 
 @query("outline_order", f"SELECT uid, depth, path, row_number() OVER (ORDER BY path) AS pos FROM ({PATHS})")
 def _(t):
-    return op.outline_order(tree_paths(t), prefix=20)
+    return op.outline_order(tree_paths(t))
 
 
 @query(

@@ -40,7 +40,7 @@ def _(t):
     f"""
 WITH h AS ({HITS_SQL}), r AS (SELECT o_orderkey AS uid, o_orderpriority AS text, c_name AS crumb, epoch_ms(o_orderdate) AS edited
   FROM h JOIN orders ON src = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
-SELECT *, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) < 0 AS partial FROM r""",
+SELECT *, row_number() OVER (ORDER BY edited DESC, uid) AS pos, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) < 0 AS partial FROM r""",
 )
 def _(t):
     nodes = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -116,7 +116,7 @@ def _(t):
 @query(
     "browse",
     """
-SELECT event_id AS uid, event_type AS kind, epoch_us(ts) // 1000 AS edited FROM events WHERE event_type IN ('click', 'purchase')
+SELECT event_id AS uid, event_type AS kind, epoch_us(ts) // 1000 AS edited, row_number() OVER (ORDER BY epoch_us(ts) // 1000 DESC, event_id) AS pos FROM events WHERE event_type IN ('click', 'purchase')
   AND epoch_us(ts) // 1000 > 1705500000000 - 10 * 86400000::BIGINT AND user_id = 8""",
 )
 def _(t):
@@ -135,7 +135,7 @@ def _(t):
 WITH r AS (SELECT 'doc' AS kind, doc_id::VARCHAR AS uid, concat(source, ' ', lang) AS title, lower(text) AS low FROM documents
  UNION ALL SELECT 'page', page_id::VARCHAR, url, lower(html) FROM pages
  UNION ALL SELECT 'talk', concat(conv_id, '-', turn), role, lower(text) FROM conversations)
-SELECT kind, uid, title FROM r WHERE contains(low, 'tion') AND contains(low, 'the')""",
+SELECT kind, uid, title, row_number() OVER (ORDER BY starts_with(low, 'tion') DESC, length(title), kind, uid) AS pos FROM r WHERE contains(low, 'tion') AND contains(low, 'the')""",
 )
 def _(t):
     docs = t.documents.select(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("uid"), F.concat_ws(" ", "source", "lang").alias("title"), F.lower("text").alias("lower"))
@@ -146,7 +146,7 @@ def _(t):
 
 @query(
     "search_pages",
-    """SELECT p_partkey AS uid, p_name AS title, starts_with(lower(p_name), 're') AS prefix FROM part WHERE contains(lower(p_name), 're')""",
+    """SELECT p_partkey AS uid, p_name AS title, starts_with(lower(p_name), 're') AS prefix, row_number() OVER (ORDER BY starts_with(lower(p_name), 're') DESC, length(p_name), lower(p_name), p_partkey) AS pos FROM part WHERE contains(lower(p_name), 're')""",
 )
 def _(t):
     return op.search_titles(t.part.select(F.col("p_partkey").alias("uid"), F.col("p_name").alias("title")), "Re")

@@ -11,27 +11,33 @@ from threadloom.plans.base import query
 from threadloom.plans.relations import UID
 
 
-@query("sort_rows_edited", "SELECT o_orderkey AS seq, epoch_ms(o_orderdate) AS edited, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END DESC NULLS LAST, o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey, NULL, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') + row_number() OVER (ORDER BY o_orderkey) FROM orders WHERE o_orderstatus = 'P'")
-def _(t):
-    rows = t.orders.select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") != "P", millis("o_orderdate")).alias("edited"))
-    bucket = F.coalesce(-F.floor(F.col("edited") / 864_000_000), F.lit(10**9) + F.floor(F.col("seq") / 10000))
-    return op.positions(rows, "edited", bucket)
+ROWS_SQL = """WITH r AS (SELECT o_orderkey AS seq, concat('000001', lower(o_orderpriority), ' ', lpad(length(o_custkey::VARCHAR)::VARCHAR, 6, '0'), o_custkey) AS title,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS edited, CASE WHEN o_custkey % 10 > 0 THEN o_orderdate END AS created, refs, parts AS children, length(concat(o_orderpriority, ' ', o_custkey)) AS text_length
+ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS refs, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT seq, row_number() OVER (ORDER BY {0}seq) AS pos FROM r"""
 
 
-@query(
-    "sort_rows_title",
-    """WITH r AS (SELECT c_custkey AS seq, replace(lower(concat(c_mktsegment, ' ', c_custkey)), c_custkey::VARCHAR, lpad(c_custkey::VARCHAR, 20, '0')) AS k, concat(c_mktsegment, ' ', c_custkey) AS title FROM customer)
-SELECT seq, title FROM r""",
-)
-def _(t):
-    rows = t.customer.select(F.col("c_custkey").alias("seq"), F.concat_ws(" ", "c_mktsegment", "c_custkey").alias("title"))
-    return op.sort_rows(rows, "title")
+def sortable(t):
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("seq")).agg(F.count("*").alias("refs"), F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("children"))
+    title = F.concat_ws(" ", "o_orderpriority", "o_custkey")
+    day = millis("o_orderdate")
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("seq"), title.alias("title"), F.length(title).alias("text_length"), F.when(F.col("o_orderstatus") != "P", day).alias("edited"), F.when(F.col("o_custkey") % 10 > 0, day).alias("created")
+    )
+    return rows.join(lines, "seq", "left")
 
 
-@query("sort_rows_linked", "SELECT p_partkey AS seq, refs FROM part LEFT JOIN (SELECT l_partkey, count(*) AS refs FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
-def _(t):
-    refs = t.lineitem.groupBy(F.col("l_partkey").alias("seq")).agg(F.count("*").alias("refs"))
-    return op.sort_rows(t.part.select(F.col("p_partkey").alias("seq")).join(refs, "seq", "left"), "linked")
+def _sorted_query(sort, order):
+    @query(f"sort_rows_{sort}", ROWS_SQL.format(order))
+    def _(t):
+        return op.sort_rows(sortable(t), sort).select("seq", "pos")
+
+
+for _sort, _by in {
+    "best": "", "edited": "edited DESC NULLS LAST, ", "created": "created DESC NULLS LAST, ", "oldest": "created NULLS LAST, ", "linked": "refs DESC NULLS LAST, ",
+    "children": "children DESC NULLS LAST, ", "longest": "text_length DESC, ", "title": "title, ",
+}.items():
+    _sorted_query(_sort, _by)
 
 
 DOT_SQL = """SELECT e.vec_id, e.label, row_number() OVER (ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS r
@@ -44,7 +50,7 @@ def vector_hits(t):
     return search.nearest_vectors(items, first, k=None, skip_source=False)
 
 
-@query("semantic_candidates", f"SELECT uid, page, rank, pos FROM (SELECT vec_id AS uid, label AS page, r AS rank, row_number() OVER (PARTITION BY label ORDER BY r) AS pos FROM ({DOT_SQL})) WHERE pos <= 2")
+@query("semantic_candidates", f"SELECT uid, page, rank, pos, row_number() OVER (ORDER BY rank) AS place FROM (SELECT vec_id AS uid, label AS page, r AS rank, row_number() OVER (PARTITION BY label ORDER BY r) AS pos FROM ({DOT_SQL})) WHERE pos <= 2")
 def _(t):
     hits = vector_hits(t).select("uid", F.col("label").alias("page"), F.col("pos").alias("rank"))
     return op.semantic_candidates(hits)
@@ -73,7 +79,7 @@ def _(t):
 @query(
     "inbox",
     """
-SELECT l_orderkey AS uid, strftime(o_orderdate, '%Y-%m-%d') AS day, max(epoch_ms(l_shipdate)) AS time FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+SELECT l_orderkey AS uid, strftime(o_orderdate, '%Y-%m-%d') AS day, max(epoch_ms(l_shipdate)) AS time, row_number() OVER (ORDER BY max(l_shipdate) DESC, o_orderdate DESC, l_orderkey) AS pos FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 WHERE p_brand = 'Brand#2' AND o_orderstatus <> 'P' GROUP BY l_orderkey, o_orderdate""",
 )
 def _(t):
@@ -85,9 +91,9 @@ def _(t):
 @query(
     "arrivals",
     """
-WITH p AS (SELECT user_id AS owner, event_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS total FROM events WHERE event_type = 'click'),
+WITH p AS (SELECT user_id AS owner, event_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events WHERE event_type = 'click'),
  u AS (SELECT user_id AS owner, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT p.owner, uid, pos, total - least(total, greatest(0, 20 - coalesce(used, 0))) AS waiting FROM p LEFT JOIN u ON u.owner = p.owner WHERE pos <= greatest(0, 20 - coalesce(used, 0))""",
+SELECT p.owner, uid, pos, pos <= greatest(0, 20 - coalesce(used, 0)) AS shown FROM p LEFT JOIN u ON u.owner = p.owner""",
 )
 def _(t):
     rows = t.events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("uid"), micros("ts").alias("ord"), "event_type")
@@ -126,7 +132,7 @@ def _(t):
     f"""
 WITH k AS (SELECT doc_id AS uid, n_chars AS rank FROM documents WHERE contains(lower(text), 'thand') ),
  s AS (SELECT vec_id AS uid, r AS rank FROM ({DOT_SQL}) WHERE vec_id NOT IN (SELECT uid FROM k))
-SELECT uid, rank, false AS semantic FROM k UNION ALL SELECT uid, rank, true FROM s""",
+SELECT *, row_number() OVER (ORDER BY semantic, rank, uid) AS pos FROM (SELECT uid, rank, false AS semantic FROM k UNION ALL SELECT uid, rank, true FROM s)""",
 )
 def _(t):
     keyword = t.documents.where(F.lower("text").contains("thand")).select(F.col("doc_id").alias("uid"), F.col("n_chars").alias("rank"))

@@ -203,14 +203,14 @@ def _(t):
 @query(
     "connected_component",
     """
-WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT concat('c', o_custkey) AS a, concat('p', l_partkey) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_returnflag = 'R'),
+WITH RECURSIVE d AS MATERIALIZED (SELECT DISTINCT concat('c', o_custkey) AS a, concat('p', l_partkey) AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  e AS MATERIALIZED (SELECT a, b FROM d UNION ALL SELECT b, a FROM d),
  cc(uid, component) USING KEY (uid) AS (SELECT DISTINCT a, a FROM e UNION
   (SELECT e.a, min(w.component) FROM recurring.cc u JOIN e ON e.a = u.uid JOIN recurring.cc w ON w.uid = e.b WHERE w.component < u.component GROUP BY e.a))
 SELECT uid, component FROM cc""",
 )
 def _(t):
-    edges = cited(t).where("l_quantity > 49 AND l_returnflag = 'R'").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    edges = cited(t).select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return op.connected_components(edges)
 
 

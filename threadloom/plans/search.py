@@ -136,7 +136,7 @@ WITH c AS MATERIALIZED (SELECT doc_id AS doc, list_filter({WORDS.format('text')}
  r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS pos FROM s)"""
 
 
-@query("bm25_rank", BM25_SQL + " SELECT * FROM r WHERE pos <= 10")
+@query("bm25_rank", BM25_SQL + " SELECT * FROM r")
 def _(t):
     return op.bm25_rank(docs(t), t.benchmark.select(F.col("item_id").alias("query"), "text"))
 
@@ -144,7 +144,7 @@ def _(t):
 @query(
     "context_pack",
     BM25_SQL.replace("WITH c", "WITH RECURSIVE c", 1)
-    + """, z AS (SELECT query, doc, pos, (n_chars + 3) // 4 AS size, lang = 'en' AND n_chars < 800 AS forced FROM r JOIN documents ON doc_id = doc WHERE pos <= 10),
+    + """, z AS (SELECT query, doc, pos, (n_chars + 3) // 4 AS size, lang = 'en' AND n_chars < 800 AS forced FROM r JOIN documents ON doc_id = doc),
  i AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY forced DESC, pos) AS turn FROM z),
  w(query, turn, used, took) AS (SELECT DISTINCT query, 0::BIGINT, 0::BIGINT, false FROM i
   UNION ALL SELECT i.query, i.turn, CASE WHEN used + size <= 2000 THEN used + size ELSE used END, used + size <= 2000 FROM w JOIN i ON i.query = w.query AND i.turn = w.turn + 1)
@@ -175,11 +175,11 @@ def _(t):
     """
 WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id DESC LIMIT 1)
 SELECT e.vec_id AS uid, e.label, row_number() OVER (ORDER BY list_dot_product(e.embedding::DOUBLE[], v) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) DESC, e.vec_id) AS pos
-FROM embeddings e, q WHERE e.vec_id <> q.vec_id ORDER BY pos LIMIT 25""",
+FROM embeddings e, q WHERE e.vec_id <> q.vec_id""",
 )
 def _(t):
     items = t.embeddings.select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vec"), "label")
-    return op.nearest_vectors(items, items.orderBy(F.col("uid").desc()).limit(1), 25).drop("score")
+    return op.nearest_vectors(items, items.orderBy(F.col("uid").desc()).limit(1), None).drop("score")
 
 
 @query(
@@ -188,7 +188,7 @@ def _(t):
 WITH p AS (SELECT p_partkey AS key, unnest([{'l': p_size / 50.0::DOUBLE, 'a': (p_retailprice - 900) / 1000 - 0.1, 'b': 0.15::DOUBLE, 'w': 0.7::DOUBLE},
    {'l': 0.5::DOUBLE, 'a': 0.02::DOUBLE, 'b': 0.01::DOUBLE, 'w': 0.3::DOUBLE}]) AS e FROM part),
  s AS (SELECT key, max(e.w * CASE WHEN sqrt(e.a * e.a + e.b * e.b) < 0.035 THEN 0 ELSE greatest(0.0, 1 - sqrt(pow((e.l - 0.6) * 0.5, 2) + pow(e.a - 0.05, 2) + pow(e.b - 0.12, 2)) / 0.2) END) AS sc FROM p GROUP BY 1)
-SELECT key, round(sc, 6) AS score FROM s JOIN part ON p_partkey = key WHERE sc >= 0.15 AND contains(lower(concat(p_name, ' ', p_type)), 'ring') ORDER BY 2 DESC, 1 LIMIT 40""",
+SELECT key, round(sc, 6) AS score, row_number() OVER (ORDER BY round(sc, 6) DESC, key) AS pos FROM s JOIN part ON p_partkey = key WHERE sc >= 0.15 AND contains(lower(concat(p_name, ' ', p_type)), 'ring')""",
 )
 def _(t):
     entry = lambda l, a, b, w: F.struct(l.cast("double").alias("l"), a.cast("double").alias("a"), b.cast("double").alias("b"), w.cast("double").alias("weight"))  # noqa: E731, E741
