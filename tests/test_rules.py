@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.functions.markup import library_kind
+from threadloom.functions.markup import block_shape, library_kind, library_row_kind
 from threadloom.operators import cells, documents, evaluation, search
 from threadloom.streaming import feeds
 
@@ -39,7 +39,7 @@ def test_column_style_decides_the_decimal_mark(spark):
 READINGS = [
     ("word", "", True, False, 0.9, 0.9, "word"), ("Ab c", "abC", False, False, 0.5, 0.9, "Ab c"), ("1.53", "l.53", False, False, 0.5, 0.9, "1.53"),
     ("energy", "39.87", True, False, 0.9, 0.5, "39.87"), ("word", "-", True, False, 0.5, 0.9, "word"), ("-", "word", False, True, 0.9, 0.5, "word"),
-    ("cats", "cat", False, True, 0.5, 0.9, "cats"), ("wrod", "word", False, True, 0.9, 0.5, "word"), ("word", "wrod", True, False, 0.5, 0.9, "word"),
+    ("cats", "cat", False, True, 0.5, 0.9, "cats"), ("boxes", "box", False, True, 0.5, 0.9, "boxes"), ("as", "a", False, True, 0.5, 0.9, "a"), ("1.53", "153", True, True, 0.5, 0.9, "1.53"), ("-", "*", False, False, 0.5, 0.9, "-"), ("wrod", "word", False, True, 0.9, 0.5, "word"), ("word", "wrod", True, False, 0.5, 0.9, "word"),
     ("form", "from", True, True, 0.9, 0.5, "from"), ("zzab", "zzcd", False, False, 0.9, 0.5, "zzab"), ("zzab", "zzcd", False, False, 0.5, 0.5, "zzcd"),
     ("abcdefgh", "stuvwxyz", False, False, 0.5, 0.9, "abcdefgh"), ("exam", "exam-", True, True, 0.5, 0.5, "exam-"), ("sea-board", "board", False, True, 0.5, 0.9, "sea-board"),
 ]
@@ -57,8 +57,23 @@ def test_norm_text(spark):
 
 
 def test_library_kind(spark):
-    got = apply(spark, library_kind(F.col("text")), ["{{[[pdf]]: u}}", "{{PDF: u}}", "see ![x](y.png)", "https://a.b/c", "[t](https://a.b)", "at https://a.b now", "", None])
-    assert got == ["pdf", "pdf", "image", "web", "web", "block", "block", "block"]
+    got = apply(spark, library_kind(F.col("text")), ["{{[[pdf]]: u}}", "{{PDF: u}}", "see ![x](y.png)", "https://a.b/c", "[t](https://a.b)", "at https://a.b now", "", None, "[x](http://a", "http://a )", " http://a\n", "![x]( y)"])
+    assert got == ["pdf", "pdf", "image", "web", "web", "block", "block", "block", "block", "block", "web", "block"]
+
+
+def test_block_shape(spark):
+    rows = {
+        "[[a]]": "page", " [[a [[b]] c]] ": "page", "[[a]] [[b]]": "note", "#[[a b]]": "page", "#tag": "page", "#a b": "note", "[[]]": "note", "[[a": "note", "[[a]]]]": "note", "]][[a]]": "note",
+        "((u-1))": "block", "{{[[Diagram]]": "board", "{{ pdf : x": "pdf", "{{[[pdf]]: x": "pdf", "{{PDF: x": "note", "![a](b)": "image", "x ![a](b)": "note", "": "note",
+    }
+    assert dict(zip(rows, apply(spark, block_shape(F.col("text")), list(rows)), strict=True)) == rows
+
+
+def test_library_row_kind(spark):
+    rows = [("board", None, "x", None, "board"), ("part", "table", None, None, "table"), ("part", "odd", None, None, "paragraph"), ("part", None, None, None, "paragraph"), ("block", None, None, "http://a", "web"),
+        ("daily", None, "x", None, "daily"), ("page", None, "May 1st, 2020", None, "daily"), ("page", None, "May 1, 2020", None, "page"), (None, None, None, None, "page")]
+    got = apply(spark, library_row_kind(*[F.col(c) for c in "k p t x".split()]), [r[:4] for r in rows], "k string, p string, t string, x string")
+    assert got == [r[4] for r in rows]
 
 
 def test_fulltext_tests_each_page(spark):

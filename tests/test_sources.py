@@ -67,7 +67,7 @@ def test_outline_order_ties_and_containers(spark):
             {"uid": "c", "string": "tie", "order": 1, "props": {"type": "edge"}},
         ],
     }
-    rows = outline.flatten_tree(spark.createDataFrame([(json.dumps(tree),)], "json string"), "json", depth=3).collect()
+    rows = outline.flatten_tree(spark.createDataFrame([(json.dumps(tree),)], "json string"), "json").collect()
     got = {r["uid"]: (r["parent_uid"], r["ord"], r["depth"], r["table"]) for r in rows}
     assert got == {"p": (None, 0, 0, "nodes"), "a": ("p", 0, 1, "nodes"), "b": ("p", 1, 1, "nodes"), "c": ("p", 2, 1, "edges"), "d": ("b", 0, 2, "nodes")}
 
@@ -132,3 +132,16 @@ def test_lists_levels(spark):
 @pytest.mark.parametrize(("text", "number"), [("1,234.5", True), ("(12)", True), ("3%", True), ("12 [a]", True), ("abc", False), ("", False)])
 def test_numeric_text(spark, text, number):
     assert spark.range(1).select(cells.is_number(F.lit(text)).alias("n")).first()["n"] is number
+
+
+def test_outlines_of_any_depth(spark):
+    tree = {"uid": "n30", "string": "leaf"}
+    for k in range(29, -1, -1):
+        tree = {"uid": f"n{k}", "string": f"s{k}", "order": 0, "children": [{"uid": f"x{k}", "order": 5, "open": "maybe"}, tree, {"string": 7}]}
+    texts = [(1, json.dumps(tree), 1), (2, None, 1), (3, "{broken", 1), (4, '{"uid": "z", "children": "none", "props": {"type": "edge"}}', 1)]
+    rows = outline.flatten_tree(spark.createDataFrame(texts, "id int, json string, __n int"), "json").collect()
+    chain = {r["uid"]: r for r in rows if r["id"] == 1 and r["uid"] and r["uid"][0] == "n"}
+    assert [(chain[f"n{k}"]["depth"], chain[f"n{k}"]["parent_uid"], chain[f"n{k}"]["ord"]) for k in range(1, 31)] == [(k, f"n{k - 1}", 0) for k in range(1, 31)]
+    assert chain["n30"]["string"] == "leaf" and len([r for r in rows if r["id"] == 1]) == 31 + 60
+    assert all(r["ord"] == 2 and r["open"] is None for r in rows if r["uid"] and r["uid"][0] == "x")
+    assert [(r["uid"], r["table"]) for r in rows if r["id"] == 4] == [("z", "edges")] and not [r for r in rows if r["id"] in (2, 3)]

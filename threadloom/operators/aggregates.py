@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.windows import top_per_key
+from threadloom.functions.windows import split_running_sum, top_per_key
 
 DAY_MS = 86_400_000
 
@@ -115,23 +115,35 @@ def month_steps(start: Column, end: Column) -> Column:
     return F.array_distinct(F.concat(F.array(start), F.filter(inner, lambda d: (d > start) & (d < end)), F.array(end)))
 
 
+def _counted_until(per_day: DataFrame, asked: DataFrame) -> DataFrame:
+    """(day, upto) for each asked day: the sum of ``n`` over days at or before it.
+
+    Counted days and asked days go along one calendar with a running sum, so no
+    day meets another by an inequality.
+    """
+    line = per_day.select("day", "n", F.lit(False).alias("ask")).unionByName(asked.select("day", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("ask")))
+    run = split_running_sum(line.withColumn("__all", F.lit(0)), ["__all"], ["day", "ask"], F.trunc("day", "year"), F.col("n"), "upto")
+    return run.where("ask").select("day", "upto")
+
+
 def as_of_sets(items: DataFrame, edges: DataFrame, times: DataFrame, fresh_days: int = 7) -> DataFrame:
     """At each time: items still in the future, items fresh within the last days, and edges with a future end.
 
-    Items are counted per day first, so each time is compared with day counts
-    rather than with every item; the day and time tables are a calendar long.
+    Items and edges are counted per day first; each time reads running counts of
+    the calendar at its own day and ``fresh_days`` before. Null days never count.
     """
-    per_day = items.groupBy("day").agg(F.count("*").alias("n"))
-    at = times.select("t").distinct()
-    late = per_day.join(at, F.col("day") > F.col("t")).groupBy("t").agg(F.sum("n").alias("future"))
-    fresh = per_day.join(at, (F.col("day") <= F.col("t")) & (F.col("day") > F.date_sub("t", fresh_days))).groupBy("t").agg(F.sum("n").alias("fresh"))
+    at = times.select("t").distinct().withColumn("day", F.to_date("t")).withColumn("since", F.date_sub("day", fresh_days))
+    asked = at.select("day").unionByName(at.select(F.col("since").alias("day"))).distinct()
+    per_day = items.where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n"))
     day_of = items.select("uid", "day")
     ends = edges.join(day_of.select(F.col("uid").alias("from_uid"), F.col("day").alias("d0")), "from_uid").join(
         day_of.select(F.col("uid").alias("to_uid"), F.col("day").alias("d1")), "to_uid"
     )
-    edge_days = ends.groupBy(F.greatest("d0", "d1").alias("day")).agg(F.count("*").alias("n"))
-    hidden = edge_days.join(at, F.col("day") > F.col("t")).groupBy("t").agg(F.sum("n").alias("hidden_edges"))
-    return at.join(late, "t", "left").join(fresh, "t", "left").join(hidden, "t", "left").na.fill(0)
+    edge_days = ends.select(F.greatest("d0", "d1").alias("day")).where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("n"))
+    known = _counted_until(per_day, asked).join(_counted_until(edge_days, asked).withColumnRenamed("upto", "edges_upto"), "day")
+    total = per_day.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("items")).join(edge_days.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends")), F.lit(True))
+    now = at.join(known, "day").join(known.select(F.col("day").alias("since"), F.col("upto").alias("before")), "since").join(total, F.lit(True))
+    return now.select("t", (F.col("items") - F.col("upto")).alias("future"), (F.col("upto") - F.col("before")).alias("fresh"), (F.col("ends") - F.col("edges_upto")).alias("hidden_edges"))
 
 
 def calendar_slots(cards: DataFrame, year: int, month: int) -> DataFrame:

@@ -282,36 +282,30 @@ def ocr_page_quality(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def choose_reading(v: Column, o: Column, v_known: Column, o_known: Column, v_conf: Column, o_conf: Column) -> Column:
-    """Text of a word read by two engines, by points that each trait gives to one reading.
-
-    Each trait outweighs all that follow: being there at all, being a number
-    (the first engine's goes before the second's), having letters, keeping a
-    plural or a compound that the other cuts off, being a known word, keeping a
-    closing hyphen, and for close spellings the engine that spells better: the
-    second, unless both are unknown and the first was surer. Points for the
-    second reading are positive; without any the first stays.
+    """The better of two engines' readings of a word: each has its traits in a struct, and the second wins if its struct is larger.
+
+    What a reading is worth, the heaviest first: it says something of its own; it
+    is a number (the first engine's counts more); it has letters; it keeps a
+    plural s or a compound that the other cuts off; its word is known; and among
+    close spellings a closing hyphen, or else the second engine's, unless both
+    words are unknown and the first engine was surer.
     """
     core = lambda t: F.lower(F.regexp_replace(t, r"[^\p{L}]", ""))
-    a, b = core(v), core(o)
-    numeric = lambda t: F.length(F.regexp_replace(t, r"\D", "")) * 2 > F.length(F.trim(t))
     squeezed = lambda t: F.lower(F.regexp_replace(t, r"\s+", ""))
-    apart, unknown = F.levenshtein(a, b), ~v_known & ~o_known
+    number = lambda t: F.length(F.regexp_replace(t, r"\D", "")) * 2 > F.length(F.trim(t))
     hyphen = lambda t: F.trim(t).rlike("[A-Za-z]-$")
+    a, b = core(v), core(o)
+    apart, unknown = F.levenshtein(a, b), ~v_known & ~o_known
+    plural = (F.length(b) >= 3) & a.isin(F.concat(b, F.lit("s")), F.concat(b, F.lit("es")))
+    compound = ~v_known & o_known & a.contains(b) & (F.length(a) >= F.length(b) + 2) & v.rlike(r"\p{L}-\p{L}")
+    near = (apart <= 2) | (unknown & (apart <= 4))
     surer = unknown & (apart <= 4) & F.coalesce(v_conf > o_conf, F.lit(False))
-    cut_off = (a == F.concat(b, F.lit("s"))) | (~v_known & o_known & a.contains(b) & (F.length(a) >= F.length(b) + 2) & v.rlike(r"\p{L}-\p{L}"))
-    spelling = F.when(apart == 0, (hyphen(o) & ~hyphen(v)).cast("int")).when(surer, 0).otherwise(((apart <= 2) | (unknown & (apart <= 4))).cast("int"))
-    traits = [
-        -((F.trim(o) == "") | (squeezed(v) == squeezed(o))).cast("int"),
-        -numeric(v).cast("int"),
-        numeric(o).cast("int"),
-        -(b == "").cast("int"),
-        (a == "").cast("int"),
-        -cut_off.cast("int"),
-        o_known.cast("int") - v_known.cast("int"),
-        spelling,
-    ]
-    points = sum((F.coalesce(t, F.lit(0)) * (1 << (2 * k)) for k, t in enumerate(reversed(traits))), F.lit(0))
-    return F.when(points > 0, o).otherwise(v)
+    spelled = lambda t, second: F.when(apart == 0, hyphen(t)).otherwise(second)
+    worth = lambda *traits: F.struct(*[F.coalesce(x.cast("int"), F.lit(0)).alias(f"t{i}") for i, x in enumerate(traits)])
+    first = worth(F.lit(1), F.when(number(v), 2).otherwise(0), a != "", plural | compound, v_known, spelled(v, F.lit(False)))
+    own = (F.trim(o) != "") & (squeezed(v) != squeezed(o))
+    second = worth(own, number(o), F.when(b == "", -1).otherwise(1), F.lit(0), o_known, spelled(o, near & ~surer))
+    return F.when(second > first, o).otherwise(v)
 
 
 def ocr_vote(first: DataFrame, second: DataFrame, lexicon: DataFrame, cell_w: float, cell_h: float, min_iou: float = 0.25, insert_cap: int | None = None) -> DataFrame:

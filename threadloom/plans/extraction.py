@@ -160,6 +160,29 @@ def _(t):
     return kinds.groupBy("kind", "shape").agg(F.count("*").alias("n"))
 
 
+@query(
+    "library_row_kinds",
+    """
+SELECT concat('n', n_nationkey) AS uid, 'board' AS kind FROM nation
+UNION ALL SELECT concat('p', p_partkey), CASE p_type WHEN 'ECONOMY' THEN 'table' WHEN 'PROMO' THEN 'heading' ELSE 'paragraph' END FROM part
+UNION ALL SELECT concat('u', page_id), CASE WHEN contains(url, ' ') THEN 'block' ELSE 'web' END FROM pages
+UNION ALL SELECT concat('o', o_orderkey), CASE WHEN o_orderstatus = 'P' THEN 'page' ELSE 'daily' END FROM orders""",
+)
+def _(t):
+    none = F.lit(None).cast("string")
+    row = lambda df, uid, kind, part=none, title=none, text=none: df.select(uid.alias("uid"), F.lit(kind).alias("kind"), part.alias("part"), title.alias("title"), text.alias("text"))
+    key = lambda prefix, c: F.concat(F.lit(prefix), c)
+    part = F.when(F.col("p_type") == "ECONOMY", "table").when(F.col("p_type") == "PROMO", "heading").otherwise("list")
+    day = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("Plan of "), m.daily_title(F.to_date("o_orderdate")))).otherwise(m.daily_title(F.to_date("o_orderdate")))
+    rows = (
+        row(t.nation, key("n", "n_nationkey"), "board")
+        .unionByName(row(t.part, key("p", "p_partkey"), "part", part=part))
+        .unionByName(row(t.pages, key("u", "page_id"), "block", text=F.col("url")))
+        .unionByName(row(t.orders, key("o", "o_orderkey"), "page", title=day))
+    )
+    return rows.select("uid", m.library_row_kind(*[F.col(c) for c in ("kind", "part", "title", "text")]).alias("kind"))
+
+
 TITLE_SQL = """concat(monthname(d), ' ', day(d), CASE WHEN day(d) BETWEEN 11 AND 13 THEN 'th' WHEN day(d) % 10 = 1 THEN 'st'
   WHEN day(d) % 10 = 2 THEN 'nd' WHEN day(d) % 10 = 3 THEN 'rd' ELSE 'th' END, ', ', year(d))"""
 

@@ -40,7 +40,21 @@ def _(t):
         ).alias("children"),
     )
     files = t.documents.select("doc_id", F.to_json(tree).alias("json"))
-    return outline.flatten_tree(files, "json", depth=3).select("doc_id", "uid", "string", "parent_uid", "ord", "depth")
+    return outline.flatten_tree(files, "json").select("doc_id", "uid", "string", "parent_uid", "ord", "depth")
+
+
+@query(
+    "read_outline_replies",
+    """SELECT conv_id, concat(conv_id, '-', turn) AS uid, text AS string, CASE WHEN turn > 0 THEN concat(conv_id, '-', turn - 1) END AS parent_uid, 0 AS ord, turn AS depth,
+ CASE WHEN role = 'user' THEN 'regions' ELSE 'nodes' END AS "table" FROM conversations""",
+)
+def _(t):
+    """Each turn is the child of the one before, so a tree is as deep as its conversation is long."""
+    turn = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("uid"), F.col("text").alias("string"), F.struct(F.when(F.col("role") == "user", "region").otherwise("note").alias("type")).alias("props")))
+    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("json")))).alias("turns"))
+    opened = F.array_join(F.transform("turns", lambda x: F.concat(F.substr(x["json"], F.lit(1), F.length(x["json"]) - 1), F.lit(', "children": ['))), "")
+    files = turns.select("conv_id", F.concat(opened, F.repeat(F.lit("]}"), F.size("turns"))).alias("json"))
+    return outline.flatten_tree(files, "json").select("conv_id", "uid", "string", "parent_uid", "ord", "depth", "table")
 
 
 BLOCKS_SQL = """

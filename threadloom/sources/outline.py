@@ -2,83 +2,57 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from threadloom.session import cut_lineage
 
 # Block types that hold board parts instead of notes.
 CONTAINER_TABLES = {"edge": "edges", "snapshot": "layouts", "region": "regions", "trail": "trails", "picture": "pictures"}
 
 
-def tree_schema(depth: int) -> T.StructType:
-    """Schema of a block with children down to ``depth`` levels below it."""
-    fields = [
-        T.StructField("uid", T.StringType()),
-        T.StructField("string", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("order", T.LongType()),
-        T.StructField("heading", T.IntegerType()),
-        T.StructField("open", T.BooleanType()),
-        T.StructField("create_time", T.LongType()),
-        T.StructField("edit_time", T.LongType()),
-        T.StructField("props", T.MapType(T.StringType(), T.StringType())),
-    ]
-    if depth:
-        fields.append(T.StructField("children", T.ArrayType(tree_schema(depth - 1))))
-    return T.StructType(fields)
-
-
-def _sorted(children: Column) -> Column:
-    """Children by order; equal or missing orders keep their input position."""
-    keys = F.array_sort(
-        F.transform(children, lambda c, i: F.struct(F.coalesce(c["order"], i.cast("long")).alias("o"), i.alias("i")))
-    )
-    return F.transform(keys, lambda k: F.get(children, k["i"]))
+#: Fields of a block and the types they are read as; a value of another type reads as null.
+FIELDS = {"uid": "string", "string": "string", "title": "string", "heading": "int", "open": "boolean", "create_time": "bigint", "edit_time": "bigint", "props": "map<string,string>"}
 
 
-def _entry(node: Column, parent: Column, position: Column, depth: int) -> Column:
-    fields = ("uid", "string", "title", "heading", "open", "create_time", "edit_time", "props")
-    return F.struct(
-        *[node[f].alias(f) for f in fields],
-        parent.alias("parent_uid"),
-        position.cast("int").alias("ord"),
-        F.lit(depth).alias("depth"),
-    )
+def _field(node: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(node, f"$.{name}", kind)
 
 
-def _level_entries(level: int) -> Column:
-    return F.transform(f"l{level}", lambda x: _entry(x["node"], x["parent"], x["ord"], level))
+def _sorted_children(node: Column) -> Column:
+    """Children by order; equal or missing orders keep their input position."""
+    children = F.coalesce(_field(node, "children", "array<variant>"), F.array().cast("array<variant>"))
+    keys = F.array_sort(F.transform(children, lambda c, i: F.struct(F.coalesce(_field(c, "order", "bigint"), i.cast("bigint")).alias("o"), i.alias("i"))))
+    return F.transform(keys, lambda k: F.get(children, k["i"]))
 
 
-def flatten_tree(df: DataFrame, json: str, depth: int = 8) -> DataFrame:
-    """One row per block of each tree in column ``json``, with parent, position and depth.
+def flatten_tree(df: DataFrame, json: str) -> DataFrame:
+    """One row per block of each tree in column ``json``, with parent, position and depth, however deep the tree is.
 
-    The levels are unfolded as arrays inside the row, so the parse happens once
-    and nothing is shuffled. ``table`` says which table a container block belongs to.
+    A tree is parsed once into a variant. Each round takes the blocks of one
+    level out of their parents, inside the row and without a shuffle, and the
+    rounds end when a level is empty. A null or malformed text gives no rows, a
+    block without uid stays with a null one. ``table`` says which table a
+    container block belongs to.
     """
     keep = [c for c in df.columns if c != json]
-    rows = df.select(*keep, F.from_json(json, tree_schema(depth)).alias("n0"))
-    rows = rows.withColumn("l0", F.array(F.struct(F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ord"), F.col("n0").alias("node"))))
-    rows = rows.select(*keep, "l0")
-    flat = [_level_entries(0)]
-    for level in range(1, depth + 1):
-        below = F.flatten(
-            F.transform(
-                f"l{level - 1}",
-                lambda x: F.transform(
-                    _sorted(F.coalesce(x["node"]["children"], F.array())),
-                    lambda c, i: F.struct(x["node"]["uid"].alias("parent"), i.alias("ord"), c.alias("node")),
-                ),
-            )
-        )
-        rows = rows.withColumn(f"l{level}", below)
-        flat.append(_level_entries(level))
-    nodes = rows.select(*keep, F.explode(F.concat(*flat)).alias("n")).select(*keep, "n.*")
+    level = df.select(*keep, F.try_parse_json(json).alias("__node"), F.lit(None).cast("string").alias("parent_uid"), F.lit(0).alias("ord")).where("__node IS NOT NULL")
+    out = None
+    for depth in count():
+        level = cut_lineage(level)
+        if depth and level.isEmpty():
+            break
+        here = level.select(*keep, *[_field(F.col("__node"), f, kind).alias(f) for f, kind in FIELDS.items()], "parent_uid", "ord", F.lit(depth).alias("depth"))
+        out = here if out is None else out.unionByName(here)
+        below = F.posexplode(_sorted_children(F.col("__node"))).alias("ord", "__child")
+        level = level.select(*keep, _field(F.col("__node"), "uid", "string").alias("parent_uid"), below).withColumnRenamed("__child", "__node")
     table = F.element_at(F.create_map(*[F.lit(v) for kv in CONTAINER_TABLES.items() for v in kv]), F.element_at("props", "type"))
-    return nodes.withColumn("table", F.coalesce(table, F.lit("nodes")))
+    return out.withColumn("table", F.coalesce(table, F.lit("nodes")))
 
 
-def read_outline_json(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+def read_outline_json(spark: SparkSession, path: str) -> DataFrame:
     """Flatten export files, one tree per file."""
     files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return flatten_tree(files.withColumnRenamed("value", "json"), "json", depth)
+    return flatten_tree(files.withColumnRenamed("value", "json"), "json")
