@@ -98,3 +98,25 @@ def test_refused_boards(spark):
     got = relations.suggest_pairs(cards, names, none, none, limit=4).collect()
     assert [(r["board"], r["a"], r["b"]) for r in got] == [(2, 1, 2)]
     assert [r["board"] for r in relations.too_many(cards, 4).collect()] == [1]
+
+
+def test_text_distance_equals_the_table():
+    import random
+
+    from threadloom.operators.evaluation import text_distance
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = random.Random(2)
+    for _ in range(400):
+        a = "".join(rng.choices("abé", k=rng.randrange(90)))
+        b = "".join(rng.choices("abcé", k=rng.randrange(90))) if rng.random() < 0.5 else "".join(c for c in a if rng.random() > 0.1)
+        assert text_distance(a, b) == table(a, b), (a, b)
+    assert text_distance("x" * 100_000, "x" * 40_000 + "y" + "x" * 60_000) == 1

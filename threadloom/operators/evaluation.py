@@ -168,16 +168,70 @@ def kendall_tau(ranks: DataFrame) -> DataFrame:
     return out.select("doc", "n", "discordant", F.round(F.when(pairs == 0, 1.0).otherwise(1 - F.try_divide(2 * F.col("discordant"), pairs)), 6).alias("tau"))
 
 
-def cer_counts(pairs: DataFrame) -> DataFrame:
-    """Character distance of (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap).
+def text_distance(a: str, b: str) -> int:
+    """Edit distance of two texts of any length, a whole column of the table at a time.
 
-    Edit distance costs the square of a text, so callers give it texts of page
-    or paragraph size and pool the counts.
+    What both texts begin and end with costs nothing. Along the rest, the
+    differences between neighbours of a column are bits of two integers, so one
+    character of ``b`` is a handful of operations on integers as long as ``a``.
     """
+    while a != b and a and b and a[0] == b[0]:  # doubling steps find the end of a long common start
+        step = 1
+        while step * 2 <= min(len(a), len(b)) and a[: step * 2] == b[: step * 2]:
+            step *= 2
+        a, b = a[step:], b[step:]
+    while a != b and a and b and a[-1] == b[-1]:
+        step = 1
+        while step * 2 <= min(len(a), len(b)) and a[-step * 2 :] == b[-step * 2 :]:
+            step *= 2
+        a, b = a[:-step], b[:-step]
+    if a == b:
+        return 0
+    if not a or not b:
+        return len(a) + len(b)
+    where = _places(a)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rises, falls, score = full, 0, len(a)
+    for c in b:
+        same = where.get(c, 0)
+        level = (((same & rises) + rises) ^ rises) | same | falls
+        up, down = falls | (full & ~(level | rises)), rises & level
+        score += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        rises, falls = down | (full & ~(level | up)), up & level
+    return score
+
+
+def _places(text: str) -> dict[str, int]:
+    """For each character the positions it stands at, as bits."""
+    at: dict[str, list[int]] = {}
+    for i, c in enumerate(text):
+        at.setdefault(c, []).append(i)
+    out = {}
+    for c, places in at.items():
+        bits = np.zeros(len(text) // 8 + 1, np.uint8)
+        np.bitwise_or.at(bits, np.array(places) >> 3, (1 << (np.array(places) & 7)).astype(np.uint8))
+        out[c] = int.from_bytes(bits.tobytes(), "little")
+    return out
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else text_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def edit_distance(a: str | Column, b: str | Column) -> Column:
+    """``text_distance`` of two columns in Arrow batches; null for a null text."""
+    return F.pandas_udf(_distances, "bigint")(a, b)
+
+
+def cer_counts(pairs: DataFrame) -> DataFrame:
+    """Character distance of whole (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap)."""
     t, p = F.replace(norm_text(F.col("truth")), F.lit(" "), F.lit("")), F.replace(norm_text(F.col("pred")), F.lit(" "), F.lit(""))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     texts = pairs.select("doc", F.inline(F.array(F.struct(t.alias("t"), p.alias("p")))), words("truth").alias("tw"), words("pred").alias("pw"))
-    sized = texts.select("doc", F.levenshtein("t", "p").cast("long").alias("char_dist"), F.length("t").cast("long").alias("char_n"), "tw", "pw")
+    # A distance is heavy for its few bytes, so rows are dealt by number, which adaptive execution does not fold into few tasks.
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sized = texts.repartition(tasks, "doc").select("doc", edit_distance("t", "p").alias("char_dist"), F.length("t").cast("long").alias("char_n"), "tw", "pw")
     count = lambda col, name: texts.select("doc", F.explode(col).alias("w")).groupBy("doc", "w").agg(F.count("*").alias(name))
     # the words are counted from the texts, so the distances are computed once
     both = count("tw", "nt").join(count("pw", "np"), ["doc", "w"], "full_outer").na.fill(0, ["nt", "np"])

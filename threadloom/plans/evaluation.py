@@ -111,18 +111,19 @@ STRIP = "regexp_replace({0}, '[¹²³⁰⁴-⁹†‡*]+$', '')"
 @query(
     "cer_wer",
     f"""
-WITH l AS (SELECT doc, pos, i // 50 AS j, string_agg(w, ' ' ORDER BY i) AS truth FROM (SELECT doc, pos, i, string_split(text, ' ')[i + 1] AS w FROM ({LINES_SQL}), unnest(range(len(string_split(text, ' ')))) u(i)) GROUP BY 1, 2, 3),
- n AS (SELECT doc, pos, j, {STRIP.format(NORM.format('truth'))} AS t, {STRIP.format(NORM.format("replace(truth, 'e', '')"))} AS p, regexp_extract_all(lower(truth), '[\\p{{L}}\\p{{N}}]+') AS tw, regexp_extract_all(lower(replace(truth, 'e', '')), '[\\p{{L}}\\p{{N}}]+') AS pw FROM l),
- b AS (SELECT doc, pos, j, w, count(*) FILTER (side = 1) AS nt, count(*) FILTER (side = 2) AS np FROM (SELECT doc, pos, j, unnest(tw) AS w, 1 AS side FROM n UNION ALL SELECT doc, pos, j, unnest(pw), 2 FROM n) GROUP BY 1, 2, 3, 4),
- g AS (SELECT doc, sum(least(nt, np))::BIGINT AS found, sum(nt)::BIGINT AS word_n FROM b GROUP BY 1)
-SELECT n.doc, sum(length(replace(t, ' ', '')) - length(replace(p, ' ', '')))::BIGINT AS char_dist, sum(length(replace(t, ' ', '')))::BIGINT AS char_n, max(coalesce(found, 0)) AS found, max(coalesce(word_n, 0)) AS word_n FROM n LEFT JOIN g ON g.doc = n.doc GROUP BY 1""",
+WITH l AS (SELECT doc_id AS doc, i // 20 AS page, string_agg(string_split(text, chr(10))[i + 1], chr(10) ORDER BY i) AS truth FROM documents, unnest(range(len(string_split(text, chr(10))))) u(i) GROUP BY 1, 2),
+ n AS (SELECT doc, page, {STRIP.format(NORM.format('truth'))} AS t, {STRIP.format(NORM.format("replace(truth, 'e', '')"))} AS p, regexp_extract_all(lower(truth), '[\\p{{L}}\\p{{N}}]+') AS tw, regexp_extract_all(lower(replace(truth, 'e', '')), '[\\p{{L}}\\p{{N}}]+') AS pw FROM l),
+ b AS (SELECT doc, page, w, count(*) FILTER (side = 1) AS nt, count(*) FILTER (side = 2) AS np FROM (SELECT doc, page, unnest(tw) AS w, 1 AS side FROM n UNION ALL SELECT doc, page, unnest(pw), 2 FROM n) GROUP BY 1, 2, 3),
+ g AS (SELECT doc, page, sum(least(nt, np))::BIGINT AS found, sum(nt)::BIGINT AS word_n FROM b GROUP BY 1, 2)
+SELECT n.doc, n.page, length(replace(t, ' ', '')) - length(replace(p, ' ', '')) AS char_dist, length(replace(t, ' ', '')) AS char_n, coalesce(found, 0) AS found, coalesce(word_n, 0) AS word_n FROM n LEFT JOIN g ON g.doc = n.doc AND g.page = n.page""",
 )
 def _(t):
-    runs = lines(t).select("doc", "pos", F.inline(F.array(F.struct(F.split("text", " ").alias("w")))))
-    last = F.floor((F.size("w") - 1) / 50)
-    units = runs.select("doc", "pos", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda k: F.array_join(F.slice("w", (k * 50 + 1).cast("int"), 50), " "))).alias("j", "truth"))
-    pairs = units.select(F.struct("doc", "pos", "j").alias("doc"), "truth", F.replace("truth", F.lit("e"), F.lit("")).alias("pred"))
-    return op.cer_counts(pairs).groupBy(F.col("doc.doc").alias("doc")).agg(*[F.sum(c).alias(c) for c in ("char_dist", "char_n", "found", "word_n")])
+    """Whole pages; the reading lacks every e and comes as one run of words, not in lines."""
+    rows = lines(t).select("doc", "page", "pos", "text")
+    page = lambda df, end: df.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), end).alias("whole"))
+    truth, read = page(rows, "\n"), page(rows.withColumn("text", F.replace("text", F.lit("e"), F.lit(""))), " ")
+    pairs = truth.join(read.withColumnRenamed("whole", "pred"), ["doc", "page"]).select(F.struct("doc", "page").alias("doc"), F.col("whole").alias("truth"), "pred")
+    return op.cer_counts(pairs).select("doc.doc", "doc.page", *[c for c in ("char_dist", "char_n", "found", "word_n")])
 
 
 @query(
