@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.functions.matching import match_best_first, overlap_pairs
 from threadloom.operators import documents, evaluation, relations
@@ -120,3 +121,30 @@ def test_text_distance_equals_the_table():
         b = "".join(rng.choices("abcé", k=rng.randrange(90))) if rng.random() < 0.5 else "".join(c for c in a if rng.random() > 0.1)
         assert text_distance(a, b) == table(a, b), (a, b)
     assert text_distance("x" * 100_000, "x" * 40_000 + "y" + "x" * 60_000) == 1
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_similar_sets_equal_all_pairs(spark, least):
+    import random
+
+    from threadloom.functions.matching import similar_sets
+
+    rng = random.Random(7)
+    # the item 0 is in every set
+    rows = {side: [(rng.choice("pq"), i, sorted({0, *rng.choices(range(1, 9), k=rng.randrange(0, 6))})) for i in range(70)] + [("p", 100, []), ("p", 101, [0])] for side in "ab"}
+    a, b = (spark.createDataFrame(rows[s], "page string, uid int, items array<int>") for s in "ab")
+    got = sorted((r["page"], r["a"], r["b"], r["inter"]) for r in similar_sets(a, b, ["page"], least).collect())
+    want = [(p, i, j, len(set(x) & set(y))) for p, i, x in rows["a"] for q, j, y in rows["b"] if p == q and set(x) & set(y) and len(set(x) & set(y)) >= least * len(set(x) | set(y)) - 1e-9]
+    assert got == sorted(want)
+
+
+def test_captions_and_bullets(spark):
+    from threadloom.operators import documents
+
+    yes = ["Tabelle 3: x", "Abb. 2", "Abbildungen 4", "Tafel 1", "Fig 3a.", "table 1", "Taf. 9 x"]
+    no = ["Tabel 3", "Table", "Figur 2", "see Fig. 3"]
+    got = spark.createDataFrame([(t,) for t in yes + no], "t string").select(F.col("t").rlike(documents.CAPTION)).collect()
+    assert [r[0] for r in got] == [True] * len(yes) + [False] * len(no)
+    marks = ["• x", "◦ x", "– x", "· x", "(12) x", "b) x", "iv. x", "-x", "A. x", "1234. x", "• "]
+    got = spark.createDataFrame([(t,) for t in marks], "t string").select(F.regexp_extract("t", documents.BULLET, 1)).collect()
+    assert [r[0] for r in got] == ["•", "◦", "–", "·", "(12)", "b)", "iv.", "", "", "", ""]

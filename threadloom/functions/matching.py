@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +41,35 @@ def overlap_pairs(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float) -> D
     return met.select("page", "a", "b", inter.alias("inter"), (inter / (box_area("a_") + box_area("b_") - inter)).alias("iou"))
 
 
-def match_best_first(pairs: DataFrame, score: str = "iou", max_rounds: int = 60) -> DataFrame:
+def similar_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """(keys, a, b, na, nb, inter) of sets (keys, uid, items) of both sides with Jaccard of at least ``least``.
+
+    Items are ordered from the rarest on; two sets that are alike enough share
+    one of their first few, so only those meet, and only where both sizes leave
+    room. An item that all sets hold joins nothing unless it is all they have.
+    Items of a set are distinct and not null; empty sets are like nothing.
+    """
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*keys, F.col("uid").alias(p), F.size("items").alias("n" + p), F.explode("items").alias("item"))
+
+    both = spread(a, "a").select("item").unionByName(spread(b, "b").select("item"))
+    rarity = both.groupBy("item").agg(F.count("*").alias("__n"))
+
+    def prefixes(df: DataFrame, p: str) -> DataFrame:
+        met = spread(df, p).join(rarity, "item").groupBy(*keys, p, "n" + p).agg(F.array_sort(F.collect_list(F.struct("__n", "item"))).alias("__o"))
+        items = F.transform("__o", lambda x: x["item"])
+        first = F.slice(items, F.lit(1), (F.col("n" + p) - F.ceil(F.col("n" + p) * least - 1e-9) + 1).cast("int"))
+        return met.select(*keys, p, "n" + p, items.alias("i" + p), F.explode(first).alias("item"))
+
+    room = (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
+    near = prefixes(a, "a").join(prefixes(b, "b"), [*keys, "item"]).where(room)
+    inter = F.size(F.array_intersect("ia", "ib"))
+    shared = near.select(*keys, "a", "b", "na", "nb", inter.alias("inter")).distinct()
+    return shared.where(F.col("inter") >= least * (F.col("na") + F.col("nb") - F.col("inter")) - 1e-9)
+
+
+def match_best_first(pairs: DataFrame, score: str = "iou") -> DataFrame:
     """One-to-one matching of (page, a, b, score): best score first, ties by ids.
 
     A pair that is the best choice of both its ends is taken by the greedy walk
@@ -48,9 +78,7 @@ def match_best_first(pairs: DataFrame, score: str = "iou", max_rounds: int = 60)
     """
     rest = cut_lineage(pairs.withColumn("__k", F.struct((-F.col(score)).alias("s"), "a", "b")))
     taken = None
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            return (pairs.limit(0) if taken is None else taken).drop("__k", "__ba", "__bb")
+    while not rest.isEmpty():  # every round takes the best pair of each page at least
         ranked = rest.withColumn("__ba", F.min("__k").over(Window.partitionBy("page", "a"))).withColumn(
             "__bb", F.min("__k").over(Window.partitionBy("page", "b"))
         )
@@ -59,7 +87,7 @@ def match_best_first(pairs: DataFrame, score: str = "iou", max_rounds: int = 60)
         rest = cut_lineage(
             rest.join(won.select("page", "a"), ["page", "a"], "left_anti").join(won.select("page", "b"), ["page", "b"], "left_anti")
         )
-    raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
+    return (pairs.limit(0) if taken is None else taken).drop("__k", "__ba", "__bb")
 
 
 def tokens_of(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.functions.matching import jaccard, match_best_first, overlap_pairs, tokens_of
+from threadloom.functions.matching import jaccard, match_best_first, overlap_pairs, similar_sets, tokens_of
 from threadloom.functions.windows import pick_ranks, split_running_sum, value_band
 
 SOFT_MATCH = 0.9
@@ -81,12 +81,10 @@ def worst_tables(scores: DataFrame, k: int = 10) -> DataFrame:
 def table_match(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Truth tables matched one to one with predictions by shared cell texts, Jaccard over 0.2, best first.
 
-    Tables (page, uid, items) meet only where they share an item; an item is a
+    Tables (page, uid, items) meet on their rarest items; an item is a
     normalised cell text.
     """
-    a = truth.select("page", F.col("uid").alias("a"), F.size("items").alias("na"), F.explode("items").alias("item"))
-    b = pred.select("page", F.col("uid").alias("b"), F.size("items").alias("nb"), F.explode("items").alias("item"))
-    shared = a.join(b, ["page", "item"]).groupBy("page", "a", "b", "na", "nb").agg(F.count("*").alias("inter"))
+    shared = similar_sets(truth, pred, ["page"], TABLE_MATCH)
     score = F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
     return match_best_first(shared.withColumn("score", score).where(F.col("score") > TABLE_MATCH).select("page", "a", "b", "score"), "score")
 
@@ -135,13 +133,12 @@ def figure_caption_score(pred: DataFrame, truth: DataFrame, cell_w: float, cell_
 def heading_accuracy(pred: DataFrame, truth: DataFrame, least: float = 0.8) -> DataFrame:
     """Per document: truth headings found (token Jaccard) and found with the right level.
 
-    Headings (doc, uid, level, text) meet on shared tokens; the first predicted
-    heading that passes decides the level.
+    Headings (doc, uid, level, text) meet on their rarest tokens; the first
+    predicted heading that passes decides the level.
     """
-    sized = lambda df, p: df.select("doc", F.col("uid").alias(p), F.col("level").alias(p + "_level"), tokens_of(F.col("text")).alias("t"))
-    spread = lambda df, p: sized(df, p).select("doc", p, p + "_level", F.size("t").alias("n" + p), F.explode("t").alias("token"))
-    shared = spread(truth, "a").join(spread(pred, "b"), ["doc", "token"]).groupBy("doc", "a", "a_level", "b", "b_level", "na", "nb").agg(F.count("*").alias("inter"))
-    close = shared.where(F.col("inter") >= least * (F.col("na") + F.col("nb") - F.col("inter")))
+    sets = lambda df: df.select("doc", "uid", tokens_of(F.col("text")).alias("items"))
+    level = lambda df, p: df.select("doc", F.col("uid").alias(p), F.col("level").alias(p + "_level"))
+    close = similar_sets(sets(truth), sets(pred), ["doc"], least).join(level(truth, "a"), ["doc", "a"]).join(level(pred, "b"), ["doc", "b"])
     first = close.groupBy("doc", "a", "a_level").agg(F.min_by("b_level", "b").alias("b_level"))
     found = first.groupBy("doc").agg(F.count("*").alias("matched"), F.count_if(F.col("a_level") == F.col("b_level")).alias("level_ok"))
     total = truth.groupBy("doc").agg(F.count("*").alias("total"))

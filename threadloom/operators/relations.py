@@ -154,7 +154,7 @@ def connection_index(edges: DataFrame, items: DataFrame) -> DataFrame:
     return marked.select("uid", "from_uid", "to_uid", "label", (ok("from_item", "from_edge") & ok("to_item", "to_edge")).alias("valid"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(uid, component): smallest uid reachable over undirected edges (a, b).
 
     Alternates the large-star and small-star steps of the published two-phase
@@ -166,7 +166,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     nodes = edges.select(F.col("a").alias("uid")).union(edges.select("b")).distinct()
     current = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -179,7 +179,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             roots = current.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "uid")
             return nodes.join(roots, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
         state = after
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def suggest_pairs(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators import documents as op
 from threadloom.plans.base import query
+from threadloom.plans.pairing import boxes_matched_sql, boxes_sql, match_sql, overlap_sql
 from threadloom.plans.relations import UID
 
 ROWS = 20
@@ -159,7 +160,15 @@ def boxes(t, cond="true", dx="0", text="l_returnflag"):
     )
 
 
-@query("caption_links")
+@query(
+    "caption_links",
+    f"""
+WITH RECURSIVE ba AS MATERIALIZED ({boxes_sql("l_linestatus = 'O'")}), bb AS MATERIALIZED ({boxes_sql("l_linestatus = 'F'")}),
+ g AS (SELECT p.page, p.uid AS a, q.uid AS b, p.text = 'A' AS tab, greatest(0.0::DOUBLE, q.y0 - p.y1, p.y0 - q.y1) AS yg, greatest(0.0::DOUBLE, q.x0 - p.x1, p.x0 - q.x1) AS xg FROM ba p JOIN bb q ON p.page = q.page AND (p.text = 'A') = (q.text = 'A')),
+ near AS MATERIALIZED (SELECT page, a, b, -(yg + 0.25::DOUBLE * xg) AS near FROM g WHERE yg <= CASE WHEN tab THEN 30 ELSE 36 END AND xg <= 36),
+ {match_sql('near', 'near')}
+SELECT page, a AS caption, b AS target, -near AS gap FROM matched JOIN near USING (page, a, b)""",
+)
 def _(t):
     kind = F.when(F.col("text") == "A", "table").otherwise("figure")
     caps = boxes(t, "l_linestatus = 'O'").withColumn("kind", kind)
@@ -252,7 +261,15 @@ def _(t):
     return op.page_skew(rows.select(F.col("o_custkey").alias("page"), F.col("l_orderkey").alias("row"), (F.col("l_quantity") * 10).alias("x"), (F.col("l_extendedprice") / 1000).alias("y")))
 
 
-@query("numeric_grid_pages")
+@query(
+    "numeric_grid_pages",
+    """
+WITH w AS (SELECT o_custkey AS page, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uid, l_discount * 1000 AS x, l_extendedprice / 100 AS y FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ s AS (SELECT *, CASE WHEN x - lag(x) OVER o <= 8 THEN 0 ELSE 1 END AS st FROM w WINDOW o AS (PARTITION BY page ORDER BY x, y, uid)),
+ c AS (SELECT *, sum(st) OVER (PARTITION BY page ORDER BY x, y, uid) AS col FROM s),
+ g AS (SELECT page, col, min(y) AS t, max(y) AS b FROM c GROUP BY 1, 2 HAVING count(DISTINCT y) >= 4)
+SELECT page, count(*) AS columns FROM g GROUP BY 1 HAVING count(*) >= 2 AND max(t) < min(b)""",
+)
 def _(t):
     words = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("page"), F.expr(UID).alias("uid"), F.col("l_quantity").cast("string").alias("text"), (F.col("l_discount") * 1000).alias("x"), (F.col("l_extendedprice") / 100).alias("y")
@@ -291,7 +308,11 @@ def _(t):
     return op.spelling_consensus(words, lexicon(t, 60))
 
 
-@query("merge_engine_tables")
+@query(
+    "merge_engine_tables",
+    boxes_matched_sql(boxes_sql(), boxes_sql("l_linestatus = 'O'", "l_discount * 100"), 0.5)
+    + " SELECT matched.page, a AS fresh, b AS layer, CASE WHEN 0.7 > conf + 0.02 THEN 'layer' ELSE 'fresh' END AS chose FROM matched JOIN ba ON ba.page = matched.page AND ba.uid = a",
+)
 def _(t):
     stats = lambda df, share: df.withColumn("share", share).withColumn("total", F.lit(10)).withColumn("rows", F.lit(4)).withColumn("cols", F.lit(3))
     return op.merge_engine_tables(stats(boxes(t), F.col("conf")), stats(boxes(t, "l_linestatus = 'O'", dx="l_discount * 100"), F.lit(0.7)), 60.0, 40.0)
@@ -312,14 +333,31 @@ def _(t):
     return op.merge_scoped(numbered(boxes(t)), scoped, boxes(t, "l_returnflag = 'R'", dx="5"), 60.0, 40.0)
 
 
-@query("merge_figures")
+@query(
+    "merge_figures",
+    boxes_matched_sql(boxes_sql("l_linestatus = 'O'"), boxes_sql("l_returnflag <> 'N'", "l_discount * 200"), 0.3)
+    + """, c AS (SELECT page, uid, CASE WHEN text = 'R' THEN 'Figure 1. Seen' ELSE 'seen' END AS cap, CASE WHEN text = 'R' THEN 2 ELSE 0 END AS s FROM ba),
+ l AS (SELECT page, uid, CASE WHEN text = 'A' THEN 'Fig. 2 text.' ELSE '' END AS cap, CASE WHEN text = 'A' THEN 3 ELSE -1 END AS s FROM bb)
+SELECT m.page, a AS uid, CASE WHEN l.s > c.s THEN l.cap ELSE c.cap END AS caption, 'paired' AS origin FROM matched m JOIN c ON c.page = m.page AND c.uid = a JOIN l ON l.page = m.page AND l.uid = b
+UNION ALL SELECT page, uid, cap, 'local' FROM l WHERE (page, uid) NOT IN (SELECT (page, b) FROM matched)
+UNION ALL SELECT page, uid, cap, 'cloud' FROM c WHERE (page, uid) NOT IN (SELECT (page, a) FROM matched) AND page NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+)
 def _(t):
     cloud = boxes(t, "l_linestatus = 'O'").withColumn("caption", F.when(F.col("text") == "R", "Figure 1. Seen").otherwise("seen"))
     local = boxes(t, "l_returnflag <> 'N'", dx="l_discount * 200").withColumn("caption", F.when(F.col("text") == "A", "Fig. 2 text.").otherwise(""))
     return op.merge_figures(cloud, local, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page")), 60.0, 40.0)
 
 
-@query("box_dedupe")
+@query(
+    "box_dedupe",
+    f"""
+WITH RECURSIVE w AS MATERIALIZED ({boxes_sql(text="l_partkey::VARCHAR")} UNION ALL SELECT page, concat('z', uid), text, conf, l_linestatus, flag, x0, y0, x1, y1 FROM ({boxes_sql("l_linestatus = 'O'", "l_discount * 200", "l_suppkey::VARCHAR")})),
+ near AS MATERIALIZED (SELECT page, a, list(b) AS rivals FROM ({overlap_sql('w', 'w')}) WHERE iou >= 0.3 AND a <> b GROUP BY 1, 2),
+ turn AS MATERIALIZED (SELECT w.page, uid, text, coalesce(rivals, []) AS rivals, row_number() OVER (PARTITION BY w.page ORDER BY length(text) DESC, uid) AS k FROM w LEFT JOIN near ON near.page = w.page AND near.a = uid),
+ walk(page, k, kept, uid, text) AS (SELECT DISTINCT page, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM turn
+  UNION ALL SELECT page, k, CASE WHEN free THEN list_append(kept, uid) ELSE kept END, CASE WHEN free THEN uid END, text FROM (SELECT t.page, t.k, t.uid, t.text, kept, len(list_intersect(t.rivals, kept)) = 0 AS free FROM walk v JOIN turn t ON t.page = v.page AND t.k = v.k + 1))
+SELECT page, uid, text::BIGINT AS text FROM walk WHERE uid IS NOT NULL""",
+)
 def _(t):
     words = boxes(t, text="l_partkey").unionByName(boxes(t, "l_linestatus = 'O'", dx="l_discount * 200", text="l_suppkey").withColumn("uid", F.concat(F.lit("z"), "uid")))
     return op.box_dedupe(words, 60.0, 40.0).select("page", "uid", "text")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from threadloom.operators import evaluation as op
 from threadloom.plans.base import query
+from threadloom.plans.pairing import boxes_matched_sql, boxes_sql, match_sql, overlap_sql
 from threadloom.plans.documents import LINES_SQL, boxes, lines
 from threadloom.plans.sources import CELLS_SQL, line_cells
 
@@ -54,7 +55,16 @@ def _(t):
     return rows.groupBy("table_id", "c").agg(F.count("*").alias("n"), F.round(F.min("sim"), 6).alias("worst"), F.round(F.max("sim"), 6).alias("best"))
 
 
-@query("table_match")
+@query(
+    "table_match",
+    f"""
+WITH RECURSIVE i AS (SELECT DISTINCT o_custkey AS page, o_orderkey AS uid, l_partkey AS item, l_returnflag <> 'R' AS seen FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+ x AS (SELECT DISTINCT page, uid, item FROM i), y AS (SELECT DISTINCT page, uid, item FROM i WHERE seen), nx AS (SELECT uid, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT uid, count(*) AS n FROM y GROUP BY 1),
+ s AS (SELECT x.page, x.uid AS a, y.uid AS b, count(*) AS n FROM x JOIN y ON x.page = y.page AND x.item = y.item GROUP BY 1, 2, 3),
+ near AS MATERIALIZED (SELECT s.page, a, b, s.n::DOUBLE / (nx.n + ny.n - s.n) AS score FROM s JOIN nx ON nx.uid = a JOIN ny ON ny.uid = b WHERE s.n::DOUBLE / (nx.n + ny.n - s.n) > 0.2),
+ {match_sql('near', 'score', 'BIGINT')}
+SELECT page, a, b, score FROM matched JOIN near USING (page, a, b)""",
+)
 def _(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     tables = lambda df: df.select(F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("uid"), "l_partkey").groupBy("page", "uid").agg(F.collect_set("l_partkey").alias("items"))
@@ -74,18 +84,36 @@ def _(t):
     return op.adjacency_f1(pred_cells(t), truth_cells(t))
 
 
-@query("detection_f1")
+@query(
+    "detection_f1",
+    boxes_matched_sql(boxes_sql(), boxes_sql("l_linestatus = 'O'", "l_discount * 200"), 0.5)
+    + """, n AS (SELECT (SELECT count(*) FROM matched) AS tp, (SELECT count(*) FROM bb) AS pred_n, (SELECT count(*) FROM ba) AS truth_n)
+SELECT *, round(coalesce(tp::DOUBLE / nullif(pred_n, 0), 0), 6) AS p, round(coalesce(tp::DOUBLE / nullif(truth_n, 0), 0), 6) AS r, round(coalesce(2.0::DOUBLE * tp / nullif(pred_n + truth_n, 0), 0), 6) AS f1 FROM n""",
+)
 def _(t):
     return op.detection_f1(boxes(t, "l_linestatus = 'O'", dx="l_discount * 200"), boxes(t), 60.0, 40.0)
 
 
-@query("figure_caption_score")
+@query(
+    "figure_caption_score",
+    boxes_matched_sql(boxes_sql(), boxes_sql("l_linestatus = 'O'", "l_discount * 200"), 0.5)
+    + """, h AS (SELECT m.page, count(*) AS hits, count(*) FILTER (p.text = 'R' AND q.text = 'R' OR p.text <> 'R' AND q.text <> 'R' AND false) AS linked FROM matched m JOIN ba p ON p.page = m.page AND p.uid = a JOIN bb q ON q.page = m.page AND q.uid = b GROUP BY 1),
+ t AS (SELECT page, count(*) AS truth_n FROM ba GROUP BY 1), s AS (SELECT page, count(*) AS pred_n FROM bb GROUP BY 1)
+SELECT t.page, truth_n, coalesce(pred_n, 0) AS pred_n, coalesce(hits, 0) AS hits, coalesce(linked, 0) AS linked FROM t LEFT JOIN s ON s.page = t.page LEFT JOIN h ON h.page = t.page""",
+)
 def _(t):
     caption = lambda df, alt: df.withColumn("caption", F.when(F.col("text") == "R", "figure one seen").otherwise(alt))
     return op.figure_caption_score(caption(boxes(t, "l_linestatus = 'O'", dx="l_discount * 200"), "other words"), caption(boxes(t), "other text here"), 60.0, 40.0)
 
 
-@query("heading_accuracy")
+@query(
+    "heading_accuracy",
+    f"""
+WITH h AS MATERIALIZED (SELECT doc, pos AS uid, CASE WHEN length(text) < 30 THEN 1 ELSE 2 END AS level, CASE WHEN contains(text, ',') THEN 1 WHEN length(text) < 30 THEN 1 ELSE 2 END AS read, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM ({LINES_SQL}) WHERE length(text) < 60),
+ c AS (SELECT x.doc, x.uid, x.level, arg_min(y.read, y.uid) AS read FROM h x JOIN h y ON x.doc = y.doc AND len(list_intersect(x.t, y.t)) > 0 AND len(list_intersect(x.t, y.t)) >= 0.8 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) GROUP BY 1, 2, 3),
+ n AS (SELECT doc, count(*) AS total FROM h GROUP BY 1), f AS (SELECT doc, count(*) AS matched, count(*) FILTER (level = read) AS level_ok FROM c GROUP BY 1)
+SELECT n.doc, total, coalesce(matched, 0) AS matched, coalesce(level_ok, 0) AS level_ok, round(coalesce(level_ok, 0)::DOUBLE / total, 3) AS accuracy FROM n LEFT JOIN f ON f.doc = n.doc""",
+)
 def _(t):
     heads = lines(t).where("chars < 60").select("doc", F.col("pos").alias("uid"), F.when(F.col("chars") < 30, 1).otherwise(2).alias("level"), "text")
     return op.heading_accuracy(heads.withColumn("level", F.when(F.col("text").contains(","), 1).otherwise(F.col("level"))), heads)
@@ -174,7 +202,14 @@ def _(t):
     return op.footnote_links(marks("l_returnflag <> 'R'"), marks("l_quantity > 10"), marks("true"))
 
 
-@query("word_agreement")
+@query(
+    "word_agreement",
+    f"""
+WITH RECURSIVE ba AS MATERIALIZED ({boxes_sql()}), bb AS MATERIALIZED ({boxes_sql("l_linestatus = 'O'", "l_discount * 200", "CASE WHEN l_quantity > 45 THEN 'Z' ELSE l_returnflag END")}),
+ near AS MATERIALIZED (SELECT o.* FROM ({overlap_sql('ba', 'bb')}) o JOIN ba ON ba.page = o.page AND ba.uid = o.a JOIN bb ON bb.page = o.page AND bb.uid = o.b WHERE iou >= 0.5 AND ba.text = bb.text),
+ {match_sql('near', 'iou')}, h AS (SELECT page, count(*) AS matched FROM matched GROUP BY 1), s AS (SELECT page, count(*) AS b_n FROM bb GROUP BY 1)
+SELECT t.page, a_n, coalesce(b_n, 0) AS b_n, coalesce(matched, 0) AS matched FROM (SELECT page, count(*) AS a_n FROM ba GROUP BY 1) t LEFT JOIN s ON s.page = t.page LEFT JOIN h ON h.page = t.page""",
+)
 def _(t):
     return op.word_agreement(boxes(t), boxes(t, "l_linestatus = 'O'", dx="l_discount * 200", text="CASE WHEN l_quantity > 45 THEN 'Z' ELSE l_returnflag END"), 60.0, 40.0)
 
