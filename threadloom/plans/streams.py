@@ -8,6 +8,7 @@ from threadloom.operators import telemetry
 from threadloom.plans.aggregates import LATEST_SQL, micros
 from threadloom.plans.base import query
 from threadloom.streaming import feeds
+from threadloom.streaming.quiet import Quiet, quiet_batches, quiet_stream
 
 
 def events(t):
@@ -92,6 +93,35 @@ def _(t):
     return out.join(last, "batch").select("owner", micros("start").alias("start"), micros("end").alias("end"), "n")
 
 
+RULE = Quiet(least=600_000_000, most=21_600_000_000, forget=86_400_000_000)
+BACKOFF_SQL = """
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS owner, epoch_us(ts) AS tm, round(value * 30000000)::BIGINT AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ w(owner, i, tm, cost, quiet, b) AS (SELECT owner, i, tm, cost, 600000000::BIGINT, 1::BIGINT FROM e WHERE i = 1
+  UNION ALL SELECT e.owner, e.i, e.tm, e.cost, CASE WHEN e.tm - w.tm < w.quiet THEN w.quiet WHEN e.tm - w.tm >= 86400000000 THEN 600000000 ELSE least(21600000000, greatest(600000000, 10 * w.cost)) END,
+   CASE WHEN e.tm - w.tm < w.quiet THEN b ELSE b + 1 END FROM w JOIN e ON e.owner = w.owner AND e.i = w.i + 1)
+SELECT owner, min(tm) AS "start", max(tm) + max(quiet) AS "end", count(*) AS n FROM w GROUP BY owner, b"""
+
+
+def changes(t):
+    return t.events.select(F.col("user_id").cast("long").alias("owner"), F.col("event_id").alias("uid"), micros("ts").alias("at"), F.round(F.col("value") * 30_000_000).cast("long").alias("cost"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("quiet_time_backoff", BACKOFF_SQL)
+def _(t):
+    return quiet_batches(changes(t).drop("ts"), RULE)
+
+
+@query("quiet_time_backoff_stream", BACKOFF_SQL)
+def _(t):
+    folder = feeds.work_folder(t.spark, "changes")
+    rows = changes(t).select("owner", "ts", "cost")
+    rows.write.parquet(folder)
+    # The end of the feed is one change of nobody, long after all others, that lets every timer run out.
+    end = t.events.agg(F.lit(-1).cast("long").alias("owner"), (F.max("ts").cast("timestamp") + F.expr("interval 30 days")).alias("ts"), F.lit(0).cast("long").alias("cost"))
+    end.write.mode("append").parquet(folder)
+    return feeds.drain(quiet_stream(feeds.file_stream(t.spark, folder, rows.schema), RULE), "backoff", "append").where("owner >= 0").drop("batch")
+
+
 WINDOW_SQL = """
 WITH e AS (SELECT event_type AS kind, epoch_us(date_trunc('day', ts)) AS d FROM events)
 SELECT d - o * 86400000000 AS "start", kind, count(*) AS n FROM e, unnest(range(7)) u(o) GROUP BY 1, 2"""
