@@ -162,3 +162,27 @@ def test_url_counts_are_whole_whatever_the_vocabulary(spark):
     assert got == want
     again = fit_urls(spark.range(210_000).select(F.format_string("http://a.net/%s", F.translate(F.conv("id", 10, 8), "01234567", "abcdefgh")).alias("url")))
     assert round(math.exp(again.words["net"]) * again.total) == 210_000 + 50
+
+
+def test_word_vectors_sum_over_all_training_texts(spark):
+    import pyarrow as pa
+
+    from threadloom.llm import quality as q
+
+    texts = ["a b c a", None, "", "b a", "x", "a a"]
+    known = np.sort(q._hash(["a", "b", "x"]))
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    got = {h: np.array(v) for out in q._neighbour_sums(known, iter([batch, batch])) for h, v in zip(out.column(0).to_numpy().view(np.uint64), out.column(1).to_pylist(), strict=True)}
+    one = {w: q.index_vectors(q._hash([w]))[0].astype(float) for w in "abcx"}
+    want = {w: np.zeros(q.DIM) for w in "ab"}
+    for t in texts:
+        words = (t or "").split()
+        for i, w in enumerate(words):
+            for j in range(max(0, i - q.WINDOW), min(len(words), i + q.WINDOW + 1)):
+                if j != i and w in want:
+                    want[w] += 2 * one[words[j]]
+    assert set(got) == set(q._hash(["a", "b"])) and all(np.allclose(got[q._hash([w])[0]], v) for w, v in want.items())
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(["good fine words here"] * 4 + ["bad poor words there"] * 4)] + [(1, "another text of an id", 0)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(8)], "doc_id long, quality int")
+    one, two = (fit_quality(d, labels, F.lit(True)) for d in (docs, docs.repartition(3)))
+    assert np.array_equal(one.hashes, two.hashes) and all(np.allclose(a, b) for a, b in zip(one.layers, two.layers, strict=True))

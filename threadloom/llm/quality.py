@@ -1,9 +1,8 @@
 """Text quality from random-indexing word vectors and a two-layer network.
 
 Every word has a sparse random index vector that follows from its hash. The
-vector of a word is the sum of the index vectors of its neighbours in the
-fitting sample; a word outside the sample's vocabulary has its own index
-vector. A document is the mean of its word vectors, beside the mean of the
+vector of a word is the sum of the index vectors of its neighbours in all
+training documents; a word outside the vocabulary has its own index vector. A document is the mean of its word vectors, beside the mean of the
 index vectors of its word shapes and pairs of equal neighbours. A two-layer NumPy network, trained on a
 bounded sample of labelled documents, gives a probability; a temperature fitted
 on documents the network never saw calibrates it.
@@ -13,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ VOCABULARY = 30_000
 HIDDEN = 32
 EPOCHS = 60
 SLICE_BYTES = 8 << 20
+NEIGHBOUR_BYTES = 1 << 20
 SHAPE_TABLE = np.full(256, ord("o"), np.uint8)
 SHAPE_TABLE[ord("a") : ord("z") + 1] = ord("a")
 SHAPE_TABLE[ord("A") : ord("Z") + 1] = ord("A")
@@ -136,26 +137,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z / self.temperature, -30, 30)))
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: (word hash, count, summed index vectors of the neighbours)."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice of texts: (word hash, count)."""
     for batch in batches:
         for part in slices(batch.column(0)):
+            words, codes, _ = word_codes(part)
+            if len(codes):
+                yield pa.record_batch([pa.array(_hash(words).view(np.int64)), pa.array(np.bincount(codes, minlength=len(words)))], names=["h", "n"])
+
+
+def _neighbour_sums(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: (word hash, summed index vectors of its neighbours) for the words in ``known`` (sorted)."""
+    sums = np.zeros((len(known), DIM))
+    for batch in batches:
+        for part in slices(batch.column(0), NEIGHBOUR_BYTES):
             words, codes, bounds = word_codes(part)
             if not len(codes):
                 continue
             h = _hash(words)
-            index = index_vectors(h)
-            order = np.argsort(codes, kind="stable")
+            index, text = index_vectors(h), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             total = np.zeros((len(codes), DIM), np.float32)
-            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             for d in range(1, WINDOW + 1):
                 near = (text[d:] == text[:-d])[:, None]
                 total[d:] += np.where(near, index[codes[:-d]], 0)
                 total[:-d] += np.where(near, index[codes[d:]], 0)
+            order = np.argsort(codes, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) > 0]))
-            summed = np.add.reduceat(total[order], first, axis=0).astype(np.float64)
-            kept = codes[order][first]
-            yield pa.record_batch([pa.array(h[kept].view(np.int64)), pa.array(np.bincount(codes, minlength=len(words))[kept]), pa.array(list(summed), pa.list_(pa.float64()))], names=["h", "n", "v"])
+            own = h[codes[order][first]]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            sums[at[hit]] += np.add.reduceat(total[order], first, axis=0)[hit]
+    seen = np.flatnonzero(sums.any(1))
+    for at in np.array_split(seen, max(1, len(seen) // 4096)):
+        yield pa.record_batch([pa.array(known[at].view(np.int64)), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["h", "v"])
 
 
 def train_network(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 3) -> list[np.ndarray]:
@@ -181,19 +195,25 @@ def train_network(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: in
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` labelled documents, picked by a hash of the id; None without both labels.
 
-    Word vectors and features are made on Spark; the driver gets the vectors of
-    the ``VOCABULARY`` most frequent words of the sample, of those it holds at
-    least ``LEAST_COUNT`` times, and one feature row a sampled document. A fifth of them fits the temperature.
+    ``train`` is a condition on the id. Words are counted and neighbours summed
+    over all documents it holds for, labelled or not; the driver gets the vectors
+    of the ``VOCABULARY`` most frequent words, of those that occur at least
+    ``LEAST_COUNT`` times, and one feature row a sampled document. Of repeated
+    ids the smallest label and smallest text count. A fifth of the sample fits
+    the temperature.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     marked = labels.where(train & F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"))
     picked = marked.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
-    rows = scratch.keep(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(picked, "id").dropDuplicates(["id"]).repartition(spark.sparkContext.defaultParallelism, "id"), "sample")
-    near = rows.select("text").mapInArrow(_neighbours, "h bigint, n bigint, v array<double>")
-    sums = near.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
-    sums = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()
-    sums = sums.assign(u=sums["h"].to_numpy().view(np.uint64)).sort_values("u")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = scratch.keep(named.join(picked, "id").groupBy("id", "y").agg(F.min("text").alias("text")).repartition(spark.sparkContext.defaultParallelism, "id"), "sample")
+    texts = docs.where(train & F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    counted = texts.mapInArrow(_word_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    known = np.sort(counted.orderBy(F.desc("n"), "h").limit(VOCABULARY).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    near = texts.mapInArrow(partial(_neighbour_sums, known), "h bigint, v array<double>") if len(known) else spark.createDataFrame([], "h bigint, v array<double>")
+    sums = near.groupBy("h").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(DIM)]).toPandas()
+    sums = sums.assign(u=sums["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     vectors = sums[[f"v{i}" for i in range(DIM)]].to_numpy(np.float32)
     vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-9)
     model = Model(sums["u"].to_numpy(), vectors, np.zeros(1), np.ones(1), [], 1.0)
@@ -225,7 +245,8 @@ def score_quality(df: DataFrame, model: Model | None, text: str = "text") -> Dat
     """``df`` with __score, the calibrated probability of label 1, over whole texts.
 
     A null or empty text has the score of no words at all; without a model every
-    score is 0.5.
+    score is 0.5. Repeated rows are each scored, an empty table gives no rows,
+    and a column named __score must not be there already.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = StructType(list(df.schema.fields)).add("__score", "double")
