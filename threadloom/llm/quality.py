@@ -147,26 +147,32 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbour_sums(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: (word hash, summed index vectors of its neighbours) for the words in ``known`` (sorted)."""
-    sums = np.zeros((len(known), DIM))
+    """Per task: (word hash, summed index vectors of its neighbours) for the words in ``known`` (sorted).
+
+    Index vectors are sparse, so each neighbour adds its few entries to the
+    cells of its word, and a slice's entries are summed in one count.
+    """
+    sums = np.zeros(len(known) * DIM)
     for batch in batches:
         for part in slices(batch.column(0), NEIGHBOUR_BYTES):
             words, codes, bounds = word_codes(part)
             if not len(codes):
                 continue
             h = _hash(words)
-            index, text = index_vectors(h), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-            total = np.zeros((len(codes), DIM), np.float32)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            cell = np.where(known[at] == h, at * DIM, -1)[codes]
+            index = index_vectors(h)
+            entry = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]  # entries that are not zero come first
+            sign = np.take_along_axis(index, entry, 1)
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            cells, signs = [], []
             for d in range(1, WINDOW + 1):
-                near = (text[d:] == text[:-d])[:, None]
-                total[d:] += np.where(near, index[codes[:-d]], 0)
-                total[:-d] += np.where(near, index[codes[d:]], 0)
-            order = np.argsort(codes, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) > 0]))
-            own = h[codes[order][first]]
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            hit = known[at] == own
-            sums[at[hit]] += np.add.reduceat(total[order], first, axis=0)[hit]
+                for own, other in ((slice(d, None), slice(None, -d)), (slice(None, -d), slice(d, None))):
+                    near = (text[own] == text[other]) & (cell[own] >= 0)
+                    cells.append((cell[own][near][:, None] + entry[codes[other][near]]).reshape(-1))
+                    signs.append(sign[codes[other][near]].reshape(-1))
+            sums += np.bincount(np.concatenate(cells), np.concatenate(signs), len(sums))
+    sums = sums.reshape(-1, DIM)
     seen = np.flatnonzero(sums.any(1))
     for at in np.array_split(seen, max(1, len(seen) // 4096)):
         yield pa.record_batch([pa.array(known[at].view(np.int64)), pa.array(list(sums[at]), pa.list_(pa.float64()))], names=["h", "v"])
