@@ -147,8 +147,14 @@ def test_texts_of_a_language_left_out_are_rejected(spark, out):
 
 
 def test_shapes_read_words_whole():
-    from threadloom.llm.quality import _shape
+    from itertools import groupby
 
+    from threadloom.llm.quality import SHAPE_TABLE, _shape, _shapes
+
+    words = ["ab", "Ab1", "", "b", "", "é.", "..", ".", "Ab12", "", ""]
+    kinds, at = _shapes(words)
+    assert [kinds[i] for i in at] == ["".join(k for k, _ in groupby(chr(SHAPE_TABLE[b]) for b in w.encode())) for w in words]
+    assert _shapes([])[0] == [] and _shapes(["", ""])[0] == [""]
     assert _shape("é" * 40 + "A1!") == "aA0!" and _shape("x" * 64 + "!" + "9" * 100_000 + "B") == "a!0A" and _shape("") == ""
 
 

@@ -58,10 +58,22 @@ def _hash(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
+def _shapes(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """(distinct shapes, shape of each word): runs of character classes over whole words, upper, lower, digit, and ASCII marks as they are."""
+    packed = pa.array(words, pa.large_binary())
+    ends = np.frombuffer(packed.buffers()[1], np.int64)[: len(words) + 1]
+    if ends[-1] == 0:
+        return ([""] if words else []), np.zeros(len(words), np.int64)
+    kind = SHAPE_TABLE[np.frombuffer(packed.buffers()[2], np.uint8)[: ends[-1]]]
+    starts = np.concatenate([[True], kind[1:] != kind[:-1]])
+    starts[ends[:-1][ends[:-1] < ends[-1]]] = True
+    kept = np.concatenate([[0], np.cumsum(starts)])[ends]
+    runs = pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(kept), pa.py_buffer(kind[starts])]).dictionary_encode()
+    return [s.decode() for s in runs.dictionary.to_pylist()], runs.indices.to_numpy(zero_copy_only=False)
+
+
 def _shape(word: str) -> str:
-    """Runs of character classes over the whole word: upper, lower, digit, and ASCII marks as they are."""
-    s = SHAPE_TABLE[np.frombuffer(word.encode(), np.uint8)]
-    return s[np.concatenate([[True], s[1:] != s[:-1]])].tobytes().decode() if len(s) else ""
+    return _shapes([word])[0][0]
 
 
 def word_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -86,9 +98,9 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 
 def _means(values: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Mean of ``values[codes]`` over each text, through counts of distinct (text, code) in blocks of texts."""
+    """Mean of ``values[codes]`` over each text, summed in blocks of words that fit the cache."""
     out = np.zeros((len(bounds) - 1, values.shape[1]), np.float32)
-    step = 1 << 18
+    step = 1 << 13
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     for s in range(0, len(codes), step):
         t = text[s : s + step]
@@ -116,9 +128,8 @@ class Model:
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             hit = self.hashes[at] == h
             own[hit] = self.vectors[at[hit]]
-        shapes = [_shape(w) for w in words]
-        kinds, kind_of = np.unique(shapes, return_inverse=True)
-        shaped = index_vectors(_hash(list(kinds)))
+        kinds, kind_of = _shapes(words)
+        shaped = index_vectors(_hash(kinds))
         n = np.diff(bounds)
         pooled, form = _means(own, codes, bounds), _means(shaped, kind_of[codes], bounds)
         same = np.concatenate([[False], codes[1:] == codes[:-1]]).astype(np.float32)[:, None] if len(codes) else np.zeros((0, 1), np.float32)
