@@ -118,30 +118,54 @@ def paragraphs(lines: DataFrame, body: DataFrame) -> DataFrame:
     """Consecutive lines of a page folded into paragraphs (doc, page, para, first_pos, lines, text).
 
     A line starts a paragraph after a gap over 1.7 sizes, a size change over
-    0.6, a weight change on lines of some length, a shift of the left edge, or
-    an indent or wide gap after a sentence end.
+    0.6, a weight change on lines of some length, or a wide gap or an indent
+    after a sentence end. It also starts one when its left edge is neither flush
+    with the line before nor with the first line of the paragraph, unless it is
+    the second line of an indented one. ``text_x0``, if ``lines`` has it, is the
+    edge of the text behind a hanging mark. The first edge depends on where the
+    paragraph began, so the lines of a page, which bounds them, are folded in
+    order; a comparison with a null edge is no reason to start.
     """
     order = Window.partitionBy("doc", "page").orderBy("pos")
     prev = lambda c: F.lag(c).over(order)
-    rows = lines.join(body.select("doc", "body_size"), "doc")
+    rows = lines.withColumn("text_x0", F.coalesce("text_x0", "x0") if "text_x0" in lines.columns else F.col("x0")).join(body.select("doc", "body_size"), "doc")
     rows = rows.withColumn("gap", F.col("base") - prev("base"))
     usual = rows.where((F.col("gap") > 0) & (F.col("gap") < 3 * F.col("body_size"))).groupBy("doc", "page").agg(F.percentile("gap", 0.5).alias("usual"))
     rows = rows.join(usual, ["doc", "page"], "left").withColumn("usual", F.coalesce("usual", F.col("body_size") * 1.3))
     size = F.greatest(prev("size"), F.col("size"))
-    shift = F.col("x0") - prev("x0")
-    ends, starts = prev("text").rlike(r"[.?!:]$"), F.col("text").rlike(r'^[A-Z("“]')
-    new = (
+    apart = (
         prev("pos").isNull()
         | (F.col("gap") > 1.7 * size)
         | (F.abs(prev("size") - F.col("size")) > 0.6)
         | ((prev("bold") != F.col("bold")) & ((prev("chars") > 20) | (F.col("chars") > 20)))
-        | ((F.abs(shift) > 1.5 * size) & ~((-shift > 0.8 * size) & (-shift < 4 * size)))
-        | (ends & starts & (F.col("gap") > 1.25 * F.col("usual")))
-        | (prev("text").rlike(r"[.?!]$") & (shift > 0.8 * size) & (shift < 4 * size))
+        | (prev("text").rlike(r"[.?!:]$") & F.col("text").rlike(r'^[A-Z("“]') & (F.col("gap") > 1.25 * F.col("usual")))
     )
-    rows = rows.withColumn("new", new.cast("int"))
-    rows = rows.withColumn("para", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = rows.groupBy("doc", "page", "para").agg(F.min("pos").alias("first_pos"), F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
+    line = F.struct(
+        "pos", "text", "x0", "text_x0", size.alias("size"), prev("x0").alias("before"),
+        F.coalesce(apart, F.lit(False)).alias("apart"), F.coalesce(prev("text").rlike(r"[.?!]$"), F.lit(False)).alias("ended"),
+    )
+    pages = rows.select("doc", "page", line.alias("line")).groupBy("doc", "page").agg(F.array_sort(F.collect_list("line")).alias("page_lines"))
+
+    def step(state: Column, row: Column) -> Column:
+        flush = lambda edge: F.abs(row["x0"] - edge) <= 1.5 * row["size"]
+        indent = lambda by: (by > 0.8 * row["size"]) & (by < 4 * row["size"])
+        second = state["n"] == 1
+        in_line = flush(state["edge"]) | flush(state["text_edge"]) | flush(row["before"]) | (second & indent(row["before"] - row["x0"]))
+        indented = row["ended"] & indent(row["x0"] - F.when(second, state["text_edge"]).otherwise(row["before"]))
+        new = row["apart"] | F.coalesce(~in_line | indented, F.lit(False))
+        return F.struct(
+            F.when(new, row["x0"]).otherwise(state["edge"]).alias("edge"),
+            F.when(new, row["text_x0"]).otherwise(state["text_edge"]).alias("text_edge"),
+            F.when(new, 1).otherwise(state["n"] + 1).alias("n"),
+            (state["para"] + new.cast("bigint")).alias("para"),
+            F.concat(state["paras"], F.array(state["para"] + new.cast("bigint"))).alias("paras"),
+        )
+
+    nothing = F.lit(None).cast("double")
+    start = F.struct(nothing.alias("edge"), nothing.alias("text_edge"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("para"), F.array().cast("array<bigint>").alias("paras"))
+    paras = F.aggregate("page_lines", start, step, lambda state: state["paras"])
+    numbered = pages.select("doc", "page", F.explode(F.arrays_zip("page_lines", paras.alias("para"))).alias("z")).select("doc", "page", "z.page_lines.pos", "z.page_lines.text", "z.para")
+    folded = numbered.groupBy("doc", "page", "para").agg(F.min("pos").alias("first_pos"), F.count("*").alias("lines"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t"))
     return folded.select("doc", "page", "para", "first_pos", "lines", F.array_join(F.transform("t", lambda r: r["text"]), " ").alias("text"))
 
 

@@ -274,6 +274,24 @@ def container_of(points: DataFrame, boxes: DataFrame, cell_w: float, cell_h: flo
     return inside.groupBy("uid", "x", "y").agg(F.min_by("box", F.struct(area, "box")).alias("box"), F.count("*").alias("n_boxes"))
 
 
+def neighbourhood_members(items: DataFrame, landmarks: DataFrame, screen_w: float, screen_h: float) -> DataFrame:
+    """Members (board, landmark, uid) of each landmark's neighbourhood: itself and the items whose centre lies in it, edges included.
+
+    The neighbourhood is centred on the landmark and at least a screen large.
+    Centres and neighbourhoods meet on screen-sized cells of a board, so a board
+    of any size is spread over its cells. A landmark without a box has itself only.
+    """
+    gx, gy = (lambda c: F.floor(c / screen_w)), (lambda c: F.floor(c / screen_h))
+    mid_x, mid_y = F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2
+    half_w, half_h = F.greatest(F.col("w"), F.lit(screen_w)) / 2, F.greatest(F.col("h"), F.lit(screen_h)) / 2
+    around = landmarks.select("board", F.col("uid").alias("landmark"), (mid_x - half_w).alias("x0"), (mid_x + half_w).alias("x1"), (mid_y - half_h).alias("y0"), (mid_y + half_h).alias("y1"))
+    spread = around.withColumn("cx", F.explode(F.sequence(gx(F.col("x0")), gx(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(gy(F.col("y0")), gy(F.col("y1")))))
+    centres = items.select("board", "uid", mid_x.alias("mx"), mid_y.alias("my"), gx(mid_x).alias("cx"), gy(mid_y).alias("cy"))
+    inside = F.col("mx").between(F.col("x0"), F.col("x1")) & F.col("my").between(F.col("y0"), F.col("y1")) & (F.col("uid") != F.col("landmark"))
+    found = spread.join(centres, ["board", "cx", "cy"]).where(inside).select("board", "landmark", "uid")
+    return found.unionByName(around.select("board", "landmark", F.col("landmark").alias("uid")))
+
+
 def same_value(items: DataFrame, seeds: DataFrame, column: str) -> DataFrame:
     """Items whose ``column`` equals a seed's, null matching null."""
     values = seeds.select(F.col(column).alias("__seed")).distinct()

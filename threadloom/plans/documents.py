@@ -98,22 +98,29 @@ def _(t):
     return op.heading_levels(rows, op.body_size(rows))
 
 
+EDGED_SQL = f"""SELECT * REPLACE (72.0 + length(text) % 4 * 14.0 AS x0), 72.0 + length(text) % 4 * 14.0 + CASE WHEN length(text) % 5 = 0 THEN 14.0 ELSE 0.0 END AS text_x0 FROM ({LINES_SQL})""".replace("(i % 20 * 36", "(i % 20 * 14")
+
+
 @query(
     "paragraphs",
     f"""
-WITH b AS ({BODY_SQL}), l AS (SELECT x.*, body_size FROM ({LINES_SQL}) x JOIN b USING (doc)),
- g AS (SELECT *, base - lag(base) OVER w AS gap, lag(size) OVER w AS ps, lag(bold) OVER w AS pb, lag(chars) OVER w AS pc, lag(text) OVER w AS pt, x0 - lag(x0) OVER w AS shift, lag(pos) OVER w AS pp FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
+WITH RECURSIVE b AS ({BODY_SQL}), l AS MATERIALIZED (SELECT x.*, body_size, row_number() OVER (PARTITION BY x.doc, page ORDER BY pos) AS k FROM ({EDGED_SQL}) x JOIN b ON b.doc = x.doc),
+ g AS (SELECT *, base - lag(base) OVER w AS gap, greatest(size, lag(size) OVER w) AS big, lag(size) OVER w AS ps, lag(bold) OVER w AS pb, lag(chars) OVER w AS pc, lag(text) OVER w AS pt, lag(x0) OVER w AS px FROM l WINDOW w AS (PARTITION BY doc, page ORDER BY pos)),
  u AS (SELECT doc, page, median(gap) AS usual FROM g WHERE gap > 0 AND gap < 3 * body_size GROUP BY 1, 2),
- n AS (SELECT g.*, CASE WHEN pp IS NULL OR gap > 1.7 * greatest(ps, size) OR abs(ps - size) > 0.6 OR (pb <> bold AND (pc > 20 OR chars > 20))
-   OR (abs(shift) > 1.5 * greatest(ps, size) AND NOT (-shift > 0.8 * greatest(ps, size) AND -shift < 4 * greatest(ps, size)))
-   OR (regexp_matches(pt, '[.?!:]$') AND regexp_matches(text, '^[A-Z("“]') AND gap > 1.25 * coalesce(usual, body_size * 1.3))
-   OR (regexp_matches(pt, '[.?!]$') AND shift > 0.8 * greatest(ps, size) AND shift < 4 * greatest(ps, size)) THEN 1 ELSE 0 END AS brk FROM g LEFT JOIN u ON u.doc = g.doc AND u.page = g.page),
- p AS (SELECT *, sum(brk) OVER (PARTITION BY doc, page ORDER BY pos)::BIGINT AS para FROM n)
-SELECT doc, page, para, min(pos) AS first_pos, count(*) AS lines, string_agg(text, ' ' ORDER BY pos) AS text FROM p GROUP BY 1, 2, 3""".replace("(i % 20 * 36", "(i % 20 * 14"),
+ n AS MATERIALIZED (SELECT g.doc, g.page, k, pos, text, x0, text_x0, px, big, gap > 1.7 * big OR abs(ps - size) > 0.6 OR (pb <> bold AND (pc > 20 OR chars > 20))
+   OR (regexp_matches(pt, '[.?!:]$') AND regexp_matches(text, '^[A-Z("“]') AND gap > 1.25 * coalesce(usual, body_size * 1.3)) AS apart, regexp_matches(pt, '[.?!]$') AS ended FROM g LEFT JOIN u ON u.doc = g.doc AND u.page = g.page),
+ f(doc, page, k, para, m, edge, tedge) AS (SELECT doc, page, k, 1::BIGINT, 1, x0, text_x0 FROM n WHERE k = 1
+  UNION ALL SELECT doc, page, k, para + brk, CASE WHEN brk = 1 THEN 1 ELSE m + 1 END, CASE WHEN brk = 1 THEN x0 ELSE edge END, CASE WHEN brk = 1 THEN text_x0 ELSE tedge END
+  FROM (SELECT n.*, para, m, edge, tedge, CASE WHEN apart
+     OR NOT (abs(x0 - edge) <= 1.5 * big OR abs(x0 - tedge) <= 1.5 * big OR abs(x0 - px) <= 1.5 * big OR (m = 1 AND px - x0 > 0.8 * big AND px - x0 < 4 * big))
+     OR (ended AND x0 - CASE WHEN m = 1 THEN tedge ELSE px END > 0.8 * big AND x0 - CASE WHEN m = 1 THEN tedge ELSE px END < 4 * big) THEN 1 ELSE 0 END AS brk
+    FROM f JOIN n ON n.doc = f.doc AND n.page = f.page AND n.k = f.k + 1))
+SELECT f.doc, f.page, para, min(pos) AS first_pos, count(*) AS lines, string_agg(text, ' ' ORDER BY pos) AS text FROM f JOIN n ON n.doc = f.doc AND n.page = f.page AND n.k = f.k GROUP BY 1, 2, 3""",
 )
 def _(t):
-    tight = lines(t).withColumn("base", (F.col("pos") % ROWS * 14 + 10).cast("double"))
-    return op.paragraphs(tight, op.body_size(tight))
+    tight = lines(t).withColumn("base", (F.col("pos") % ROWS * 14 + 10).cast("double")).withColumn("x0", 72 + F.length("text") % 4 * 14.0)
+    edged = tight.withColumn("text_x0", F.col("x0") + F.when(F.length("text") % 5 == 0, 14.0).otherwise(0.0))
+    return op.paragraphs(edged, op.body_size(edged))
 
 
 @query("detect_lists")

@@ -208,7 +208,7 @@ def _(t):
 def line_boxes(t):
     return t.lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"),
-        F.col("l_orderkey"),
+        "l_orderkey", "l_suppkey", "l_returnflag",
         F.col("l_quantity").alias("x"),
         F.col("l_extendedprice").alias("y"),
         (F.col("l_discount") * 100).alias("w"),
@@ -264,6 +264,18 @@ def _(t):
     return op.container_of(line_boxes(t).select("uid", "x", "y"), boxes, 1.0, 100.0)
 
 
+@query(
+    "spatial_neighbourhood",
+    f"""
+WITH i AS MATERIALIZED (SELECT {BOX_SQL.removeprefix('SELECT ').replace(' FROM lineitem', '')}, l_suppkey AS board, l_returnflag = 'R' AND l_quantity > 45 AS mark FROM lineitem),
+ m AS (SELECT *, x + w / 2 AS mx, y + h / 2 AS my, greatest(w, 6.0) / 2 AS hw, greatest(h, 4000.0) / 2 AS hh FROM i)
+SELECT a.board, a.uid AS landmark, b.uid FROM m a JOIN m b ON a.board = b.board AND (a.uid = b.uid OR (b.mx BETWEEN a.mx - a.hw AND a.mx + a.hw AND b.my BETWEEN a.my - a.hh AND a.my + a.hh)) WHERE a.mark""",
+)
+def _(t):
+    items = line_boxes(t).withColumnRenamed("l_suppkey", "board")
+    return op.neighbourhood_members(items, items.where("l_returnflag = 'R' AND x > 45"), 6.0, 4000.0)
+
+
 @query("same_value", "SELECT p_partkey AS uid, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 28 AND p_type = 'ECONOMY')")
 def _(t):
     seeds = t.part.where("p_size = 28 AND p_type = 'ECONOMY'")

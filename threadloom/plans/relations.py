@@ -430,3 +430,21 @@ def _(t):
         .unionByName(t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("uid")))
     )
     return op.arrow_homes(ends, items, closure_of_levels(tree_levels(t)))
+
+
+@query(
+    "arrows_from_outside",
+    """
+WITH o AS (SELECT o_orderkey AS k, concat('o', o_orderkey) AS uid, concat('c', o_custkey) AS board, CASE WHEN o_orderstatus = 'P' THEN 'section' ELSE 'card' END AS type FROM orders),
+ e AS (SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN 'n0' ELSE o.board END AS home, concat(l_orderkey, '-', l_linenumber) AS edge, o.uid AS f, concat('o', l_partkey) AS t FROM lineitem JOIN o ON l_orderkey = k),
+ d AS (SELECT home, edge, f AS card, t AS other FROM e UNION SELECT home, edge, t, f FROM e)
+SELECT DISTINCT c.board, card, edge, other, p.board AS place FROM d JOIN o c ON c.uid = card AND c.type = 'card' AND c.board <> home JOIN o p ON p.uid = other AND p.board <> c.board""",
+)
+def _(t):
+    orders = t.orders.select(F.concat(F.lit("c"), "o_custkey").alias("board"), F.concat(F.lit("o"), "o_orderkey").alias("uid"), F.when(F.col("o_orderstatus") == "P", "section").otherwise("card").alias("type"))
+    edges = cited(t).select(
+        F.when(F.col("l_linenumber") % 3 == 0, "n0").otherwise(F.concat(F.lit("c"), "o_custkey")).alias("board"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge"), F.concat(F.lit("o"), "l_orderkey").alias("from"), F.concat(F.lit("o"), "l_partkey").alias("to"),
+    )
+    boards = t.nation.select(F.concat(F.lit("n"), "n_nationkey").alias("uid")).unionByName(t.customer.select(F.concat(F.lit("c"), "c_custkey").alias("uid")))
+    return op.arrows_from_outside(orders, edges, boards, closure_of_levels(tree_levels(t)))
