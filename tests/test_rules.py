@@ -69,6 +69,16 @@ def test_block_shape(spark):
     assert dict(zip(rows, apply(spark, block_shape(F.col("text")), list(rows)), strict=True)) == rows
 
 
+def test_macros_of_regions_and_pins(spark):
+    rows = {
+        "{{[[cut-out]]: k=img d=u1}}": ("region", "region"), "  {{[[cut-out]]:}} ![a](b.png)\nmore": ("region", "region"), "{{[[pin.x]]: pg=2}} note": ("pin", "region"),
+        "{{[[pin.x]]: pg=2}}note": ("block", "note"), "{{[[pinyx]]: pg=2}}": ("block", "note"), "{{[[cut-out]] k}}": ("block", "note"), "see {{[[cut-out]]: k}}": ("block", "note"), "{{[[cut-out]]: }k}}": ("block", "note"),
+        " {{[[pins]]}} ": ("block", "regions"), "{{[[pins]]}} x": ("block", "note"), "": ("block", "note"),
+    }
+    assert apply(spark, library_kind(F.col("text"), {"cut-out": "region", "pin.x": "pin"}), list(rows)) == [k for k, _ in rows.values()]
+    assert apply(spark, block_shape(F.col("text"), ["cut-out", "pin.x"], ["pins"]), list(rows)) == [s for _, s in rows.values()]
+
+
 def test_library_row_kind(spark):
     rows = [("board", None, "x", None, "board"), ("part", "table", None, None, "table"), ("part", "odd", None, None, "paragraph"), ("part", None, None, None, "paragraph"), ("block", None, None, "http://a", "web"),
         ("daily", None, "x", None, "daily"), ("page", None, "May 1st, 2020", None, "daily"), ("page", None, "May 1, 2020", None, "page"), (None, None, None, None, "page")]

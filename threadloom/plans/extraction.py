@@ -144,7 +144,9 @@ WITH s AS (
  UNION ALL SELECT 'block', 'page' FROM part
  UNION ALL SELECT 'block', 'block' FROM orders
  UNION ALL SELECT 'image', 'image' FROM supplier
- UNION ALL SELECT 'pdf', 'pdf' FROM customer)
+ UNION ALL SELECT 'pdf', 'pdf' FROM customer
+ UNION ALL SELECT CASE WHEN p_size < 25 THEN 'region' ELSE 'pin' END, 'region' FROM part
+ UNION ALL SELECT 'block', 'regions' FROM supplier)
 SELECT kind, shape, count(*) AS n FROM s GROUP BY kind, shape""",
 )
 def _(t):
@@ -155,8 +157,11 @@ def _(t):
         .unionByName(t.orders.select(F.expr("concat(' ((ord', o_orderkey, '))')").alias("text")))
         .unionByName(t.supplier.select(F.expr("concat('![', s_name, '](http://x.example/', s_suppkey, '.png)')").alias("text")))
         .unionByName(t.customer.select(F.expr("concat('{{pdf: http://x.example/', c_custkey, '.pdf}}')").alias("text")))
+        .unionByName(t.part.select(F.expr("concat(CASE WHEN p_size < 25 THEN '{{[[picture-region]]: k=img d=' ELSE '{{[[page-pin]]: pg=1 d=' END, p_partkey, '}} ![see](', p_name, ')')").alias("text")))
+        .unionByName(t.supplier.select(F.lit(" {{[[page-pins]]}}").alias("text")))
     )
-    kinds = texts.select(m.library_kind(F.col("text")).alias("kind"), m.block_shape(F.col("text")).alias("shape"))
+    macros = {"picture-region": "region", "page-pin": "pin"}
+    kinds = texts.select(m.library_kind(F.col("text"), macros).alias("kind"), m.block_shape(F.col("text"), list(macros), ["page-pins"]).alias("shape"))
     return kinds.groupBy("kind", "shape").agg(F.count("*").alias("n"))
 
 
