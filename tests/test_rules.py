@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,47 @@ def test_fulltext_tests_each_page(spark):
     assert {r.page for r in search.search_fulltext(pages, asked, (1, 1)).collect()} == {1}
 
 
+def test_part_search_by_kind_page_and_reading_order(spark):
+    rows = [
+        (1, 1, 0, "heading", "Red Apples and  green\npears"), (1, 1, 1, "paragraph", "apples apples, red"), (1, 2, 2, "caption", "A red-apple pie"), (1, 3, 3, "paragraph", "red apples"),
+        (2, 1, 0, "paragraph", "green pears, red apples, " + "x" * 200), (2, 1, 1, "paragraph", None), (2, 2, 2, "caption", ""),
+    ]
+    parts = spark.createDataFrame(rows, "doc int, page int, part int, kind string, text string")
+    wanted = [("red apples", None, None), ("apple", ["caption"], ""), ('"green pears" red', [], "p. 1"), ("red", ["paragraph", "heading"], "2-"), ("pears e", [], "-1"), ("- red", [], ""), ("", ["caption"], "2"), ("zebra red", [], "")]
+    asked = spark.createDataFrame([(q, k, p) for q, k, p in wanted], "query string, kinds array<string>, pages string")
+    queries = asked.select("query", search.query_phrase(F.col("query")).alias("phrase"), search.query_terms(F.col("query")).alias("terms"), "kinds", "pages")
+    got = {}
+    for r in search.search_parts(parts, queries).orderBy("query", "pos").collect():
+        got.setdefault(r.query, []).append((r.doc, r.part, r.exact, r.hits))
+    bounds = {"p. 1": (1, 1), "2-": (2, 99), "-1": (1, 1), "2": (2, 2)}
+
+    def plain(query, kinds, pages):
+        terms = [(a or b).strip() for a, b in re.findall(r'"([^"]*)"|(\S+)', query.lower())]
+        if any(not re.search(r"\w", x) for x in terms):
+            return []
+        phrase, low, high = query.replace('"', "").lower(), *bounds.get(pages, (0, 99))
+        out = []
+        for doc, page, part, kind, text in rows:
+            hay = " ".join((text or "").split()).lower()
+            if (not kinds or kind in kinds) and low <= page <= high and all(x in hay for x in terms):
+                out.append((doc, part, len(terms) > 1 and phrase in hay, sum(hay.count(x) for x in terms)))
+        return sorted(out, key=lambda h: (-h[2], -h[3], h[0], h[1]))
+
+    assert got == {q: hits for q, k, p in wanted if (hits := plain(q, k, p))}
+    assert len(got["red apples"]) == 4 and got[""] == [(1, 2, False, 0), (2, 2, False, 0)]
+    one = search.search_parts(parts, queries.where("query = 'red apples'"), 1).collect()
+    assert [(r.doc, r.part, r.snippet) for r in one] == [(1, 0, "Red Apples and green pears")]
+    cut = search.search_parts(parts, queries.where("query = '\"green pears\" red'")).collect()
+    assert {r.snippet for r in cut if r.doc == 2} == {("green pears, red apples, " + "x" * 200)[:120] + "\u2026"}
+
+
+def test_page_ranges(spark):
+    texts = ["3-8", "p. 3-8", "Pages 5", "4-", "-6", "8-3", "0", "all", "", "-", None]
+    got = apply(spark, search.page_bounds(F.col("p")), [(x,) for x in texts], "p string")
+    top = (1 << 63) - 1
+    assert [tuple(r) if r else None for r in got] == [(3, 8), (3, 8), (5, 5), (4, top), (1, 6), None, None, None, None, None, None]
+
+
 def test_context_pack_goes_on_after_a_part_that_does_not_fit(spark):
     rows = [(1, 10, 1, 50, False), (1, 11, 2, 90, False), (1, 12, 3, 30, False), (1, 13, 4, 30, False), (1, 14, 5, 20, False), (2, 20, 1, 101, False), (3, 30, 2, 60, True), (3, 31, 1, 60, False)]
     got = search.context_pack(spark.createDataFrame(rows, "query int, doc int, pos int, size int, forced boolean"), 100)

@@ -29,6 +29,10 @@ QUERY_TEXT = 600
 COLOR_MIN_SCORE = 0.15
 CHROMA_MIN = 0.035
 HEX_OK = 0.2
+PAGE_RANGE = r"(?i)^\s*(?:p(?:ages?)?\.?\s*)?(\d+)?\s*([-\u2013]\s*(\d+)?)?\s*$"
+
+# Terms of a query that meet on postings before texts are read, and how much further than the first they may reach.
+LEAD, WORTH = 3, 8
 
 
 def tokens(text: Column) -> Column:
@@ -72,35 +76,118 @@ def words_containing(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(grams, "gram").where(F.contains("word", "probe")).select("probe", "word")
 
 
-def search_parts(docs: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
-    """Documents that contain every term of a query, anywhere in their words.
+def query_terms(text: Column) -> Column:
+    """Search terms of a query text: lower-case runs without white space, a quoted phrase as one term, without its quotes."""
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r'"[^"]*"|\S+'), F.lit(0))
+    bare = F.transform(pieces, lambda x: squashed(F.when(x.rlike('^".*"$') & (F.length(x) > 1), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)))
+    return F.filter(bare, lambda x: x != "")
+
+
+def query_phrase(text: Column) -> Column:
+    """The query text as one phrase: lower-case, squeezed, without quotes."""
+    return F.lower(F.replace(squashed(text), F.lit('"'), F.lit("")))
+
+
+def squashed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
-    The rarest term of a query picks the candidates: terms are looked up in the
-    vocabulary, whose counts say how many documents each could reach. The
-    candidates of a document are gathered, so its text moves once, and checked
-    on the whole text. Order: whole phrase, then number of hits, then document.
-    ``queries`` is (query, phrase, terms); a quoted term is probed by its words.
+
+def page_bounds(pages: Column) -> Column:
+    """(first, last) of a range like ``3-8``, ``p. 5``, ``4-`` or ``-6``; null where the text names none."""
+    got = lambda i: F.regexp_extract(pages, PAGE_RANGE, i)
+    first = F.when(got(1) != "", got(1).cast("long"))
+    last = F.when(got(3) != "", got(3).cast("long"))
+    low = F.coalesce(first, F.when(last.isNotNull(), F.lit(1)))
+    high = F.coalesce(last, F.when(got(2) == "", first).otherwise(F.lit((1 << 63) - 1)))
+    return F.when((low >= 1) & (high >= low), F.struct(low.alias("first"), high.alias("last")))
+
+
+def word_postings(texts: DataFrame, key: Sequence[str], cut: Column | None = None) -> DataFrame:
+    """(word, *key, n): how often each word of a text occurs there. A text's words are counted before they are shuffled.
+
+    The frame is written once, so the vocabulary, the choice of terms and the
+    candidates of a search all read the same copy. ``cut`` gives the words of
+    ``text`` where they are not its runs of letters and digits.
     """
-    postings = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
+    split = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)) if cut is None else cut
+    return cut_lineage(texts.select(*key, F.explode(split).alias("word")).groupBy("word", *key).agg(F.count("*").alias("n")))
+
+
+def meeting_texts(postings: DataFrame, probes: DataFrame, meant: DataFrame, vocabulary: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(query, *key) of the texts that can hold a query: its rarest probes meet on postings, no text moves.
+
+    ``probes`` is (query, probe), ``meant`` (probe, word), ``vocabulary`` (word,
+    df). The probe that reaches fewest texts gives the candidates; up to ``LEAD``
+    probes follow while they reach at most ``WORTH`` times as many, for a wider
+    one would cost more postings than it saves texts. The texts of a probe are
+    found once for all queries. A query with a probe that no word means finds
+    nothing.
+    """
+    reach = meant.join(vocabulary, "word").groupBy("probe").agg(F.sum("df").alias("reach"))
+    sized = probes.join(reach, "probe", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("reach", F.lit(0)).alias("reach"), "probe"))).alias("p"))
+    near = F.filter(F.slice("p", 1, LEAD), lambda x: x["reach"] <= F.col("p")[0]["reach"] * WORTH)
+    picked = cut_lineage(sized.where(F.col("p")[0]["reach"] > 0).select("query", F.transform(near, lambda x: x["probe"]).alias("lead")))
+    wanted = picked.select(F.explode("lead").alias("probe")).distinct().join(meant, "probe")
+    held = cut_lineage(postings.join(wanted, "word").select("probe", *key).distinct())
+    found = picked.withColumn("probe", F.col("lead")[0]).join(held, "probe").drop("probe")
+    for i in range(1, LEAD):
+        more = held.withColumnRenamed("probe", f"probe{i}")
+        short = found.where(F.size("lead") <= i)
+        found = short.unionByName(found.where(F.size("lead") > i).withColumn(f"probe{i}", F.get("lead", F.lit(i))).join(more, [f"probe{i}", *key], "left_semi").drop(f"probe{i}"))
+    return found.select("query", *key)
+
+
+def search_parts(parts: DataFrame, queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """Parts (doc, page, part, kind, text) that contain every term of a query, anywhere in their words.
+
+    ``queries`` is (query, phrase, terms, kinds, pages): ``kinds`` null or empty
+    takes every kind, ``pages`` is a text for ``page_bounds``. The rarest words
+    of a query meet on postings; the terms are then counted in the texts of the
+    parts that are left, each of which moves once. A query whose terms hold no
+    letter or digit finds nothing; one without terms lists the parts of its
+    kinds and pages. Order: whole phrase (of several terms), number of hits,
+    reading order. The snippet is cut around the phrase, or else the first term.
+    """
+    key = ["doc", "page", "part"]
+    rows = parts.select(*key, "kind", squashed(F.col("text")).alias("text"))
+    asked = queries.select("query", "phrase", "terms", F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), page_bounds(F.col("pages")).alias("range"))
+    fits = ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))) & (F.col("range").isNull() | F.col("page").between(F.col("range.first"), F.col("range.last")))
+
+    postings = word_postings(rows, [*key, "kind"])
     vocabulary = postings.groupBy("word").agg(F.count("*").alias("df"))
+    wordy = asked.where(F.forall("terms", lambda x: x.rlike(r"[\p{L}\p{N}]")))
     pieces = F.array_distinct(F.regexp_extract_all(F.array_join("terms", " "), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    probes = queries.select("query", F.explode(pieces).alias("probe"))
-    meant = words_containing(probes.select("probe").distinct(), vocabulary)
-    reach = meant.join(vocabulary, "word").groupBy("probe").agg(F.sum("df").alias("reach"))
-    rarest = probes.join(reach, "probe", "left").groupBy("query").agg(F.min_by("probe", F.struct(F.coalesce("reach", F.lit(0)), "probe")).alias("probe"))
-    wanted = rarest.join(meant, "probe").select("query", "word")
-    near = postings.join(wanted, "word").select("query", "doc").distinct().join(queries, "query")
-    gathered = near.groupBy("doc").agg(F.collect_list(F.struct("query", "phrase", "terms")).alias("asked"))
-    texts = gathered.join(docs.select("doc", "text"), "doc").select("doc", "asked", "text", F.inline(F.array(F.struct(F.lower("text").alias("lower")))))
-    held = F.filter("asked", lambda q: F.forall(q["terms"], lambda x: F.col("lower").contains(x)))
-    found = texts.select("doc", "text", "lower", F.explode(held).alias("q")).select("doc", "text", "lower", "q.*")
-    one = lambda x: ((F.length("lower") - F.length(F.replace(F.col("lower"), x, F.lit("")))) / F.length(x)).cast("int")
-    count = F.aggregate(F.transform("terms", one), F.lit(0), lambda a, x: a + x)
-    where = F.position(F.col("phrase"), F.col("lower"))
-    first = F.position(F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0), F.col("lower"))
-    start = F.greatest(F.lit(1), F.when(where > 0, where).otherwise(first) - 40)
-    hits = found.select("query", "doc", (where > 0).alias("exact"), count.cast("long").alias("hits"), F.substr("text", start, F.lit(SNIPPET)).alias("snippet"))
-    return top_per_key(hits, ["query"], [F.col("exact").desc(), F.col("hits").desc(), "doc"], limit)
+    probes = wordy.select("query", F.explode(pieces).alias("probe"))
+    meant = cut_lineage(words_containing(probes.select("probe").distinct(), vocabulary))
+    near = meeting_texts(postings, probes, meant, vocabulary, [*key, "kind"]).join(asked, "query").where(fits)
+    found = near.drop("kind", "range", "kinds").join(rows, key).withColumn("low", F.lower("text"))
+    one = lambda x: ((F.length("low") - F.length(F.replace(F.col("low"), x, F.lit("")))) / F.length(x)).cast("long")
+    held = found.where(F.forall("terms", lambda x: F.contains(F.col("low"), x)))
+    count = F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a + one(x))
+    whole = F.contains(F.col("low"), F.col("phrase"))
+    exact = (F.size("terms") > 1) & whole
+    needle = F.when(whole, F.col("phrase")).otherwise(F.col("terms")[0])
+    hits = held.select("query", *key, "kind", exact.alias("exact"), count.alias("hits"), snippet_around(F.col("text"), F.col("low"), needle).alias("snippet"))
+
+    plain = asked.where(F.size("terms") == 0)
+    every = rows.groupBy().agg(F.collect_set("kind").alias("all"))
+    listed = plain.join(every, F.lit(True)).withColumn("kind", F.explode(F.when(F.size("kinds") == 0, F.col("all")).otherwise(F.array_distinct("kinds"))))
+    listed = listed.join(rows, "kind").where(fits).select("query", *key, "kind", F.lit(False).alias("exact"), F.lit(0).cast("long").alias("hits"), head_of(F.col("text")).alias("snippet"))
+    return top_per_key(cut_lineage(hits.unionByName(listed)), ["query"], [F.col("exact").desc(), F.col("hits").desc(), *key], limit)
+
+
+def head_of(text: Column, width: int = SNIPPET) -> Column:
+    return F.when(F.length(text) > width, F.concat(F.substr(text, F.lit(1), F.lit(width)), F.lit("\u2026"))).otherwise(text)
+
+
+def snippet_around(text: Column, low: Column, needle: Column, width: int = SNIPPET) -> Column:
+    """``width`` characters of a text with the needle after a third of the free room, cut ends marked."""
+    at = F.position(needle, low) - 1
+    room = F.greatest(F.lit(0), F.lit(width) - F.length(needle))
+    start = F.greatest(F.lit(0), at - F.floor(room / 3).cast("int"))
+    end = F.least(F.length(text), start + F.length(needle) + room)
+    mark = lambda there: F.when(there, F.lit("\u2026")).otherwise("")
+    return F.concat(mark(start > 0), F.substr(text, start + 1, end - start), mark(end < F.length(text)))
 
 
 def _deletions(word: Column) -> Column:
@@ -122,28 +209,26 @@ def search_fulltext(pages: DataFrame, queries: DataFrame, page_range: tuple[int,
     """Pages (doc, page) that hold every term of a query, as a part of a word or one edit away from a word of that page.
 
     A term of four or more characters counts as misspelt only on pages that
-    lack it. Terms are made of word characters. The term that reaches fewest
-    pages, through the words that contain it or are near it, picks the
-    candidates; all terms are then tested on the page itself. ``exact`` asks for
-    the phrase and more than one word. Order: exact, spelt right, document, page.
+    lack it. Terms are made of word characters. The terms that reach fewest
+    pages, through the words that contain them or are near them, meet on
+    postings; all terms are then tested on the pages that are left. ``exact``
+    asks for the phrase and more than one word. Order: exact, spelt right, number
+    of terms found (every hit of a query has found all), document, page.
     """
-    squeezed = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    view = pages.select("doc", "page", squeezed.alias("low"))
+    view = pages.select("doc", "page", F.lower(squashed(F.col("text"))).alias("low"))
     if page_range is not None:
         view = view.where(F.col("page").between(*page_range))
     plain = F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9]+"), F.lit(0)))
-    postings = view.select("doc", "page", F.explode(F.array_union(words(F.col("low")), plain)).alias("word"))
-    vocabulary = postings.groupBy("word").agg(F.count("*").alias("df"))
+    postings = word_postings(view, ["doc", "page"], F.array_union(words(F.col("low")), plain))
+    vocabulary = cut_lineage(postings.groupBy("word").agg(F.count("*").alias("df")))
     terms = queries.select("query", F.explode(F.array_distinct("terms")).alias("probe"))
     probes = terms.select("probe").distinct()
     plain_words = vocabulary.where(F.col("word").rlike("^[a-z0-9]+$"))
     near = near_words(probes.where(F.length("probe") >= 4).select(F.col("probe").alias("term")), plain_words).withColumnRenamed("term", "probe")
-    meant = words_containing(probes, vocabulary).unionByName(near).distinct()
-    reach = meant.join(vocabulary, "word").groupBy("probe").agg(F.sum("df").alias("reach"))
-    rarest = terms.join(reach, "probe", "left").groupBy("query").agg(F.min_by("probe", F.struct(F.coalesce("reach", F.lit(0)), "probe")).alias("probe"))
-    wanted = rarest.join(meant, "probe").select("query", "word")
-    found = postings.join(wanted, "word").select("query", "doc", "page").distinct()
-    tested = found.join(view.withColumn("plain", plain), ["doc", "page"]).join(queries.select("query", "phrase", F.array_distinct("terms").alias("terms")), "query")
+    meant = cut_lineage(words_containing(probes, vocabulary).unionByName(near).distinct())
+    found = meeting_texts(postings, terms, meant, vocabulary, ["doc", "page"])
+    asked = queries.select("query", "phrase", F.array_distinct("terms").alias("terms"))
+    tested = found.join(asked, "query").join(view, ["doc", "page"]).withColumn("plain", plain)
     there = lambda x: F.contains(F.col("low"), x)
     close = lambda x: (F.length(x) >= 4) & F.exists("plain", lambda w: (F.abs(F.length(w) - F.length(x)) <= 1) & (F.levenshtein(w, x, 1) >= 0))
     held = tested.where(F.forall("terms", lambda x: there(x) | close(x)))
@@ -151,7 +236,7 @@ def search_fulltext(pages: DataFrame, queries: DataFrame, page_range: tuple[int,
     hits = held.select(
         "query", "doc", "page", (F.contains("low", "phrase") & several).alias("exact"), F.exists("terms", lambda x: ~there(x)).alias("fuzzy"), F.size("terms").alias("terms")
     )
-    return top_per_key(hits, ["query"], [F.col("exact").desc(), "fuzzy", "doc", "page"], limit)
+    return top_per_key(cut_lineage(hits), ["query"], [F.col("exact").desc(), "fuzzy", "doc", "page"], limit)
 
 
 def fold_part_rows(parts: DataFrame) -> DataFrame:

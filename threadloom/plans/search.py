@@ -49,17 +49,58 @@ def sentences(t):
     return s.where(F.length("query") >= 8).distinct().select("query", F.col("query").alias("phrase"), op.words(F.col("query")).alias("terms"))
 
 
+PARTS_SQL = r"""SELECT doc_id AS doc, (i // 20) + 1 AS page, i AS part, trim(regexp_replace(s, '\s+', ' ', 'g')) AS text, CASE WHEN length(s) < 80 THEN 'heading' WHEN contains(s, ',') THEN 'paragraph' ELSE 'caption' END AS kind
+ FROM (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS s FROM documents, unnest(range(len(string_split(text, chr(10))))) u(i))"""
+
+
+def line_parts(t):
+    """Lines as parts, twenty a page, with a kind by their shape."""
+    lines = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    kind = F.when(F.length("text") < 80, "heading").when(F.contains("text", F.lit(",")), "paragraph").otherwise("caption")
+    return lines.select("doc", (F.floor(F.col("part") / 20) + 1).alias("page"), "part", kind.alias("kind"), "text")
+
+
+ASKED_SQL = r"""SELECT DISTINCT query, lower(replace(query, '"', '')) AS phrase,
+  list_filter(list_transform(regexp_extract_all(query, '"[^"]*"|\S+'), lambda x: trim(CASE WHEN regexp_matches(x, '^".*"$') THEN x[2:-2] ELSE x END)), lambda x: x <> '') AS terms,
+  CASE length(query) % 4 WHEN 0 THEN ['heading', 'caption'] WHEN 1 THEN ['paragraph'] WHEN 2 THEN CAST([] AS VARCHAR[]) END AS kinds,
+  CASE length(query) % 6 WHEN 0 THEN 'p. 1' WHEN 1 THEN '1-3' WHEN 2 THEN '2-' WHEN 3 THEN '-1' WHEN 4 THEN 'all' END AS pages
+ FROM (SELECT lower(unnest([s, concat('"', w[1], ' ', w[2], '" ', w[3])])) AS query
+  FROM (SELECT s, string_split(s, ' ') AS w FROM (SELECT trim(unnest(string_split(replace(text, chr(10), '. '), '. ')), ' .') AS s FROM benchmark)) WHERE length(s) >= 8 AND len(w) >= 3)
+ UNION ALL SELECT * FROM (VALUES ('', '', CAST([] AS VARCHAR[]), ['caption'], 'pages 2-3'), ('-', '-', ['-'], NULL, NULL)) v(query, phrase, terms, kinds, pages)"""
+
+
+def asked_parts(t):
+    """Sentences and quoted word pairs, with kinds and page ranges; a query without terms and one without letters."""
+    s = t.benchmark.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(". ")), r"\. ")).alias("s")).select(F.expr("trim(BOTH ' .' FROM s)").alias("s"), F.expr("split(trim(BOTH ' .' FROM s), ' ')").alias("w"))
+    s = s.where((F.length("s") >= 8) & (F.size("w") >= 3))
+    forms = F.expr("""array(s, concat('"', w[0], ' ', w[1], '" ', w[2]))""")
+    q = s.select(F.explode(F.transform(forms, F.lower)).alias("query")).distinct()
+    kinds = F.expr("CASE length(query) % 4 WHEN 0 THEN array('heading', 'caption') WHEN 1 THEN array('paragraph') WHEN 2 THEN CAST(array() AS array<string>) END")
+    pages = F.expr("CASE length(query) % 6 WHEN 0 THEN 'p. 1' WHEN 1 THEN '1-3' WHEN 2 THEN '2-' WHEN 3 THEN '-1' WHEN 4 THEN 'all' END")
+    asked = q.select("query", op.query_phrase(F.col("query")).alias("phrase"), op.query_terms(F.col("query")).alias("terms"), kinds.alias("kinds"), pages.alias("pages"))
+    bare = [("", "", [], ["caption"], "pages 2-3"), ("-", "-", ["-"], None, None)]
+    return asked.unionByName(t.spark.createDataFrame(bare, asked.schema))
+
+
 @query(
     "search_parts",
     f"""
-WITH q AS MATERIALIZED ({SENTENCES_SQL}), d AS (SELECT doc_id AS doc, text, lower(text) AS low FROM documents),
- h AS (SELECT query, phrase, terms, doc, text, low FROM q JOIN d ON len(list_filter(terms, lambda x: NOT contains(low, x))) = 0),
- r AS (SELECT query, doc, contains(low, phrase) AS exact, CAST(list_sum(list_transform(terms, lambda x: (length(low) - length(replace(low, x, ''))) / length(x))) AS BIGINT) AS hits,
-  substr(text, greatest(1, CASE WHEN contains(low, phrase) THEN strpos(low, phrase) ELSE strpos(low, regexp_extract(phrase, '[\\p{{L}}\\p{{N}}]+')) END - 40), 120) AS snippet FROM h)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc) AS pos FROM r)""",
+WITH q AS MATERIALIZED (SELECT *, CASE pages WHEN 'p. 1' THEN [1, 1] WHEN '1-3' THEN [1, 3] WHEN '2-' THEN [2, 1000000] WHEN '-1' THEN [1, 1] WHEN 'pages 2-3' THEN [2, 3] END AS span FROM ({ASKED_SQL})),
+ d AS MATERIALIZED (SELECT *, lower(text) AS low FROM ({PARTS_SQL})),
+ f AS (SELECT query, phrase, terms, doc, page, part, kind, text, low FROM q JOIN d ON (len(terms) = 0 OR contains(low, terms[1])) AND len(list_filter(terms, lambda x: NOT contains(low, x))) = 0
+  WHERE query <> '-' AND (kinds IS NULL OR len(kinds) = 0 OR list_contains(kinds, kind)) AND (span IS NULL OR page BETWEEN span[1] AND span[2])),
+ h AS (SELECT *, CASE WHEN contains(low, phrase) THEN phrase ELSE terms[1] END AS needle FROM f),
+ a AS (SELECT *, greatest(0, 120 - length(needle)) AS room, strpos(low, needle) - 1 AS spot FROM h),
+ b AS (SELECT *, greatest(0, spot - room // 3) AS start FROM a),
+ c AS (SELECT *, least(length(text), start + length(needle) + room) AS stop FROM b),
+ r AS (SELECT query, doc, page, part, kind, len(terms) > 1 AND contains(low, phrase) AS exact,
+  CAST(coalesce(list_sum(list_transform(terms, lambda x: (length(low) - length(replace(low, x, ''))) // length(x))), 0) AS BIGINT) AS hits,
+  CASE WHEN len(terms) = 0 THEN concat(substr(text, 1, 120), CASE WHEN length(text) > 120 THEN '…' ELSE '' END)
+   ELSE concat(CASE WHEN start > 0 THEN '…' ELSE '' END, substr(text, start + 1, stop - start), CASE WHEN stop < length(text) THEN '…' ELSE '' END) END AS snippet FROM c)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc, page, part) AS pos FROM r""",
 )
 def _(t):
-    return op.search_parts(docs(t), sentences(t))
+    return op.search_parts(line_parts(t), asked_parts(t))
 
 
 MISTYPED_SQL = f"""SELECT query, phrase, list_distinct(list_transform(terms, lambda w: CASE WHEN w = longest AND length(w) >= 6 THEN concat(substr(w, 1, 1), substr(w, 3)) ELSE w END)) AS terms
