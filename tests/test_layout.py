@@ -125,3 +125,23 @@ def test_arrows_from_outside(spark):
     )
     got = sorted(tuple(r) for r in relations.arrows_from_outside(items, edges, boards, closure).select("board", "card", "edge", "other", "place").collect())
     assert got == [("far", "y", "e1", "x", "inner"), ("far", "y", "e2", "x", "inner"), ("far", "y", "e7", "direct", "top"), ("inner", "x", "e1", "y", "far"), ("inner", "x2", "e6", "direct", "top")]
+
+
+def test_page_title_stacks_lines_and_reads_the_second_page(spark):
+    def line(doc, page, pos, text, base, size, bold=False, x0=50.0, x1=300.0):
+        return (doc, page, pos, text, float(base), float(size), bold, x0, x1)
+
+    rows = [
+        line(1, 0, 0, "COVER", 50, 30), line(1, 0, 1, "plain body text of the cover", 100, 10), line(1, 1, 0, "A Title On Page", 60, 18), line(1, 1, 1, "Two Goes On", 80, 18), line(1, 1, 2, "body text in its own size", 120, 10),
+        line(2, 0, 0, "running header of it", 20, 20), line(2, 0, 1, "Bold Heading of Body Size", 60, 10, True), line(2, 1, 0, "Larger Type On Page Two", 60, 24),
+        line(3, 0, 0, "( 54 ) Patent Title Here", 60, 16), line(3, 0, 1, "with a smaller wrap", 74, 13.5), line(3, 0, 2, "to the right of it", 86, 13.5, x0=400.0, x1=500.0),
+        line(4, 0, 0, "two words", 60, 16), line(4, 2, 0, "Title on page three only", 60, 16), line(5, 0, 0, "123456 7890 ab no", 60, 16), line(5, 0, 1, "Same Size Is Lower", 300, 16), line(5, 0, 2, "Same Size Bold Wins", 400, 16, True),
+        *[line(6, 0, i, f"row {i}", 60 + 20 * i, 16) for i in range(8)],
+    ]
+    lines = spark.createDataFrame(rows, "doc int, page int, pos int, text string, base double, size double, bold boolean, x0 double, x1 double")
+    furniture = spark.createDataFrame([(2, 0, 0)], "doc int, page int, pos int")
+    got = {r.doc: (r.page, r.title) for r in documents.page_title(lines, furniture).collect()}
+    assert got == {
+        1: (1, "A Title On Page Two Goes On"), 2: (0, "Bold Heading of Body Size"), 3: (0, "Patent Title Here with a smaller wrap"),
+        5: (0, "Same Size Bold Wins"), 6: (0, "row 0 row 1 row 2 row 3 row 4 row 5"),
+    }

@@ -262,23 +262,36 @@ def contents_rows(cells: DataFrame) -> DataFrame:
     return counted.withColumn("contents", F.col("pages") >= F.greatest(F.lit(1.0), 0.5 * F.col("filled")))
 
 
-def page_title(lines: DataFrame, furniture: DataFrame, max_lines: int = 6, max_words: int = 30) -> DataFrame:
-    """Title per document: stacked first-page lines of one size; largest type, bold first, then highest."""
-    order = Window.partitionBy("doc").orderBy("base", "x0")
+def page_title(lines: DataFrame, furniture: DataFrame, body_size: float = 10.0, pages: int = 2, max_lines: int = 6, max_words: int = 45) -> DataFrame:
+    """Title per document (doc, page, title): stacked lines of one size and weight; the first page with a title wins.
+
+    The first ``pages`` pages are read. A stack goes on while the next line lies
+    close below, overlaps the last one and has its size, or is a little smaller
+    on the very next baseline; a stack of more than ``max_lines`` lines is cut
+    into several. A title is larger than the body or bold. On a page the largest
+    type wins, bold first, then the highest.
+    """
+    order = Window.partitionBy("doc", "page").orderBy("base", "x0")
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
     digits, letters = F.regexp_count(text, F.lit(r"\d")), F.regexp_count(text, F.lit(r"\p{L}"))
-    rows = lines.where("page = 0").join(furniture.select("doc", "page", "pos"), ["doc", "page", "pos"], "left_anti")
+    rows = lines.where(F.col("page") < pages).join(furniture.select("doc", "page", "pos"), ["doc", "page", "pos"], "left_anti")
     rows = rows.withColumn("text", text).where((text != "") & ~((digits >= 6) & (digits > letters * 2)))
     prev = lambda c: F.lag(c).over(order)
-    joined = (F.abs(prev("size") - F.col("size")) <= 0.5) & (F.col("base") - prev("base") <= 2.2 * F.col("size")) & (prev("bold") == F.col("bold"))
+    step, size = F.col("base") - prev("base"), F.col("size")
+    one_size = (F.abs(size - prev("size")) <= 0.5) | (size.between(0.8 * prev("size"), prev("size")) & (step <= 0.95 * prev("size")))
+    below = (step <= 2.2 * size) & (step > 0.5 * size) & (F.col("x0") < prev("x1")) & (F.col("x1") > prev("x0"))
+    joined = one_size & below & (prev("bold") == F.col("bold"))
     rows = rows.withColumn("stack", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(order))
-    rows = rows.withColumn("depth", F.row_number().over(Window.partitionBy("doc", "stack").orderBy("base", "x0"))).where(F.col("depth") <= max_lines)
-    blocks = rows.groupBy("doc", "stack").agg(
-        F.max("size").alias("size"), F.bool_or("bold").alias("bold"), F.min("base").alias("base"), F.array_sort(F.collect_list(F.struct("base", "text"))).alias("t")
-    )
-    blocks = blocks.withColumn("title", F.array_join(F.transform("t", lambda r: r["text"]), " "))
-    good = blocks.where(word_count(F.col("title")).between(3, max_words))
-    return good.groupBy("doc").agg(F.min_by("title", F.struct(-F.col("size"), ~F.col("bold"), "base", "stack")).alias("title"))
+    depth = F.row_number().over(Window.partitionBy("doc", "page", "stack").orderBy("base", "x0"))
+    rows = rows.withColumn("piece", F.floor((depth - 1) / max_lines))
+    blocks = rows.groupBy("doc", "page", "stack", "piece").agg(F.array_sort(F.collect_list(F.struct("base", "x0", "size", "bold", "text"))).alias("t"))
+    whole = F.array_join(F.transform("t", lambda r: r["text"]), " ")
+    head = F.col("t")[0]
+    blocks = blocks.select("doc", "page", "stack", "piece", head["size"].alias("size"), head["bold"].alias("bold"), head["base"].alias("base"), F.trim(F.regexp_replace(whole, r"^\(\s*\d+\s*\)\s*", "")).alias("title"))
+    stands_out = (F.col("size") > 1.1 * body_size) | (F.col("bold") & (F.col("size") >= body_size - 0.3))
+    good = blocks.where(word_count(F.col("title")).between(3, max_words) & stands_out)
+    best = F.struct("page", -F.col("size"), ~F.col("bold"), "base", "stack", "piece")
+    return good.groupBy("doc").agg(F.min_by(F.struct("page", "title"), best).alias("b")).select("doc", "b.page", "b.title")
 
 
 def ocr_page_quality(words: DataFrame, lexicon: DataFrame) -> DataFrame:

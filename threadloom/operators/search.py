@@ -69,10 +69,10 @@ def gram_postings(docs: DataFrame, sizes: Sequence[int] = (1, 2, 3)) -> DataFram
 
 
 def words_containing(probes: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(probe, word) for words that contain the probe, through one gram of the probe."""
-    size = F.least(F.lit(3), F.length("probe"))
+    """(probe, word) for words that contain the probe, through its first gram: of five characters where it has as many, else of up to three."""
+    size = F.when(F.length("probe") >= 5, 5).otherwise(F.least(F.lit(3), F.length("probe")))
     keyed = probes.select("probe", F.substr("probe", F.lit(1), size).alias("gram"))
-    grams = vocabulary.select("word", F.explode(grams_of(F.array("word"))).alias("gram"))
+    grams = vocabulary.select("word", F.explode(grams_of(F.array("word"), (1, 2, 3, 5))).alias("gram"))
     return keyed.join(grams, "gram").where(F.contains("word", "probe")).select("probe", "word")
 
 

@@ -199,20 +199,23 @@ def _(t):
 @query(
     "page_title",
     FOOTED_SQL
-    + f""", b0 AS (SELECT x.* FROM ({LINES_SQL}) x WHERE page = 0 AND (doc, page, pos) NOT IN (SELECT (doc, page, pos) FROM f WHERE reason IS NOT NULL)
-   UNION ALL BY NAME SELECT doc, page, 720.0::DOUBLE AS page_h, max(pos) + 1000000 AS pos, concat(any_value(source), ' page ', page) AS text, 72.0 AS x0, 700.0 AS y0, 200.0 AS x1, 710.0 AS y1, 710.0 AS base, 8.0 AS size, false AS bold, 10 AS chars FROM ({LINES_SQL}) z JOIN documents ON doc_id = doc WHERE page = 0 GROUP BY doc, page
+    + f""", b0 AS (SELECT x.* FROM ({LINES_SQL}) x WHERE page < 2 AND (doc, page, pos) NOT IN (SELECT (doc, page, pos) FROM f WHERE reason IS NOT NULL)
+   UNION ALL BY NAME SELECT doc, page, 720.0::DOUBLE AS page_h, max(pos) + 1000000 AS pos, concat(any_value(source), ' page ', page) AS text, 72.0 AS x0, 700.0 AS y0, 200.0 AS x1, 710.0 AS y1, 710.0 AS base, 8.0 AS size, false AS bold, 10 AS chars FROM ({LINES_SQL}) z JOIN documents ON doc_id = doc WHERE page < 2 GROUP BY doc, page
    HAVING (doc, page, max(pos) + 1000000) NOT IN (SELECT (doc, page, pos) FROM f WHERE reason IS NOT NULL)),
  b1 AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS tx FROM b0),
  b2 AS (SELECT * FROM b1 WHERE tx <> '' AND NOT (len(regexp_extract_all(tx, '\\d')) >= 6 AND len(regexp_extract_all(tx, '\\d')) > 2 * len(regexp_extract_all(tx, '\\p{{L}}')))),
- b3 AS (SELECT *, CASE WHEN abs(lag(size) OVER w - size) <= 0.5 AND base - lag(base) OVER w <= 2.2 * size AND lag(bold) OVER w = bold THEN 0 ELSE 1 END AS brk FROM b2 WINDOW w AS (PARTITION BY doc ORDER BY base, x0)),
- b4 AS (SELECT *, sum(brk) OVER (PARTITION BY doc ORDER BY base, x0) AS stack FROM b3),
- b5 AS (SELECT *, row_number() OVER (PARTITION BY doc, stack ORDER BY base, x0) AS dp FROM b4),
- b6 AS (SELECT doc, stack, max(size) AS size, bool_or(bold) AS bold, min(base) AS base, string_agg(tx, ' ' ORDER BY base) AS title FROM b5 WHERE dp <= 6 GROUP BY 1, 2)
-SELECT doc, arg_min(title, (-size, NOT bold, base, stack)) AS title FROM b6 WHERE len(string_split_regex(trim(title), '\\s+')) BETWEEN 3 AND 30 GROUP BY doc""",
+ b3 AS (SELECT *, base - lag(base) OVER w AS step, lag(size) OVER w AS s0, lag(bold) OVER w AS w0, lag(x0) OVER w AS l0, lag(x1) OVER w AS r0 FROM b2 WINDOW w AS (PARTITION BY doc, page ORDER BY base, x0)),
+ b4 AS (SELECT *, sum(CASE WHEN (abs(s0 - size) <= 0.5 OR (size BETWEEN 0.8::DOUBLE * s0 AND s0 AND step <= 0.95::DOUBLE * s0)) AND step <= 2.2::DOUBLE * size AND step > 0.5::DOUBLE * size AND x0 < r0 AND x1 > l0 AND w0 = bold THEN 0 ELSE 1 END)
+   OVER (PARTITION BY doc, page ORDER BY base, x0) AS stack FROM b3),
+ b5 AS (SELECT *, (row_number() OVER (PARTITION BY doc, page, stack ORDER BY base, x0) - 1) // 6 AS piece FROM b4),
+ b6 AS (SELECT doc, page, stack, piece, arg_min(size, (base, x0)) AS size, arg_min(bold, (base, x0)) AS bold, min(base) AS base, trim(regexp_replace(string_agg(tx, ' ' ORDER BY base, x0), '^\\(\\s*\\d+\\s*\\)\\s*', '')) AS title FROM b5 GROUP BY 1, 2, 3, 4),
+ b7 AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page, size DESC, bold DESC, base, stack, piece) AS best FROM b6
+  WHERE len(string_split_regex(trim(title), '\\s+')) BETWEEN 3 AND 45 AND (size > 1.1::DOUBLE * 9 OR (bold AND size >= 8.7)))
+SELECT doc, page, title FROM b7 WHERE best = 1""",
 )
 def _(t):
     rows = footed(t)
-    return op.page_title(rows, op.repeated_furniture(rows))
+    return op.page_title(rows, op.repeated_furniture(rows), body_size=9.0)
 
 
 WORD_SQL = f"""SELECT doc, page, pos, w AS text, CASE quality WHEN 1 THEN 0.9 WHEN 0 THEN CASE WHEN length(w) > 6 THEN 0.3 ELSE 0.7 END ELSE 0.6 END::DOUBLE AS conf
