@@ -82,9 +82,7 @@ def asked_parts(t):
     return asked.unionByName(t.spark.createDataFrame(bare, asked.schema))
 
 
-@query(
-    "search_parts",
-    f"""
+PART_SEARCH_SQL = f"""
 WITH q AS MATERIALIZED (SELECT *, CASE pages WHEN 'p. 1' THEN [1, 1] WHEN '1-3' THEN [1, 3] WHEN '2-' THEN [2, 1000000] WHEN '-1' THEN [1, 1] WHEN 'pages 2-3' THEN [2, 3] END AS span FROM ({ASKED_SQL})),
  d AS MATERIALIZED (SELECT *, lower(text) AS low FROM ({PARTS_SQL})),
  f AS (SELECT query, phrase, terms, doc, page, part, kind, text, low FROM q JOIN d ON (len(terms) = 0 OR contains(low, terms[1])) AND len(list_filter(terms, lambda x: NOT contains(low, x))) = 0
@@ -97,12 +95,26 @@ WITH q AS MATERIALIZED (SELECT *, CASE pages WHEN 'p. 1' THEN [1, 1] WHEN '1-3'
   CAST(coalesce(list_sum(list_transform(terms, lambda x: (length(low) - length(replace(low, x, ''))) // length(x))), 0) AS BIGINT) AS hits,
   CASE WHEN len(terms) = 0 THEN concat(substr(text, 1, 120), CASE WHEN length(text) > 120 THEN '…' ELSE '' END)
    ELSE concat(CASE WHEN start > 0 THEN '…' ELSE '' END, substr(text, start + 1, stop - start), CASE WHEN stop < length(text) THEN '…' ELSE '' END) END AS snippet FROM c)
-SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc, page, part) AS pos FROM r""",
-)
+SELECT *, row_number() OVER (PARTITION BY query ORDER BY exact DESC, hits DESC, doc, page, part) AS pos FROM r"""
+
+
+@query("search_parts", PART_SEARCH_SQL)
 def _(t):
     return op.search_parts(line_parts(t), asked_parts(t))
 
 
+DOCUMENT_PARTS_SQL = r"SELECT doc_id AS doc, 1 AS page, 0 AS part, 'paragraph' AS kind, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents"
+ANY_PART_SQL = f"SELECT *, CAST(NULL AS VARCHAR[]) AS kinds, CAST(NULL AS VARCHAR) AS pages FROM ({SENTENCES_SQL})"
+
+
+@query("search_documents", PART_SEARCH_SQL.replace(ASKED_SQL, ANY_PART_SQL).replace(PARTS_SQL, DOCUMENT_PARTS_SQL).replace("SELECT *, row_number() OVER (PARTITION BY query ORDER", "SELECT * EXCLUDE (snippet), row_number() OVER (PARTITION BY query ORDER"))
+def _(t):
+    """Whole documents as parts, the words of a sentence as terms, every kind and page."""
+    asked = sentences(t).withColumns({"kinds": F.lit(None).cast("array<string>"), "pages": F.lit(None).cast("string")})
+    parts = docs(t).select("doc", F.lit(1).alias("page"), F.lit(0).alias("part"), F.lit("paragraph").alias("kind"), "text")
+    return op.search_parts(parts, asked).drop("snippet")
+
+
 MISTYPED_SQL = f"""SELECT query, phrase, list_distinct(list_transform(terms, lambda w: CASE WHEN w = longest AND length(w) >= 6 THEN concat(substr(w, 1, 1), substr(w, 3)) ELSE w END)) AS terms
  FROM (SELECT *, list_sort(list_transform(terms, lambda w: {{'l': -length(w), 'w': w}}))[1].w AS longest FROM ({SENTENCES_SQL}))"""
 
