@@ -145,3 +145,19 @@ def test_page_title_stacks_lines_and_reads_the_second_page(spark):
         1: (1, "A Title On Page Two Goes On"), 2: (0, "Bold Heading of Body Size"), 3: (0, "Patent Title Here with a smaller wrap"),
         5: (0, "Same Size Bold Wins"), 6: (0, "row 0 row 1 row 2 row 3 row 4 row 5"),
     }
+
+
+def test_container_of_equal_boxes(spark):
+    """Copies of a box meet the points once, count each, and are never sent whole to the driver."""
+    rng = random.Random(8)
+    boxes = [(i, *rng.choice([(0.0, 0.0, 9.0, 9.0), (1.0, 1.0, 5.0, 5.0), (2.0, 2.0, 6.0, 6.0), (4.0, 0.0, 12.0, 3.0)])) for i in range(60)]
+    points = [(f"p{i}", float(rng.randrange(12)), float(rng.randrange(12))) for i in range(40)]
+    out = filters.container_of(spark.createDataFrame(points, "uid string, x double, y double"), spark.createDataFrame(boxes, "box int, x0 double, y0 double, x1 double, y1 double"), 2.0, 2.0)
+    want = {}
+    for uid, x, y in points:
+        inside = [((x1 - x0) * (y1 - y0), b) for b, x0, y0, x1, y1 in boxes if x0 <= x <= x1 and y0 <= y <= y1]
+        if inside:
+            want[uid] = (min(inside)[1], len(inside))
+    assert {r["uid"]: (r["box"], r["n_boxes"]) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("copies") > 0

@@ -260,18 +260,21 @@ def in_polygon(points: DataFrame, polygon: list[tuple[float, float]]) -> DataFra
 def container_of(points: DataFrame, boxes: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
     """Innermost box per point: points and boxes meet on grid cells, then the bounds are checked.
 
-    Boxes spread over the cells they touch; a crowded cell is an ordinary
-    skewed join key, which adaptive execution splits.
+    Boxes of equal bounds meet the points as one, with their number and their
+    first id. Boxes spread over the cells they touch, and no size estimate sees
+    how many those are, so both sides are sorted and merged; a crowded cell is
+    an ordinary skewed join key, which adaptive execution splits.
     """
     gx = lambda c: F.floor(c / cell_w)
     gy = lambda c: F.floor(c / cell_h)
-    spread = boxes.withColumn("cx", F.explode(F.sequence(gx(F.col("x0")), gx(F.col("x1"))))).withColumn(
+    alike = boxes.groupBy("x0", "y0", "x1", "y1").agg(F.min(F.struct("box")).alias("first"), F.count("*").alias("copies"))
+    spread = alike.withColumn("cx", F.explode(F.sequence(gx(F.col("x0")), gx(F.col("x1"))))).withColumn(
         "cy", F.explode(F.sequence(gy(F.col("y0")), gy(F.col("y1"))))
     )
-    near = points.withColumn("cx", gx(F.col("x"))).withColumn("cy", gy(F.col("y"))).join(spread, ["cx", "cy"])
+    near = points.withColumn("cx", gx(F.col("x"))).withColumn("cy", gy(F.col("y"))).join(spread.hint("merge"), ["cx", "cy"])
     inside = near.where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return inside.groupBy("uid", "x", "y").agg(F.min_by("box", F.struct(area, "box")).alias("box"), F.count("*").alias("n_boxes"))
+    return inside.groupBy("uid", "x", "y").agg(F.min_by("first.box", F.struct(area, "first.box")).alias("box"), F.sum("copies").alias("n_boxes"))
 
 
 def neighbourhood_members(items: DataFrame, landmarks: DataFrame, screen_w: float, screen_h: float) -> DataFrame:
