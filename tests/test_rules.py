@@ -174,3 +174,11 @@ def test_streams_do_not_lose_late_files(spark, tmp_path, per_batch):
     assert sorted(r.start.day for r in days.collect()) == [2, 3, 4, 5] and days.where("n = 1").count() == 4
     one_file = feeds.file_stream(spark, str(folder / "part-0.parquet"), table.schema)
     assert feeds.drain(feeds.opens_counter(one_file), "o", "update").count() == 1
+
+
+def test_digitless_cells_are_read_on_demand(spark):
+    rows = [("a", i, 0, 1, t) for i, t in enumerate(["1.50", "2.50", "3.25", "lOlOOO.lO", "lO.5O"])]
+    frame = spark.createDataFrame(rows, "table_id string, r int, c int, col_span int, text string")
+    state = lambda **k: {r.r: (r.repaired, r.state) for r in cells.numeric_column_repair(frame, **k).collect() if r.r > 2}
+    assert state() == {3: ("101000.10", "fixed"), 4: ("10.50", "fixed")}
+    assert state(digitless=False) == {3: ("lOlOOO.lO", "unsure"), 4: ("10.50", "fixed")}
