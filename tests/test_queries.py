@@ -32,3 +32,10 @@ def test_query(spark, con, name):
 def test_every_query_has_distinct_columns_and_a_name():
     assert len(catalogue()) > 150
     assert all(q.build and name == q.name for name, q in catalogue().items())
+
+
+def test_edited_sort_shows_the_day_it_sorts_by(spark, con):
+    q = catalogue()["sort_rows_edited"]
+    ok, note = compare(spark, con, q, ROOT)
+    assert ok, note
+    assert "edited" in [d[0] for d in con.execute(q.sql).description]

@@ -14,7 +14,7 @@ from threadloom.plans.relations import UID
 ROWS_SQL = """WITH r AS (SELECT o_orderkey AS seq, concat('000001', lower(o_orderpriority), ' ', lpad(length(o_custkey::VARCHAR)::VARCHAR, 6, '0'), o_custkey) AS title,
   CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS edited, CASE WHEN o_custkey % 10 > 0 THEN o_orderdate END AS created, refs, parts AS children, length(concat(o_orderpriority, ' ', o_custkey)) AS text_length
  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS refs, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_partkey END) AS parts FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
-SELECT seq, row_number() OVER (ORDER BY {0}seq) AS pos FROM r"""
+SELECT seq, {1}row_number() OVER (ORDER BY {0}seq) AS pos FROM r"""
 
 
 def sortable(t):
@@ -27,10 +27,14 @@ def sortable(t):
     return rows.join(lines, "seq", "left")
 
 
+# Columns a sort shows beside the position, and their SQL.
+SHOWN = {"edited": "epoch_ms(edited) AS edited, "}
+
+
 def _sorted_query(sort, order):
-    @query(f"sort_rows_{sort}", ROWS_SQL.format(order))
+    @query(f"sort_rows_{sort}", ROWS_SQL.format(order, SHOWN.get(sort, "")))
     def _(t):
-        return op.sort_rows(sortable(t), sort).select("seq", "pos")
+        return op.sort_rows(sortable(t), sort).select("seq", *[c for c in SHOWN if c == sort], "pos")
 
 
 for _sort, _by in {
