@@ -148,3 +148,45 @@ def test_captions_and_bullets(spark):
     marks = ["• x", "◦ x", "– x", "· x", "(12) x", "b) x", "iv. x", "-x", "A. x", "1234. x", "• "]
     got = spark.createDataFrame([(t,) for t in marks], "t string").select(F.regexp_extract("t", documents.BULLET, 1)).collect()
     assert [r[0] for r in got] == ["•", "◦", "–", "·", "(12)", "b)", "iv.", "", "", "", ""]
+
+
+def test_pairs_hold_what_is_carried(spark):
+    rng = random.Random(4)
+    a = spark.createDataFrame(random_boxes(rng, 40, "a"), BOXES)
+    pairs = overlap_pairs(a, a, 3.0, 2.0, ["text"])
+    texts = {r["uid"]: r["text"] for r in a.collect()}
+    got = pairs.collect()
+    assert got and all(r["a_text"] == texts[r["a"]] and r["b_text"] == texts[r["b"]] for r in got)
+
+
+def test_boxes_are_shuffled_once_or_twice(spark):
+    """Cells of the size of a box: it touches four, but most boxes lie in one tile."""
+    boxes = [(1, f"w{i}", "w", 7.0 * i + 0.5, 3.0, 7.0 * i + 20.5, 11.0) for i in range(200)]
+    frame = spark.createDataFrame(boxes, BOXES)
+    plan = overlap_pairs(frame, frame, 20.0, 8.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 80.0" in plan and "/ 32.0" in plan
+
+
+def test_dedupe_rounds_hold_only_pairs(spark, monkeypatch):
+    """Words without a better rival are not written again each round."""
+    alone = [(1, f"a{i}", "w", 1000.0 * i, 0.0, 1000.0 * i + 10, 10.0) for i in range(50)]
+    chain = [(2, f"c{i}", "w" * (9 - i), 3.0 * i, 0.0, 3.0 * i + 10, 10.0) for i in range(8)]
+    written = []
+    cut = documents.cut_lineage
+    monkeypatch.setattr(documents, "cut_lineage", lambda df: written.append(out := cut(df)) or out)
+    got = documents.box_dedupe(spark.createDataFrame(alone + chain, BOXES), 20.0, 8.0)
+    assert {r["uid"] for r in got.collect()} == {f"a{i}" for i in range(50)} | {"c0", "c2", "c4", "c6"}
+    assert sum(df.where("page = 1").count() for df in written) == 0
+
+
+def test_matching_writes_pairs_in_doubt_only(spark, monkeypatch):
+    """What the first round settles at either end is written once."""
+    from threadloom.functions import matching
+
+    written = []
+    cut = matching.cut_lineage
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: written.append(out := cut(df)) or out)
+    pairs = [(1, f"a{i}", f"b{j}", 1.0 / (1 + abs(i - j)), 0.0) for i in range(20) for j in range(20)]
+    got = match_best_first(spark.createDataFrame(pairs, "page int, a string, b string, iou double, inter double"))
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(f"a{i}", f"b{i}") for i in range(20)}
+    assert sum(df.count() for df in written) == 20

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from threadloom.session import cut_lineage
 
 BOX = ("x0", "y0", "x1", "y1")
+TILE = 4  # cells a side of the tiles that boxes are dealt by
 
 
 def box_area(prefix: str) -> Column:
@@ -19,26 +20,29 @@ def box_area(prefix: str) -> Column:
     )
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
-    """(page, a, b, inter, iou) of boxes (page, uid, x0..y1) that overlap.
+def overlap_pairs(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float, carry: Sequence[str] = ()) -> DataFrame:
+    """(page, a, b, inter, iou) of boxes (page, uid, x0..y1) that overlap, with ``a_`` and ``b_`` columns of what to ``carry``.
 
-    Boxes spread over the grid cells they touch and meet on (page, cell). A pair
-    is kept only in the cell that holds the corner of its intersection, so no
-    pair appears twice and no distinct is needed. Choose cells near the size
-    of a box: then a cell holds few boxes.
+    Boxes spread over the tiles they touch and meet on (page, tile). A pair is
+    kept only in the tile that holds the corner of its intersection, so no pair
+    appears twice and no distinct is needed. Choose cells near the size of a
+    box: then a tile of a few cells a side holds few boxes and most boxes lie
+    in one or two tiles, so few copies of them are shuffled.
     """
+    tile_w, tile_h = cell_w * TILE, cell_h * TILE
 
     def spread(df: DataFrame, p: str) -> DataFrame:
-        cells = df.select("page", F.col("uid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in BOX])
-        cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{p}_x0") / cell_w), F.floor(F.col(f"{p}_x1") / cell_w))))
-        return cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{p}_y0") / cell_h), F.floor(F.col(f"{p}_y1") / cell_h))))
+        cells = df.select("page", F.col("uid").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in (*BOX, *carry)])
+        cells = cells.withColumn("cx", F.explode(F.sequence(F.floor(F.col(f"{p}_x0") / tile_w), F.floor(F.col(f"{p}_x1") / tile_w))))
+        return cells.withColumn("cy", F.explode(F.sequence(F.floor(F.col(f"{p}_y0") / tile_h), F.floor(F.col(f"{p}_y1") / tile_h))))
 
     left, top = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
     w, h = F.least("a_x1", "b_x1") - left, F.least("a_y1", "b_y1") - top
     met = spread(a, "a").join(spread(b, "b"), ["page", "cx", "cy"])
-    met = met.where((w > 0) & (h > 0) & (F.col("cx") == F.floor(left / cell_w)) & (F.col("cy") == F.floor(top / cell_h)))
+    met = met.where((w > 0) & (h > 0) & (F.col("cx") == F.floor(left / tile_w)) & (F.col("cy") == F.floor(top / tile_h)))
     inter = w * h
-    return met.select("page", "a", "b", inter.alias("inter"), (inter / (box_area("a_") + box_area("b_") - inter)).alias("iou"))
+    carried = [f"{p}_{c}" for c in carry for p in "ab"]
+    return met.select("page", "a", "b", inter.alias("inter"), (inter / (box_area("a_") + box_area("b_") - inter)).alias("iou"), *carried)
 
 
 def similar_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
@@ -70,24 +74,28 @@ def similar_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float)
 
 
 def match_best_first(pairs: DataFrame, score: str = "iou") -> DataFrame:
-    """One-to-one matching of (page, a, b, score): best score first, ties by ids.
+    """One-to-one matching (page, a, b, score) of pairs: best score first, ties by ids.
 
     A pair that is the best choice of both its ends is taken by the greedy walk
     too; taking all such pairs and repeating on the rest gives the same result.
-    Ends are compared only through their own candidates.
+    Ends are compared only through their own candidates. A round writes its
+    pairs once, marked; pairs of an end already taken drop out where the window
+    over that end stands, so what is joined and written again are only pairs
+    still in doubt.
     """
-    rest = cut_lineage(pairs.withColumn("__k", F.struct((-F.col(score)).alias("s"), "a", "b")))
-    taken = None
-    while not rest.isEmpty():  # every round takes the best pair of each page at least
-        ranked = rest.withColumn("__ba", F.min("__k").over(Window.partitionBy("page", "a"))).withColumn(
-            "__bb", F.min("__k").over(Window.partitionBy("page", "b"))
-        )
-        won = cut_lineage(ranked.where((F.col("__k") == F.col("__ba")) & (F.col("__k") == F.col("__bb"))).drop("__ba", "__bb"))
+    best = F.struct((-F.col(score)).alias("s"), "a", "b")
+    over_a, over_b = Window.partitionBy("page", "a"), Window.partitionBy("page", "b")
+    rest, taken = pairs.select("page", "a", "b", score), None
+    while True:  # every round takes the best pair of each page at least
+        marked = rest.withColumn("__ba", F.min(best).over(over_a) == best).withColumn("__won", F.col("__ba") & (F.min(best).over(over_b) == best))
+        marked = cut_lineage(marked.withColumn("__held", F.max("__won").over(over_b)).where("__won OR NOT __held").drop("__ba", "__held"))
+        won, open_ = marked.where("__won").drop("__won"), marked.where("NOT __won").drop("__won")
         taken = won if taken is None else taken.unionByName(won)
-        rest = cut_lineage(
-            rest.join(won.select("page", "a"), ["page", "a"], "left_anti").join(won.select("page", "b"), ["page", "b"], "left_anti")
-        )
-    return (pairs.limit(0) if taken is None else taken).drop("__k", "__ba", "__bb")
+        if open_.isEmpty():
+            return taken
+        rest = cut_lineage(open_.join(won.select("page", "a"), ["page", "a"], "left_anti"))
+        if rest.isEmpty():
+            return taken
 
 
 def tokens_of(text: Column) -> Column:
