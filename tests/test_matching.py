@@ -190,3 +190,9 @@ def test_matching_writes_pairs_in_doubt_only(spark, monkeypatch):
     got = match_best_first(spark.createDataFrame(pairs, "page int, a string, b string, iou double, inter double"))
     assert {(r["a"], r["b"]) for r in got.collect()} == {(f"a{i}", f"b{i}") for i in range(20)}
     assert sum(df.count() for df in written) == 20
+
+
+def test_matching_keeps_columns(spark):
+    pairs = spark.createDataFrame([(1, "a", "x", 0.9, True), (1, "a", "y", 0.8, False), (1, "b", "x", 0.7, False), (1, "b", "y", 0.6, True)], "page int, a string, b string, iou double, mark boolean")
+    got = match_best_first(pairs, keep=["mark"])
+    assert {(r["a"], r["b"], r["mark"]) for r in got.collect()} == {("a", "x", True), ("b", "y", True)}

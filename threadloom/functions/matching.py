@@ -73,8 +73,8 @@ def similar_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float)
     return shared.where(F.col("inter") >= least * (F.col("na") + F.col("nb") - F.col("inter")) - 1e-9)
 
 
-def match_best_first(pairs: DataFrame, score: str = "iou") -> DataFrame:
-    """One-to-one matching (page, a, b, score) of pairs: best score first, ties by ids.
+def match_best_first(pairs: DataFrame, score: str = "iou", keep: Sequence[str] = ()) -> DataFrame:
+    """One-to-one matching (page, a, b, score, columns to ``keep``) of pairs: best score first, ties by ids.
 
     A pair that is the best choice of both its ends is taken by the greedy walk
     too; taking all such pairs and repeating on the rest gives the same result.
@@ -85,7 +85,7 @@ def match_best_first(pairs: DataFrame, score: str = "iou") -> DataFrame:
     """
     best = F.struct((-F.col(score)).alias("s"), "a", "b")
     over_a, over_b = Window.partitionBy("page", "a"), Window.partitionBy("page", "b")
-    rest, taken = pairs.select("page", "a", "b", score), None
+    rest, taken = pairs.select("page", "a", "b", score, *keep), None
     while True:  # every round takes the best pair of each page at least
         marked = rest.withColumn("__ba", F.min(best).over(over_a) == best).withColumn("__won", F.col("__ba") & (F.min(best).over(over_b) == best))
         marked = cut_lineage(marked.withColumn("__held", F.max("__won").over(over_b)).where("__won OR NOT __held").drop("__ba", "__held"))
