@@ -119,13 +119,12 @@ def detection_f1(pred: DataFrame, truth: DataFrame, cell_w: float, cell_h: float
 
 def figure_caption_score(pred: DataFrame, truth: DataFrame, cell_w: float, cell_h: float) -> DataFrame:
     """Per page: figures hit and captions linked (token Jaccard from one half, or the smaller set of two or more contained)."""
-    match = match_best_first(overlap_pairs(truth, pred, cell_w, cell_h).where(F.col("iou") >= HIT_IOU))
-    rows = match.join(truth.select("page", F.col("uid").alias("a"), tokens_of(F.col("caption")).alias("ta")), ["page", "a"]).join(
-        pred.select("page", F.col("uid").alias("b"), tokens_of(F.col("caption")).alias("tb")), ["page", "b"]
-    )
-    inter, small = F.size(F.array_intersect("ta", "tb")), F.least(F.size("ta"), F.size("tb"))
-    linked = (jaccard(F.col("ta"), F.col("tb")) >= 0.5) | ((small >= 2) & (inter == small))
-    hits = rows.groupBy("page").agg(F.count("*").alias("hits"), F.count_if(linked).alias("linked"))
+    ta, tb = tokens_of(F.col("a_caption")), tokens_of(F.col("b_caption"))
+    inter, small = F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb))
+    linked = (jaccard(ta, tb) >= 0.5) | ((small >= 2) & (inter == small))
+    pairs = overlap_pairs(truth, pred, cell_w, cell_h, ["caption"]).where(F.col("iou") >= HIT_IOU)
+    match = match_best_first(pairs.withColumn("linked", linked), keep=["linked"])
+    hits = match.groupBy("page").agg(F.count("*").alias("hits"), F.count_if("linked").alias("linked"))
     size = truth.groupBy("page").agg(F.count("*").alias("truth_n")).join(pred.groupBy("page").agg(F.count("*").alias("pred_n")), "page", "full_outer")
     return size.join(hits, "page", "left").na.fill(0)
 
@@ -273,10 +272,9 @@ def footnote_links(notes: DataFrame, refs: DataFrame, truth: DataFrame) -> DataF
 
 def word_agreement(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float, same_text: bool = True) -> DataFrame:
     """Per page: words of two engines and how many agree one to one at the overlap, with equal text if asked."""
-    pairs = overlap_pairs(a, b, cell_w, cell_h).where(F.col("iou") >= HIT_IOU)
+    pairs = overlap_pairs(a, b, cell_w, cell_h, ["text"] if same_text else []).where(F.col("iou") >= HIT_IOU)
     if same_text:
-        pairs = pairs.join(a.select("page", F.col("uid").alias("a"), F.col("text").alias("x")), ["page", "a"])
-        pairs = pairs.join(b.select("page", F.col("uid").alias("b"), F.col("text").alias("y")), ["page", "b"]).where("x = y").drop("x", "y")
+        pairs = pairs.where("a_text = b_text")
     hit = match_best_first(pairs).groupBy("page").agg(F.count("*").alias("matched"))
     size = a.groupBy("page").agg(F.count("*").alias("a_n")).join(b.groupBy("page").agg(F.count("*").alias("b_n")), "page", "full_outer")
     return size.join(hit, "page", "left").na.fill(0)
