@@ -182,3 +182,23 @@ def test_digitless_cells_are_read_on_demand(spark):
     state = lambda **k: {r.r: (r.repaired, r.state) for r in cells.numeric_column_repair(frame, **k).collect() if r.r > 2}
     assert state() == {3: ("101000.10", "fixed"), 4: ("10.50", "fixed")}
     assert state(digitless=False) == {3: ("lOlOOO.lO", "unsure"), 4: ("10.50", "fixed")}
+
+
+@pytest.mark.parametrize("large", [5, 100_000])
+def test_reading_metrics(spark, monkeypatch, large):
+    """Words meet by page, or by page and word on large pages, with equal results."""
+    monkeypatch.setattr(cells, "LARGE_PAGE", large)
+    rows = [(1, "rule", 0, 0, "Red ring red"), (1, "rule", 0, 1, "7"), (1, "rule", 1, 0, "blue x"), (1, "reader", 0, 0, ""), (1, "reader", 1, 0, "ring"), (1, "reader", 1, 1, None), (2, "rule", 0, 0, "red")]
+    told = [(1, 0, "red"), (1, 0, "ring"), (1, 1, "ring"), (1, 1, "ring"), (1, 1, "8"), (2, 0, "blue"), (3, 0, "x")]
+    out = cells.reading_metrics(spark.createDataFrame(rows, "page int, reading string, r int, c int, text string"), spark.createDataFrame(told, "page int, row int, word string"))
+    want = {}
+    for page, reading in {r[:2] for r in rows}:
+        cut = [(r, c, w) for p, k, r, c, t in rows if (p, k) == (page, reading) for w in re.findall(r"\w+", (t or "").lower())]
+        said = {w for p, _, w in told if p == page}
+        fit = lambda axis: [(lambda hit: sum(hit) / len(hit))([x[2] in said for x in cut if x[axis] == i]) for i in sorted({x[axis] for x in cut})]  # noqa: B023, E731
+        mean = lambda v: round(sum(v) / len(v), 9) if v else None
+        mine, words = {w for *_, w in cut}, {t for t in told if t[0] == page}
+        found = sum(w in mine for *_, w in words)
+        want[page, reading] = (mean(fit(0)), mean(fit(1)), round(found / len(words), 9) if found else None)
+    nine = lambda v: None if v is None else round(v, 9)
+    assert {(r.page, r.reading): (nine(r.row_fit), nine(r.col_fit), nine(r.row_coverage)) for r in out.collect()} == want
