@@ -202,3 +202,14 @@ def test_reading_metrics(spark, monkeypatch, large):
         want[page, reading] = (mean(fit(0)), mean(fit(1)), round(found / len(words), 9) if found else None)
     nine = lambda v: None if v is None else round(v, 9)
     assert {(r.page, r.reading): (nine(r.row_fit), nine(r.col_fit), nine(r.row_coverage)) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("large", [3, 100_000])
+def test_adjacency_in_one_task_or_dealt(spark, monkeypatch, large):
+    """Tables kept in one task and tables dealt over tasks count the same neighbours."""
+    monkeypatch.setattr(evaluation, "LARGE_TABLE", large)
+    kind = "table_id int, r int, c int, text string"
+    truth = [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "a"), (1, 1, 1, "b"), (2, 0, 0, "x"), (2, 0, 2, "y")]
+    pred = [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "a"), (1, 1, 1, "c"), (3, 0, 0, "q"), (3, 1, 0, "")]
+    out = evaluation.adjacency_f1(spark.createDataFrame(pred, kind), spark.createDataFrame(truth, kind))
+    assert {r.table_id: (r.tp, r.fp, r.fn) for r in out.collect()} == {1: (2, 2, 2), 2: (0, 0, 1)}

@@ -18,6 +18,7 @@ from threadloom.functions.windows import pick_ranks, split_running_sum, value_ba
 SOFT_MATCH = 0.9
 TABLE_MATCH = 0.2
 HIT_IOU = 0.5
+LARGE_TABLE = 100_000  # cells of both sides above which a table is not kept in one task
 
 
 # Compatibility forms that tables hold: pairs of form and plain text, each a fixed value.
@@ -100,13 +101,31 @@ def adjacency_relations(cells: DataFrame) -> DataFrame:
     return both.where(F.col("b").isNotNull()).groupBy("table_id", "a", "b", "dir").agg(F.count("*").alias("n"))
 
 
-def adjacency_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    key = ["table_id", "a", "b", "dir"]
-    p, t = adjacency_relations(pred).withColumnRenamed("n", "np"), adjacency_relations(truth).withColumnRenamed("n", "nt")
-    both = p.join(t, key, "full_outer").na.fill(0, ["np", "nt"])
-    sums = both.groupBy("table_id").agg(
+def _adjacency_counts(cells: DataFrame) -> DataFrame:
+    """(table_id, tp, fp, fn) of the neighbour relations of predicted and true cells (table_id, r, c, text, predicted)."""
+    filled = cells.withColumn("t", norm_text(F.col("text"))).where(F.col("t") != "")
+    after = lambda line, along: F.lead("t").over(Window.partitionBy("table_id", "predicted", line).orderBy(along))
+    near = filled.withColumn("right", after("r", "c")).withColumn("down", after("c", "r"))
+    ends = F.array(F.struct(F.col("right").alias("b"), F.lit("h").alias("dir")), F.struct(F.col("down").alias("b"), F.lit("v").alias("dir")))
+    both = near.select("table_id", "predicted", F.col("t").alias("a"), F.explode(ends).alias("e")).where(F.col("e.b").isNotNull())
+    met = both.groupBy("table_id", "a", "e.b", "e.dir").agg(F.count_if("predicted").alias("np"), F.count_if(~F.col("predicted")).alias("nt"))
+    return met.groupBy("table_id").agg(
         F.sum(F.least("np", "nt")).alias("tp"), F.sum(F.greatest(F.lit(0), F.col("np") - F.col("nt"))).alias("fp"), F.sum(F.greatest(F.lit(0), F.col("nt") - F.col("np"))).alias("fn")
     )
+
+
+def adjacency_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Neighbour relations of predicted and true cells per table, with rates.
+
+    Cells are shuffled once, by table, and all windows and counts stand there; a
+    table of more than ``LARGE_TABLE`` cells is dealt by row, column and pair.
+    """
+    side = lambda df, predicted: df.select("table_id", "r", "c", "text", F.lit(predicted).alias("predicted"))
+    cells = side(pred, True).unionByName(side(truth, False))
+    # At most one row for LARGE_TABLE cells of the input, so it may go to every task.
+    large = F.broadcast(cells.groupBy("table_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_TABLE).select("table_id"))
+    small = cells.join(large, "table_id", "left_anti").repartition("table_id")
+    sums = _adjacency_counts(small).unionByName(_adjacency_counts(cells.join(large, "table_id", "left_semi")))
     return sums.select("*", *rates(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")))
 
 
