@@ -18,6 +18,7 @@ from threadloom.functions.windows import pick_ranks, split_running_sum, value_ba
 SOFT_MATCH = 0.9
 TABLE_MATCH = 0.2
 HIT_IOU = 0.5
+NEAR_PARTS = 32  # positions of a document that are dealt together to find what stands next to a part
 LARGE_TABLE = 100_000  # cells of both sides above which a table is not kept in one task
 
 
@@ -261,15 +262,33 @@ def line_exactness(lines: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("lines"), F.count("hit").alias("exact"))
 
 
+def _placed(words: pd.Series, own: pd.Series, beside: pd.Series) -> pd.DataFrame:
+    """For each part how many of its words its own evidence holds, and how many only that beside it."""
+    rows = []
+    for part, *seen in zip(words, own, beside, strict=True):
+        here, near = ({w for w in x if w is not None} for x in seen)
+        mine = sum(w in here for w in part)
+        rows.append((mine, sum(w in near and w not in here for w in part)))
+    return pd.DataFrame(rows, columns=["own", "neighbour"], dtype="int64")
+
+
 def placement_score(parts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Words of each part (doc, pos, word) found in its own evidence, only next to it, or nowhere."""
-    seen = evidence.select("doc", F.col("pos").alias("at"), "word").distinct()
-    around = seen.select("doc", "word", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).alias("pos"), "at")
-    best = around.groupBy("doc", "pos", "word").agg(F.bool_or(F.col("at") == F.col("pos")).alias("own"))
-    rows = parts.join(best, ["doc", "pos", "word"], "left")
-    return rows.groupBy("doc").agg(
-        F.count("*").alias("total"), F.count_if(F.coalesce("own", F.lit(False))).alias("own"), F.count_if(~F.coalesce("own", F.lit(True))).alias("neighbour")
-    )
+    """Words of each part found in its own evidence, only next to it, or nowhere; rows on both sides are (doc, pos, words).
+
+    Words stay in the array of their part, so a row that is shuffled is a part
+    and not a word. Parts are dealt once, by stretches of ``NEAR_PARTS``
+    positions of a document, and evidence at an end goes to the next stretch too.
+    """
+    stretch = lambda by: F.floor((F.col("pos") + by) / NEAR_PARTS)
+    none = F.array().cast("array<string>")
+    one = parts.select("doc", "pos", F.coalesce("words", none).alias("words"), F.lit(True).alias("part"), stretch(0).alias("at"))
+    seen = evidence.where(F.col("doc").isNotNull()).select("doc", "pos", F.array_distinct("words").alias("words"), F.lit(False).alias("part"), F.explode(F.array_distinct(F.array(stretch(-1), stretch(0), stretch(1)))).alias("at"))
+    around = Window.partitionBy("doc", "at").orderBy("pos").rangeBetween(-1, 1)
+    rows = one.unionByName(seen).withColumn("held", F.collect_list(F.when(~F.col("part"), F.struct("pos", "words"))).over(around)).where("part")
+    there = lambda own: F.flatten(F.transform(F.filter("held", lambda x: (x["pos"] == F.col("pos")) == own), lambda x: F.coalesce(x["words"], none)))
+    met = F.pandas_udf(_placed, "own bigint, neighbour bigint")(F.col("words"), there(True), there(False))
+    sums = rows.select("doc", F.size("words").alias("n"), met.alias("met")).groupBy("doc")
+    return sums.agg(F.sum("n").alias("total"), F.sum("met.own").alias("own"), F.sum("met.neighbour").alias("neighbour")).where("total > 0")
 
 
 def furniture_score(removed: DataFrame, truth: DataFrame, body: DataFrame) -> DataFrame:
