@@ -13,3 +13,18 @@ def test_placement_keeps_words_in_their_part(spark):
     rows = lambda data: spark.createDataFrame(data, "doc string, pos int, words array<string>")
     got = sorted(tuple(r) for r in evaluation.placement_score(rows(parts), rows(held)).select(F.coalesce("doc", F.lit("-")), "total", "own", "neighbour").collect())
     assert got == [("-", 1, 0, 0), ("d", 11, 2, 5), ("e", 1, 0, 0)]
+
+
+def test_distance_of_a_text_that_only_lacks_characters(monkeypatch):
+    whole = "the quick brown fox jumps over the lazy dog " * 400
+    monkeypatch.setattr(evaluation, "_places", lambda text: 1 / 0)  # the table of the whole text is not needed
+    assert evaluation.text_distance(whole, whole.replace("e", "")) == whole.count("e")
+    assert evaluation.text_distance(whole.replace("o", ""), whole) == whole.count("o")
+
+
+def test_words_found_are_counted_in_their_pair(spark):
+    pairs = spark.createDataFrame([(1, "a b b c", "b x B a"), (2, "a b", None), (3, None, "a"), (4, "", "a"), (5, "abc", "axc d")], "doc int, truth string, pred string")
+    found = evaluation.cer_counts(pairs)
+    got = sorted(tuple(r) for r in found.select("doc", "char_dist", "char_n", "found", "word_n").collect())
+    assert got == [(1, 3, 4, 3, 4), (2, 2, 2, 0, 2), (3, 1, 0, 0, 0), (4, 1, 0, 0, 0), (5, 2, 3, 0, 1)]
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()

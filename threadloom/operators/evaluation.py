@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import partial
 from math import factorial
@@ -205,6 +206,10 @@ def text_distance(a: str, b: str) -> int:
         return 0
     if not a or not b:
         return len(a) + len(b)
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    rest = iter(long)
+    if all(c in rest for c in short):  # only lacks characters: as many as the lengths differ by, the least any two texts can be apart
+        return len(long) - len(short)
     where = _places(a)
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rises, falls, score = full, 0, len(a)
@@ -240,19 +245,22 @@ def edit_distance(a: str | Column, b: str | Column) -> Column:
     return F.pandas_udf(_distances, "bigint")(a, b)
 
 
+def _compared(t: pd.Series, p: pd.Series, tw: pd.Series, pw: pd.Series) -> pd.DataFrame:
+    """Distance of two texts, and how many words of the first the second holds, each as often as it occurs."""
+    found = [sum((Counter(a) & Counter(b)).values()) if a is not None and b is not None else 0 for a, b in zip(tw, pw, strict=True)]
+    return pd.DataFrame({"char_dist": _distances(t, p), "found": found})
+
+
 def cer_counts(pairs: DataFrame) -> DataFrame:
-    """Character distance of whole (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap)."""
+    """Character distance of whole (doc, truth, pred) texts without spaces, and the share of truth words found (bag overlap), a row a pair."""
     t, p = F.replace(norm_text(F.col("truth")), F.lit(" "), F.lit("")), F.replace(norm_text(F.col("pred")), F.lit(" "), F.lit(""))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    texts = pairs.select("doc", F.inline(F.array(F.struct(t.alias("t"), p.alias("p")))), words("truth").alias("tw"), words("pred").alias("pw"))
     # A distance is heavy for its few bytes, so rows are dealt by number, which adaptive execution does not fold into few tasks.
     tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sized = texts.repartition(tasks, "doc").select("doc", edit_distance("t", "p").alias("char_dist"), F.length("t").cast("long").alias("char_n"), "tw", "pw")
-    count = lambda col, name: texts.select("doc", F.explode(col).alias("w")).groupBy("doc", "w").agg(F.count("*").alias(name))
-    # the words are counted from the texts, so the distances are computed once
-    both = count("tw", "nt").join(count("pw", "np"), ["doc", "w"], "full_outer").na.fill(0, ["nt", "np"])
-    bag = both.groupBy("doc").agg(F.sum(F.least("nt", "np")).alias("found"), F.sum("nt").alias("word_n"))
-    return sized.select("doc", "char_dist", "char_n").join(bag, "doc", "left").na.fill(0)
+    texts = pairs.repartition(tasks, "doc").select("doc", t.alias("t"), p.alias("p"), words("truth").alias("tw"), words("pred").alias("pw"))
+    met = F.pandas_udf(_compared, "char_dist bigint, found bigint")("t", "p", "tw", "pw")
+    sized = texts.select("doc", F.length("t").cast("long").alias("char_n"), F.coalesce(F.size("tw"), F.lit(0)).alias("word_n"), met.alias("met"))
+    return sized.select("doc", "met.char_dist", "char_n", "met.found", F.greatest("word_n", F.lit(0)).cast("long").alias("word_n")).na.fill(0)
 
 
 def line_exactness(lines: DataFrame, truth: DataFrame) -> DataFrame:
