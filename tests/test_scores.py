@@ -28,3 +28,19 @@ def test_words_found_are_counted_in_their_pair(spark):
     got = sorted(tuple(r) for r in found.select("doc", "char_dist", "char_n", "found", "word_n").collect())
     assert got == [(1, 3, 4, 3, 4), (2, 2, 2, 0, 2), (3, 1, 0, 0, 0), (4, 1, 0, 0, 0), (5, 2, 3, 0, 1)]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_furniture_is_judged_in_one_pass(spark):
+    data = [
+        ("a", "Page 1 .", True, False, False), ("a", "page 1.", False, True, True), ("a", "Foot", False, True, False), ("a", None, False, True, None), ("a", "", True, False, False),
+        ("b", "x", False, False, True), ("c", "y", None, True, False), ("c", "Y", False, True, False), ("d", "z", True, True, True), ("d", "z", True, False, False),
+    ]
+    lines = spark.createDataFrame(data, "doc string, text string, removed boolean, truth boolean, body boolean")
+    got = sorted(tuple(r) for r in evaluation.furniture_score(lines).select("doc", "removed", "missing", "leaked").collect())
+    assert got == [("a", 2, 1, 1), ("c", 0, 1, 0), ("d", 1, 0, 1)]
+
+
+def test_every_folded_form_is_seen(spark):
+    forms = [*evaluation._WIDE, *evaluation._SMALL, *evaluation._LIGATURES, *"‐‑‒–—―−"]
+    seen = spark.createDataFrame([(f"a{x}b",) for x in forms] + [("plain text, Größe façade ñ",)], "text string").select("text", F.col("text").rlike(evaluation._FOLDED).alias("seen"))
+    assert [r["text"] for r in seen.collect() if not r["seen"]] == ["plain text, Größe façade ñ"]

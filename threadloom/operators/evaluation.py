@@ -27,6 +27,7 @@ LARGE_TABLE = 100_000  # cells of both sides above which a table is not kept in
 _WIDE = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
 _SMALL = {"\u00a0": " ", "\u2007": " ", "\u202f": " ", "º": "o", "ª": "a", "µ": "μ", "²": "2", "³": "3", "¹": "1"} | {chr(0x2080 + k): str(k) for k in range(10)} | {chr(0x2070 + k): str(k) for k in (0, *range(4, 10))}
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "™": "tm", "℃": "°c", "№": "no"}
+_FOLDED = r"[^\x00-\x7fÀ-ɏ]"  # what may be one of these forms or a dash: no plain or accented Latin letter is
 
 
 def norm_text(text: Column) -> Column:
@@ -38,7 +39,8 @@ def norm_text(text: Column) -> Column:
     flat = F.translate(F.coalesce(text, F.lit("")), "".join([*_WIDE, *_SMALL]), "".join([*_WIDE.values(), *_SMALL.values()]))
     for form, plain in _LIGATURES.items():
         flat = F.replace(flat, F.lit(form), F.lit(plain))
-    dashed = F.regexp_replace(flat, "[\u2010-\u2015\u2212]", "-")
+    folds = F.regexp_replace(flat, "[\u2010-\u2015\u2212]", "-")
+    dashed = F.when(text.rlike(_FOLDED), folds).otherwise(F.coalesce(text, F.lit("")))  # most texts hold none of the forms
     marks = F.regexp_replace(dashed, r"\s+(?=[,.;:)])", "")
     closed = F.regexp_replace(F.regexp_replace(marks, r"(?<=\d[.,])\s+(?=\d)", ""), r"\s+", " ")
     folded = F.lower(F.trim(F.regexp_replace(closed, r"[†‡*]+$", "")))
@@ -299,14 +301,18 @@ def placement_score(parts: DataFrame, evidence: DataFrame) -> DataFrame:
     return sums.agg(F.sum("n").alias("total"), F.sum("met.own").alias("own"), F.sum("met.neighbour").alias("neighbour")).where("total > 0")
 
 
-def furniture_score(removed: DataFrame, truth: DataFrame, body: DataFrame) -> DataFrame:
-    """Per document: truth furniture that was not removed, and body lines that were (doc, text)."""
-    key = lambda df: df.select("doc", norm_text(F.col("text")).alias("k")).distinct()
-    gone = key(removed)
-    missing = key(truth).join(gone, ["doc", "k"], "left_anti").groupBy("doc").agg(F.count("*").alias("missing"))
-    leaked = key(body).join(gone, ["doc", "k"], "left_semi").groupBy("doc").agg(F.count("*").alias("leaked"))
-    size = gone.groupBy("doc").agg(F.count("*").alias("removed"))
-    return size.join(missing, "doc", "full_outer").join(leaked, "doc", "full_outer").na.fill(0)
+def furniture_score(lines: DataFrame) -> DataFrame:
+    """Per document: truth furniture that was not removed, and body lines that were.
+
+    ``lines`` is (doc, text, removed, truth, body); the flags tell which of the
+    three a line is, and equal texts of a document count once.
+    """
+    flags = ("removed", "truth", "body")
+    rows = lines.where("removed OR truth OR body").select("doc", norm_text(F.col("text")).alias("k"), *flags)
+    keys = rows.groupBy("doc", "k").agg(*[F.bool_or(c).alias(c) for c in flags])
+    gone = F.coalesce("removed", F.lit(False))
+    counted = keys.groupBy("doc").agg(F.count_if(gone).alias("removed"), F.count_if(F.col("truth") & ~gone).alias("missing"), F.count_if(F.col("body") & gone).alias("leaked"))
+    return counted.where("removed > 0 OR missing > 0")
 
 
 def footnote_links(notes: DataFrame, refs: DataFrame, truth: DataFrame) -> DataFrame:
