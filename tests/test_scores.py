@@ -44,3 +44,9 @@ def test_every_folded_form_is_seen(spark):
     forms = [*evaluation._WIDE, *evaluation._SMALL, *evaluation._LIGATURES, *"‐‑‒–—―−"]
     seen = spark.createDataFrame([(f"a{x}b",) for x in forms] + [("plain text, Größe façade ñ",)], "text string").select("text", F.col("text").rlike(evaluation._FOLDED).alias("seen"))
     assert [r["text"] for r in seen.collect() if not r["seen"]] == ["plain text, Größe façade ñ"]
+
+
+def test_single_words_fold_as_before(spark):
+    texts = ['"N"', "A-B.", "x\n", "Ab*", "a\x7f", "", "1,5", "ÄB", "word\t", "x5", "A 5", "µM", "it’s"]
+    got = [r["k"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string").select("i", evaluation.norm_text(F.col("text")).alias("k")).orderBy("i").collect()]
+    assert got == ['"n"', "a-b.", "x", "ab", "a\x7f", "", "1,5", "äb", "word", "x5", "a5", "μm", "it’s"]

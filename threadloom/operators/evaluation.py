@@ -29,18 +29,27 @@ _SMALL = {"\u00a0": " ", "\u2007": " ", "\u202f": " ", "º": "o", "ª": "a", "µ
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "…": "...", "½": "1⁄2", "¼": "1⁄4", "¾": "3⁄4", "™": "tm", "℃": "°c", "№": "no"}
 _FOLDED = r"[^\x00-\x7fÀ-ɏ]"  # what may be one of these forms or a dash: no plain or accented Latin letter is
 
+_ONE_WORD = r"^[!-)+-~]*\z"  # no space, no form and no star: only case is left to fold
+
 
 def norm_text(text: Column) -> Column:
     """Comparable text of a cell or line: plain forms, one kind of dash and space, marks closed up, note marks gone, case folded.
 
     Superscript digits are their plain digits, as compatibility folding has
-    them, so only daggers and stars are left as note marks at the end.
+    them, so only daggers and stars are left as note marks at the end. The
+    steps stand in a lambda, for as one generated method they are too long to
+    be compiled to machine code.
     """
-    flat = F.translate(F.coalesce(text, F.lit("")), "".join([*_WIDE, *_SMALL]), "".join([*_WIDE.values(), *_SMALL.values()]))
+    steps = F.get(F.transform(F.array(F.coalesce(text, F.lit(""))), _normed), F.lit(0))
+    return F.when(text.rlike(_ONE_WORD), F.lower(text)).otherwise(steps)
+
+
+def _normed(text: Column) -> Column:
+    flat = F.translate(text, "".join([*_WIDE, *_SMALL]), "".join([*_WIDE.values(), *_SMALL.values()]))
     for form, plain in _LIGATURES.items():
         flat = F.replace(flat, F.lit(form), F.lit(plain))
     folds = F.regexp_replace(flat, "[\u2010-\u2015\u2212]", "-")
-    dashed = F.when(text.rlike(_FOLDED), folds).otherwise(F.coalesce(text, F.lit("")))  # most texts hold none of the forms
+    dashed = F.when(text.rlike(_FOLDED), folds).otherwise(text)  # most texts hold none of the forms
     marks = F.regexp_replace(dashed, r"\s+(?=[,.;:)])", "")
     closed = F.regexp_replace(F.regexp_replace(marks, r"(?<=\d[.,])\s+(?=\d)", ""), r"\s+", " ")
     folded = F.lower(F.trim(F.regexp_replace(closed, r"[†‡*]+$", "")))
