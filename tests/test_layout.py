@@ -161,3 +161,13 @@ def test_container_of_equal_boxes(spark):
     assert {r["uid"]: (r["box"], r["n_boxes"]) for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and plan.count("copies") > 0
+
+
+def test_contents_rows_read_the_cells_once(spark):
+    data = [
+        (1, 0, 0, "Intro"), (1, 0, 1, "l2 .."), (1, 1, 0, "End"), (1, 1, 1, "none"), (2, 0, 0, "a"), (2, 0, 1, "7"),
+        (3, 0, 1, "1"), (3, 1, 1, "2"), (3, 1, 2, "3"), (4, 0, 1, " "), (4, 1, 1, None), (5, 0, 1, "x"), (5, 1, 1, "1999"), (5, 2, 1, "y"), (None, 0, 1, "1"), (None, 1, 1, "2"),
+    ]
+    out = documents.contents_rows(spark.createDataFrame(data, "table_id int, r int, c int, text string"))
+    assert sorted(tuple(r) for r in out.select("table_id", "filled", "pages", "contents").collect()) == [(1, 2, 1, True), (5, 3, 1, False)]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

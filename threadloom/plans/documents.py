@@ -192,8 +192,7 @@ SELECT table_id, count(*) AS filled, count(*) FILTER (text <> 'none') AS pages,
 def _(t):
     text = F.expr("CASE WHEN l_returnflag = 'R' THEN 'l2' WHEN l_quantity < 12 THEN 'none' ELSE concat(cast(l_quantity AS int), ' ..') END")
     rows = t.lineitem.groupBy(F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") - 1).alias("r")).agg(F.max(text).alias("text"))
-    right = rows.withColumn("c", F.lit(1))
-    return op.contents_rows(right.unionByName(right.withColumn("c", F.lit(0))))
+    return op.contents_rows(rows.withColumn("c", F.explode(F.array(F.lit(1), F.lit(0)))))
 
 
 @query(
