@@ -171,3 +171,14 @@ def test_contents_rows_read_the_cells_once(spark):
     out = documents.contents_rows(spark.createDataFrame(data, "table_id int, r int, c int, text string"))
     assert sorted(tuple(r) for r in out.select("table_id", "filled", "pages", "contents").collect()) == [(1, 2, 1, True), (5, 3, 1, False)]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_arrows_meet_before_they_count_once(spark):
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    items = frame([("c1", "o1", "card"), ("c2", "o2", "card")], "board string, uid string, type string")
+    edges = frame([(h, "e", "o1", "o2") for h in ("c3", "c3", "c4", None)], "board string, edge string, from string, to string")
+    boards = frame([("n0",), ("c1",), ("c2",)], "uid string")
+    closure = frame([("n0", "c1", 1), ("n0", "c2", 1), ("c1", "o1", 1), ("c2", "o2", 1)], "anc string, desc string, depth int")
+    out = relations.arrows_from_outside(items, edges, boards, closure)
+    assert sorted(tuple(r) for r in out.select("board", "card", "edge", "other", "place").collect()) == [("c1", "o1", "e", "o2", "c2"), ("c2", "o2", "e", "o1", "c1")]
+    assert not re.search(r"Aggregate \[home", out._jdf.queryExecution().optimizedPlan().toString())
