@@ -7,8 +7,10 @@ import re
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom.operators import documents, filters, relations
+from threadloom.operators import documents, filters, relations, search
+from threadloom.plans.documents import trimmed
 
 LINES = "doc int, page int, pos int, text string, x0 double, text_x0 double, base double, size double, bold boolean, chars int"
 
@@ -182,3 +184,26 @@ def test_repeated_arrows_meet_before_they_count_once(spark):
     out = relations.arrows_from_outside(items, edges, boards, closure)
     assert sorted(tuple(r) for r in out.select("board", "card", "edge", "other", "place").collect()) == [("c1", "o1", "e", "o2", "c2"), ("c2", "o2", "e", "o1", "c1")]
     assert not re.search(r"Aggregate \[home", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_lines_are_trimmed_as_their_words_are(spark):
+    lines = ["(a) --b-- c.d, 'e", "...  \u00bfqu\u00e9? x2! \t-y\t", "", "-", " ", "a\r- b- -", "1,5 (2) \u00bd) A\u0301", "--a", "a--", "!a!!b! !"]
+    df = spark.createDataFrame([(x,) for x in lines], "text string")
+    got = [r.c for r in df.select(F.split(trimmed(F.col("text"), " "), " ").alias("c")).collect()]
+    want = [r.c for r in df.select(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("c")).collect()]
+    assert got == want
+
+
+def test_words_meet_few_lexicon_rows_without_a_shuffle(spark, monkeypatch):
+    rows = [(1, 1, i // 5, w, 0.9) for i, w in enumerate("(Known) known, odDly unknown x 'known' fa1l known zzzz. known known known".split())]
+    words = spark.createDataFrame(rows, "doc int, page int, line int, text string, conf double")
+    lex = spark.createDataFrame([("known",), ("known",)], "word string")
+    none = words.select("doc", "page", "line").limit(0)
+    quality, doubt = documents.ocr_page_quality(words, lex), documents.doubtful_lines(words, lex, none)
+    spread = [str(df._jdf.queryExecution().optimizedPlan()) for df in (quality, doubt)]
+    assert all("broadcast" in p for p in spread)
+    few = [sorted(df.collect()) for df in (quality, doubt)]
+    assert [tuple(r)[2:7] for r in few[0]] == [(12, 0, 0.9, 11, 7)]
+    assert [tuple(r) for r in few[1]] == [(1, 1, 0, 0, 1, 1, 5), (1, 1, 1, 0, 1, 1, 5)]
+    monkeypatch.setattr(search, "HANDED_OUT", 0)
+    assert [sorted(df.collect()) for df in (documents.ocr_page_quality(words, lex), documents.doubtful_lines(words, lex, none))] == few

@@ -12,16 +12,16 @@ from threadloom.plans.relations import UID
 ROWS = 20
 
 
-def lines(t):
-    """Twenty lines a page, 36 points apart; size, weight and left edge follow the text."""
-    rows = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+def lines(t, docs=None, carry=()):
+    """Twenty lines a page, 36 points apart; size, weight and left edge follow the text. ``docs`` stands in for the documents, ``carry`` names columns of it to keep."""
+    rows = (t.documents if docs is None else docs).select(F.col("doc_id").alias("doc"), *carry, F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     n = F.length("text")
     y = (F.col("pos") % ROWS * 36).cast("double")
     return rows.select(
         "doc", F.floor(F.col("pos") / ROWS).alias("page"), F.lit(720.0).alias("page_h"), "pos", "text",
         F.when(F.col("text").contains(","), 72.0).otherwise(90.0).alias("x0"), y.alias("y0"), (F.lit(90.0) + n * 2.0).alias("x1"), (y + 10).alias("y1"),
         (y + 10).alias("base"), F.when(n < 30, 14.0).when(n < 60, 12.0).otherwise(10.0).alias("size"),
-        (~F.col("text").rlike(r"[.?!,;]$")).alias("bold"), F.lit(False).alias("italic"), n.alias("chars"),
+        (~F.col("text").rlike(r"[.?!,;]$")).alias("bold"), F.lit(False).alias("italic"), n.alias("chars"), *carry,
     )
 
 
@@ -222,16 +222,26 @@ WORD_SQL = f"""SELECT doc, page, pos, w AS text, CASE quality WHEN 1 THEN 0.9 WH
 CORE_SQL = "lower(regexp_replace(regexp_replace(text, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', ''))"
 
 
+def trimmed(text, blanks):
+    """The text without what is neither letter nor digit at either end of a word; ``blanks`` are the characters between words."""
+    mark = rf"[^\p{{L}}\p{{N}}{blanks}]"
+    return F.regexp_replace(text, rf"(?={mark})(?:{mark}+(?![^{blanks}])|(?<![^{blanks}]){mark}+)", "")
+
+
 def doc_words(t):
-    rows = lines(t).select("doc", "page", "pos", F.explode(F.split("text", " ")).alias("text"))
+    """Words of lines; a document meets its label before it is cut, and a line is trimmed as a whole."""
+    marked = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    pairs = F.arrays_zip(F.split("text", " ").alias("text"), F.split(trimmed(F.col("text"), " "), " ").alias("core"))
+    rows = lines(t, marked, ["quality"]).select("doc", "page", "pos", "quality", F.inline(pairs).alias("text", "core"))
     conf = F.expr("CASE quality WHEN 1 THEN 0.9D WHEN 0 THEN CASE WHEN length(text) > 6 THEN 0.3D ELSE 0.7D END ELSE 0.6D END")
-    return rows.join(t.labels.select(F.col("doc_id").alias("doc"), "quality"), "doc", "left").withColumn("conf", conf).drop("quality")
+    return rows.withColumn("conf", conf).drop("quality")
 
 
 def lexicon(t, least_docs: int = 8):
-    core = F.lower(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    cut = t.documents.select("doc_id", F.explode(F.split("text", r"[ \n]")).alias("w")).select("doc_id", core.alias("word"))
-    return cut.where("word <> ''").groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= least_docs).select("word")
+    """Words of at least so many documents; a document's words are counted once in its row, so only counts are shuffled behind the texts."""
+    whole = t.documents.groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    cut = F.array_distinct(F.split(F.lower(trimmed(F.col("text"), r" \n")), r"[ \n]"))
+    return whole.select(F.explode(cut).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("word")
 
 
 LEX_SQL = f"SELECT word FROM (SELECT doc, {CORE_SQL} AS word FROM ({WORD_SQL})) WHERE word <> '' GROUP BY 1 HAVING count(DISTINCT doc) >= 8"
