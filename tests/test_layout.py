@@ -207,3 +207,15 @@ def test_words_meet_few_lexicon_rows_without_a_shuffle(spark, monkeypatch):
     assert [tuple(r) for r in few[1]] == [(1, 1, 0, 0, 1, 1, 5), (1, 1, 1, 0, 1, 1, 5)]
     monkeypatch.setattr(search, "HANDED_OUT", 0)
     assert [sorted(df.collect()) for df in (documents.ocr_page_quality(words, lex), documents.doubtful_lines(words, lex, none))] == few
+
+
+def test_connection_index_meets_the_items_once(spark):
+    rows = [("e1", "a", "b"), ("e2", "a", "gone"), ("e3", "gone", "b"), ("e4", None, "b"), ("f1", "e1", "a"), ("f2", "b", "e1"), ("f3", "e1", "e1"), ("f4", "e2", "a"), ("f5", "e1", "e2"), ("g1", "f1", "a"), ("g2", "f3", "e1"), ("s", "s", "a"), ("e1", "a", "gone")]
+    edges = spark.createDataFrame([(*r, "l") for r in rows], "uid string, from_uid string, to_uid string, label string")
+    items = spark.createDataFrame([("a",), ("b",), ("a",)], "uid string")
+    plain = {u for u, x, y in rows if x in ("a", "b") and y in ("a", "b")}
+    ok = {"a", "b"} | plain
+    out = relations.connection_index(edges, items)
+    assert sorted((r.uid, r.from_uid or "", r.to_uid, r.label, r.valid) for r in out.collect()) == sorted((u, x or "", y, "l", x in ok and y in ok) for u, x, y in rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
