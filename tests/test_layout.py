@@ -219,3 +219,17 @@ def test_connection_index_meets_the_items_once(spark):
     assert sorted((r.uid, r.from_uid or "", r.to_uid, r.label, r.valid) for r in out.collect()) == sorted((u, x or "", y, "l", x in ok and y in ok) for u, x, y in rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+
+
+def test_ocr_vote_meets_both_engines_once(spark):
+    word = lambda uid, text, x, conf=0.9, page=1: (page, uid, text, conf, x, 0.0, x + 10.0, 10.0)
+    kind = "page int, uid string, text string, conf double, x0 double, y0 double, x1 double, y1 double"
+    first = spark.createDataFrame([word("a1", "hquse", 0.0, 0.4), word("a2", "alone", 50.0), word("a3", "tree", 100.0)], kind)
+    second = spark.createDataFrame([word("b1", "house", 1.0), word("b2", "garden", 200.0), word("b3", "zzzzz", 300.0), word("b4", "tree", 100.0), word("b5", "tree", 0.0, page=2), word("b6", "cat", 400.0), word("b7", "house", 500.0)], kind)
+    lex = spark.createDataFrame([(w,) for w in ("house", "garden", "tree", "cat", "tree")], "word string")
+    whole = {(1, "a1", "house", "matched"), (1, "a2", "alone", "alone"), (1, "a3", "tree", "matched")}
+    out = documents.ocr_vote(first, second, lex, 20.0, 20.0)
+    assert {tuple(r) for r in out.collect()} == whole | {(1, "b2", "garden", "added"), (1, "b7", "house", "added"), (2, "b5", "tree", "added")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("FullOuter") == 1
+    assert {tuple(r) for r in documents.ocr_vote(first, second, lex, 20.0, 20.0, insert_cap=1).collect()} == whole | {(1, "b2", "garden", "added"), (2, "b5", "tree", "added")}

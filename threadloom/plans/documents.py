@@ -8,6 +8,7 @@ from threadloom.operators import documents as op
 from threadloom.plans.base import query
 from threadloom.plans.pairing import boxes_matched_sql, boxes_sql, match_sql, overlap_sql
 from threadloom.plans.relations import UID
+from threadloom.session import written
 
 ROWS = 20
 
@@ -158,9 +159,9 @@ def _(t):
     return op.columns_and_reading_order(rows, 612.0)
 
 
-def boxes(t, cond="true", dx="0", text="l_returnflag"):
-    """Order lines as word boxes: page = order, x from quantity, y from price."""
-    return t.lineitem.where(cond).select(
+def boxes(t, cond="true", dx="0", text="l_returnflag", rows=None):
+    """Order lines as word boxes: page = order, x from quantity, y from price. ``rows`` stands in for the order lines."""
+    return (t.lineitem if rows is None else rows).where(cond).select(
         F.col("l_orderkey").alias("page"), F.expr(UID).alias("uid"), F.expr(text).alias("text"), F.expr("CASE WHEN l_returnflag = 'R' THEN 0.4D ELSE 0.9D END").alias("conf"),
         F.expr(f"l_quantity * 10 + {dx}").alias("x0"), F.expr("l_extendedprice / 100").alias("y0"),
         F.expr(f"l_quantity * 10 + {dx} + 60").alias("x1"), F.expr("l_extendedprice / 100 + 40").alias("y1"),
@@ -261,8 +262,10 @@ def _(t):
 @query("ocr_vote")
 def _(t):
     names = t.part.select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
-    first = boxes(t, text="l_partkey").join(names, F.col("text") == F.col("p_partkey")).withColumn("text", F.when(F.col("conf") < 0.5, F.expr("concat(substring(name, 1, 1), 'q', substring(name, 3))")).otherwise(F.col("name"))).drop("name", "p_partkey")
-    second = boxes(t, "l_linestatus = 'O' OR l_returnflag = 'R'", dx="l_discount * 100", text="l_partkey").join(names, F.col("text") == F.col("p_partkey")).withColumn("text", F.col("name")).drop("name", "p_partkey")
+    used = "l_orderkey l_linenumber l_partkey l_suppkey l_quantity l_extendedprice l_discount l_returnflag l_linestatus name".split()
+    named = written(t.lineitem.join(names, F.col("l_partkey") == F.col("p_partkey")).select(*used))
+    first = boxes(t, text="CASE WHEN l_returnflag = 'R' THEN concat(substring(name, 1, 1), 'q', substring(name, 3)) ELSE name END", rows=named)
+    second = boxes(t, "l_linestatus = 'O' OR l_returnflag = 'R'", dx="l_discount * 100", text="name", rows=named)
     lex = names.select(F.lower("name").alias("word"))
     return op.ocr_vote(first, second, lex, 60.0, 40.0)
 
