@@ -111,6 +111,25 @@ def test_digest_column_is_the_crc_of_the_ids(spark):
         assert r.c == zlib.crc32(bytes(r.ids))
 
 
+def test_latin_words_are_cut_at_once_and_every_text_has_the_librarys_ids():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from threadloom.llm.packing import WordTokenizer, token_arrays
+
+    lib, rng = Tokenizer.from_file(TOKENIZER), random.Random(5)
+    odd = [*"abzAZ'stremvld09.,!~^`$<|>/ \t\n\x0b\x00\x1c\x7f\x85\xa0\xadÀÖ×ØÞßàö÷øÿµªºĀİıΣσςéÅﬁ漢字🙂\u3000\u200b٣Ⅷ", "\u0301", "\u212a", "'s", "'re", "<|"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "'sS's", "ÀÉß'S l'été"]
+    assert [x.tolist() for x in token_arrays(TOKENIZER, pa.array(texts))] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    coder = WordTokenizer(TOKENIZER)
+    plain = ["Été, l'hôtel's 42 straßen", None, "hôtel: straßen!"]
+    ids, bounds, _ = coder.encode(pa.array([t or "" for t in plain]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [lib.encode(t or "", add_special_tokens=False).ids for t in plain]
+    assert set(coder.words) <= {""} and {"hôtel", "straßen", "'s", "4", "2"} <= set(coder.rows)
+
+
 def water_fill(sizes, weights, most=3.0):
     """Targets by sharing the excess again and again."""
     total, fixed = float(sum(sizes)), {}

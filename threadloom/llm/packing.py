@@ -7,8 +7,9 @@ opened. What partitions leave open is merged in rounds of bounded groups, each
 of which keeps no more open windows than one partition did.
 
 Tokenizing. The tokenizer splits at white space before anything else, so a text
-is cut there, its words are dictionary-encoded, and only words that this worker
-has not met are tokenized, through the library, in pieces.
+is cut there and its words are dictionary-encoded. Distinct words of ASCII and
+Latin-1 letters are cut into the tokenizer's pieces in one Arrow call, other
+words one by one, and only pieces that this worker has not met go through the library.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import bisect
 import unicodedata
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,15 @@ from threadloom.llm.shared import Scratch
 LENGTH = 2048
 OPEN = 64
 FAN_IN = 16
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
+CACHE_PIECES = 400_000
+STEP = 10_000
 SLICE_BYTES = 4 << 20
 #: Fixed values of the tokenizer file: its split pattern, and the opening of its special tokens.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of visible ASCII and letters of Latin-1, which no normal form changes, and the same split pattern for them in lower case.
+LATIN = r"\A[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+\z"
+LATIN_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+|[0-9]|[^a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}]+"
 SPECIAL = "<|"
 WORD_END = "</w>"
 
@@ -55,19 +62,20 @@ class WordTokenizer:
         size = self.lib.get_vocab_size()
         self.ends = np.array([(self.lib.id_to_token(i) or "").endswith(WORD_END) for i in range(size)], bool)
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # Of pieces: the row of each, and the ids of all rows end to end.
+        self.rows: dict[str, int] = {}
+        self.store, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces through one long text: every piece ends in its one token that ends a word."""
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each piece) through one long text: every piece ends in its one token that ends a word."""
         ids = np.array(self.lib.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(pieces) or cuts[-1] != len(ids):
-            return self._library(pieces)
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            return _joined(self._library(pieces))
+        return ids, np.diff(cuts, prepend=0)
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words that are not in the cache; the first ones met, which are mostly the frequent ones, stay in it."""
@@ -75,43 +83,79 @@ class WordTokenizer:
         whole = []
         for w in new:
             if self.plain.fullmatch(w):
-                n = w if w.isascii() else unicodedata.normalize("NFC", w)
+                n = unicodedata.normalize("NFC", w)
                 n = "".join(c.lower() for c in n) if "Σ" in n else n.lower()
                 cut[w] = self.pieces.findall(n)
             else:
                 whole.append(w)
-        parts = {p: self.parts.get(p) for ps in cut.values() for p in ps}
         found: dict[str, bytes] = {}
-        for texts, into, code in (([p for p, b in parts.items() if b is None], parts, self._pieces), (whole, found, self._library)):
-            for s in range(0, len(texts), 10_000):
-                into.update(zip(texts[s : s + 10_000], code(texts[s : s + 10_000]), strict=True))
-        found.update((w, b"".join([parts[p] for p in ps])) for w, ps in cut.items())
-        for cache, more in ((self.parts, parts), (self.words, found)):
-            for k in more if len(cache) < CACHE_WORDS else ():
-                cache[k] = more[k]
+        for s in range(0, len(whole), STEP):
+            found.update(zip(whole[s : s + STEP], self._library(whole[s : s + STEP]), strict=True))
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for ps in cut.values() for p in ps))}
+        ids, ends = self._of_pieces(list(place), np.array([place[p] for ps in cut.values() for p in ps], np.int64))
+        raw, at = ids.tobytes(), 0
+        for w, ps in cut.items():
+            found[w] = raw[4 * ends[at] : 4 * ends[at + len(ps)]]
+            at += len(ps)
+        if len(self.words) < CACHE_WORDS:
+            self.words.update(found)
         return found
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, bounds of each text) for a string array without nulls."""
+    def _of_pieces(self, pieces: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces ``at`` end to end, their bounds) for distinct ``pieces``."""
+        rows = np.fromiter(map(self.rows.get, pieces, repeat(-1)), np.int64, len(pieces))
+        store, lens = self.store, self.lens
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            names = [pieces[i] for i in new.tolist()]
+            made = [self._pieces(names[s : s + STEP]) for s in range(0, len(names), STEP)]
+            rows[new] = np.arange(len(lens), len(lens) + len(new))
+            store, lens = np.concatenate([store, *[m[0] for m in made]]), np.concatenate([lens, *[m[1] for m in made]])
+            if len(self.rows) < CACHE_PIECES:
+                self.rows.update(zip(names, rows[new].tolist(), strict=True))
+                self.store, self.lens = store, lens
+        return _gathered(store, lens, rows[at])
+
+    def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each word) of ``LATIN`` words: they are cut all at once, and only distinct pieces are looked up."""
+        lists = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(words), LATIN_PIECES, r"\0 "), " "), " ")
+        codes = lists.flatten().dictionary_encode()
+        ids, ends = self._of_pieces(codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy(zero_copy_only=False))
+        return ids, np.diff(ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, bounds of each text, places of texts left out as they hold ``SPECIAL``) for a string array without nulls."""
         odd = np.flatnonzero(pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False))
         if len(odd):
             texts = pc.if_else(pc.match_substring(texts, SPECIAL), "", texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        flat = lists.flatten()
-        codes = flat.dictionary_encode()
-        words = codes.dictionary.to_pylist()
+        codes = lists.flatten().dictionary_encode()
+        words = codes.dictionary
+        latin = pc.match_substring_regex(words, LATIN)
+        some, lens = self._latin(words.filter(latin))
+        others = words.filter(pc.invert(latin)).to_pylist()
         known = self.words
-        more = self._learn([w for w in words if w not in known])
-        table = [known[w] if w in known else more[w] for w in words]
-        lens = np.fromiter((len(b) >> 2 for b in table), np.int64, len(table))
-        store = np.frombuffer(b"".join(table), np.uint32)
-        first = np.concatenate([[0], np.cumsum(lens)])[:-1]
-        at = codes.indices.to_numpy(zero_copy_only=False)
-        each = lens[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = store[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])] if ends[-1] else np.zeros(0, np.uint32)
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, ends[offsets], odd
+        more = self._learn([w for w in others if w not in known])
+        rest, rest_lens = _joined([more[w] if w in more else known[w] for w in others])
+        # Words of the store: first the Latin ones, then the others.
+        store, lens = np.concatenate([some, rest]), np.concatenate([lens, rest_lens])
+        first = latin.to_numpy(zero_copy_only=False)
+        place = np.where(first, np.cumsum(first) - 1, len(words) - len(others) + np.cumsum(~first) - 1)
+        ids, ends = _gathered(store, lens, place[codes.indices.to_numpy(zero_copy_only=False)])
+        return ids, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()], odd
+
+
+def _gathered(store: np.ndarray, lens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the entries ``at`` of ``store`` end to end, their bounds); entries of ``lens`` ids lie in the store in order."""
+    first = np.cumsum(lens) - lens
+    each = lens[at]
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+    return store[np.repeat(first[at] - ends[:-1], each) + np.arange(ends[-1])], ends
+
+
+def _joined(table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids end to end, number of each entry)."""
+    return np.frombuffer(b"".join(table), np.uint32), np.fromiter((len(b) >> 2 for b in table), np.int64, len(table))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
