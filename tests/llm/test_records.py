@@ -111,6 +111,32 @@ def test_digest_column_is_the_crc_of_the_ids(spark):
         assert r.c == zlib.crc32(bytes(r.ids))
 
 
+def held_mb():
+    import re
+
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_a_finished_function_gives_its_memory_back(grouped):
+    from threadloom.llm.shared import lean, lean_group
+
+    kept = []
+
+    def work(part):
+        before = [bytearray(100_000) for _ in range(2_000)]
+        kept.append(bytearray(100_000))  # above what is freed, so the heap's end does not move
+        return part, len(before)
+
+    def run(batches):
+        yield from map(work, batches)
+
+    start = held_mb()
+    got = [lean_group(work)(1)] if grouped else list(lean(run)([1]))
+    assert got == [(1, 2_000)] and held_mb() - start < 60
+
+
 def test_latin_words_are_cut_at_once_and_every_text_has_the_librarys_ids():
     import random
 

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from threadloom.llm.shared import Scratch, lean
+
 ORDER = 4
 PER_LANGUAGE = 400
 CALIBRATE = 4
@@ -214,11 +216,9 @@ def fit_languages(df: DataFrame, train: Column, id_col: str = "doc_id", text: st
         .where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
         .withColumn("r", rank).where(F.col("r") <= per_language)
     )
-    from threadloom.llm.shared import Scratch
-
     sample = Scratch(spark, "langid").keep(sample, "sample")
     parts = "".join(f", s{k} bigint, c{k} bigint" for k in range(1, ORDER))
-    grams = sample.where(F.col("r") % CALIBRATE != 0).repartition(spark.sparkContext.defaultParallelism).mapInPandas(_counts, f"lang string, g bigint, n bigint{parts}")
+    grams = sample.where(F.col("r") % CALIBRATE != 0).repartition(spark.sparkContext.defaultParallelism).mapInPandas(lean(_counts), f"lang string, g bigint, n bigint{parts}")
     names = [f"{a}{k}" for k in range(1, ORDER) for a in "sc"]
     rows = grams.groupBy("lang", "g").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names]).toPandas()
     if not len(rows):
@@ -230,7 +230,7 @@ def fit_languages(df: DataFrame, train: Column, id_col: str = "doc_id", text: st
             ce, n = model.entropies(list(part["text"]))
             yield pd.DataFrame({"lang": part["lang"], "n": n, "ce": list(ce)})
 
-    seen = sample.where(F.col("r") % CALIBRATE == 0).select("text", "lang").mapInPandas(measure, "lang string, n double, ce array<double>").toPandas()
+    seen = sample.where(F.col("r") % CALIBRATE == 0).select("text", "lang").mapInPandas(lean(measure), "lang string, n double, ce array<double>").toPandas()
     return _calibrate(model, seen)
 
 
@@ -286,4 +286,4 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 langs[ok], score[ok], out[ok] = m.judge(list(part[text][ok]))
             yield part.drop(columns=["__known"]).assign(__lang=langs, __confidence=score, __rejected=out)
 
-    return df.withColumn("__known", known).mapInPandas(judge, schema)
+    return df.withColumn("__known", known).mapInPandas(lean(judge), schema)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Scratch, attach, components, forest
+from threadloom.llm.shared import Scratch, attach, components, forest, lean, lean_group
 
 WORDS = 5
 PERCENT = 75
@@ -144,9 +144,9 @@ def _survivors(docs: DataFrame, words: int, percent: int) -> DataFrame:
             total[: len(c)] += c
         return pd.DataFrame({"doc_id": ids, "n": n, "enough": (100 * total >= percent * n) & (n > 0)})
 
-    sent = docs.mapInArrow(pieces, "part int, block bigint, keys binary, owner binary")
-    counted = sent.groupBy("part").applyInPandas(count, "block bigint, kind int, a binary, b binary")
-    return counted.groupBy("block").applyInPandas(sum_up, "doc_id bigint, n bigint, enough boolean")
+    sent = docs.mapInArrow(lean(pieces), "part int, block bigint, keys binary, owner binary")
+    counted = sent.groupBy("part").applyInPandas(lean_group(count), "block bigint, kind int, a binary, b binary")
+    return counted.groupBy("block").applyInPandas(lean_group(sum_up), "doc_id bigint, n bigint, enough boolean")
 
 
 class Trie:
@@ -260,7 +260,7 @@ def _meet(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> Data
     one = F.array(F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
     dealt = cut.select("g", "rep", "probe", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(one)).alias("chunk"))
     filled = dealt.join(sets.select("rep", "n", "keys"), "rep")
-    return filled.repartition("g", "chunk").sortWithinPartitions("g", "chunk").mapInPandas(_trie_join(percent), "a bigint, b bigint")
+    return filled.repartition("g", "chunk").sortWithinPartitions("g", "chunk").mapInPandas(lean(_trie_join(percent)), "a bigint, b bigint")
 
 
 def _may_link(percent: int, a: tuple[str, str], b: tuple[str, str]) -> Column:
@@ -299,7 +299,7 @@ def link_documents(
             sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "sig"])
 
-    signed = scratch.keep(docs.mapInArrow(sign, "doc_id bigint, n bigint, sig binary"), "signed")
+    signed = scratch.keep(docs.mapInArrow(lean(sign), "doc_id bigint, n bigint, sig binary"), "signed")
     classes = signed.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"))
     reps = classes.select("rep").distinct().join(enough, F.col("rep") == F.col("doc_id"), "left_semi")
 
@@ -312,7 +312,7 @@ def link_documents(
     # The chosen ids grow with the corpus, so texts and ids meet by a sorted merge at every size; repeated rows fold where they lie.
     chosen = some.hint("merge").join(reps.withColumnRenamed("rep", "__rep").hint("merge"), F.col("doc_id") == F.col("__rep"), "left_semi")
     chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
-    raw = scratch.keep(chosen.mapInArrow(sets_of, "rep bigint, n bigint, h array<bigint>"), "raw")
+    raw = scratch.keep(chosen.mapInArrow(lean(sets_of), "rep bigint, n bigint, h array<bigint>"), "raw")
     each = raw.select("rep", F.explode("h").alias("h"))
     held = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # The global order: frequency class, then hash.

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Scratch
+from threadloom.llm.shared import Scratch, lean, lean_group
 
 LENGTH = 2048
 OPEN = 64
@@ -269,7 +269,7 @@ def pack_documents(
         if rows:
             yield _batch(rows)
 
-    made = scratch.keep(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(pack, PIECE_SCHEMA), "pieces")
+    made = scratch.keep(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(pack), PIECE_SCHEMA), "pieces")
     closed = made.where("not open")
     left = made.where("open").withColumn("grp", F.shiftright("sequence_id", 32)).withColumn("win", F.col("sequence_id"))
     groups, turn = left.agg(F.max("grp")).first()[0], 0
@@ -277,7 +277,7 @@ def pack_documents(
         turn += 1
         left = left.withColumn("grp", F.floor(F.col("grp") / fan_in).cast("bigint"))
         final = groups < fan_in
-        merged = scratch.keep(left.groupBy("grp").applyInPandas(_merger(length, open_windows, turn, final), f"{PIECE_SCHEMA}, grp bigint, win bigint"), f"turn{turn}")
+        merged = scratch.keep(left.groupBy("grp").applyInPandas(lean_group(_merger(length, open_windows, turn, final)), f"{PIECE_SCHEMA}, grp bigint, win bigint"), f"turn{turn}")
         closed = closed.unionByName(merged.where("not open").drop("grp", "win"))
         if final:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import Scratch
+from threadloom.llm.shared import Scratch, lean, lean_group
 
 LENGTH = 100
 GRAM = 32
@@ -196,9 +196,9 @@ def _candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
         ends = np.append(cuts, len(spans))[1:]
         return pd.DataFrame({"doc_id": spans["doc"][cuts], "spans": [spans[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)]})
 
-    sent = docs.where("doc_id is not null").mapInArrow(pieces, "part int, block bigint, data binary")
-    decided = sent.groupBy("part").applyInPandas(decide, "block bigint, data binary")
-    return decided.groupBy("block").applyInPandas(by_document, "doc_id bigint, spans binary")
+    sent = docs.where("doc_id is not null").mapInArrow(lean(pieces), "part int, block bigint, data binary")
+    decided = sent.groupBy("part").applyInPandas(lean_group(decide), "block bigint, data binary")
+    return decided.groupBy("block").applyInPandas(lean_group(by_document), "doc_id bigint, spans binary")
 
 
 def suffix_order(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +300,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
                 b.append(x[x["ask"] == 1].tobytes())
             yield pd.DataFrame({"doc_id": part["doc_id"], "gone": a, "asks": b})
 
-    known = flagged.mapInPandas(split, "doc_id bigint, gone binary, asks binary")
+    known = flagged.mapInPandas(lean(split), "doc_id bigint, gone binary, asks binary")
     asked = known.where("length(asks) > 0").groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
 
     def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,7 +317,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
                     rows = []
             yield pd.DataFrame(rows, columns=["h", "doc_id", "s", "data"])
 
-    near = docs.where("text is not null").join(asked, "doc_id").mapInPandas(bytes_of, "h bigint, doc_id bigint, s int, data binary").dropDuplicates(["h", "doc_id", "s"])
+    near = docs.where("text is not null").join(asked, "doc_id").mapInPandas(lean(bytes_of), "h bigint, doc_id bigint, s int, data binary").dropDuplicates(["h", "doc_id", "s"])
 
     def lpf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -338,7 +338,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
         if held:
             yield from _in_chunks(pd.concat(held, ignore_index=True), length)
 
-    windows = near.repartition("h").sortWithinPartitions("h").mapInPandas(lpf, "doc_id bigint, s int, n int")
+    windows = near.repartition("h").sortWithinPartitions("h").mapInPandas(lean(lpf), "doc_id bigint, s int, n int")
     found = windows.select("doc_id", F.struct("s", "n").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("windows"))
     gone = known.where("length(gone) > 0").groupBy("doc_id").agg(F.collect_list("gone").alias("gone"))
     cuts = gone.join(found, "doc_id", "full").withColumnRenamed("doc_id", "__id")
@@ -366,7 +366,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", te
             out = [*batch.columns[: len(names)], pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"])
 
-    return met.select(*plain.columns, "x0", "x1").mapInArrow(cut, schema)
+    return met.select(*plain.columns, "x0", "x1").mapInArrow(lean(cut), schema)
 
 
 def _in_chunks(part: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
