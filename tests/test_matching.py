@@ -196,3 +196,14 @@ def test_matching_keeps_columns(spark):
     pairs = spark.createDataFrame([(1, "a", "x", 0.9, True), (1, "a", "y", 0.8, False), (1, "b", "x", 0.7, False), (1, "b", "y", 0.6, True)], "page int, a string, b string, iou double, mark boolean")
     got = match_best_first(pairs, keep=["mark"])
     assert {(r["a"], r["b"], r["mark"]) for r in got.collect()} == {("a", "x", True), ("b", "y", True)}
+
+
+def test_references_are_grouped_by_sorting(spark):
+    rows = [("t1", f"b{i % 7}", "p1") for i in range(30)] + [("t1", "b9", "p2"), ("t1", "t1", "p2"), ("t2", "b1", "t2"), ("t2", "b3", "p1"), ("t2", None, "p1"), (None, "b1", "p1"), ("t2", "b1", None)]
+    out = relations.group_linked_refs(spark.createDataFrame(rows, "target string, uid string, page string"))
+    want = {}
+    for t, u, p in rows:
+        if None not in (t, u, p) and t not in (u, p):
+            want.setdefault((t, p), set()).add(u)
+    assert sorted(map(tuple, out.collect())) == sorted((t, p, len(us), min(us)) for (t, p), us in want.items())
+    assert "HashAggregate" not in out._jdf.queryExecution().toString()
