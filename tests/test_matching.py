@@ -200,10 +200,14 @@ def test_matching_keeps_columns(spark):
 
 def test_references_are_grouped_by_sorting(spark):
     rows = [("t1", f"b{i % 7}", "p1") for i in range(30)] + [("t1", "b9", "p2"), ("t1", "t1", "p2"), ("t2", "b1", "t2"), ("t2", "b3", "p1"), ("t2", None, "p1"), (None, "b1", "p1"), ("t2", "b1", None)]
-    out = relations.group_linked_refs(spark.createDataFrame(rows, "target string, uid string, page string"))
+    refs = spark.createDataFrame(rows, "target string, uid string, page string")
+    out = relations.group_linked_refs(refs)
     want = {}
     for t, u, p in rows:
         if None not in (t, u, p) and t not in (u, p):
             want.setdefault((t, p), set()).add(u)
     assert sorted(map(tuple, out.collect())) == sorted((t, p, len(us), min(us)) for (t, p), us in want.items())
-    assert "HashAggregate" not in out._jdf.queryExecution().toString()
+    once = relations.linked_refs(refs)
+    assert once.columns == ["target", "uid", "page"]
+    assert sorted(map(tuple, once.collect())) == sorted((t, u, p) for (t, p), us in want.items() for u in us)
+    assert all("HashAggregate" not in df._jdf.queryExecution().toString() for df in (out, once))
