@@ -211,3 +211,14 @@ def test_references_are_grouped_by_sorting(spark):
     assert once.columns == ["target", "uid", "page"]
     assert sorted(map(tuple, once.collect())) == sorted((t, u, p) for (t, p), us in want.items() for u in us)
     assert all("HashAggregate" not in df._jdf.queryExecution().toString() for df in (out, once))
+
+
+def far_boxes(spark):
+    """Boxes of 60 by 40 in one tile, two of them 50 and 96 apart: their union would come out as zero."""
+    corners = {"a": (10.0, 10.0), "b": (120.0, 146.0), "c": (12.0, 11.0)}
+    return spark.createDataFrame([(1, u, "w", x, y, x + 60, y + 40) for u, (x, y) in corners.items()], BOXES)
+
+
+def test_box_dedupe_of_boxes_apart_both_ways(spark):
+    got = documents.box_dedupe(far_boxes(spark), 60.0, 40.0)
+    assert {r["uid"] for r in got.collect()} == {"a", "b"}

@@ -28,6 +28,10 @@ def overlap_pairs(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float, carr
     appears twice and no distinct is needed. Choose cells near the size of a
     box: then a tile of a few cells a side holds few boxes and most boxes lie
     in one or two tiles, so few copies of them are shuffled.
+
+    A caller's filter on ``iou`` may run in the join before the test that boxes
+    overlap. Boxes apart both ways can have a union of zero there, so the
+    division must not fail; such pairs are no overlap and go in any case.
     """
     tile_w, tile_h = cell_w * TILE, cell_h * TILE
 
@@ -41,8 +45,9 @@ def overlap_pairs(a: DataFrame, b: DataFrame, cell_w: float, cell_h: float, carr
     met = spread(a, "a").join(spread(b, "b"), ["page", "cx", "cy"])
     met = met.where((w > 0) & (h > 0) & (F.col("cx") == F.floor(left / tile_w)) & (F.col("cy") == F.floor(top / tile_h)))
     inter = w * h
+    iou = F.try_divide(inter, box_area("a_") + box_area("b_") - inter)
     carried = [f"{p}_{c}" for c in carry for p in "ab"]
-    return met.select("page", "a", "b", inter.alias("inter"), (inter / (box_area("a_") + box_area("b_") - inter)).alias("iou"), *carried)
+    return met.select("page", "a", "b", inter.alias("inter"), iou.alias("iou"), *carried)
 
 
 def similar_sets(a: DataFrame, b: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
