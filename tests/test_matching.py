@@ -222,3 +222,9 @@ def far_boxes(spark):
 def test_box_dedupe_of_boxes_apart_both_ways(spark):
     got = documents.box_dedupe(far_boxes(spark), 60.0, 40.0)
     assert {r["uid"] for r in got.collect()} == {"a", "b"}
+
+
+def test_word_agreement_of_boxes_apart_both_ways(spark):
+    boxes = far_boxes(spark)
+    got = evaluation.word_agreement(boxes, boxes, 60.0, 40.0).collect()
+    assert [(r["page"], r["a_n"], r["b_n"], r["matched"]) for r in got] == [(1, 3, 3, 3)]
