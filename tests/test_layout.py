@@ -233,3 +233,28 @@ def test_ocr_vote_meets_both_engines_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and plan.count("FullOuter") == 1
     assert {tuple(r) for r in documents.ocr_vote(first, second, lex, 20.0, 20.0, insert_cap=1).collect()} == whole | {(1, "b2", "garden", "added"), (2, "b5", "tree", "added")}
+
+
+def test_table_rows_are_made_without_a_join(spark):
+    """Cells meet once; where they are dealt by table already, nothing is shuffled. Spans, holes, overlaps and empty rows included."""
+    from threadloom.operators import cells
+
+    made = [(1, 0, 0, 1, 2, "a|b", True), (1, 0, 1, 1, 1, "under", True), (1, 1, 0, 2, 1, "tall", False), (1, 4, 2, 1, 1, "x\ny", False), (2, 0, 1, 1, 1, 'p"q', False), (2, 1, 0, 1, 1, None, False)]
+    table = spark.createDataFrame(made, "table_id int, r int, c int, row_span int, col_span int, text string, header boolean").repartition(3, "table_id")
+    owner = {}
+    for t, r, c, rs, cs, text, header in sorted(made, key=lambda x: x[:3]):
+        for i in range(r, r + rs):
+            for j in range(c, c + cs):
+                owner.setdefault((t, i, j), ("anchor" if (i, j) == (r, c) else "covered", text, header, rs, cs))
+    want = {(t, i, j, *owner.get((t, i, j), ("hole", None, False, 1, 1))) for t, rows, cols in ((1, 5, 3), (2, 2, 2)) for i in range(rows) for j in range(cols)}
+    grid = cells.table_grid(table)
+    assert sorted(map(tuple, grid.collect()), key=str) == sorted(want, key=str)
+    lines = cells.markdown_lines(table)
+    assert {(r["table_id"], r["r"]): r["line"] for r in lines.collect()} == {
+        (1, 0): '<tr><th colspan="2">a|b</th><td></td></tr>', (1, 1): '<tr><td rowspan="2">tall</td><td></td><td></td></tr>', (1, 2): "<tr><td></td><td></td></tr>",
+        (1, 3): "<tr><td></td><td></td><td></td></tr>", (1, 4): "<tr><td></td><td></td><td>x\ny</td></tr>", (2, 0): '|  | p"q |', (2, 1): "|  |  |",
+    }
+    assert {(r["table_id"], r["r"]): r["line"] for r in cells.csv_lines(table).collect()}[(2, 0)] == ',"p""q"'
+    for df in (grid, lines, cells.flat_rows(table)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM")

@@ -21,17 +21,21 @@ def cells_from_lines(lines: DataFrame) -> DataFrame:
     only the first sort key. The window holds one order, the size of a table.
     """
     fields = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *fields))
-    first = lines.select(F.col("l_orderkey").alias("table_id"), (rank - 1).alias("r"), F.struct(*fields).alias("m"))
-    wide = F.col("m.l_returnflag") == "A"
+    rank = F.row_number().over(Window.partitionBy("table_id").orderBy("l_linenumber", *fields))
+    # Named before they are dealt, so the cells of a table count as dealt by it and what groups them by table or row shuffles nothing.
+    # A line is small for the cells it makes, so lines are dealt by number, which adaptive execution does not fold into few tasks.
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = lines.select(F.col("l_orderkey").alias("table_id"), "l_linenumber", *fields).repartition(tasks, "table_id")
+    first = dealt.withColumn("r", rank - 1)
+    wide = F.col("l_returnflag") == "A"
     cell = lambda c, text, span: F.struct(F.lit(c).alias("c"), text.alias("text"), span.alias("col_span"))
     one = F.lit(1)
     made = F.filter(
         F.array(
-            cell(0, F.concat(F.lit("part, "), "m.l_partkey"), F.when(wide, 2).otherwise(1)),
-            cell(1, F.when(~wide, F.col("m.l_quantity").cast("long").cast("string")), one),
-            cell(2, F.concat(F.lit('"'), "m.l_returnflag", F.lit('"')), one),
-            cell(3, F.col("m.l_linestatus"), one),
+            cell(0, F.concat(F.lit("part, "), "l_partkey"), F.when(wide, 2).otherwise(1)),
+            cell(1, F.when(~wide, F.col("l_quantity").cast("long").cast("string")), one),
+            cell(2, F.concat(F.lit('"'), "l_returnflag", F.lit('"')), one),
+            cell(3, F.col("l_linestatus"), one),
         ),
         lambda x: x["text"].isNotNull(),
     )
@@ -40,51 +44,61 @@ def cells_from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def table_grid(cells: DataFrame) -> DataFrame:
-    """Every slot of every table: state anchor, covered or hole, with the anchor's text and span.
+def grid_rows(cells: DataFrame) -> DataFrame:
+    """Every row of every table (table_id, r, spanned, slots): a slot (c, state, text, header, row_span, col_span) is an anchor, covered or a hole.
 
-    Where spans overlap the first anchor in reading order owns the slot.
+    Where spans overlap the first anchor in reading order owns the slot;
+    ``spanned`` says whether any cell of the table has a span. Cells meet once,
+    with a mark for each row of the table, and slots are made in the row: they
+    are neither joined nor shuffled. A group is as wide as the table, not as long.
     """
-    spread = cells.withColumn("rr", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("row_span") - 1))).withColumn(
-        "cc", F.explode(F.sequence(F.col("c"), F.col("c") + F.col("col_span") - 1))
-    )
-    owner = spread.groupBy("table_id", F.col("rr").alias("gr"), F.col("cc").alias("gc")).agg(
-        F.min(F.struct("r", "c", "text", "header", "row_span", "col_span")).alias("a")
-    )
+    anchor = F.struct("r", "c", "text", "header", "row_span", "col_span")
+    spread = cells.select("table_id", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("row_span") - 1)).alias("gr"), anchor.alias("a"))
     size = cells.groupBy("table_id").agg(
-        F.max(F.col("r") + F.col("row_span")).alias("rows"), F.max(F.col("c") + F.col("col_span")).alias("cols")
-    )
-    full = size.select("table_id", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("gr")).select(
-        "table_id", "gr", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("gc")
-    )
-    state = (
-        F.when(F.col("a").isNull(), "hole").when((F.col("a.r") == F.col("gr")) & (F.col("a.c") == F.col("gc")), "anchor").otherwise("covered")
-    )
-    return full.join(owner, ["table_id", "gr", "gc"], "left").select(
-        "table_id",
-        F.col("gr").alias("r"),
-        F.col("gc").alias("c"),
-        state.alias("state"),
-        F.col("a.text").alias("text"),
-        F.coalesce("a.header", F.lit(False)).alias("header"),
-        F.coalesce("a.row_span", F.lit(1)).alias("row_span"),
-        F.coalesce("a.col_span", F.lit(1)).alias("col_span"),
+        F.max(F.col("r") + F.col("row_span")).alias("rows"), F.max(F.col("c") + F.col("col_span")).alias("cols"),
+        F.bool_or((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("spanned"),
+    )
+    marks = size.select("table_id", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("gr"), "cols", "spanned")
+    met = spread.unionByName(marks, allowMissingColumns=True).groupBy("table_id", "gr").agg(
+        F.collect_list("a").alias("a"), F.max("cols").alias("cols"), F.bool_or("spanned").alias("spanned")
     )
+    slot = lambda i, hole, a: F.struct(i.alias("i"), F.lit(hole).alias("hole"), a.alias("a"))
+    lies = F.filter("a", lambda x: x["c"].isNotNull() & x["col_span"].isNotNull())
+    taken = F.flatten(F.transform(lies, lambda x: F.transform(F.sequence(x["c"], x["c"] + x["col_span"] - 1), lambda i: slot(i, 0, x))))
+    none = F.get(F.filter("a", lambda x: F.lit(False)), F.lit(0))
+    holes = F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda i: slot(i, 1, none))
+    # The first of the entries of a slot is its owner; a slot without any has only the hole.
+    sorted_ = met.where("cols IS NOT NULL").select("table_id", F.col("gr").alias("r"), "cols", "spanned", F.array_sort(F.concat(taken, holes)).alias("s"))
+    first = F.filter("s", lambda x, k: (x["i"] >= 0) & (x["i"] < F.col("cols")) & ((k == 0) | (F.get("s", k - 1)["i"] != x["i"])))
+    return sorted_.select("table_id", "r", "spanned", F.transform(first, lambda x: _slot_of(x, F.col("r"))).alias("slots"))
+
+
+def _slot_of(x: Column, row: Column) -> Column:
+    a = x["a"]
+    state = F.when(a.isNull(), "hole").when((a["r"] == row) & (a["c"] == x["i"]), "anchor").otherwise("covered")
+    return F.struct(
+        x["i"].alias("c"), state.alias("state"), a["text"].alias("text"), F.coalesce(a["header"], F.lit(False)).alias("header"),
+        F.coalesce(a["row_span"], F.lit(1)).alias("row_span"), F.coalesce(a["col_span"], F.lit(1)).alias("col_span"),
+    )
 
 
-def _row_lines(grid: DataFrame, piece: Column, sep: str) -> DataFrame:
-    """One string per table row; a group is as wide as the table, not as long."""
-    return grid.groupBy("table_id", "r").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", piece.alias("t")))), lambda x: x["t"]), sep).alias("line")
-    )
+def table_grid(cells: DataFrame) -> DataFrame:
+    """Every slot of every table: state anchor, covered or hole, with the anchor's text and span.
+
+    Where spans overlap the first anchor in reading order owns the slot.
+    """
+    return grid_rows(cells).select("table_id", "r", F.inline("slots"))
 
 
 def csv_lines(cells: DataFrame, sep: str = ",") -> DataFrame:
     """Quoted records (table_id, r, line); covered and empty slots are blank."""
     special = r'["\t\r\n]' if sep == "\t" else r'[",\r\n]'
-    text = F.when(F.col("state") == "anchor", F.coalesce("text", F.lit(""))).otherwise("")
-    quoted = F.when(text.rlike(special), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
-    return _row_lines(table_grid(cells), quoted, sep)
+
+    def quoted(x: Column) -> Column:
+        text = F.when(x["state"] == "anchor", F.coalesce(x["text"], F.lit(""))).otherwise("")
+        return F.when(text.rlike(special), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return grid_rows(cells).select("table_id", "r", F.array_join(F.transform("slots", quoted), sep).alias("line"))
 
 
 def _html(text: Column) -> Column:
@@ -96,26 +110,19 @@ def _html(text: Column) -> Column:
 
 def markdown_lines(cells: DataFrame) -> DataFrame:
     """Pipe rows for plain tables, HTML rows for tables with any span (table_id, r, line)."""
-    spans = cells.groupBy("table_id").agg(F.bool_or((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("spanned"))
-    grid = table_grid(cells).join(spans, "table_id")
-    text = F.coalesce("text", F.lit(""))
-    plain = F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
-    tag = F.when(F.col("header"), "th").otherwise("td")
-    attr = F.concat(
-        F.when(F.col("row_span") > 1, F.format_string(' rowspan="%d"', "row_span")).otherwise(""),
-        F.when(F.col("col_span") > 1, F.format_string(' colspan="%d"', "col_span")).otherwise(""),
-    )
-    html = F.when(F.col("state") == "covered", "").otherwise(
-        F.concat(F.lit("<"), tag, attr, F.lit(">"), _html(text), F.lit("</"), tag, F.lit(">"))
-    )
-    wrapped = grid.withColumn("piece", F.when(F.col("spanned"), html).otherwise(plain))
-    rows = wrapped.groupBy("table_id", "r", "spanned").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "piece"))), lambda x: x["piece"]).alias("p")
-    )
-    line = F.when(F.col("spanned"), F.concat(F.lit("<tr>"), F.array_join("p", ""), F.lit("</tr>"))).otherwise(
-        F.concat(F.lit("| "), F.array_join("p", " | "), F.lit(" |"))
+
+    def plain(x: Column) -> Column:
+        return F.regexp_replace(F.replace(F.coalesce(x["text"], F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+
+    def html(x: Column) -> Column:
+        tag = F.when(x["header"], "th").otherwise("td")
+        span = lambda name: F.when(x[f"{name}_span"] > 1, F.concat(F.lit(f' {name}span="'), x[f"{name}_span"].cast("string"), F.lit('"'))).otherwise("")
+        return F.when(x["state"] == "covered", "").otherwise(F.concat(F.lit("<"), tag, span("row"), span("col"), F.lit(">"), _html(F.coalesce(x["text"], F.lit(""))), F.lit("</"), tag, F.lit(">")))
+
+    line = F.when(F.col("spanned"), F.concat(F.lit("<tr>"), F.array_join(F.transform("slots", html), ""), F.lit("</tr>"))).otherwise(
+        F.concat(F.lit("| "), F.array_join(F.transform("slots", plain), " | "), F.lit(" |"))
     )
-    return rows.select("table_id", "r", line.alias("line"))
+    return grid_rows(cells).where("table_id IS NOT NULL").select("table_id", "r", line.alias("line"))
 
 
 def flat_rows(cells: DataFrame, repeat: bool = True) -> DataFrame:
