@@ -248,3 +248,15 @@ def test_search_meets_texts_where_their_words_met(spark, monkeypatch):
     assert {(r["query"], r["part"], r["exact"]) for r in got} == {("a", i, True) for i in (1, 3, 5)} | {("k", i, False) for i in (0, 2, 4)}
     by_kind = [line for line in plans[-1].splitlines() if "Join" in line and "kind#" in line.split(", (")[-1]]
     assert by_kind and all("strategy=broadcast" in line for line in by_kind)
+
+
+def test_readings_dealt_by_page_are_not_dealt_again(spark):
+    """What is shuffled are a reading's metrics, not its cells and words; the result is the same."""
+    rows = [(p, k, r, c, f"w{(p * r + c) % 5} w{c} {r}") for p in range(6) for k in ("rule", "reader") for r in range(3) for c in range(2)]
+    told = [(p, r, f"w{(p + r) % 4}") for p in range(6) for r in range(3)]
+    sides = [spark.createDataFrame(rows, "page int, reading string, r int, c int, text string"), spark.createDataFrame(told, "page int, row int, word string")]
+    whole = cells.reading_metrics(*sides)
+    dealt = cells.reading_metrics(*[df.repartition(3, "page") for df in sides], dealt=True)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") and "REPARTITION_BY_COL" not in plan
