@@ -260,3 +260,36 @@ def test_readings_dealt_by_page_are_not_dealt_again(spark):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
     plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") and "REPARTITION_BY_COL" not in plan
+
+
+@pytest.mark.parametrize("look", [1, 3, 200])
+def test_packing_sends_first_parts_only(spark, monkeypatch, look):
+    """The greedy walk along a given order with places among all scores; no part is numbered or dealt to be looked at."""
+    monkeypatch.setattr(search, "LOOK", look)
+    monkeypatch.setattr(search, "range_position", None)
+    rows = [(q, d, float((d * 7 + q) % 11), (d * d * 13 + q) % 60, d % 5 == 0 if d % 4 else None) for q in range(3) for d in range(40)]
+    scores = spark.createDataFrame(rows, "query int, doc int, score double, size int, forced boolean")
+    kept = []
+    cut = search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: kept.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = search.placed(search.context_pack(scores, 90, [F.col("score").desc(), "doc"]), scores)
+    want = set()
+    for q in range(3):
+        ranked = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        place = {r[1]: i for i, r in enumerate(ranked, 1)}
+        used = 0
+        for r in sorted(ranked, key=lambda r: not r[4]):
+            if used + r[3] <= 90:
+                used += r[3]
+                want.add((q, r[1], place[r[1]], used))
+    assert {(r.query, r.doc, r.pos, r.used) for r in got.collect()} == want
+    assert "Exchange" not in kept[0]
+
+
+def test_scores_meet_queries_where_a_document_is(spark):
+    docs = spark.createDataFrame([(i, f"red apple{i % 3} pear " * (i + 1)) for i in range(9)], "doc int, text string")
+    asked = spark.createDataFrame([(1, "red pear"), (2, "apple1 apple2"), (3, "the")], "query int, text string")
+    out = search.bm25_scores(docs, asked)
+    assert {(r["query"], r["doc"]) for r in out.collect()} == {(1, i) for i in range(9)} | {(2, i) for i in range(9) if i % 3}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "hashpartitioning(query" not in plan and "REPARTITION_BY_NUM" in plan

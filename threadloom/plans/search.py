@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import search as op
 from threadloom.plans.base import query
 from threadloom.plans.sources import BLOCKS_SQL
+from threadloom.session import written
 from threadloom.sources.blocks import text_to_blocks
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -204,11 +205,11 @@ def _(t):
 SELECT i.query, doc, pos, size, forced, used FROM w JOIN i ON i.query = w.query AND i.turn = w.turn WHERE took""",
 )
 def _(t):
-    ranked = op.bm25_rank(docs(t), t.benchmark.select(F.col("item_id").alias("query"), "text"))
-    sized = ranked.join(t.documents, F.col("doc") == F.col("doc_id")).select(
-        "query", "doc", "pos", F.ceil(F.col("n_chars") / 4).alias("size"), F.expr("lang = 'en' AND n_chars < 800").alias("forced")
-    )
-    return op.context_pack(sized, 2000)
+    scores = op.bm25_scores(docs(t), t.benchmark.select(F.col("item_id").alias("query"), "text"))
+    parts = t.documents.select(F.col("doc_id").alias("doc"), F.ceil(F.col("n_chars") / 4).alias("size"), F.expr("lang = 'en' AND n_chars < 800").alias("forced"))
+    sized = written(scores.join(parts.hint("shuffle_hash"), "doc"))
+    taken = op.context_pack(sized, 2000, [F.col("score").desc(), "doc"])
+    return op.placed(taken, sized).select("query", "doc", "pos", "size", "forced", "used")
 
 
 @query(
