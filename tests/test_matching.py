@@ -228,3 +228,12 @@ def test_word_agreement_of_boxes_apart_both_ways(spark):
     boxes = far_boxes(spark)
     got = evaluation.word_agreement(boxes, boxes, 60.0, 40.0).collect()
     assert [(r["page"], r["a_n"], r["b_n"], r["matched"]) for r in got] == [(1, 3, 3, 3)]
+
+
+def test_groups_of_references_are_whole_and_biggest_first(spark):
+    rows = [("t1", f"b{i % 7}", "p1") for i in range(30)] + [("t1", f"c{i}", "p0") for i in range(7)] + [("t1", "t1", "p2"), ("t1", "bad))", "p2"), ("t1", "on", "p3"), ("t1", "d", "p3"), ("t2", "b1", "t2"), ("t2", "b3", "p1"), ("t2", None, "p1"), ("t3", "on", "p1")]
+    skip = spark.createDataFrame([("on",)], "uid string")
+    out = relations.group_linked_refs(spark.createDataFrame(rows, "target string, uid string, page string"), skip, whole=True)
+    assert sorted((r["target"], r["pos"], r["page"], r["n"], r["first_uid"], r["uids"]) for r in out.collect()) == [
+        ("t1", 1, "p0", 7, "c0", [f"c{i}" for i in range(7)]), ("t1", 2, "p1", 7, "b0", [f"b{i}" for i in range(7)]), ("t1", 3, "p3", 1, "d", ["d"]), ("t2", 1, "p1", 1, "b3", ["b3"]),
+    ]
